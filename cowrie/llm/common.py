@@ -119,11 +119,13 @@ def with_columns_from(
     fields: Sequence[T.StructField],
     make: Callable[..., Callable[[list[pa.Array]], list[pa.Array]]],
     *args: object,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """Append columns that numpy code makes from ``inputs``, without a shuffle.
 
     ``make(*args)`` runs once in each task and gives a function from the input
-    arrays of a slice to the new arrays. Columns of ``df`` that bear a new name
+    arrays of a slice (rows with about ``limit`` bytes of the first input) to the
+    new arrays. Columns of ``df`` that bear a new name
     are replaced; all others pass through.
     """
     small_batches(df.sparkSession)
@@ -136,7 +138,7 @@ def with_columns_from(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make(*args)
         for batch in batches:
-            for a, b in slices(batch.column(n)):
+            for a, b in slices(batch.column(n), limit):
                 part = batch.slice(a, b - a)
                 made = fn([part.column(n + i) for i in range(len(inputs))])
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=[*keep, *[f.name for f in fields]])

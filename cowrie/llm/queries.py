@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cowrie.llm import embeddings, html, language, lm, mixing, simhash, toxicity, warc, winnow
+from cowrie.llm import embeddings, html, language, lm, mixing, pieces, simhash, toxicity, warc, winnow
 from cowrie.llm.common import crc_bucket
 
 
@@ -41,6 +41,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(_table(spark, sf_dir, "pages")).drop("url")
 
 
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the sampled segmentations of every document, decoded again."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, digest=True).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "samples")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return winnow.fingerprint_documents(_table(spark, sf_dir, "documents"))
@@ -70,7 +76,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_embedding_dedup, op3_lm_scoring, op4_html_extraction, op5_warc, op7_fingerprints, op8_toxicity, op9_simhash_dedup, op10_language_id)
+    for f in (op1_mixing, op2_embedding_dedup, op3_lm_scoring, op4_html_extraction, op5_warc, op6_piece_sampling, op7_fingerprints, op8_toxicity, op9_simhash_dedup, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_warc": warc.SQL}
