@@ -23,15 +23,21 @@ from cowrie.llm.common import connected_components, drop, small_batches, stash
 #: Vectors that the centroids are fitted on, at most.
 FIT_ROWS = 20_000
 #: Class vectors of the largest label per cell, about, and the most cells.
-CELL_ROWS, MAX_CELLS = 2048, 256
+CELL_ROWS, MAX_CELLS = 256, 1024
 #: Rows of a block.
-BLOCK_ROWS = 192
+BLOCK_ROWS = 512
 _ROUNDS = 8
 
 
-def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Equally long lists as rows of numbers."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors in double precision of equally long rows, and which rows have one."""
-    x = np.array(rows, dtype=np.float64).reshape(len(rows), -1)
+    x = rows
     top = np.abs(x).max(1, initial=0.0)
     good = np.isfinite(top) & (top > 0)
     x = np.where(good[:, None], x, 1.0) / np.where(good, top, 1.0)[:, None]
@@ -57,24 +63,20 @@ def _assign(centroids: np.ndarray | None, reach: float):
     def run(batches):
         for batch in batches:
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            rows = c["embedding"].to_pylist()
-            out: list[tuple[int, int, bool]] = []
-            if centroids is None:
-                out = [(i, 0, True) for i in range(len(rows))]
-            else:
-                fits = [i for i, r in enumerate(rows) if len(r) == centroids.shape[1]]
-                out = [(i, 0, True) for i, r in enumerate(rows) if len(r) != centroids.shape[1]]
-                if fits:
-                    dots = unit([rows[i] for i in fits])[0] @ centroids.T
-                    own = dots.argmax(1)
-                    gap = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 1e-18))
-                    behind = (dots[np.arange(len(fits)), own][:, None] - dots) / gap[own]
-                    halo = (behind <= reach + 1e-9) & (np.arange(len(centroids))[None, :] < own[:, None])
-                    out += [(i, int(k), True) for i, k in zip(fits, own, strict=True)]
-                    out += [(fits[r], int(k), False) for r, k in zip(*np.nonzero(halo), strict=True)]
+            dims = c["embedding"].value_lengths().to_numpy()
+            fits = np.nonzero(dims == (0 if centroids is None else centroids.shape[1]))[0]
+            out = [(i, 0, True) for i in np.setdiff1d(np.arange(len(dims)), fits)]
+            if len(fits):
+                dots = unit(matrix(c["embedding"].take(pa.array(fits))))[0] @ centroids.T
+                own = dots.argmax(1)
+                gap = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 1e-18))
+                behind = (dots[np.arange(len(fits)), own][:, None] - dots) / gap[own]
+                halo = (behind <= reach + 1e-9) & (np.arange(len(centroids))[None, :] < own[:, None])
+                out += [(i, int(k), True) for i, k in zip(fits, own, strict=True)]
+                out += [(fits[r], int(k), False) for r, k in zip(*np.nonzero(halo), strict=True)]
             at = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [c["class"].take(at), c["label"].take(at), c["n"].take(at), c["embedding"].take(at), pa.array([len(rows[o[0]]) for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.bool_())],
+                [c["class"].take(at), c["label"].take(at), c["n"].take(at), c["embedding"].take(at), pa.array([dims[o[0]] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.bool_())],
                 names=["class", "label", "n", "embedding", "dim", "cell", "owner"],
             )
 
@@ -85,16 +87,15 @@ def _products(cosine: float):
     """Links of one pair of blocks: per class its linked rows, and edges that span its links."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        x, _ = unit(rows["embedding"])
-        ids, n = np.array(rows["class"]), np.array(rows["n"])
-        block, owner = np.array(rows["block"]), np.array(rows["owner"])
-        i, j = rows["bi"][0], rows["bj"][0]
+        x, _ = unit(matrix(table["embedding"]))
+        ids, n, block = (table[c].to_numpy() for c in ("class", "n", "block"))
+        i, j = table["bi"][0].as_py(), table["bj"][0].as_py()
         a, b = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
         near = x[a] @ x[b].T >= cosine
-        near &= owner[a][:, None] | owner[b][None, :]  # two halo rows meet elsewhere
         if i == j:
             np.fill_diagonal(near, False)
+        if not near.any():
+            return pa.table({c: pa.array([], pa.int64()) for c in ("class", "root", "linked")})
         counts = np.zeros(len(ids), np.int64)
         counts[a] += near @ n[b]
         if i != j:
@@ -143,18 +144,20 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
         sample = [r.embedding for r in classes.where(drawn).orderBy(F.xxhash64("class")).limit(FIT_ROWS).select("embedding").collect()]
         dims = max(set(map(len, sample)), key=lambda d: sum(len(s) == d for s in sample)) if sample else 0
         sample = [s for s in sample if len(s) == dims]
-        centroids = spherical_kmeans(unit(sample)[0], cells) if sample else None
+        centroids = spherical_kmeans(unit(np.array(sample, np.float64))[0], cells) if sample else None
 
     kind = classes.schema["embedding"].dataType.simpleString()
     label_kind = classes.schema["label"].dataType.simpleString()
     assigned = stash(classes.mapInArrow(_assign(centroids, math.sqrt(2 - 2 * cosine)), f"class long, label {label_kind}, n long, embedding {kind}, dim int, cell int, owner boolean"))
     cell = ["label", "dim", "cell"]
-    sizes = assigned.groupBy(*cell).agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    dealt = assigned.join(sizes, cell).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = dealt.withColumn("other", other).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    found = stash(pairs.select("class", "n", "embedding", "owner", "block", *cell, "bi", "bj").groupBy(*cell, "bi", "bj").applyInArrow(_products(cosine), "class long, root long, linked long"))
+    sizes = assigned.groupBy(*cell).agg(F.count_if("owner").alias("own"), F.count_if(~F.col("owner")).alias("halo"))
+    own, halo = (F.ceil(F.col(c) / BLOCK_ROWS).cast("int") for c in ("own", "halo"))
+    spread = F.pmod(F.xxhash64("class"), F.when(F.col("owner"), own).otherwise(halo)).cast("int")
+    dealt = assigned.join(sizes, cell).where(own > 0).withColumn("block", F.when(F.col("owner"), spread).otherwise(own + spread))
+    met = F.when(F.col("owner"), own + halo).otherwise(own)  # own blocks come first
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    pairs = pairs.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+    found = stash(pairs.select("class", "n", "embedding", "block", *cell, "bi", "bj").groupBy(*cell, "bi", "bj").applyInArrow(_products(cosine), "class long, root long, linked long"))
 
     roots = connected_components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("class").agg(F.sum("linked").alias("linked"))
