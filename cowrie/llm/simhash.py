@@ -161,5 +161,6 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     found = near_duplicates(docs, key, text)
     stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("cowrie_key"), "fp").groupBy("cowrie_key").agg(F.count("*").alias("n"))
     stay = stash(stay)
-    kept = docs.join(stay, docs[key].eqNullSafe(stay["cowrie_key"]), "left_semi")
+    # the kept keys grow with the data, so they are never broadcast
+    kept = docs.join(stay.hint("merge"), docs[key].eqNullSafe(stay["cowrie_key"]), "left_semi")
     return kept if stay.where("n > 1").isEmpty() else kept.dropDuplicates([key])
