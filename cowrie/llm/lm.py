@@ -75,6 +75,15 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), kind)
 
 
+def pack_planes(x: np.ndarray) -> bytes:
+    """32-bit numbers byte plane by byte plane: the upper bytes of small ones cost next to nothing."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpack_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack_sorted(x: np.ndarray) -> bytes:
     """Sorted 64-bit numbers as differences, byte plane by byte plane."""
     d = np.diff(x, prepend=np.uint64(0)).astype("<u8")
@@ -287,19 +296,21 @@ def _bigrams(total: int, distinct: int, train_docs: int, shards: int):
         meta = [docs["id"].combine_chunks().to_numpy().astype("<i8").tobytes(), size.astype("<i8").tobytes(), known.astype("<i8").tobytes(), base.astype("<f8").tobytes(), score.astype("<f8").tobytes(), train.tobytes()]
         batch = docs["batch"][0].as_py()
         out_shard, out_kind, out_data = [batch % shards], [0], [meta]
-        order = np.lexsort((w, left, shard))
+        order = np.lexsort((doc, w, left, shard))
         left, w, p1, doc, shard, left_c, spread = (x[order] for x in (left, w, p1, doc, shard, left_c, spread))
         cut = np.searchsorted(shard, np.arange(shards + 1))
         for s in np.nonzero(np.diff(cut))[0]:
             a, b = cut[s], cut[s + 1]
-            ctx, same = np.unique(left[a:b], return_inverse=True)
-            lead = np.searchsorted(left[a:b], ctx)
-            quant = np.rint(np.log2(p1[a:b]) * -256).astype("<u2")  # log2 of the unigram probability in 1/256
+            # a bigram that several places of the batch hold is sent once, with their number
+            new = np.append(True, (left[a + 1 : b] != left[a : b - 1]) | (w[a + 1 : b] != w[a : b - 1]))
+            pair = a + np.nonzero(new)[0]
+            ctx, lead = np.unique(left[pair], return_index=True)
+            quant = np.rint(np.log2(p1[pair]) * -256)  # log2 of the unigram probability in 1/256
             out_shard.append(int(s))
             out_kind.append(1)
             out_data.append([
-                pack_sorted(ctx), pack(left_c[a:b][lead].astype("<i8")), pack(spread[a:b][lead].astype("<i4")), pack(np.diff(np.append(lead, b - a)).astype("<i4")),
-                _successor_bytes(w[a:b]), pack(quant), pack(doc[a:b].astype("<u4")), train.tobytes(),
+                pack_sorted(ctx), pack(left_c[pair][lead].astype("<i8")), pack_planes(spread[pair][lead]), pack_planes(np.diff(np.append(lead, len(pair)))),
+                _successor_bytes(w[pair]), pack_planes(quant), pack_planes(np.diff(np.append(pair, b))), pack_planes(doc[a:b]), train.tobytes(),
             ])
         return pa.table({"shard": pa.array(out_shard, pa.int32()), "batch": pa.array([batch] * len(out_shard), pa.int32()), "kind": pa.array(out_kind, pa.int32()), "data": pa.array(out_data, pa.list_(pa.binary()))})
 
@@ -329,10 +340,10 @@ def _score_shard(table: pa.Table) -> pa.Table:
             out_kind.append(0)
             out_data.append(d)
             continue
-        n = unpack(d[3], "<i4")
-        train = np.frombuffer(d[7], bool)
-        doc = unpack(d[6], "<u4")
-        rows.append((b, np.repeat(unpack_sorted(d[0]), n), _successors(d[4]), unpack(d[5], "<u2"), doc, train[doc], np.repeat(unpack(d[1], "<i8"), n), np.repeat(unpack(d[2], "<i4"), n)))
+        n, times, doc, train = unpack_planes(d[3]), unpack_planes(d[6]), unpack_planes(d[7]), np.frombuffer(d[8], bool)
+        per_context = [np.repeat(x, n) for x in (unpack_sorted(d[0]), unpack(d[1], "<i8"), unpack_planes(d[2]).astype(np.int64))]
+        ctx, nxt, quant, total, spread = (np.repeat(x, times) for x in (per_context[0], _successors(d[4]), unpack_planes(d[5]), *per_context[1:]))
+        rows.append((b, ctx, nxt, quant, doc, train[doc], total, spread))
     del data
     if rows:
         left, right, trained = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 5))
@@ -356,7 +367,7 @@ def _score_shard(table: pa.Table) -> pa.Table:
                 docs, place = np.unique(doc, return_inverse=True)
                 out_batch.append(b)
                 out_kind.append(1)
-                out_data.append([docs.astype("<u4").tobytes(), np.bincount(place, log, len(docs)).astype("<f8").tobytes()])
+                out_data.append([pack_planes(np.diff(docs, prepend=0)), np.bincount(place, log, len(docs)).astype("<f4").tobytes()])
             del trie
     return pa.table({"batch": pa.array(out_batch, pa.int32()), "kind": pa.array(out_kind, pa.int32()), "data": pa.array(out_data, pa.list_(pa.binary()))})
 
@@ -367,7 +378,7 @@ def _finish(table: pa.Table) -> pa.Table:
     ids, size, known, base = np.frombuffer(meta[0], "<i8"), np.frombuffer(meta[1], "<i8"), np.frombuffer(meta[2], "<i8"), np.frombuffer(meta[3], "<f8")
     score = np.frombuffer(meta[4], "<f8").copy()
     for k, d in sorted(((k, d) for k, d in zip(kind, data, strict=True) if k), key=lambda x: x[1][0] + x[1][1]):
-        np.add.at(score, np.frombuffer(d[0], "<u4"), np.frombuffer(d[1], "<f8"))
+        np.add.at(score, np.cumsum(unpack_planes(d[0]), dtype=np.int64), np.frombuffer(d[1], "<f4").astype(np.float64))
     return pa.table({"row": ids, "n_tokens": size, "n_known": known, "base_score": base, "score": score})
 
 
