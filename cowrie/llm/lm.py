@@ -229,12 +229,23 @@ def _range_of(word: np.ndarray, ranges: int) -> np.ndarray:
     return ((word >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-_TEXTS = ["batch", "id", "text", "train"]
+_TEXTS_OUT = ["batch", "id", "text", "train"]
+
+
+def _deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, for the shuffle."""
+    for batch in batches:
+        packed = pa.array([zlib.compress(t, 6) for t in utf8(batch.column(2))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, batch.column(3)], names=_TEXTS_OUT)
+
+
+def _inflate(texts: pa.ChunkedArray) -> list[bytes]:
+    return [zlib.decompress(t) for t in texts.to_pylist()]
 
 
 def _requests(ranges: int):
     def run(table: pa.Table) -> pa.Table:
-        w, _ = tokens(utf8(table["text"].combine_chunks()) if len(table) else [])
+        w, _ = tokens(_inflate(table["text"]) if len(table) else [])
         word = np.unique(np.concatenate([w, np.array([_BEGIN], np.uint64)]))
         part = _range_of(word, ranges)
         cut = np.searchsorted(part, np.arange(ranges + 1))
@@ -272,7 +283,7 @@ def _bigrams(total: int, distinct: int, train_docs: int, shards: int):
         word = np.concatenate([unpack_sorted(asked[i]) for i in order])
         plane = [np.frombuffer(zlib.decompress(got[i]), np.uint8).reshape(8, -1) for i in order]
         count = np.concatenate([np.ascontiguousarray(x.T).view("<i8").ravel() for x in plane])
-        w, size = tokens(utf8(docs["text"].combine_chunks()))
+        w, size = tokens(_inflate(docs["text"]))
         doc = np.repeat(np.arange(len(size)), size)
         at = np.searchsorted(word, w)
         c = count[at]
@@ -405,6 +416,7 @@ def score(docs: DataFrame, train: str = "train", key: str = "doc_id", text: str
 
     null = -(1 << 63)
     dealt = docs.select(F.pmod(F.xxhash64(F.col(key), F.length(body)), F.lit(size)).cast("int").alias("batch"), F.coalesce(F.col(key).cast("long"), F.lit(null)).alias("id"), body.alias("text"), told.alias("train"))
+    dealt = dealt.mapInArrow(_deflate, "batch int, id long, text binary, train boolean")
     asked = dealt.groupBy("batch").applyInArrow(_requests(ranges), "part int, batch int, words binary")
     # the upper half of the hash as an unsigned number, scaled to the number of ranges
     part = F.shiftright(F.shiftrightunsigned("word", 32) * F.lit(ranges), 32).cast("int")
