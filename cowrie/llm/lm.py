@@ -11,7 +11,10 @@ driver nor a task ever holds it whole:
 3. a batch sends its bigrams, with the expected count of each under the unigram
    level, to the shard of the context word (a frequent context is dealt over
    several shards by the next word);
-4. a shard builds its part of the trie from the training bigrams, in memory-
+4. the shards of a frequent context count its distinct training successors; each
+   successor lies in one of them, so the sum of their counts is exact and goes
+   back to them;
+5. a shard builds its part of the trie from the training bigrams, in memory-
    mapped levels: sorted context ids, Elias-Fano coded monotone pointers to their
    successors, Elias-Fano coded successors relative to their context, and 8-bit
    codes of the smoothed probabilities. All bigrams of the shard are looked up
@@ -340,8 +343,37 @@ def _successors(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _score_shard(table: pa.Table) -> pa.Table:
+def _hot_types(table: pa.Table) -> pa.Table:
+    """Of each context that is dealt over several shards, the number of training successors in this shard."""
+    contexts, pairs = [], []
+    for k, d in zip(table["kind"], table["data"], strict=True):
+        if k.as_py() == 0:
+            continue
+        d = d.as_py()
+        hot = unpack_planes(d[2]) > 1
+        if not hot.any():
+            continue
+        ctx, n, times = unpack_sorted(d[0]), unpack_planes(d[3]), unpack_planes(d[6])
+        contexts.append(ctx[hot])
+        told = np.add.reduceat(np.frombuffer(d[8], bool)[unpack_planes(d[7])].astype(np.int64), np.cumsum(times, dtype=np.int64) - times)
+        take = np.repeat(hot, n) & (told > 0)
+        pairs.append((np.repeat(ctx, n)[take], _successors(d[4])[take]))
+    shard = table["shard"][0].as_py()
+    context = np.unique(np.concatenate(contexts)) if contexts else np.zeros(0, np.uint64)
+    types = np.zeros(len(context), np.int64)
+    if pairs:
+        left, right = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        new = np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])) if len(left) else np.zeros(0, bool)
+        types = np.bincount(np.searchsorted(context, left[new]), minlength=len(context)).astype(np.int64)
+    return pa.table({"shard": pa.array([shard] * len(context), pa.int32()), "context": pa.array(context.view(np.int64)), "types": pa.array(types)})
+
+
+def _score_shard(table: pa.Table, hot: pa.Table) -> pa.Table:
     """Build the shard's trie, look all of its bigrams up, and sum by document."""
+    order = np.argsort(hot["context"].to_numpy().view(np.uint64))
+    hot_context, hot_types = hot["context"].to_numpy().view(np.uint64)[order], hot["types"].to_numpy()[order]
     kind, batch, data = table["kind"].to_pylist(), table["batch"].to_pylist(), table["data"].to_pylist()
     out_batch, out_kind, out_data = [], [], []
     rows = []
@@ -352,9 +384,9 @@ def _score_shard(table: pa.Table) -> pa.Table:
             out_data.append(d)
             continue
         n, times, doc, train = unpack_planes(d[3]), unpack_planes(d[6]), unpack_planes(d[7]), np.frombuffer(d[8], bool)
-        per_context = [np.repeat(x, n) for x in (unpack_sorted(d[0]), unpack(d[1], "<i8"), unpack_planes(d[2]).astype(np.int64))]
-        ctx, nxt, quant, total, spread = (np.repeat(x, times) for x in (per_context[0], _successors(d[4]), unpack_planes(d[5]), *per_context[1:]))
-        rows.append((b, ctx, nxt, quant, doc, train[doc], total, spread))
+        per_context = [np.repeat(x, n) for x in (unpack_sorted(d[0]), unpack(d[1], "<i8"))]
+        ctx, nxt, quant, total = (np.repeat(x, times) for x in (per_context[0], _successors(d[4]), unpack_planes(d[5]), per_context[1]))
+        rows.append((b, ctx, nxt, quant, doc, train[doc], total))
     del data
     if rows:
         left, right, trained = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 5))
@@ -366,13 +398,15 @@ def _score_shard(table: pa.Table) -> pa.Table:
         del left, right, trained
         with tempfile.TemporaryFile() as file:
             trie = Trie(context[start], successor[start], np.diff(np.append(start, len(t))), file)
-            for b, ctx, nxt, quant, doc, _, total, spread in rows:
+            for b, ctx, nxt, quant, doc, _, total in rows:
                 at = trie.find_context(ctx)
                 types = np.zeros(len(ctx))
                 seen = at >= 0
                 types[seen] = trie.distinct(at[seen])
-                # a context dealt over several shards shows each an equal share of its successors
-                rest = np.minimum(DISCOUNT * np.maximum(types, 1) * spread, DISCOUNT * total)
+                if len(hot_context):  # contexts dealt over several shards: the sum of what the shards hold
+                    place = np.minimum(np.searchsorted(hot_context, ctx), len(hot_context) - 1)
+                    types = np.where(hot_context[place] == ctx, hot_types[place], types)
+                rest = np.minimum(DISCOUNT * np.maximum(types, 1), DISCOUNT * total)
                 p = trie.discounted(at, nxt) + rest * 2.0 ** (quant / -256.0)
                 log = np.log10(p)  # the context's own count was divided out by the batch
                 docs, place = np.unique(doc, return_inverse=True)
@@ -422,7 +456,10 @@ def score(docs: DataFrame, train: str = "train", key: str = "doc_id", text: str
     part = F.shiftright(F.shiftrightunsigned("word", 32) * F.lit(ranges), 32).cast("int")
     replies = asked.groupBy("part").cogroup(counted.withColumn("part", part).groupBy("part")).applyInArrow(_replies, "batch int, part int, words binary, counts binary")
     sent = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_bigrams(sums.total, sums.distinct, train_docs, shards), "shard int, batch int, kind int, data array<binary>")
-    scored = sent.groupBy("shard").applyInArrow(_score_shard, "batch int, kind int, data array<binary>")
+    # both uses of what was sent read one shuffle
+    shares = sent.groupBy("shard").applyInArrow(_hot_types, "shard int, context long, types long")
+    hot = shares.groupBy("context").agg(F.sum("types").alias("types"), F.collect_list("shard").alias("shards")).select(F.explode("shards").alias("shard"), "context", "types")
+    scored = sent.groupBy("shard").cogroup(hot.groupBy("shard")).applyInArrow(_score_shard, "batch int, kind int, data array<binary>")
     out = scored.groupBy("batch").applyInArrow(_finish, "row long, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.nullif(F.col("row"), F.lit(null)).cast(docs.schema[key].dataType).alias(key), "n_tokens", "n_known", F.lit(sums.total).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -135,6 +135,29 @@ def test_lm_counts_and_probabilities(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def exact_bigrams(docs, train):
+    """log10 probability of each text of {key: words} under the exact model of the keys in ``train``."""
+    ends = {i: [*ws, "\0"] for i, ws in docs.items()}
+    c = Counter(w for i in train for w in ends[i])
+    n, v = sum(c.values()), len(c)
+    bi = Counter((a, b) for i in train for a, b in zip(["^", *ends[i]], ends[i], strict=False))
+    left = Counter(a for i in train for a in ["^", *ends[i][:-1]])
+    types = Counter(a for a, _ in bi)
+    p1 = lambda w: (c[w] - 0.5) / n if c[w] else 0.5 * v / n
+    return {i: sum(math.log10((max(bi[a, w] - 0.75, 0) + 0.75 * types[a] * p1(w)) / left[a] if left[a] else p1(w)) for a, w in zip(["^", *ws], ws, strict=False)) for i, ws in ends.items()}
+
+
+@pytest.mark.parametrize("hot", [2, 40, 10**9])
+def test_lm_hot_contexts_keep_their_own_count_of_successors(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT_CONTEXT", hot)
+    rng = np.random.default_rng(5)
+    docs = {i: [f"w{x}" for x in rng.zipf(1.4, 50) if x < 500] for i in range(240)}
+    df = spark.createDataFrame([(i, " ".join(ws), i % 4 > 0) for i, ws in docs.items()], "doc_id long, text string, train boolean")
+    want = exact_bigrams(docs, [i for i in docs if i % 4 > 0])
+    for r in lm.score(df).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=0.01, abs=0.2)
+
+
 def test_elias_fano_and_odd(spark, odd, tmp_path):
     x = np.sort(np.random.default_rng(0).integers(0, 10**9, 2000)).astype(np.uint64)
     with open(tmp_path / "ef", "w+b") as f:
