@@ -40,6 +40,9 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 PEERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
+#: Elements that may lie in a head; any other tag, and any text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+
 # Groups of tags and of attribute tokens that are features.
 TAG_GROUPS = (("article", "main"), ("nav", "menu"), ("header", "hgroup"), ("footer", "address"), ("aside",), ("form", "fieldset"), ("section",), ("div",), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("table", "tbody", "thead", "tr", "td", "th"), ("blockquote", "pre", "figure", "figcaption"), ("body", "html"))
 TOKEN_GROUPS = (
@@ -72,6 +75,8 @@ class Page:
         at = 0
 
         def text(piece: str) -> None:
+            if stack[-1][0] == "head" and piece.strip(" \t\n\r\f"):
+                close(len(stack) - 1)
             if silent or not piece:
                 return
             if "&" in piece:
@@ -112,6 +117,9 @@ class Page:
             if name is None:
                 continue
             name, ends, attrs = name.lower(), m[1] or m[4], m[3] if m[2] else m[6]
+            # the end tag of a head may be left out; a head elsewhere is no element
+            if stack[-1][0] == "head" and (name in ("body", "html", "br") if ends else name not in IN_HEAD and name not in ("head", "html")):
+                close(len(stack) - 1)
             if ends:
                 for d in range(len(stack) - 1, 1, -1):
                     if stack[d][0] == name:
@@ -145,7 +153,7 @@ class Page:
                             break
                     elif stack[d][0] in SCOPES[name]:
                         break
-            if name in ("html", "body"):
+            if name in ("html", "body") or (name == "head" and (len(stack) > 2 or len(self.tag) > 2)):
                 continue
             if name in INLINE:
                 links += name == "a"
@@ -171,6 +179,8 @@ class Page:
             self.own.append(0)
             self.link.append(0)
             self.marks.append(0)
+            if name in ("svg", "math") and attrs and attrs.endswith("/"):
+                continue
             silent += name in SILENT
             stack.append((name, k))
         close(0)

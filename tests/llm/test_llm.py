@@ -180,6 +180,22 @@ def test_html_cases(spark):
     assert html.extract(df.limit(0), trees).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><body><p>some words</p>", ["some words"]),
+        ("<html><head><title>T</title><meta name=a><p>some words</p>", ["some words"]),
+        ("<head><link rel=x>bare words<p>more</p>", ["bare words", "more"]),
+        ("<head><title>T</title></head><body><p>words</p>", ["words"]),
+        ("<p>some</p><head><p>words</p>", ["some", "words"]),
+        ("<p><svg class='i'/> words</p><p>more</p>", ["words", "more"]),
+        ("<p>a <svg><path d='x'/>no</svg> b</p><p><math/>c</p>", ["a", "b", "c"]),
+    ],
+)
+def test_html_open_heads_and_self_closed_elements_lose_no_text(page, want):
+    assert [t for _, t in html.Page(page).blocks] == want
+
+
 def test_html_decoding_is_consistent():
     rng = np.random.default_rng(0)
     p = html.Page("<div><div><p>a</p><p>b</p></div><div><p>c</p></div></div>")
