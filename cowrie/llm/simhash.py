@@ -134,6 +134,18 @@ def links(classes: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     return cold.union(_near(hot, [*key, "mask", "k3"]))
 
 
+def _groups(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, fp), and for each fingerprint its least key, ``root`` and the ``component_id``."""
+    prints = stash(fingerprints(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "text", "fp").select("doc", "fp"))
+    classes = stash(prints.groupBy("fp").agg(F.min("doc").alias("least")))
+    roots = connected_components(links(classes))
+    groups = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    member = stash(groups.join(least, "root").select("fp", "least", "root", "component_id"))
+    drop(classes, roots)
+    return prints, member
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``key``, ``fp`` (long) and ``component_id``.
 
@@ -142,25 +154,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     take part and get the least key of their group (null if the group has none);
     repeated rows are rows of one group; an empty table gives an empty one.
     """
-    prints = stash(fingerprints(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "text", "fp").select("doc", "fp"))
-    classes = stash(prints.groupBy("fp").agg(F.min("doc").alias("least")))
-    roots = connected_components(links(classes))
-    groups = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = stash(groups.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    drop(classes, roots)
-    return prints.join(member, "fp").select(F.col("doc").alias(key), "fp", "component_id")
+    prints, member = _groups(docs, key, text)
+    return prints.join(member.select("fp", "component_id"), "fp").select(F.col("doc").alias(key), "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keep, of each group of near duplicates, the row with the least key.
+    """Keep one row of each group of near duplicates: the least by key, then by fingerprint.
 
-    Rows with a null key stay only in a group without any key. Rows that repeat
-    a kept key are reduced to one. Columns and other rows are untouched.
+    Null keys come last, so such a row stays only in a group without any key.
+    Rows are told apart by key and fingerprint: different texts under one key, or
+    without a key, are judged each by its own group. Of rows that agree in both,
+    one with the least text stays. Columns are untouched.
     """
-    found = near_duplicates(docs, key, text)
-    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("cowrie_key"), "fp").groupBy("cowrie_key").agg(F.count("*").alias("n"))
-    stay = stash(stay)
-    # the kept keys grow with the data, so they are never broadcast
-    kept = docs.join(stay.hint("merge"), docs[key].eqNullSafe(stay["cowrie_key"]), "left_semi")
-    return kept if stay.where("n > 1").isEmpty() else kept.dropDuplicates([key])
+    prints, member = _groups(docs, key, text)
+    first = member.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("keyless"), "least", "fp")).alias("first"))
+    stay = stash(first.select(F.col("first.least").alias("cowrie_key"), F.col("first.fp").alias("cowrie_stay")))
+    repeated = prints.groupBy("doc", "fp").count().where("count > 1")
+    several = not repeated.join(stay, (repeated["fp"] == stay["cowrie_stay"]) & repeated["doc"].eqNullSafe(stay["cowrie_key"]), "left_semi").isEmpty()
+    drop(prints, member)
+    marked = fingerprints(docs, text, "cowrie_fp")
+    # the kept rows grow with the data, so they are never broadcast
+    kept = marked.join(stay.hint("merge"), (marked["cowrie_fp"] == stay["cowrie_stay"]) & marked[key].eqNullSafe(stay["cowrie_key"]), "left_semi")
+    if several:
+        kept = kept.groupBy(key, "cowrie_fp").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col(text), F.lit(""))).alias("cowrie_row")).select("cowrie_row.*")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

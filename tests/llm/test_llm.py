@@ -351,6 +351,16 @@ def test_simhash_hot_cells_and_odd(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_deduplicate_tells_rows_apart_by_key_and_text(spark):
+    words = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 5000, 60))
+    a, b, c, d, e, f = (words(i) for i in range(6))
+    data = [(None, a), (None, b), (None, b), (None, c), (3, c), (1, d), (5, d), (5, e), (7, e), (2, f), (2, f), (2, words(9)), (1, words(9))]
+    got = simhash.deduplicate(spark.createDataFrame([(k, t, "clash") for k, t in data], "doc_id long, text string, fp string"))
+    assert got.columns == ["doc_id", "text", "fp"]
+    want = [(None, a), (None, b), (3, c), (1, d), (5, e), (2, f), (1, words(9))]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
