@@ -1,6 +1,10 @@
 """Every query with SQL gives DuckDB's rows over the small tables."""
 
 import os
+import pathlib
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -36,3 +40,14 @@ def test_rows_equal_sql(spark, duck, tmp_path, name):
 def test_entry_has_rows(spark):
     assert driver.entry(spark).limit(1).count() == 1
     assert set(ORACLE_SQL) <= set(driver.queries())
+
+
+@pytest.mark.parametrize("pipeline_too", [True, False])
+def test_the_rest_works_without_the_training_data_operators(tmp_path, pipeline_too):
+    root = pathlib.Path(driver.__file__).parent
+    shutil.copytree(root / "cowrie", tmp_path / "cowrie", ignore=lambda at, names: [n for n in names if n in ("llm", "__pycache__")])
+    for name in ["__spark_entry__.py", *["corpus_pipeline.py"] * (not pipeline_too)]:
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; from cowrie.plans import queries as p; assert set(e.queries()) == set(p.QUERIES) and set(e.oracle_sql()) == set(p.ORACLE_SQL)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, check=True, timeout=120)
