@@ -29,13 +29,16 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application that the driver and all executors reach.
 
-    It lies in ``spark.checkpoint.dir``; where that is unset (as in tests), in
-    a temporary folder, which becomes the checkpoint folder as well.
+    It lies in ``spark.checkpoint.dir``. Where that is unset, a local session (as in
+    tests) gets a temporary folder, which becomes the checkpoint folder as well;
+    a cluster gets an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="cowrie-")
             spark.sparkContext.setCheckpointDir(root)
         _OWN[app] = f"{root.rstrip('/')}/cowrie-{uuid.uuid4().hex}"
@@ -43,6 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def open_path(path: str) -> tuple:
+    """The file system of a path in the shared folder, and the path within it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file systems."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

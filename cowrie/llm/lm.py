@@ -1,101 +1,296 @@
-"""Language-model scores from a sharded, compact n-gram trie.
-
-The model is an interpolated bigram with absolute discounting: a unigram level
-(with a share for unknown words) and, below each context word, its successors.
-Words are 64-bit hashes. It is built and asked shard by shard, so neither the
-driver nor a task ever holds it whole:
-
-1. training words are counted in groups of hash ranges;
-2. documents are dealt into batches; a batch asks the ranges for the counts of
-   its words and gets them back;
-3. a batch sends its bigrams, with the expected count of each under the unigram
-   level, to the shard of the context word (a frequent context is dealt over
-   several shards by the next word);
-4. the shards of a frequent context count its distinct training successors; each
-   successor lies in one of them, so the sum of their counts is exact and goes
-   back to them;
-5. a shard builds its part of the trie from the training bigrams, in memory-
-   mapped levels: sorted context ids, Elias-Fano coded monotone pointers to their
-   successors, Elias-Fano coded successors relative to their context, and 8-bit
-   codes of the smoothed probabilities. All bigrams of the shard are looked up
-   in it (the context, then a successor search within its range), and sums per
-   document go back to the batches.
+"""Language-model scores from a compact n-gram trie, dealt over shards by key range.
+
+The model is an interpolated trigram with absolute discounting. Words are 64-bit
+hashes, and n-grams are ordered by the hashes of their words, a prefix before
+what follows it. So a shard, a range of that order, holds a part of one trie; a
+context that a limit cuts in two lies in both shards, and a hot word or pair of
+words fills as many shards as it needs. Neither the driver nor a task ever holds
+the model:
+
+1. a scan task turns its rows into batches of ``BATCH_TOKENS`` tokens, written once
+   into the shared folder as local word numbers; a sample of n-grams gives the
+   limits of the shards;
+2. a batch sends each shard its distinct n-grams in that range, as a trie of its
+   own with the number of training occurrences;
+3. a shard adds these up and builds its part of the trie in memory-mapped levels:
+   sorted words, Elias-Fano coded monotone pointers to the successors, Elias-Fano
+   coded successors relative to their context, and 16-bit codes of the smoothed
+   (discounted) probabilities on one fixed grid. The n-grams asked for are looked
+   up in it: a successor search within the context's range, level by level;
+4. the answers go back to the batch, which adds up the numbers of successors of a
+   context that lies in several shards, and scores its rows.
+
+Counts, numbers of successors and the grid depend on the training rows alone, so
+the scores do not depend on batches, shards or partitions. What is sent is at
+most one n-gram a token, however many batches and shards there are.
 """
 
 from __future__ import annotations
 
 import tempfile
-import zlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cowrie.llm.common import crc_bucket, shards_for, small_batches, stash, utf8
+from cowrie.llm.common import crc_bucket, open_path, shared_dir, slices, small_batches, stash, utf8
 
-#: Discounts of bigram and unigram counts.
+#: What each different successor of a context gives up, and each different word.
 DISCOUNT, DISCOUNT_1 = 0.75, 0.5
-#: Documents of a batch, bigrams of a shard and words of a count range, about.
-BATCH_DOCS, SHARD_TOKENS, RANGE_WORDS = 1_500, 2_000_000, 400_000
-#: Training bigrams of one context from which it is dealt over several shards.
-HOT_CONTEXT = 100_000
-#: Bits of a successor's id in the trie; a context's successors rarely collide in so many.
-SUCCESSOR_BITS = 40
-_END = int(np.uint64(xxhash.xxh64_intdigest(b"\x00end", 0)))
-_BEGIN = int(np.uint64(xxhash.xxh64_intdigest(b"\x00begin", 0)))
-
-
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts, each followed by the end token, and tokens per text.
-
-    A-Z are lower-cased; words are runs of other than space and the controls 9 to 13.
-    """
-    known: dict[bytes, int] = {}
-
-    class Hashes(dict):
-        def __missing__(self, word: bytes) -> int:
-            self[word] = h = xxhash.xxh64_intdigest(word, 0)
-            return h
-
-    known = Hashes()
-    size = np.zeros(len(texts), np.int64)
-    parts = []
-    for i, t in enumerate(texts):
-        words = t.lower().split()
-        size[i] = len(words) + 1
-        parts.append(np.fromiter([known[w] for w in words] + [_END], np.uint64, len(words) + 1))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), size
-
-
-def pack(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
-
+#: Tokens of a batch and n-grams asked of a shard, about; a longer text is a batch of its own.
+BATCH_TOKENS, SHARD_NGRAMS = 3_000_000, 4_000_000
+#: Bits of a successor's id in the two lower levels.
+BITS_2, BITS_3 = 40, 32
+#: Bytes of a long text that are split into words at a time.
+_PIECE = 1 << 20
+# The grid of counts, exact up to the first, then in steps of natural logs; code 0 is absent.
+_EXACT, _STEP = 1 << 15, 5e-4
+_END = np.uint64(xxhash.xxh64_intdigest(b"\x00end", 0))
+_BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\x00begin", 0))
+_MASK = np.uint64((1 << 32) - 1)
+_32 = np.uint64(32)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers, compressed byte plane by byte plane: the upper bytes of small numbers cost next to nothing."""
+    head = np.array([len(arrays), *[v for x in arrays for v in (x.itemsize, len(x))]], "<i8").tobytes()
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays]
+    raw = b"".join([head, *planes])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays of ``pack``, as unsigned numbers of the same widths."""
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    head = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(n, 2)
+    at, out = 8 + 16 * n, []
+    for width, size in head.tolist():
+        planes = np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(size))
+        at += width * size
+    return out
 
-def unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
 
+def encode_counts(n: np.ndarray) -> np.ndarray:
+    """16-bit codes of discounted counts; 0 for a count of 0."""
+    code = np.where(n > _EXACT, _EXACT + np.rint(np.log(np.maximum(n, _EXACT) / _EXACT) / _STEP), n)
+    return np.minimum(code, 65_535).astype("<u2")
+
+
+def decode_counts(code: np.ndarray) -> np.ndarray:
+    """Discounted counts of codes; 0 for code 0."""
+    far = np.maximum(code.astype(np.float64) - _EXACT, 0)
+    return np.where(code > _EXACT, _EXACT * np.exp(far * _STEP), code) - DISCOUNT * (code > 0)
+
+
+class Words(dict):
+    """Numbers of words in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def word_numbers(text: bytes, known: Words) -> np.ndarray:
+    """Numbers of a text's words: A-Z are lower-cased, words are runs of other than space and the controls 9 to 13."""
+    if len(text) <= _PIECE:
+        words = text.lower().split()
+        return np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+    parts, at = [], 0
+    while at < len(text):
+        end = at + _PIECE
+        while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        words = text[at:end].lower().split()
+        parts.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+        at = end
+    return np.concatenate(parts)
+
+
+class Batch:
+    """Rows and their tokens, as places in the sorted list of the batch's words."""
+
+    def __init__(self, keys: np.ndarray, size: np.ndarray, train: np.ndarray, words: np.ndarray, ids: np.ndarray) -> None:
+        self.keys, self.size, self.train, self.words, self.ids = keys.view(np.int64), size.astype(np.int64), train.astype(bool), words, ids.astype(np.uint64)
+
+    def data(self) -> bytes:
+        return pack(self.keys, self.size.astype("<u4"), self.train.view(np.uint8), np.diff(self.words, prepend=np.uint64(0)), self.ids.astype("<u4"))
+
+    @staticmethod
+    def read(path: str) -> Batch:
+        files, place = open_path(path)
+        with files.open_input_stream(place, compression=None) as f:
+            keys, size, train, words, ids = unpack(f.read())
+        return Batch(keys, size, train, np.cumsum(words, dtype=np.uint64), ids)
+
+    def left(self) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the word before each token, and which tokens are a row's first."""
+        first = np.zeros(len(self.ids), bool)
+        first[np.cumsum(self.size) - self.size] = True
+        left = np.empty_like(self.ids)
+        left[1:] = self.ids[:-1]
+        left[first] = np.searchsorted(self.words, _BEGIN)
+        return left, first
+
+    def ngrams(self) -> None:
+        """Distinct pairs (place of the left word, place of the word) and triples (number of the pair, place), in order."""
+        left, self.first = self.left()
+        self.pairs, self.of_pair = np.unique((left << _32) | self.ids, return_inverse=True)
+        self.inner = np.nonzero(~self.first)[0]
+        before = self.of_pair[self.inner - 1].astype(np.uint64)
+        self.triples, self.of_triple = np.unique((before << _32) | self.ids[self.inner], return_inverse=True)
+
+    def training_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        told = np.repeat(self.train, self.size)
+        one = np.bincount(self.ids[told].astype(np.int64), minlength=len(self.words))
+        one[np.searchsorted(self.words, _BEGIN)] += int(self.train.sum())
+        return one, np.bincount(self.of_pair[told], minlength=len(self.pairs)), np.bincount(self.of_triple[told[self.inner]], minlength=len(self.triples))
+
+    def cuts(self, limits: np.ndarray) -> np.ndarray:
+        """For each limit (three words): first word, pair and triple behind it, and whether its word and its pair occur."""
+        last = len(self.words) - 1
+        place = lambda h: np.searchsorted(self.words, h)
+        held = lambda at, h: self.words[np.minimum(at, last)] == h
+        u, v, w = (place(limits[:, i]).astype(np.uint64) for i in range(3))
+        has_u, has_v = held(u.astype(np.int64), limits[:, 0]), held(v.astype(np.int64), limits[:, 1])
+        pair = np.searchsorted(self.pairs, np.where(has_u, (u << _32) | v, u << _32))
+        has_pair = has_u & has_v & (self.pairs[np.minimum(pair, len(self.pairs) - 1)] == ((u << _32) | v))
+        p = pair.astype(np.uint64) << _32
+        triple = np.searchsorted(self.triples, np.where(has_pair, p | w, p))
+        return np.stack([u.astype(np.int64) + has_u, pair + has_pair, triple, has_u, has_pair], 1)
+
+    def messages(self, limits: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """What the batch asks of each shard."""
+        self.ngrams()
+        counts = self.training_counts()
+        ends = [len(self.words), len(self.pairs), len(self.triples)]
+        cut = np.concatenate([np.zeros((1, 5), np.int64), self.cuts(limits), [[*ends, 0, 0]]])
+        for s in range(len(cut) - 1):
+            (a1, a2, a3, more_u, more_pair), (b1, b2, b3) = cut[s].tolist(), cut[s + 1, :3].tolist()
+            c1, c2 = a1 - more_u, a2 - more_pair  # the context that the limit cuts comes along
+            if c1 == b1 and c2 == b2 and a3 == b3:
+                continue
+            n1, n2, n3 = counts[0][c1:b1].copy(), counts[1][c2:b2].copy(), counts[2][a3:b3]
+            n1[: a1 - c1] = 0
+            n2[: a2 - c2] = 0
+            pairs, triples = self.pairs[c2:b2], self.triples[a3:b3]
+            kids_1 = np.bincount((pairs >> _32).astype(np.int64) - c1, minlength=b1 - c1)
+            kids_2 = np.bincount((triples >> _32).astype(np.int64) - c2, minlength=b2 - c2)
+            v = self.words[(pairs & _MASK).astype(np.int64)] >> np.uint64(64 - BITS_2)
+            step = np.diff(v, prepend=np.uint64(0))
+            lead = (np.cumsum(kids_1) - kids_1)[kids_1 > 0]
+            step[lead] = v[lead]
+            w = self.words[(triples & _MASK).astype(np.int64)] >> np.uint64(64 - BITS_3)
+            head = np.array([c1, a1, b1, c2, a2, b2, a3, b3], "<i8")
+            yield s, pack(head, np.diff(self.words[c1:b1], prepend=np.uint64(0)), *(x.astype("<u4") for x in (kids_1, n1)), step, *(x.astype("<u4") for x in (kids_2, n2, w, n3)))
+
+    def scores(self, answers: list[bytes], total: int, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens, sum of log10(c + 1) and log10 probability of each row."""
+        self.ngrams()
+        n1, types_1 = np.zeros(len(self.words), np.int64), np.zeros(len(self.words))
+        n2, types_2, n3 = np.zeros(len(self.pairs)), np.zeros(len(self.pairs)), np.zeros(len(self.triples))
+        for data in answers:
+            head, count, kinds_1, code_2, kinds_2, code_3 = unpack(data)
+            c1, a1, b1, c2, a2, b2, a3, b3 = head.view(np.int64).tolist()
+            n1[a1:b1] = count[a1 - c1 :]
+            types_1[c1:b1] += kinds_1
+            n2[a2:b2] = decode_counts(code_2[a2 - c2 :])
+            types_2[c2:b2] += kinds_2
+            n3[a3:b3] = decode_counts(code_3)
+        row = np.repeat(np.arange(len(self.size)), self.size)
+        ids = self.ids.astype(np.int64)
+        by_row = lambda x: np.bincount(row, x, len(self.size))
+        known, base = by_row(n1[ids] > 0), by_row(np.log10(n1[ids] + 1.0))
+        if not total:
+            return known, base, np.zeros(len(self.size))
+        p1 = np.where(n1 > 0, n1 - DISCOUNT_1, DISCOUNT_1 * distinct) / total
+        u, w = (self.pairs >> _32).astype(np.int64), (self.pairs & _MASK).astype(np.int64)
+        p2 = np.where(n1[u] > 0, (n2 + DISCOUNT * types_1[u] * p1[w]) / np.maximum(n1[u], 1), p1[w])
+        p = p2[self.of_pair]
+        context = self.of_pair[self.inner - 1]
+        times = np.where(n2 > 0, n2 + DISCOUNT, 0.0)[context]
+        p[self.inner] = np.where(times > 0, (n3[self.of_triple] + DISCOUNT * types_2[context] * p[self.inner]) / np.maximum(times, 1e-9), p[self.inner])
+        return known, base, by_row(np.log10(p))
+
+
+def _deal(folder: str, sample: int):
+    """Write batches of rows (id, text, train); tell where, their sizes and a sample of their n-grams."""
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        known, keys, trains, ids = Words(), [], [], []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in known), np.uint64, len(known))
+            words, place = np.unique(np.concatenate([hashes, [_END, _BEGIN]]), return_inverse=True)
+            size = np.fromiter((len(x) + 1 for x in ids), np.int64, len(ids))
+            tokens = np.full(int(size.sum()), place[len(known)], np.uint32)
+            end = np.zeros(len(tokens), bool)
+            end[np.cumsum(size) - 1] = True
+            tokens[~end] = place[np.concatenate(ids)]
+            batch = Batch(np.array(keys, np.int64), size, np.array(trains, bool), words, tokens)
+            name = uuid.uuid4().hex
+            files, where = open_path(f"{folder}/{name}")
+            files.create_dir(where.rpartition("/")[0], recursive=True)
+            with files.open_output_stream(where, compression=None) as f:
+                f.write(batch.data())
+            left, first = batch.left()
+            full = batch.words[batch.ids.astype(np.int64)]
+            with np.errstate(over="ignore"):
+                mixed = full * np.uint64(0x9E3779B97F4A7C15)
+                mixed[1:] ^= batch.words[left[1:].astype(np.int64)] * np.uint64(0xC2B2AE3D27D4EB4F)
+                mixed[2:] ^= batch.words[left[1:-1].astype(np.int64)] * np.uint64(0x165667B19E3779F9)
+                mixed = (mixed ^ (mixed >> np.uint64(31)) ^ np.uint64(part * 1_000_003 + made)) * np.uint64(0x9E3779B97F4A7C15)
+            drawn = np.nonzero(~first & ((mixed >> np.uint64(32)) % np.uint64(sample) == 0))[0]
+            drawn = drawn[np.unique(mixed[drawn], return_index=True)[1]]  # once, however often it occurs
+            limits = np.stack([batch.words[left[drawn - 1].astype(np.int64)], full[drawn - 1], full[drawn]], 1)
+            row = (name, int(size.sum()), int(size[batch.train].sum()), limits.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["batch", "tokens", "told", "sample"])
+
+        for b in arrow:
+            for lo, hi in slices(b.column(1)):
+                for key, text, train in zip(b.column(0).slice(lo, hi - lo).to_pylist(), utf8(b.column(1).slice(lo, hi - lo)), b.column(2).slice(lo, hi - lo).to_pylist(), strict=True):
+                    numbers = word_numbers(text, known)
+                    keys.append(key)
+                    trains.append(train)
+                    ids.append(numbers)
+                    held += len(numbers) + 1
+                    if held >= BATCH_TOKENS:
+                        yield flush()
+                        known, keys, trains, ids, held = Words(), [], [], [], 0
+                        made += 1
+        if keys:
+            yield flush()
 
-def pack_planes(x: np.ndarray) -> bytes:
-    """32-bit numbers byte plane by byte plane: the upper bytes of small ones cost next to nothing."""
-    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return run
 
 
-def unpack_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _training_words(folder: str):
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrow:
+            for name in b.column(0).to_pylist():
+                batch = Batch.read(f"{folder}/{name}")
+                told = np.unique(batch.ids[np.repeat(batch.train, batch.size)].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(batch.words[told].view(np.int64))], names=["word"])
 
+    return run
 
-def pack_sorted(x: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as differences, byte plane by byte plane."""
-    d = np.diff(x, prepend=np.uint64(0)).astype("<u8")
-    return zlib.compress(d.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
+def _ask(folder: str, limits: np.ndarray):
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrow:
+            for name in b.column(0).to_pylist():
+                for shard, data in Batch.read(f"{folder}/{name}").messages(limits):
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([data], pa.binary())], names=["shard", "batch", "data"])
 
-def unpack_sorted(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return run
 
 
 class EliasFano:
@@ -111,9 +306,8 @@ class EliasFano:
         bits[high + np.arange(self.n)] = 1
         self.upper = _mapped(np.packbits(bits, bitorder="little"), file)
         self.lower = _mapped(_pack_bits(low, self.low_bits), file)
-        # rank directory: ones before each 512 bits, and positions of every one's block
-        words = np.bitwise_count(self.upper).astype(np.int64)
-        self.ones = np.concatenate([[0], np.cumsum(words)])
+        # rank directory: ones before each byte of the upper bits
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.upper), dtype=np.int64)])
 
     def select(self, i: np.ndarray) -> np.ndarray:
         """Place in the upper bits of the i-th one."""
@@ -170,261 +364,128 @@ def _unpack_bits(data: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
     return (low | high) & np.uint64((1 << width) - 1)
 
 
-class Trie:
-    """Contexts and their successors, with quantised probabilities; built from sorted training bigrams."""
-
-    def __init__(self, context: np.ndarray, successor: np.ndarray, count: np.ndarray, file) -> None:
-        new = np.concatenate([[True], context[1:] != context[:-1]]) if len(context) else np.zeros(0, bool)
-        start = np.nonzero(new)[0]
-        self.contexts = _mapped(context[start], file)
-        self.pointers = EliasFano(np.concatenate([start, [len(context)]]), len(context) + 1, file)
-        level = np.cumsum(new) - 1
-        # successors are relative to their context: its number above the successor's bits keeps the level monotone
-        self.successors = EliasFano((level.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor, (len(start) + 1) << SUCCESSOR_BITS, file)
-        logs = np.log10(np.maximum(count - DISCOUNT, 1e-3)) if len(count) else np.zeros(0)
-        top = float(logs.max(initial=0.0))
-        self.low, self.step = float(logs.min(initial=0.0)), max((top - float(logs.min(initial=0.0))) / 255, 1e-9)
-        self.codes = _mapped(np.rint((logs - self.low) / self.step).astype(np.uint8), file)
-
-    def distinct(self, at: np.ndarray) -> np.ndarray:
-        """Number of successors of contexts given by their place."""
-        return (self.pointers.get(at + 1) - self.pointers.get(at)).astype(np.int64)
-
-    def find_context(self, context: np.ndarray) -> np.ndarray:
-        """Places of contexts; -1 for unseen ones."""
-        if not len(self.contexts):
-            return np.full(len(context), -1)
-        at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
-        return np.where(self.contexts[at] == context, at, -1)
-
-    def discounted(self, at: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Discounted count of each successor within its context's range; 0 if unseen."""
-        out = np.zeros(len(at))
+class Level:
+    """Successors of the contexts of the level above, relative to their context, with codes."""
+
+    def __init__(self, context: np.ndarray, successor: np.ndarray, count: np.ndarray, contexts: int, bits: int, file) -> None:
+        self.bits = bits
+        self.pointers = EliasFano(np.searchsorted(context, np.arange(contexts + 1)), len(context) + 1, file)
+        # the context's number above the successor's bits keeps the level monotone
+        self.successors = EliasFano((context.astype(np.uint64) << np.uint64(bits)) | successor, (contexts + 1) << bits, file)
+        self.codes = _mapped(encode_counts(count), file)
+
+    def types(self, at: np.ndarray) -> np.ndarray:
+        """Different successors of contexts by their place; 0 for place -1.
+
+        A first successor without a code is another shard's and only a context here.
+        """
+        out = np.zeros(len(at), np.int64)
         seen = np.nonzero(at >= 0)[0]
-        if not len(seen):
+        if len(seen) and len(self.codes):
+            lo, end = (self.pointers.get(at[seen] + i).astype(np.int64) for i in (0, 1))
+            out[seen] = end - lo - ((lo < end) & (self.codes[np.minimum(lo, len(self.codes) - 1)] == 0))
+        return out
+
+    def find(self, at: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Place of each successor within the range of its context; -1 if unseen."""
+        out = np.full(len(at), -1)
+        seen = np.nonzero(at >= 0)[0]
+        if not len(seen) or not self.successors.n:
             return out
         lo = self.pointers.get(at[seen]).astype(np.int64)
         end = self.pointers.get(at[seen] + 1).astype(np.int64)
-        want = (at[seen].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor[seen]
+        want = (at[seen].astype(np.uint64) << np.uint64(self.bits)) | successor[seen]
         hi = end.copy()
-        while True:  # binary search of all ranges in step
-            open_ = np.nonzero(lo < hi)[0]
-            if not len(open_):
-                break
+        open_ = np.nonzero(lo < hi)[0]
+        while len(open_):  # binary search of all ranges in step
             mid = (lo[open_] + hi[open_]) >> 1
             less = self.successors.get(mid) < want[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
+            open_ = open_[lo[open_] < hi[open_]]
         hit = lo < end
         hit[hit] = self.successors.get(lo[hit]) == want[hit]
-        out[seen[hit]] = 10.0 ** (self.low + self.codes[lo[hit]] * self.step)
+        out[seen[hit]] = lo[hit]
         return out
 
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        w, _ = tokens(utf8(batch.column(0)))
-        word, n = np.unique(w, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
-
-
-def _range_of(word: np.ndarray, ranges: int) -> np.ndarray:
-    return ((word >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-
-
-_TEXTS_OUT = ["batch", "id", "text", "train"]
-
-
-def _deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed bytes, for the shuffle."""
-    for batch in batches:
-        packed = pa.array([zlib.compress(t, 6) for t in utf8(batch.column(2))], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, batch.column(3)], names=_TEXTS_OUT)
+    def code(self, at: np.ndarray) -> np.ndarray:
+        return np.where(at >= 0, self.codes[np.maximum(at, 0)] if len(self.codes) else 0, 0).astype("<u2")
 
 
-def _inflate(texts: pa.ChunkedArray) -> list[bytes]:
-    return [zlib.decompress(t) for t in texts.to_pylist()]
-
-
-def _requests(ranges: int):
+class Trie:
+    """Words with their counts, and two levels of successors; from n-grams in order with their training counts."""
+
+    def __init__(self, words: np.ndarray, n1: np.ndarray, pairs: np.ndarray, n2: np.ndarray, triples: np.ndarray, n3: np.ndarray, file) -> None:
+        # a context without a count of its own (another shard has it) is kept if a successor is
+        of = (triples >> np.uint64(BITS_3)).astype(np.int64)
+        keep_3 = n3 > 0
+        keep_2 = (n2 > 0) | (np.bincount(of[keep_3], minlength=len(pairs)) > 0)
+        above = (pairs >> np.uint64(BITS_2)).astype(np.int64)
+        keep_1 = (n1 > 0) | (np.bincount(above[keep_2], minlength=len(words)) > 0)
+        place_1, place_2 = np.cumsum(keep_1) - 1, np.cumsum(keep_2) - 1
+        self.words, self.counts = _mapped(words[keep_1], file), _mapped(n1[keep_1].astype(np.int64), file)
+        mask = lambda x, bits: x & np.uint64((1 << bits) - 1)
+        self.second = Level(place_1[above[keep_2]], mask(pairs[keep_2], BITS_2), n2[keep_2], int(keep_1.sum()), BITS_2, file)
+        self.third = Level(place_2[of[keep_3]], mask(triples[keep_3], BITS_3), n3[keep_3], int(keep_2.sum()), BITS_3, file)
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Places of words; -1 for unseen ones."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, -1)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Add up what the batches sent to a shard, build its trie, and look all of it up for them."""
+    asked = [unpack(x.as_py()) for x in table["data"]]
+    u = [np.cumsum(m[1], dtype=np.uint64) for m in asked]
+    words, of_word = np.unique(np.concatenate(u), return_inverse=True)
+    join = lambda i: np.concatenate([m[i] for m in asked])
+    kids_1, kids_2 = join(2).astype(np.int64), join(5).astype(np.int64)
+    start = np.cumsum(kids_1) - kids_1
+    step = join(4)
+    v = np.cumsum(step, dtype=np.uint64)
+    full = kids_1 > 0
+    v -= np.repeat(v[start[full]] - step[start[full]], kids_1[full])
+    pairs, of_pair = np.unique((np.repeat(of_word, kids_1).astype(np.uint64) << np.uint64(BITS_2)) | v, return_inverse=True)
+    triples, of_triple = np.unique((np.repeat(of_pair, kids_2).astype(np.uint64) << np.uint64(BITS_3)) | join(7), return_inverse=True)
+    n1, n2, n3 = (np.bincount(of, join(i), len(x)).astype(np.int64) for of, i, x in ((of_word, 3, words), (of_pair, 6, pairs), (of_triple, 8, triples)))
+    sizes = [(len(m[1]), len(m[4]), len(m[7])) for m in asked]
+    heads = [m[0] for m in asked]
+    del asked, u, v, step, kids_1, kids_2, start
+    with tempfile.TemporaryFile() as file:
+        trie = Trie(words, n1, pairs, n2, triples, n3, file)
+        at_1 = trie.find(words)
+        count = np.where(at_1 >= 0, trie.counts[np.maximum(at_1, 0)] if len(trie.counts) else 0, 0).astype("<u8")
+        low = lambda x, bits: x & np.uint64((1 << bits) - 1)
+        at_2 = trie.second.find(at_1[(pairs >> np.uint64(BITS_2)).astype(np.int64)], low(pairs, BITS_2))
+        at_3 = trie.third.find(at_2[(triples >> np.uint64(BITS_3)).astype(np.int64)], low(triples, BITS_3))
+        found = count, trie.second.types(at_1).astype("<u4"), trie.second.code(at_2), trie.third.types(at_2).astype("<u4"), trie.third.code(at_3)
+        del trie
+    out, at = [], [0, 0, 0]
+    for head, size in zip(heads, sizes, strict=True):
+        w, p, t = (of[a : a + n] for of, a, n in zip((of_word, of_pair, of_triple), at, size, strict=True))
+        out.append(pack(head, found[0][w], found[1][w], found[2][p], found[3][p], found[4][t]))
+        at = [a + n for a, n in zip(at, size, strict=True)]
+    return pa.table({"batch": table["batch"], "data": pa.array(out, pa.binary())})
+
+
+def _finish(folder: str, total: int, distinct: int):
     def run(table: pa.Table) -> pa.Table:
-        w, _ = tokens(_inflate(table["text"]) if len(table) else [])
-        word = np.unique(np.concatenate([w, np.array([_BEGIN], np.uint64)]))
-        part = _range_of(word, ranges)
-        cut = np.searchsorted(part, np.arange(ranges + 1))
-        full = np.nonzero(np.diff(cut))[0]
-        return pa.table({"part": pa.array(full, pa.int32()), "batch": pa.array([table["batch"][0].as_py()] * len(full), pa.int32()), "words": pa.array([pack_sorted(word[cut[p] : cut[p + 1]]) for p in full], pa.binary())})
-
-    return run
-
-
-def _replies(asked: pa.Table, counted: pa.Table) -> pa.Table:
-    word, n = counted["word"].to_numpy().view(np.uint64), counted["n"].to_numpy()
-    order = np.argsort(word)
-    word, n = word[order], n[order]
-    out = []
-    for data in asked["words"].to_pylist():
-        want = unpack_sorted(data)
-        at = np.minimum(np.searchsorted(word, want), max(0, len(word) - 1))
-        got = np.where(word[at] == want, n[at], 0) if len(word) else np.zeros(len(want), np.int64)
-        out.append(pack(got.astype("<i8").view(np.uint8).reshape(-1, 8).T))
-    return pa.table({"batch": asked["batch"].cast(pa.int32()), "part": asked["part"].cast(pa.int32()), "words": asked["words"].cast(pa.binary()), "counts": pa.array(out, pa.binary())})
-
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _bigrams(total: int, distinct: int, train_docs: int, shards: int):
-    """What a batch knows by itself, and its bigrams by shard."""
-
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        if not len(docs):
-            return pa.table({"shard": pa.array([], pa.int32()), "batch": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "data": pa.array([], pa.list_(pa.binary()))})
-        docs = docs.sort_by([("id", "ascending")])
-        order = np.argsort(replies["part"].to_numpy())
-        asked, got = replies["words"].to_pylist(), replies["counts"].to_pylist()
-        word = np.concatenate([unpack_sorted(asked[i]) for i in order])
-        plane = [np.frombuffer(zlib.decompress(got[i]), np.uint8).reshape(8, -1) for i in order]
-        count = np.concatenate([np.ascontiguousarray(x.T).view("<i8").ravel() for x in plane])
-        w, size = tokens(_inflate(docs["text"]))
-        doc = np.repeat(np.arange(len(size)), size)
-        at = np.searchsorted(word, w)
-        c = count[at]
-        first = np.cumsum(size) - size
-        base = np.bincount(doc, np.log10((c + 1) / (total + distinct + 1)), len(size))
-        known = np.bincount(doc[c > 0], minlength=len(size))
-        # unigram level: discounted counts, the rest for all unknown words together
-        p1 = np.where(c > 0, (c - DISCOUNT_1) / max(total, 1), (DISCOUNT_1 * distinct + 1e-9) / max(total, 1)) if total else np.full(len(c), 1.0)
-        left, left_c = np.empty_like(w), np.empty_like(c)
-        left[1:], left_c[1:] = w[:-1], c[:-1]
-        left[first], left_c[first] = np.uint64(_BEGIN), train_docs
-        # unseen contexts need no trie: the unigram level answers
-        alone = left_c == 0
-        score = np.bincount(doc[alone], np.log10(p1[alone]), len(size)) - np.bincount(doc[~alone], np.log10(left_c[~alone]), len(size))
-        left, left_c, w, p1, doc = (x[~alone] for x in (left, left_c, w, p1, doc))
-        with np.errstate(over="ignore"):
-            spread = np.maximum(1, left_c // HOT_CONTEXT)
-            salt = ((w * _MIX) >> np.uint64(33)).astype(np.int64) % spread
-            shard = ((((left * _MIX) >> np.uint64(33)).astype(np.int64)) + salt) % shards
-        train = np.asarray(docs["train"].combine_chunks().to_numpy(zero_copy_only=False)).astype(bool)
-        meta = [docs["id"].combine_chunks().to_numpy().astype("<i8").tobytes(), size.astype("<i8").tobytes(), known.astype("<i8").tobytes(), base.astype("<f8").tobytes(), score.astype("<f8").tobytes(), train.tobytes()]
-        batch = docs["batch"][0].as_py()
-        out_shard, out_kind, out_data = [batch % shards], [0], [meta]
-        order = np.lexsort((doc, w, left, shard))
-        left, w, p1, doc, shard, left_c, spread = (x[order] for x in (left, w, p1, doc, shard, left_c, spread))
-        cut = np.searchsorted(shard, np.arange(shards + 1))
-        for s in np.nonzero(np.diff(cut))[0]:
-            a, b = cut[s], cut[s + 1]
-            # a bigram that several places of the batch hold is sent once, with their number
-            new = np.append(True, (left[a + 1 : b] != left[a : b - 1]) | (w[a + 1 : b] != w[a : b - 1]))
-            pair = a + np.nonzero(new)[0]
-            ctx, lead = np.unique(left[pair], return_index=True)
-            quant = np.rint(np.log2(p1[pair]) * -256)  # log2 of the unigram probability in 1/256
-            out_shard.append(int(s))
-            out_kind.append(1)
-            out_data.append([
-                pack_sorted(ctx), pack(left_c[pair][lead].astype("<i8")), pack_planes(spread[pair][lead]), pack_planes(np.diff(np.append(lead, len(pair)))),
-                _successor_bytes(w[pair]), pack_planes(quant), pack_planes(np.diff(np.append(pair, b))), pack_planes(doc[a:b]), train.tobytes(),
-            ])
-        return pa.table({"shard": pa.array(out_shard, pa.int32()), "batch": pa.array([batch] * len(out_shard), pa.int32()), "kind": pa.array(out_kind, pa.int32()), "data": pa.array(out_data, pa.list_(pa.binary()))})
+        batch = Batch.read(f"{folder}/{table['batch'][0].as_py()}")
+        known, base, score = batch.scores([x.as_py() for x in table["data"]], total, distinct)
+        base -= batch.size * np.log10(total + distinct + 1)
+        return pa.table({"row": batch.keys, "n_tokens": batch.size, "n_known": known.astype(np.int64), "base_score": base, "score": score})
 
     return run
 
 
-def _successor_bytes(w: np.ndarray) -> bytes:
-    """The ids of successors: the upper bits of their hashes."""
-    return np.ascontiguousarray((w >> np.uint64(64 - SUCCESSOR_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SUCCESSOR_BITS // 8]).tobytes()
-
-
-def _successors(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, SUCCESSOR_BITS // 8)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, : SUCCESSOR_BITS // 8] = raw
-    return out.view("<u8").ravel()
-
-
-def _hot_types(table: pa.Table) -> pa.Table:
-    """Of each context that is dealt over several shards, the number of training successors in this shard."""
-    contexts, pairs = [], []
-    for k, d in zip(table["kind"], table["data"], strict=True):
-        if k.as_py() == 0:
-            continue
-        d = d.as_py()
-        hot = unpack_planes(d[2]) > 1
-        if not hot.any():
-            continue
-        ctx, n, times = unpack_sorted(d[0]), unpack_planes(d[3]), unpack_planes(d[6])
-        contexts.append(ctx[hot])
-        told = np.add.reduceat(np.frombuffer(d[8], bool)[unpack_planes(d[7])].astype(np.int64), np.cumsum(times, dtype=np.int64) - times)
-        take = np.repeat(hot, n) & (told > 0)
-        pairs.append((np.repeat(ctx, n)[take], _successors(d[4])[take]))
-    shard = table["shard"][0].as_py()
-    context = np.unique(np.concatenate(contexts)) if contexts else np.zeros(0, np.uint64)
-    types = np.zeros(len(context), np.int64)
-    if pairs:
-        left, right = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-        order = np.lexsort((right, left))
-        left, right = left[order], right[order]
-        new = np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])) if len(left) else np.zeros(0, bool)
-        types = np.bincount(np.searchsorted(context, left[new]), minlength=len(context)).astype(np.int64)
-    return pa.table({"shard": pa.array([shard] * len(context), pa.int32()), "context": pa.array(context.view(np.int64)), "types": pa.array(types)})
-
-
-def _score_shard(table: pa.Table, hot: pa.Table) -> pa.Table:
-    """Build the shard's trie, look all of its bigrams up, and sum by document."""
-    order = np.argsort(hot["context"].to_numpy().view(np.uint64))
-    hot_context, hot_types = hot["context"].to_numpy().view(np.uint64)[order], hot["types"].to_numpy()[order]
-    kind, batch, data = table["kind"].to_pylist(), table["batch"].to_pylist(), table["data"].to_pylist()
-    out_batch, out_kind, out_data = [], [], []
-    rows = []
-    for k, b, d in zip(kind, batch, data, strict=True):
-        if k == 0:
-            out_batch.append(b)
-            out_kind.append(0)
-            out_data.append(d)
-            continue
-        n, times, doc, train = unpack_planes(d[3]), unpack_planes(d[6]), unpack_planes(d[7]), np.frombuffer(d[8], bool)
-        per_context = [np.repeat(x, n) for x in (unpack_sorted(d[0]), unpack(d[1], "<i8"))]
-        ctx, nxt, quant, total = (np.repeat(x, times) for x in (per_context[0], _successors(d[4]), unpack_planes(d[5]), per_context[1]))
-        rows.append((b, ctx, nxt, quant, doc, train[doc], total))
-    del data
-    if rows:
-        left, right, trained = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 5))
-        t = np.nonzero(trained)[0]
-        t = t[np.lexsort((right[t], left[t]))]
-        context, successor = left[t], right[t]
-        new = np.concatenate([[True], (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])]) if len(t) else np.zeros(0, bool)
-        start = np.nonzero(new)[0]
-        del left, right, trained
-        with tempfile.TemporaryFile() as file:
-            trie = Trie(context[start], successor[start], np.diff(np.append(start, len(t))), file)
-            for b, ctx, nxt, quant, doc, _, total in rows:
-                at = trie.find_context(ctx)
-                types = np.zeros(len(ctx))
-                seen = at >= 0
-                types[seen] = trie.distinct(at[seen])
-                if len(hot_context):  # contexts dealt over several shards: the sum of what the shards hold
-                    place = np.minimum(np.searchsorted(hot_context, ctx), len(hot_context) - 1)
-                    types = np.where(hot_context[place] == ctx, hot_types[place], types)
-                rest = np.minimum(DISCOUNT * np.maximum(types, 1), DISCOUNT * total)
-                p = trie.discounted(at, nxt) + rest * 2.0 ** (quant / -256.0)
-                log = np.log10(p)  # the context's own count was divided out by the batch
-                docs, place = np.unique(doc, return_inverse=True)
-                out_batch.append(b)
-                out_kind.append(1)
-                out_data.append([pack_planes(np.diff(docs, prepend=0)), np.bincount(place, log, len(docs)).astype("<f4").tobytes()])
-            del trie
-    return pa.table({"batch": pa.array(out_batch, pa.int32()), "kind": pa.array(out_kind, pa.int32()), "data": pa.array(out_data, pa.list_(pa.binary()))})
-
-
-def _finish(table: pa.Table) -> pa.Table:
-    kind, data = table["kind"].to_pylist(), table["data"].to_pylist()
-    meta = data[kind.index(0)]
-    ids, size, known, base = np.frombuffer(meta[0], "<i8"), np.frombuffer(meta[1], "<i8"), np.frombuffer(meta[2], "<i8"), np.frombuffer(meta[3], "<f8")
-    score = np.frombuffer(meta[4], "<f8").copy()
-    for k, d in sorted(((k, d) for k, d in zip(kind, data, strict=True) if k), key=lambda x: x[1][0] + x[1][1]):
-        np.add.at(score, np.cumsum(unpack_planes(d[0]), dtype=np.int64), np.frombuffer(d[1], "<f4").astype(np.float64))
-    return pa.table({"row": ids, "n_tokens": size, "n_known": known, "base_score": base, "score": score})
+def _limits(sample: list[bytes], shards: int) -> np.ndarray:
+    """Three words for each limit between shards, from a sample of n-grams."""
+    x = np.frombuffer(b"".join(sample), np.uint64).reshape(-1, 3)
+    x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
+    return np.unique(x[np.arange(1, shards) * len(x) // shards], axis=0) if len(x) else x
 
 
 def score(docs: DataFrame, train: str = "train", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -433,35 +494,25 @@ def score(docs: DataFrame, train: str = "train", key: str = "doc_id", text: str
     Returns ``key``, ``n_tokens`` (words and one end), ``n_known`` (tokens that occur
     in training), ``train_tokens``, ``base_score`` (add-one unigrams) and ``score``
     (the model's log10 probability of the text). Null texts count as empty; keys
-    are whole numbers and may repeat; null keys are kept; without training rows
-    all words are unknown and have probability 1.
+    are whole numbers and may repeat; null keys are kept, null marks of training
+    rows count as false; without training rows all words are unknown and have
+    probability 1; an empty table gives an empty one. Of every ``SHARD_NGRAMS``
+    n-grams 16 go to the driver as a sample (24 bytes each).
     """
     spark = docs.sparkSession
     small_batches(spark)
-    body = F.coalesce(F.col(text), F.lit(""))
-    told = F.coalesce(F.col(train), F.lit(False))
-    counted = stash(docs.where(told).select(body).mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    train_docs = docs.where(told).count()
-    rows = docs.count()
-    size = max(1, -(-rows // BATCH_DOCS))
-    shards = shards_for(spark, int(sums.total * rows / max(1, train_docs)), SHARD_TOKENS)
-    ranges = shards_for(spark, sums.distinct, RANGE_WORDS)
-
+    folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
     null = -(1 << 63)
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(key), F.length(body)), F.lit(size)).cast("int").alias("batch"), F.coalesce(F.col(key).cast("long"), F.lit(null)).alias("id"), body.alias("text"), told.alias("train"))
-    dealt = dealt.mapInArrow(_deflate, "batch int, id long, text binary, train boolean")
-    asked = dealt.groupBy("batch").applyInArrow(_requests(ranges), "part int, batch int, words binary")
-    # the upper half of the hash as an unsigned number, scaled to the number of ranges
-    part = F.shiftright(F.shiftrightunsigned("word", 32) * F.lit(ranges), 32).cast("int")
-    replies = asked.groupBy("part").cogroup(counted.withColumn("part", part).groupBy("part")).applyInArrow(_replies, "batch int, part int, words binary, counts binary")
-    sent = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_bigrams(sums.total, sums.distinct, train_docs, shards), "shard int, batch int, kind int, data array<binary>")
-    # both uses of what was sent read one shuffle
-    shares = sent.groupBy("shard").applyInArrow(_hot_types, "shard int, context long, types long")
-    hot = shares.groupBy("context").agg(F.sum("types").alias("types"), F.collect_list("shard").alias("shards")).select(F.explode("shards").alias("shard"), "context", "types")
-    scored = sent.groupBy("shard").cogroup(hot.groupBy("shard")).applyInArrow(_score_shard, "batch int, kind int, data array<binary>")
-    out = scored.groupBy("batch").applyInArrow(_finish, "row long, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.nullif(F.col("row"), F.lit(null)).cast(docs.schema[key].dataType).alias(key), "n_tokens", "n_known", F.lit(sums.total).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(null)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
+    dealt = stash(rows.mapInArrow(_deal(folder, max(1, SHARD_NGRAMS // 16)), "batch string, tokens long, told long, sample binary"))
+    sums = dealt.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("told"), F.lit(0)).alias("told"), F.count("*").alias("n")).first()
+    limits = _limits([r.sample for r in dealt.select("sample").collect()], max(spark.sparkContext.defaultParallelism, -(-sums.tokens * 3 // (2 * SHARD_NGRAMS))))
+    batches = dealt.select("batch").repartition(max(1, sums.n))
+    distinct = batches.mapInArrow(_training_words(folder), "word long").distinct().count()
+    asked = batches.mapInArrow(_ask(folder, limits), "shard int, batch string, data binary")
+    answers = asked.groupBy("shard").applyInArrow(_answer, "batch string, data binary")
+    out = answers.groupBy("batch").applyInArrow(_finish(folder, sums.told, distinct), "row long, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.nullif(F.col("row"), F.lit(null)).cast(docs.schema[key].dataType).alias(key), "n_tokens", "n_known", F.lit(sums.told).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_held_out(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:

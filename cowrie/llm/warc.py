@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cowrie.llm.common import shared_dir, small_batches, stash
+from cowrie.llm.common import open_path, shared_dir, small_batches, stash
 
 #: Captures of a compressed index block.
 BLOCK_LINES = 300
@@ -57,12 +57,6 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC record: response with its payload, or revisit of ``refers_to`` with headers only."""
     kind = "response" if refers_to is None else "revisit"
@@ -104,7 +98,7 @@ def _writer(folder: str):
                         if out is not None:
                             out.close()
                         path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                        files, place = _open(path)
+                        files, place = open_path(path)
                         files.create_dir(place.rpartition("/")[0], recursive=True)
                         out, at = files.open_output_stream(place, compression=None), 0
                     member = gzip.compress(record(page, url, (html or "").encode(), refers), 1, mtime=0)
@@ -159,7 +153,7 @@ def _index_writer(folder: str):
         for batch in batches:
             for line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    files, place = _open(path)
+                    files, place = open_path(path)
                     files.create_dir(place.rpartition("/")[0], recursive=True)
                     out, first = files.open_output_stream(place, compression=None), line
                 block.append(list(line))
@@ -190,7 +184,7 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
 
 def _read(files: dict, path: str, at: int, size: int) -> bytes:
     if path not in files:
-        system, place = _open(path)
+        system, place = open_path(path)
         files[path] = system.open_input_file(place)
     return files[path].read_at(size, at)
 

@@ -114,48 +114,65 @@ def test_embedding_blocks(spark, monkeypatch):
     assert [r.n_links for r in got] == want and all(r.component_id == 0 for r in got)
 
 
-def test_lm_counts_and_probabilities(spark):
-    got = {r.doc_id: r for r in rows(spark, "op3_lm_scoring")}
-    docs = table("documents").drop_duplicates("doc_id")
-    tokens = {i: [*WORD.findall(lower(t)), "\0"] for i, t in zip(docs.doc_id, docs.text, strict=True)}
-    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = Counter(w for i in train for w in tokens[i])
+def exact_trigrams(docs, train):
+    """For each {key: words}: known tokens, base score and log10 probability under the exact model of the keys in ``train``."""
+    ends = {i: [*ws, "\0"] for i, ws in docs.items()}
+    c = Counter(w for i in train for w in ends[i])
     n, v = sum(c.values()), len(c)
-    bi = Counter((a, b) for i in train for a, b in zip(["^", *tokens[i]], tokens[i], strict=False))
-    left = Counter(a for i in train for a in ["^", *tokens[i][:-1]])
-    types = Counter(a for a, _ in bi)
+    pairs = lambda ws: list(zip(["^", *ws], ws, strict=False))
+    triples = lambda ws: list(zip(["^", *ws], ws, ws[1:], strict=False))
+    bi, tri = Counter(p for i in train for p in pairs(ends[i])), Counter(t for i in train for t in triples(ends[i]))
+    left = Counter(a for i in train for a, _ in pairs(ends[i]))
+    types, types_2 = Counter(a for a, _ in bi), Counter((a, b) for a, b, _ in tri)
     p1 = lambda w: (c[w] - 0.5) / n if c[w] else 0.5 * v / n
-    for i, ws in tokens.items():
+    p2 = lambda a, w: (max(bi[a, w] - 0.75, 0) + 0.75 * types[a] * p1(w)) / left[a] if left[a] else p1(w)
+    p3 = lambda a, b, w: (max(tri[a, b, w] - 0.75, 0) + 0.75 * types_2[a, b] * p2(b, w)) / bi[a, b] if bi[a, b] else p2(b, w)
+    base = lambda ws: sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)
+    return n, {i: (sum(c[w] > 0 for w in ws), base(ws), math.log10(p2("^", ws[0])) + sum(math.log10(p3(*t)) for t in triples(ws))) for i, ws in ends.items()}
+
+
+def test_lm_scores_of_the_query_against_the_exact_model(spark):
+    got = {r.doc_id: r for r in rows(spark, "op3_lm_scoring")}
+    docs = table("documents").drop_duplicates("doc_id")
+    words = {i: WORD.findall(lower(t)) for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    train = [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2]
+    n, want = exact_trigrams(words, train)
+    for i, ws in words.items():
         r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws), sum(c[w] > 0 for w in ws), n, i not in set(train))
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), abs=1e-6)
-        want = sum(math.log10((max(bi[a, w] - 0.75, 0) + 0.75 * types[a] * p1(w)) / left[a] if left[a] else p1(w)) for a, w in zip(["^", *ws], ws, strict=False))
-        assert r.score == pytest.approx(want, rel=0.01, abs=0.2)  # probabilities are kept in 8 bits
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws) + 1, want[i][0], n, i not in set(train))
+        assert r.base_score == pytest.approx(want[i][1], abs=1e-6) and r.score == pytest.approx(want[i][2], rel=5e-4, abs=1e-3)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def exact_bigrams(docs, train):
-    """log10 probability of each text of {key: words} under the exact model of the keys in ``train``."""
-    ends = {i: [*ws, "\0"] for i, ws in docs.items()}
-    c = Counter(w for i in train for w in ends[i])
-    n, v = sum(c.values()), len(c)
-    bi = Counter((a, b) for i in train for a, b in zip(["^", *ends[i]], ends[i], strict=False))
-    left = Counter(a for i in train for a in ["^", *ends[i][:-1]])
-    types = Counter(a for a, _ in bi)
-    p1 = lambda w: (c[w] - 0.5) / n if c[w] else 0.5 * v / n
-    return {i: sum(math.log10((max(bi[a, w] - 0.75, 0) + 0.75 * types[a] * p1(w)) / left[a] if left[a] else p1(w)) for a, w in zip(["^", *ws], ws, strict=False)) for i, ws in ends.items()}
-
-
-@pytest.mark.parametrize("hot", [2, 40, 10**9])
-def test_lm_hot_contexts_keep_their_own_count_of_successors(spark, monkeypatch, hot):
-    monkeypatch.setattr(lm, "HOT_CONTEXT", hot)
+def test_lm_scores_do_not_depend_on_batches_shards_or_partitions(spark, monkeypatch):
+    """With a hot word, a hot pair and limits that cut contexts."""
     rng = np.random.default_rng(5)
-    docs = {i: [f"w{x}" for x in rng.zipf(1.4, 50) if x < 500] for i in range(240)}
-    df = spark.createDataFrame([(i, " ".join(ws), i % 4 > 0) for i, ws in docs.items()], "doc_id long, text string, train boolean")
-    want = exact_bigrams(docs, [i for i in docs if i % 4 > 0])
-    for r in lm.score(df).collect():
-        assert r.score == pytest.approx(want[r.doc_id], rel=0.01, abs=0.2)
+    docs = {i: [x for k in rng.zipf(1.3, 50) if k < 400 for x in (["hot", f"w{k}"] if k % 3 else ["hot", "pair", f"w{k}"])] for i in range(240)}
+    docs |= {300: [], 301: ["once"], 302: docs[7], 303: ["hot"] * 90}
+    train = [i for i in docs if i % 4 > 0]
+    n, want = exact_trigrams(docs, train)
+    df = spark.createDataFrame([(i, " ".join(ws), i % 4 > 0) for i, ws in docs.items()], "doc_id long, text string, train boolean").repartition(3, "doc_id")
+    seen, partitions = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, batch, shard in ((2, 10**6, 10**6), (8, 2_000, 4_000), (64, 500, 300), (3, 100, 60)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            monkeypatch.setattr(lm, "BATCH_TOKENS", batch)
+            monkeypatch.setattr(lm, "SHARD_NGRAMS", shard)
+            seen.append({r.doc_id: (r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score(df).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    differ = [(s[k], seen[0][k]) for s in seen for k in s if s[k] != seen[0][k]]
+    assert differ == []
+    for i, (known, base, value) in want.items():
+        assert seen[0][i][:2] == (known, n) and seen[0][i][2] == pytest.approx(base, abs=1e-6) and seen[0][i][3] == pytest.approx(value, rel=5e-4, abs=1e-3)
+
+
+def test_lm_long_texts_are_read_whole(spark, monkeypatch):
+    monkeypatch.setattr(lm, "_PIECE", 64)
+    text = " ".join(f"word{i % 37}" for i in range(500))
+    known = lm.Words()
+    assert lm.word_numbers(text.encode(), known).tolist() == lm.word_numbers(text.encode() * 1, known).tolist() and len(known) == 37
 
 
 def test_elias_fano_and_odd(spark, odd, tmp_path):
