@@ -5,28 +5,32 @@ their nearest centroid, and as halo to every lower-numbered cell that a linked
 partner may lie in: partners are at most ``sqrt(2 - 2 * cosine)`` apart, so a
 vector whose distance from the bisector of two centroids is larger has no
 partner beyond it. So each linked pair meets in exactly one cell and none is
-lost. A cell's rows are dealt into blocks of ``BLOCK_ROWS``, and each pair of
-blocks is one matrix product, whatever the size of the cell.
+lost. The number of cells grows with the root of the number of vectors, which
+balances finding a vector's cell against comparing it within the cell: the work
+is n to the power 1.5. A cell's rows are dealt into blocks of ``BLOCK_ROWS``, and
+each pair of blocks is compared in one task, whatever the size of the cell.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cowrie.llm.common import connected_components, drop, small_batches, stash
 
-#: Vectors that the centroids are fitted on, at most.
+#: Vectors that the centroids are fitted on, about; twice the cells where that is more.
 FIT_ROWS = 20_000
-#: Class vectors of the largest label per cell, about, and the most cells.
-CELL_ROWS, MAX_CELLS = 256, 1024
-#: Rows of a block.
-BLOCK_ROWS = 512
-_ROUNDS = 8
+#: The number of cells is the root of so many times the class vectors of the largest label.
+CELL_FACTOR = 8
+#: Rows of a block, and of a product within it.
+BLOCK_ROWS, PRODUCT_ROWS = 4_096, 1_024
+_ROUNDS, _NUMBERS = 8, 4_000_000
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -48,8 +52,9 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     """Unit centroids of unit rows; empty cells keep their centroid."""
     rng = np.random.default_rng(seed)
     centroids = x[rng.choice(len(x), size=min(k, len(x)), replace=False)]
+    step = max(1, _NUMBERS // max(1, len(centroids)))
     for _ in range(_ROUNDS):
-        own = (x @ centroids.T).argmax(1)
+        own = np.concatenate([(x[i : i + step] @ centroids.T).argmax(1) for i in range(0, len(x), step)])
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, x)
         size = np.linalg.norm(sums, axis=1)
@@ -57,28 +62,40 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     return np.unique(centroids, axis=0)
 
 
+def cells_of(x: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest centroid of each unit row, and (row, cell) of its halo: lower cells within reach."""
+    dots = x @ centroids.T
+    own = dots.argmax(1)
+    mine, of = np.unique(own, return_inverse=True)
+    gap = np.sqrt(np.maximum(2 - 2 * centroids[mine] @ centroids.T, 1e-18))
+    behind = (dots[np.arange(len(x)), own][:, None] - dots) / gap[of]
+    return own, *np.nonzero((behind <= reach + 1e-9) & (np.arange(len(centroids))[None, :] < own[:, None]))
+
+
 def _assign(centroids: np.ndarray | None, reach: float):
     """Cells of each class vector: its own (owner) and lower ones within reach (halo)."""
+    most = max(1, _NUMBERS // (1 if centroids is None else len(centroids)))
 
     def run(batches):
-        for batch in batches:
-            c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            dims = c["embedding"].value_lengths().to_numpy()
-            fits = np.nonzero(dims == (0 if centroids is None else centroids.shape[1]))[0]
-            out = [(i, 0, True) for i in np.setdiff1d(np.arange(len(dims)), fits)]
-            if len(fits):
-                dots = unit(matrix(c["embedding"].take(pa.array(fits))))[0] @ centroids.T
-                own = dots.argmax(1)
-                gap = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 1e-18))
-                behind = (dots[np.arange(len(fits)), own][:, None] - dots) / gap[own]
-                halo = (behind <= reach + 1e-9) & (np.arange(len(centroids))[None, :] < own[:, None])
-                out += [(i, int(k), True) for i, k in zip(fits, own, strict=True)]
-                out += [(fits[r], int(k), False) for r, k in zip(*np.nonzero(halo), strict=True)]
-            at = pa.array([o[0] for o in out], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [c["class"].take(at), c["label"].take(at), c["n"].take(at), c["embedding"].take(at), pa.array([dims[o[0]] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.bool_())],
-                names=["class", "label", "n", "embedding", "dim", "cell", "owner"],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, most):
+                batch = whole.slice(start, most)
+                c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+                dims = c["embedding"].value_lengths().to_numpy()
+                fits = np.nonzero(dims == (0 if centroids is None else centroids.shape[1]))[0]
+                rest = np.setdiff1d(np.arange(len(dims)), fits)
+                at, cell, owner = [rest], [np.zeros(len(rest), np.int64)], [np.ones(len(rest), bool)]
+                if len(fits):
+                    own, row, other = cells_of(unit(matrix(c["embedding"].take(pa.array(fits))))[0], centroids, reach)
+                    at += [fits, fits[row]]
+                    cell += [own, other]
+                    owner += [np.ones(len(own), bool), np.zeros(len(row), bool)]
+                at = np.concatenate(at)
+                taken = [c[n].take(pa.array(at)) for n in ("class", "label", "n", "embedding")]
+                yield pa.RecordBatch.from_arrays(
+                    [*taken, pa.array(dims[at], pa.int32()), pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(owner), pa.bool_())],
+                    names=["class", "label", "n", "embedding", "dim", "cell", "owner"],
+                )
 
     return run
 
@@ -91,21 +108,22 @@ def _products(cosine: float):
         ids, n, block = (table[c].to_numpy() for c in ("class", "n", "block"))
         i, j = table["bi"][0].as_py(), table["bj"][0].as_py()
         a, b = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
-        near = x[a] @ x[b].T >= cosine
-        if i == j:
-            np.fill_diagonal(near, False)
-        if not near.any():
-            return pa.table({c: pa.array([], pa.int64()) for c in ("class", "root", "linked")})
+        links = []
+        for s in range(0, len(a), PRODUCT_ROWS):
+            for t in range(s if i == j else 0, len(b), PRODUCT_ROWS):
+                p, q = np.nonzero(x[a[s : s + PRODUCT_ROWS]] @ x[b[t : t + PRODUCT_ROWS]].T >= cosine)
+                p, q = a[p + s], b[q + t]
+                once = p < q if i == j else np.ones(len(p), bool)
+                links.append(np.stack([p[once], q[once]]))
+        p, q = np.concatenate(links, 1) if links else np.zeros((2, 0), np.int64)
         counts = np.zeros(len(ids), np.int64)
-        counts[a] += near @ n[b]
-        if i != j:
-            counts[b] += near.T @ n[a]
+        np.add.at(counts, p, n[q])
+        np.add.at(counts, q, n[p])
         least = ids.copy()
-        while True:  # the least class reachable within the pair of blocks
+        while len(p):  # the least class reachable within the pair of blocks
             was = least.copy()
-            if len(a) and len(b):
-                least[a] = np.minimum(least[a], np.where(near, least[b][None, :], np.iinfo(np.int64).max).min(1))
-                least[b] = np.minimum(least[b], np.where(near, least[a][:, None], np.iinfo(np.int64).max).min(0))
+            np.minimum.at(least, p, least[q])
+            np.minimum.at(least, q, least[p])
             if (was == least).all():
                 break
         hit = np.nonzero(counts)[0]
@@ -122,8 +140,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     other vectors linked directly, equal ones included; ``component_id`` is the
     least key reachable; ``kept`` marks the row whose key it is. Null, empty and
     zero vectors, those with null or non-finite components and those without a
-    label link with nothing. Keys are taken to be distinct; repeated rows count as
-    vectors of their own. Columns other than the three named are ignored.
+    label link with nothing. Rows that repeat, or share a key, count as vectors of
+    their own. A row without a key links like any other; its group's
+    ``component_id`` is the least key that the group has, null if it has none, and
+    in that case the row is kept. Columns other than the three named are ignored;
+    an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -133,22 +154,26 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     sound = sound & ~F.exists(e, bad) & F.exists(e, lambda v: v != 0)
     ok = rows.where(F.coalesce(sound, F.lit(False)))
-    classes = stash(ok.groupBy("label", "embedding").agg(F.min("vec").alias("class"), F.count("*").alias("n")))
+    # classes are numbered, as keys may be null or repeat
+    classes = ok.groupBy("label", "embedding").agg(F.min("vec").alias("least"), F.count("*").alias("n"))
+    classes = stash(classes.withColumn("class", F.monotonically_increasing_id()))
 
-    largest = classes.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
-    cells = min(MAX_CELLS, -(-(largest[0] or 0) // CELL_ROWS))
+    largest = classes.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
+    cells = math.isqrt(CELL_FACTOR * largest[0])
     centroids = None
     if cells > 1:
-        share = min(1.0, FIT_ROWS / largest[1])
-        drawn = F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < int(share * (1 << 30))
-        sample = [r.embedding for r in classes.where(drawn).orderBy(F.xxhash64("class")).limit(FIT_ROWS).select("embedding").collect()]
-        dims = max(set(map(len, sample)), key=lambda d: sum(len(s) == d for s in sample)) if sample else 0
-        sample = [s for s in sample if len(s) == dims]
-        centroids = spherical_kmeans(unit(np.array(sample, np.float64))[0], cells) if sample else None
+        wanted = max(FIT_ROWS, 2 * cells)
+        drawn = F.pmod(F.xxhash64("embedding", F.lit("fit")), F.lit(1 << 30)) < int(min(1.0, wanted / largest[1]) * (1 << 30))
+        sample = classes.where(drawn).select("embedding", F.size("embedding").alias("dim")).toArrow()
+        dims = Counter(sample["dim"].to_pylist())
+        if dims:
+            dim = max(dims, key=lambda d: (dims[d], -d))
+            x = unit(matrix(sample.filter(pa.compute.equal(sample["dim"], dim))["embedding"]))[0]
+            centroids = spherical_kmeans(x[np.lexsort(x.T)], cells)
 
     kind = classes.schema["embedding"].dataType.simpleString()
     label_kind = classes.schema["label"].dataType.simpleString()
-    assigned = stash(classes.mapInArrow(_assign(centroids, math.sqrt(2 - 2 * cosine)), f"class long, label {label_kind}, n long, embedding {kind}, dim int, cell int, owner boolean"))
+    assigned = stash(classes.select("label", "embedding", "n", "class").mapInArrow(_assign(centroids, math.sqrt(2 - 2 * cosine)), f"class long, label {label_kind}, n long, embedding {kind}, dim int, cell int, owner boolean"))
     cell = ["label", "dim", "cell"]
     sizes = assigned.groupBy(*cell).agg(F.count_if("owner").alias("own"), F.count_if(~F.col("owner")).alias("halo"))
     own, halo = (F.ceil(F.col(c) / BLOCK_ROWS).cast("int") for c in ("own", "halo"))
@@ -162,9 +187,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     roots = connected_components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("class").agg(F.sum("linked").alias("linked"))
     member = classes.join(linked, "class", "left").join(roots, F.col("class") == F.col("node"), "left")
-    member = member.select("label", "embedding", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class").alias("component_id"))
-    member = stash(member)
-    drop(assigned, found, roots)
+    member = stash(member.select("label", "embedding", "least", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class").alias("root")))
+    drop(assigned, found, roots, classes)
+    groups = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    member = member.join(groups, "root")
     out = rows.where(F.coalesce(sound, F.lit(False))).join(member, ["label", "embedding"]).select("vec", "n_links", "component_id")
     alone = rows.where(~F.coalesce(sound, F.lit(False))).select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"))
     return out.union(alone).select(F.col("vec").alias(key), "n_links", "component_id", F.col("vec").eqNullSafe(F.col("component_id")).alias("kept"))

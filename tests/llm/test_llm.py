@@ -107,13 +107,39 @@ def test_embeddings_against_all_pairs(spark):
 def test_embedding_blocks(spark, monkeypatch):
     """One cell of many blocks finds the same links."""
     monkeypatch.setattr(embeddings, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(embeddings, "CELL_ROWS", 10**6)
+    monkeypatch.setattr(embeddings, "PRODUCT_ROWS", 3)
+    monkeypatch.setattr(embeddings, "CELL_FACTOR", 0)
     data = [(i, [math.cos(i / 50), math.sin(i / 50)], 1) for i in range(60)]
     got = embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
     want = [sum(j != i and math.cos((i - j) / 50) >= 0.98 for j in range(60)) for i in range(60)]
     assert [r.n_links for r in got] == want and all(r.component_id == 0 for r in got)
 
 
+def test_embeddings_without_keys_and_with_repeated_keys(spark):
+    near = lambda t: [math.cos(t), math.sin(t)]
+    data = [(None, near(0.0), 1), (None, near(0.05), 1), (4, near(0.1), 1), (None, near(2.0), 1), (None, near(2.05), 1), (7, near(4.0), 1), (7, near(5.0), 1), (7, near(5.0), 1), (None, None, None), (9, near(5.05), 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()
+    want = [(None, 2, 4, False)] * 2 + [(4, 2, 4, True)] + [(None, 1, None, True)] * 2 + [(7, 0, 7, True)] + [(7, 2, 7, True)] * 2 + [(None, 0, None, True), (9, 2, 7, False)]
+    assert Counter(tuple(r) for r in got) == Counter(want)
+
+
+def test_embeddings_query_against_all_pairs(spark):
+    got = {r.vec_id: r for r in rows(spark, "op2_embedding_dedup")}
+    t = table("embeddings")
+    assert t.vec_id.is_unique and len(got) == len(t)
+    sound = [v is not None and len(v) > 0 and all(c is not None and math.isfinite(c) for c in v) and any(v) and y is not None and y == y for v, y in zip(t.embedding, t.label, strict=True)]
+    at = [i for i, ok in enumerate(sound) if ok]
+    x = np.array([np.asarray(t.embedding[i], np.float64) for i in at])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label, ids = t.label.to_numpy()[at], t.vec_id.to_numpy()[at]
+    order = np.argsort(ids)
+    x, label, ids = x[order], label[order], ids[order]
+    near = (x @ x.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    root = components(len(ids), near)
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in ids] == [(int(n), ids[r], ids[r] == i) for i, n, r in zip(ids, near.sum(1), root, strict=True)]
+
+
 def exact_trigrams(docs, train):
     """For each {key: words}: known tokens, base score and log10 probability under the exact model of the keys in ``train``."""
     ends = {i: [*ws, "\0"] for i, ws in docs.items()}
