@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cowrie.llm.common import small_batches, utf8, with_columns_from
+from cowrie.llm.common import parts_of, small_batches, utf8, with_columns_from
 
 #: Rows that a fit learns from, at most: about so many, drawn by a hash of the key.
 FIT_ROWS = 6_000
-#: Most languages, the commonest of the sample first.
-LANGUAGES = 200
+#: Languages from which a fit refuses to learn; a language takes 256 kB of the model.
+LANGUAGES = 2_000
 #: Hash buckets of the features.
 BUCKETS = 1 << 16
 #: Natural-log cost of a change of language between two words.
@@ -99,35 +99,34 @@ def _lower(text: bytes) -> bytes:
 
 
 def _count(names: list[str]):
-    """Feature and script counts of each language over the rows of a task."""
+    """Feature counts (kind 0) and script counts (kind 1) of each language over the rows of a task.
+
+    A word counts by the root of its number in a text, in thousandths, so the sums
+    do not depend on how rows are dealt over tasks.
+    """
 
     def run(batches):
         at = {n: i for i, n in enumerate(names)}
-        counts = np.zeros((BUCKETS, len(names)))
-        scripts = np.zeros((len(_NAMES) + 2, len(names)))
-        rows = np.zeros(len(names))
-        seen = False
+        counts: dict[int, np.ndarray] = {}
+        scripts = np.zeros((len(names), len(_NAMES) + 2), np.int64)
         for batch in batches:
-            seen = True
-            words: dict[int, dict[bytes, int]] = {}
             for text, lang in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                if lang in at:
-                    rows[at[lang]] += 1
-                    mine = words.setdefault(at[lang], {})
-                    for w in _lower(text).split():
+                words: dict[bytes, int] = {}
+                for part in parts_of(text):
+                    for w in _lower(part).split():
                         w = w.strip(_TRIM)
-                        mine[w] = mine.get(w, 0) + 1
-            for k, mine in words.items():
-                mine.pop(b"", None)
-                if mine:
-                    listed = list(mine)
-                    n = np.sqrt(np.fromiter(mine.values(), np.float64, len(mine)))
+                        words[w] = words.get(w, 0) + 1
+                words.pop(b"", None)
+                if words:
+                    k, listed = at[lang], list(words)
+                    n = np.rint(1000 * np.sqrt(np.fromiter(words.values(), np.float64, len(words)))).astype(np.int64)
                     buckets, owner = _features(listed)
-                    np.add.at(counts[:, k], buckets, n[owner])
-                    for w in listed:
-                        scripts[script_of(w.decode("utf-8", "replace")), k] += 1
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f8").tobytes()], pa.binary()) for x in (counts, scripts, rows)], names=["counts", "scripts", "rows"])
+                    np.add.at(counts.setdefault(k, np.zeros(BUCKETS, np.int64)), buckets, n[owner])
+                    np.add.at(scripts[k], [script_of(w.decode("utf-8", "replace")) for w in listed], 1)
+        for k, mine in counts.items():
+            for kind, table in ((0, mine), (1, scripts[k])):
+                full = np.nonzero(table)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), kind, np.int32)), pa.array(np.full(len(full), k, np.int32)), pa.array(full.astype(np.int32)), pa.array(table[full])], names=["kind", "lang", "at", "n"])
 
     return run
 
@@ -135,24 +134,28 @@ def _count(names: list[str]):
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", limit: int = FIT_ROWS) -> Model:
     """Learn from about ``limit`` of the rows with a label, drawn by a hash of the key.
 
-    Counts are made in the tasks; the driver adds one table of fixed size per
-    task. Null labels are left out; without any label the model knows no
-    language and every text is undetermined.
+    Every label is learned, from as many rows of each as there are; more than
+    ``LANGUAGES`` labels raise an error. Counts are made where the rows lie and
+    added up before they reach the driver. Null labels are left out; without any
+    label the model knows no language and every text is undetermined.
     """
     small_batches(rows.sparkSession)
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("k")).where("lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     names = sorted(sizes)
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(_NAMES) + 2, 0), bool), np.zeros(0))
-    total = sum(sizes.values())
-    each = max(1, limit // len(names))  # of each language as many, so rare ones are learned as well
-    share = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, each / sizes[n]))]), F.col("lang"))
-    drawn = rows.where(F.col("lang").isin(names)).where(F.pmod(F.xxhash64("k", F.lit("fit")), F.lit(1 << 30)) < share * (1 << 30))
-    made = drawn.select("text", "lang").coalesce(8).mapInArrow(_count(names), "counts binary, scripts binary, rows binary").collect()
-    n = len(names)
-    counts = sum((np.frombuffer(r.counts, "<f8").reshape(BUCKETS, n) for r in made), np.zeros((BUCKETS, n)))
-    scripts = sum((np.frombuffer(r.scripts, "<f8").reshape(-1, n) for r in made), np.zeros((len(_NAMES) + 2, n)))
+    n, total = len(names), sum(sizes.values())
+    each = max(1, limit // n)  # of each language as many, so rare ones are learned as well
+    share = F.element_at(F.create_map(*[F.lit(x) for name in names for x in (name, min(1.0, each / sizes[name]))]), F.col("lang"))
+    drawn = rows.where(F.pmod(F.xxhash64("k", F.lit("fit")), F.lit(1 << 30)) < share * (1 << 30))
+    made = drawn.select("text", "lang").mapInArrow(_count(names), "kind int, lang int, at int, n long").groupBy("kind", "lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    kind, k, at, times = (made[c].to_numpy() for c in ("kind", "lang", "at", "n"))
+    counts, scripts = np.zeros((BUCKETS, n)), np.zeros((len(_NAMES) + 2, n))
+    counts[at[kind == 0], k[kind == 0]] = times[kind == 0] / 1000
+    scripts[at[kind == 1], k[kind == 1]] = times[kind == 1]
     alpha = 0.5
     scores = np.log(counts + alpha) - np.log(counts.sum(0) + alpha * BUCKETS)
     scores -= scores.mean(1, keepdims=True)
@@ -163,14 +166,14 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 class Scorer:
     """Scores words once and keeps what it has seen, up to a bound."""
 
-    MOST = 400_000
+    MOST_NUMBERS = 4_000_000
 
     def __init__(self, model: Model) -> None:
         self.model, self.known, self.rows = model, {}, np.zeros((0, len(model.languages)), np.float32)
 
     def ids(self, docs: list[list[bytes]]) -> list[np.ndarray]:
         """Row numbers in ``rows`` of the words of each text."""
-        if len(self.known) > self.MOST:
+        if len(self.known) * len(self.model.languages) > self.MOST_NUMBERS:
             self.known, self.rows = {}, self.rows[:0]
         known = self.known
         base = len(known)
@@ -196,31 +199,35 @@ class Scorer:
         return total
 
 
-def viterbi(texts: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
-    """The best language of each word of each text (rows of word scores); texts run in step."""
+def viterbi(texts: list[np.ndarray], rows: np.ndarray, switch: float = SWITCH) -> list[np.ndarray]:
+    """The best language of each word of each text (places in ``rows``, the scores of words); texts run in step.
+
+    A word takes a few bytes beside one bit for each language, so a very long
+    text fits; values are kept relative to the best one, so none loses digits.
+    """
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     size = np.array([len(texts[i]) for i in order])
     if not len(size) or not size[0]:
         return [np.zeros(0, np.int16) for _ in texts]
-    n = texts[0].shape[1]
-    active = np.array([int(np.searchsorted(-size, -t, "left")) for t in range(size[0])])  # texts longer than t
+    n = rows.shape[1]
+    active = np.searchsorted(-size, -np.arange(size[0]), "left")  # texts longer than t
     first = np.concatenate([[0], np.cumsum(active)])
     # word t of the i-th longest text lies at first[t] + i
-    flat = np.empty((first[-1], n), np.float32)
+    flat = np.empty(first[-1], np.int32)
     for i, o in enumerate(order):
         flat[first[: size[i]] + i] = texts[o]
     best = np.empty(first[-1], np.int16)  # the best language before a switch
-    stay = np.empty((first[-1], n), bool)
+    stay = np.empty((first[-1], (n + 7) // 8), np.uint8)
     d = np.zeros((len(size), n), np.float32)
     for t in range(size[0]):
         a = active[t]
         now = d[:a]
         top = now.argmax(1)
-        most = now[np.arange(a), top] - switch
+        now = now - now[np.arange(a), top][:, None]
         s = slice(first[t], first[t] + a)
         best[s] = top
-        stay[s] = now >= most[:, None]
-        d[:a] = np.maximum(now, most[:, None]) + flat[s]
+        stay[s] = np.packbits(now >= -switch, axis=1)
+        d[:a] = np.maximum(now, -switch) + rows[flat[s]]
     path = np.empty(first[-1], np.int16)
     state = np.zeros(len(size), np.int64)
     was = 0
@@ -230,7 +237,7 @@ def viterbi(texts: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]
         was = a
         s = slice(first[t], first[t] + a)
         path[s] = state[:a]
-        keep = stay[s][np.arange(a), state[:a]]
+        keep = stay[s][np.arange(a), state[:a] >> 3] >> (7 - (state[:a] & 7)).astype(np.uint8) & 1 > 0
         state[:a] = np.where(keep, state[:a], best[s])
     out: list[np.ndarray] = [np.zeros(0, np.int16)] * len(texts)
     for i, o in enumerate(order):
@@ -244,11 +251,15 @@ def _make(model: Model, spans: bool):
 
     def run(columns: list[pa.Array]) -> list[pa.Array]:
         raw = utf8(columns[0])
-        docs = [_lower(x).split() for x in raw]
-        lettered = [any(c.isalpha() for c in x.decode("utf-8", "replace")) for x in raw]
-        ids = scorer.ids(docs) if names else [np.zeros(len(d), np.int64) for d in docs]
-        scores = [scorer.rows[i] for i in ids] if names else []
-        paths = viterbi(scores) if names else [np.zeros(0, np.int16)] * len(docs)
+        lettered = [any(c.isalpha() for part in parts_of(x) for c in part.decode("utf-8", "replace")) for x in raw]
+        parts = [(i, _lower(part).split()) for i, x in enumerate(raw) for part in parts_of(x)] if names else []
+        numbers = scorer.ids([words for _, words in parts]) if names else []
+        ids = [[np.zeros(0, np.int64)] for _ in raw]
+        for (i, _), at in zip(parts, numbers, strict=True):
+            ids[i].append(at)
+        ids = [np.concatenate(x) for x in ids]
+        paths = viterbi(ids, scorer.rows) if names else ids
+        silent = scorer.rows.min(1, initial=0) >= 0
         pred, score, marks = [], [], []
         for i, path in enumerate(paths):
             if not names or not lettered[i]:
@@ -256,7 +267,7 @@ def _make(model: Model, spans: bool):
                 score.append(0.0)
                 marks.append([])
                 continue
-            says = (scores[i].min(1) < 0) if len(path) else np.zeros(0, bool)
+            says = ~silent[ids[i]]
             told = np.bincount(path[says], minlength=len(names)) if says.any() else model.prior
             k = int(np.argmax(told))
             pred.append(names[k])

@@ -194,11 +194,17 @@ def test_lm_scores_do_not_depend_on_batches_shards_or_partitions(spark, monkeypa
         assert seen[0][i][:2] == (known, n) and seen[0][i][2] == pytest.approx(base, abs=1e-6) and seen[0][i][3] == pytest.approx(value, rel=5e-4, abs=1e-3)
 
 
-def test_lm_long_texts_are_read_whole(spark, monkeypatch):
-    monkeypatch.setattr(lm, "_PIECE", 64)
-    text = " ".join(f"word{i % 37}" for i in range(500))
-    known = lm.Words()
-    assert lm.word_numbers(text.encode(), known).tolist() == lm.word_numbers(text.encode() * 1, known).tolist() and len(known) == 37
+def test_long_texts_are_split_without_loss(spark, monkeypatch):
+    text = " ".join(f"word{i % 37}\t{'x' * (i % 90)}" for i in range(500)).encode()
+    parts = list(common.parts_of(text, 64))
+    assert b"".join(parts) == text and [w for p in parts for w in p.split()] == text.split() and list(common.parts_of(b"")) == []
+    rng = np.random.default_rng(2)
+    net = toxicity.Net()
+    size = np.array([3, 0, 950, 1, 40, 201, 2])
+    ids = np.stack([rng.integers(0, 1 << bits, size.sum()) for bits, _, _ in toxicity.TABLES], 1)
+    whole = net.forward(ids, size)[0]
+    monkeypatch.setattr(toxicity, "WINDOW", 100)
+    assert toxicity.logits_of(net, ids, size) == pytest.approx(whole, abs=1e-5)
 
 
 def test_elias_fano_and_odd(spark, odd, tmp_path):
@@ -426,11 +432,23 @@ def test_language(spark, odd):
     assert {r.lang_pred for r in language.identify(odd, language.fit(train.where("lang is null"))).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned_and_too_many_refused(spark, monkeypatch):
+    data = [(i, f"common words of tongue{i % 3} w{i % 50}", f"l{i % 3}") for i in range(300)] + [(1000 + i, f"zyx{i}qq uvw qqq", f"rare{i}") for i in range(230)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert len(model.languages) == 233
+    again = language.fit(df.repartition(7))
+    assert (model.scores == again.scores).all()
+    monkeypatch.setattr(language, "LANGUAGES", 232)
+    with pytest.raises(ValueError):
+        language.fit(df)
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(0)
     for n in (1, 4, 6):
-        s = rng.normal(size=(n, 3)).astype(np.float32) * 4
-        path = language.viterbi([s, s[:1]], switch=2.0)[0]
+        s = rng.normal(size=(n, 3)).astype(np.float32) * 4 - 3
+        path = language.viterbi([np.arange(n), np.arange(1)], s, switch=2.0)[0]
         value = lambda p: sum(s[t, k] for t, k in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))
         best = max(value(p) for p in __import__("itertools").product(range(3), repeat=n))
         assert value(path.tolist()) == pytest.approx(best, abs=1e-4)
