@@ -4,9 +4,9 @@
 is stored elsewhere become revisit records. ``build_index`` sorts captures by
 reversed-host URL key into range parts; a part file holds compressed blocks of
 ``BLOCK_LINES`` captures and, at its end, a sparse directory with one line per
-block. The table of parts (first key of each) is the upper level. ``lookup``
+block. A file with the first key of each part is the upper level. ``lookup``
 finds a key's part and block by binary search, reads that block, and reads the
-capture by its byte range.
+capture by its byte range, in as many tasks as there are parts.
 
 Files are written through ``pyarrow.fs`` under names of their own for each task
 attempt; only what a finished task reports is ever referred to, so a lost
@@ -33,8 +33,8 @@ from cowrie.llm.common import open_path, shared_dir, small_batches, stash
 
 #: Captures of a compressed index block.
 BLOCK_LINES = 300
-#: Captures of an index part, about.
-PART_LINES = 20_000
+#: Captures of an index part, about, and the most tasks that read parts.
+PART_LINES, READERS = 10_000, 20_000
 #: Bytes after which a task begins another archive.
 ARCHIVE_BYTES = 256_000_000
 _DATE = "1970-01-01T00:00:00Z"  # the tables hold no capture time
@@ -182,6 +182,27 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
     return stash(ordered.mapInArrow(_index_writer(folder), "part string, url_key string, page_id long, directory_at long, directory_bytes long"))
 
 
+def write_heads(index: DataFrame, folder: str) -> tuple[str, int]:
+    """Write the upper level, in order, as a file that tasks search; return its path and number of parts.
+
+    It has one line for every ``PART_LINES`` captures, and passes the driver line by line.
+    """
+    path, n = f"{folder}/{uuid.uuid4().hex}.heads", 0
+    files, place = open_path(path)
+    files.create_dir(place.rpartition("/")[0], recursive=True)
+    with files.open_output_stream(place, compression=None) as out:
+        for row in index.orderBy(F.col("url_key").asc(), F.col("page_id").asc_nulls_last(), "part").toLocalIterator():
+            out.write((json.dumps(list(row)) + "\n").encode())
+            n += 1
+    return path, n
+
+
+def read_heads(path: str) -> list[list]:
+    files, place = open_path(path)
+    with files.open_input_stream(place, compression=None) as f:
+        return [json.loads(x) for x in f.read().splitlines()]
+
+
 def _read(files: dict, path: str, at: int, size: int) -> bytes:
     if path not in files:
         system, place = open_path(path)
@@ -189,8 +210,9 @@ def _read(files: dict, path: str, at: int, size: int) -> bytes:
     return files[path].read_at(size, at)
 
 
-def _reader(parts: list[tuple]):
-    heads = [(p[1], _rank(p[2])) for p in parts]
+def _reader(path: str):
+    parts: list[list] = []
+    heads: list[tuple] = []
 
     def captures(wanted: list[tuple[str, int | None]], files: dict) -> Iterator[list]:
         """Captures of sorted keys, each block read once."""
@@ -216,7 +238,10 @@ def _reader(parts: list[tuple]):
                 i += 1
 
     def run(table: pa.Table) -> pa.Table:
-        want = sorted(zip(table["url_key"].to_pylist(), table["page_id"].to_pylist(), strict=True), key=lambda x: (x[0], _rank(x[1])))
+        if not parts:  # once in a task
+            parts.extend(read_heads(path))
+            heads.extend((p[1], _rank(p[2])) for p in parts)
+        want = sorted(set(zip(table["url_key"].to_pylist(), table["page_id"].to_pylist(), strict=True)), key=lambda x: (x[0], _rank(x[1])))
         files: dict = {}
         rows = []
         for _, page, archive, offset, length in sorted(captures(want, files), key=lambda x: (x[2], x[3])):
@@ -237,10 +262,9 @@ def _reader(parts: list[tuple]):
     return run
 
 
-def _part_of(parts: list[tuple]):
-    heads = [(p[1], _rank(p[2])) for p in parts]
-
+def _part_of(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = [(p[1], _rank(p[2])) for p in read_heads(path)]
         for batch in batches:
             page, keys = batch.column(0), [url_key(u) for u in batch.column(1).to_pylist()]
             part = [max(0, bisect.bisect_right(heads, (k, _rank(p))) - 1) for k, p in zip(keys, page.to_pylist(), strict=True)]
@@ -249,23 +273,24 @@ def _part_of(parts: list[tuple]):
     return run
 
 
-def lookup(index: DataFrame, requests: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+def lookup(index: DataFrame, requests: DataFrame, folder: str, key: str = "page_id", url: str = "url") -> DataFrame:
     """Records of the requested captures (key, url), read through the index.
 
     A request that repeats is answered once; a capture written several times is
-    returned as often; a request that the index lacks returns nothing. The list
-    of parts (one line per ``PART_LINES`` captures) goes to every task.
+    returned as often; a request that the index lacks returns nothing.
     """
-    parts = sorted([tuple(r) for r in index.collect()], key=lambda p: (p[1], _rank(p[2])))
-    wanted = requests.select(F.col(key).alias("page_id"), F.col(url).alias("url")).mapInArrow(_part_of(parts), "page_id long, url_key string, part int").distinct()
-    return wanted.groupBy("part").applyInArrow(_reader(parts), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    heads, parts = write_heads(index, folder)
+    wanted = requests.select(F.col(key).alias("page_id"), F.col(url).alias("url")).mapInArrow(_part_of(heads), "page_id long, url_key string, part int")
+    # requests are small, so the number of tasks is stated: one for each part
+    dealt = wanted.repartition(max(1, min(parts, READERS)), "part")
+    return dealt.groupBy("part").applyInArrow(_reader(heads), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_and_read(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write ``pages``, index the archives and read every page back through the index."""
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     captures = write_archives(pages, folder, least_bytes)
-    return lookup(build_index(captures, folder), pages)
+    return lookup(build_index(captures, folder), pages, folder)
 
 
 #: The rows of op5 in DuckDB's SQL; base32 is spelled out from the hexadecimal digest.

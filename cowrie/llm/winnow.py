@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Words of a gram and grams of a window.
 GRAM, WINDOW = 5, 8
-#: Rows of documents between two cuts of the order, about, and the most cuts.
-CHUNK_ROWS, MAX_CHUNKS = 2_000, 1_000
+#: Rows of documents between two cuts of the order, about, unless the cluster has more cores than that gives work.
+CHUNK_ROWS, CHUNKS_PER_CORE = 50_000, 8
 _PRIME, _BASE = (1 << 31) - 1, 1_000_003
 _PLACE = 28  # bits of a position: a text has fewer words than that
 _MASK = (1 << _PLACE) - 1
@@ -109,34 +109,71 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either).cast("double")
 
 
-def with_next(docs: DataFrame, key: str, carry: list[str]) -> DataFrame:
-    """Append ``next``: a struct of ``carry`` of the row with the next lower key; the last row gets the first's.
+def _chunks(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame] | None:
+    """Cuts of the descending order of keys, as two small tables; null for an empty table.
 
-    The order is cut into ranges of keys of about ``CHUNK_ROWS`` rows; the first
-    row of a range is copied to the range before, so one shuffle and a window
-    within ranges suffice. Equal keys follow each other in the order of
-    ``carry``; null keys come last. A single row is its own next.
+    The first says for each equally wide step of key values the number of cuts
+    below it and the cuts within it; the second, for each chunk, its largest key
+    and the chunk before it (the first follows the last). Both have a row for
+    every ``CHUNK_ROWS`` documents.
     """
-    k = F.col(key)
-    count = docs.count()
-    cuts = min(MAX_CHUNKS, count // CHUNK_ROWS)
-    marks = docs.agg(F.percentile_approx(k, [i / (cuts + 1) for i in range(1, cuts + 1)], 10_000)).first()[0] if cuts else []
+    spark, k = docs.sparkSession, F.col(key)
+    seen = docs.agg(F.count("*").alias("n"), F.min(k).alias("least"), F.max(k).alias("most")).first()
+    if not seen.n:
+        return None
+    cuts = max(spark.sparkContext.defaultParallelism * CHUNKS_PER_CORE, -(-seen.n // CHUNK_ROWS))
+    cuts = 0 if seen.least is None else min(cuts, seen.n - 1)
+    marks = docs.agg(F.percentile_approx(k, [i / (cuts + 1) for i in range(1, cuts + 1)], max(10_000, 4 * cuts))).first()[0] if cuts else []
     marks = sorted(set(marks or []))
-    # chunk 0 holds the largest keys; nulls are in the last
-    chunk = F.coalesce(F.lit(len(marks)) - F.size(F.filter(F.array(*[F.lit(m) for m in marks]).cast("array<bigint>"), lambda m: m <= k)), F.lit(len(marks) + 1)).cast("int")
-    placed = docs.withColumn("chunk", chunk)
+    low = seen.least or 0
+    width = max(1, -(-((seen.most or 0) - low + 1) // max(1, cuts)))
+    within: dict[int, list[int]] = {}
+    for m in marks:
+        within.setdefault((m - low) // width, []).append(m)
+    steps, below = [], 0
+    for step in range(((seen.most or 0) - low) // width + 1):
+        steps.append((step, below, within.get(step, [])))
+        below += len(within.get(step, []))
+    table = spark.createDataFrame(steps, "step long, below int, within array<bigint>")
+    placed = _placed(docs.select(key), key, table, len(marks), low, width)
     heads = sorted((r.chunk, r.top) for r in placed.groupBy("chunk").agg(F.max(key).alias("top")).collect())
-    if not heads:
-        return docs.withColumn("next", F.struct(*carry))
-    before = {heads[i][0]: heads[i - 1][0] for i in range(len(heads))}  # the first range follows the last
-    rows = [(c, top, before[c]) for c, top in heads]
-    table = docs.sparkSession.createDataFrame(rows, f"chunk int, top {docs.schema[key].dataType.simpleString()}, before int")
-    placed = placed.join(F.broadcast(table), "chunk")  # one row per range
-    copies = F.when(k.eqNullSafe(F.col("top")), F.array(F.struct(F.col("chunk").alias("at"), F.lit(False).alias("guest")), F.struct(F.col("before").alias("at"), F.lit(True).alias("guest"))))
-    copies = F.coalesce(copies, F.array(F.struct(F.col("chunk").alias("at"), F.lit(False).alias("guest"))))
-    dealt = placed.withColumn("copy", F.explode(copies)).drop("chunk", "top", "before")
-    own = Window.partitionBy("copy.at").orderBy(F.col("copy.guest"), k.desc_nulls_last(), *[F.col(c) for c in carry])
-    return dealt.withColumn("next", F.lead(F.struct(*carry)).over(own)).where("not copy.guest").drop("copy")
+    rows = [(c, top, heads[i - 1][0]) for i, (c, top) in enumerate(heads)]
+    tops = spark.createDataFrame(rows, f"chunk int, top {docs.schema[key].dataType.simpleString()}, before int")
+    return _placed(docs, key, table, len(marks), low, width), tops
+
+
+def _placed(docs: DataFrame, key: str, steps: DataFrame, cuts: int, low: int, width: int) -> DataFrame:
+    """Append ``chunk``: 0 holds the largest keys, nulls are in the last one."""
+    k = F.col(key)
+    at = F.expr(f"(`{key}` - ({low}L)) div {width}L")
+    found = docs.withColumn("step", at).join(F.broadcast(steps), "step", "left")  # a row for every CHUNK_ROWS documents
+    chunk = F.lit(cuts) - F.col("below") - F.size(F.filter("within", lambda m: m <= k))
+    return found.withColumn("chunk", F.coalesce(chunk, F.lit(cuts + 1)).cast("int")).drop("step", "below", "within")
+
+
+def with_next(docs: DataFrame, key: str, text: str, make) -> DataFrame:
+    """Append the columns that ``make`` gives each row, and ``next``: a struct of ``text`` and those columns of the following row.
+
+    Rows follow each other by descending key, nulls last; equal keys in the order
+    of their text; the last row is followed by the first, and a single row by
+    itself. The order is cut into chunks; the first row of a chunk is copied to
+    the chunk before, so one shuffle of the texts and a window within chunks
+    suffice.
+    """
+    k = F.col(key)
+    chunks = _chunks(docs, key)
+    if chunks is None:
+        made = make(docs)
+        return made.withColumn("next", F.struct(text, *[c for c in made.columns if c not in docs.columns]))
+    placed, tops = chunks
+    placed = placed.join(F.broadcast(tops), "chunk")  # one row for each chunk
+    own = F.struct(F.col("chunk").alias("at"), F.lit(False).alias("guest"))
+    copies = F.when(k.eqNullSafe(F.col("top")), F.array(own, F.struct(F.col("before").alias("at"), F.lit(True).alias("guest")))).otherwise(F.array(own))
+    dealt = placed.withColumn("copy", F.explode(copies)).select(*docs.columns, "copy.at", "copy.guest").repartition("at")
+    made = make(dealt)
+    new = [c for c in made.columns if c not in dealt.columns]
+    order = Window.partitionBy("at").orderBy("guest", k.desc_nulls_last(), text)
+    return made.withColumn("next", F.lead(F.struct(text, *new)).over(order)).where("not guest").drop("at", "guest")
 
 
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,7 +186,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     empty; equal texts have equal fingerprints; an empty table gives an empty one.
     """
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(add_fingerprint(rows, "text", "chosen"), "id", ["text", "chosen"])
+    rows = with_next(rows, "id", "text", lambda df: add_fingerprint(df, "text", "chosen"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)))

@@ -1,5 +1,6 @@
 """Operators against brute force, round trips, held-out accuracy and odd tables."""
 
+import hashlib
 import math
 import os
 import re
@@ -265,7 +266,7 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     folder = f"file://{tmp_path}/w"
     index = warc.build_index(warc.write_archives(df, folder), folder)
-    got = {r.page_id: r for r in warc.lookup(index, df).collect()}
+    got = {r.page_id: r for r in warc.lookup(index, df, folder).collect()}
     last = {}
     for i, _, h in data:
         last[h or ""] = max(last.get(h or "", -1), i if i is not None else -1)
@@ -276,8 +277,11 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
         other = last[h or ""] not in (i, -1)
         assert (r.record_type, r.refers_to) == (("revisit", last[h or ""]) if other else ("response", None))
     assert len(got) == len(data)
-    assert warc.lookup(index, df.where("page_id = 3")).count() == 1
+    assert warc.lookup(index, df.where("page_id = 3"), folder).count() == 1
     assert warc.archive_and_read(df.limit(0)).count() == 0
+    again = df.where("page_id < 20").union(df.where("page_id in (3, 4, 50)")).union(df.where("page_id = 3"))
+    repeats = Counter(r.page_id for r in warc.archive_and_read(again).collect())
+    assert repeats == Counter({**{i: 1 for i in range(20)}, 3: 3, 4: 2, 50: 1})
 
 
 def test_pieces_round_trip_and_inclusion(spark, odd):
@@ -332,18 +336,37 @@ def test_winnowing(spark, odd):
     assert winnow.fingerprint_documents(odd.limit(0)).count() == 0
 
 
-def test_fingerprints_of_edited_texts(spark):
+def likeness_by_hand(a, b):
+    a, b = ({g.split("@")[0] for g in x.split()} for x in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("chunk", [7, 50_000])
+def test_fingerprints_of_edited_texts(spark, monkeypatch, chunk):
+    monkeypatch.setattr(winnow, "CHUNK_ROWS", chunk)
     docs = table("documents").sort_values("doc_id", ascending=False)
     ids, texts = docs.doc_id.tolist(), [t or "" for t in docs.text]
-    import hashlib
-
     got = {r.doc_id: r for r in rows(spark, "op7_fingerprints")}
+    edits = []
     for i, (k, t) in enumerate(zip(ids, texts, strict=True)):
         after, half = texts[(i + 1) % len(texts)], len(t) // 2
         edited = t[: len(t) - half] + after[:half]
+        edits.append((k, edited))
         assert (got[k].n_chars, got[k].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        if t == after:
-            assert got[k].near_next == 1.0
+        assert got[k].near_next == pytest.approx(likeness_by_hand(got[k].fingerprint, got[ids[(i + 1) % len(ids)]].fingerprint))
+        assert got[k].near_edited == pytest.approx(likeness_by_hand(got[k].fingerprint, got[k].edited_fingerprint))
+    again = winnow.add_fingerprint(spark.createDataFrame(edits, "doc_id long, text string"), "text", "c").select("doc_id", winnow.as_text(F.col("c")).alias("f"))
+    assert all(got[r.doc_id].edited_fingerprint == r.f for r in again.collect())
+
+
+def test_next_document_with_gaps_ties_and_no_keys(spark):
+    keys = [-(10**15), -5, -5, 0, 1, 2, 3, 10**17, 10**17 + 1, None, None]
+    df = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(keys)], "id long, text string")
+    order = sorted(enumerate(keys), key=lambda x: (x[1] is None, -(x[1] or 0), f"t{x[0]}"))
+    want = {f"t{i}": f"t{order[(j + 1) % len(order)][0]}" for j, (i, _) in enumerate(order)}
+    got = winnow.with_next(df, "id", "text", lambda d: d.withColumn("twice", F.concat("text", "text"))).collect()
+    assert {r.text: r.next.text for r in got} == want and all(r.next.twice == r.next.text * 2 for r in got)
+    assert [r.next.text for r in winnow.with_next(df.where("id = 0"), "id", "text", lambda d: d).collect()] == ["t3"]
 
 
 def test_toxicity(spark, odd):
