@@ -10,6 +10,7 @@ generator that marks its main text.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import random
@@ -26,7 +27,9 @@ from cowrie.llm.common import utf8, with_columns_from
 #: Generated pages, trees, their depth, bins of a feature and step of boosting.
 PAGES, TREES, DEPTH, BINS, STEP = 900, 60, 5, 32, 0.25
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_LONG_REFERENCE = re.compile(r"&#(?:0*([1-9][0-9]{7,})|[xX]0*([1-9a-fA-F][0-9a-fA-F]{7,})|0+([0-9]{1,7})(?![0-9])|[xX]0+([0-9a-fA-F]{1,7})(?![0-9a-fA-F]));?")
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([a-zA-Z-]+)""")
 _SPACE = re.compile(r"\s+")
 _MARK = ""  # what the generator puts before main text
@@ -62,6 +65,44 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+class Tags:
+    """The tags of a page, each found in time in proportion to what is read.
+
+    A tag ends at the first ">" outside of quotes. Where there is none, the page's
+    quotes are broken, and from there on tags end at the next ">".
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.broken = source, False
+        self.last = source.rfind(">")
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """First character, end, name, whether it is an end tag, and attributes of the next tag; a comment has no name."""
+        source = self.source
+        while True:
+            start = source.find("<", at)
+            if start < 0 or (start > self.last and not source.startswith("<!--", start)):
+                start = source.find("<!--", start) if start >= 0 else start
+                return (start, len(source), "", False, "") if start >= 0 else None
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(source), "", False, ""
+            m = _NAME.match(source, start)
+            if m:
+                rest = None if self.broken else _REST.match(source, m.end())
+                self.broken |= rest is None
+                end = rest.end() if rest else source.find(">", m.end()) + 1
+                return start, end, m[1].lower(), source[start + 1] == "/", source[m.end() : end - 1]
+            if source[start + 1 : start + 2] in ("!", "?"):
+                return start, source.find(">", start) + 1, "", False, ""
+            at = start + 1
+
+
+def _short_reference(m: re.Match) -> str:
+    """A numeric reference with leading zeros or too many digits, for ``html.unescape``."""
+    return "\ufffd" if m[1] or m[2] else f"&#{m[3]};" if m[3] else f"&#x{m[4]};"
+
+
 class Page:
     """Nodes of a page in document order and the blocks of text that they own."""
 
@@ -69,7 +110,9 @@ class Page:
         self.tag, self.parent, self.tokens, self.hidden = ["html", "body"], [-1, 0], [0, 0], [False, False]
         self.own, self.link, self.marks = [0, 0], [0, 0], [0, 0]  # characters of own text, in links, punctuation
         self.blocks: list[tuple[int, str]] = []
-        stack: list[tuple[str, int]] = [("html", 0), ("body", 1)]  # open elements; inline ones keep their owner's node
+        # open elements: name, node (inline ones keep their owner's), place of the nearest that is not inline
+        stack: list[tuple[str, int, int]] = [("html", 0, 0), ("body", 1, 1)]
+        places: dict[str, list[int]] = {"html": [0], "body": [1]}  # of open elements by name
         parts: list[str] = []
         links = silent = 0
         at = 0
@@ -80,7 +123,7 @@ class Page:
             if silent or not piece:
                 return
             if "&" in piece:
-                piece = entities.unescape(piece)
+                piece = entities.unescape(_LONG_REFERENCE.sub(_short_reference, piece) if "&#" in piece else piece)
             parts.append(piece)
             if links and not piece.isspace():
                 self.link[stack[-1][1]] += len(piece)
@@ -102,29 +145,35 @@ class Page:
                 if name not in INLINE:
                     flush()
                 stack.pop()
+                places[name].pop()
                 links -= name == "a"
                 silent -= name in SILENT
 
+        def push(name: str, node: int) -> None:
+            places.setdefault(name, []).append(len(stack))
+            stack.append((name, node, stack[-1][2] if name in INLINE else len(stack)))
+
+        def highest(names: tuple[str, ...]) -> int:
+            return max((places[x][-1] for x in names if places.get(x)), default=-1)
+
         n = len(source)
+        tags = Tags(source)
         while at < n:
-            m = _TOKEN.search(source, at)
+            m = tags.next(at)
             if m is None:
                 text(source[at:])
                 break
-            text(source[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
-            if name is None:
+            start, end, name, ends, attrs = m
+            text(source[at:start])
+            at = end
+            if not name:
                 continue
-            name, ends, attrs = name.lower(), m[1] or m[4], m[3] if m[2] else m[6]
             # the end tag of a head may be left out; a head elsewhere is no element
             if stack[-1][0] == "head" and (name in ("body", "html", "br") if ends else name not in IN_HEAD and name not in ("head", "html")):
                 close(len(stack) - 1)
             if ends:
-                for d in range(len(stack) - 1, 1, -1):
-                    if stack[d][0] == name:
-                        close(d)
-                        break
+                if (d := highest((name,))) > 1:
+                    close(d)
                 continue
             if name in RAW:
                 end = re.compile(f"</{name}", re.I).search(source, at)
@@ -138,26 +187,21 @@ class Page:
                 else:
                     flush()
                 continue
-            if name in CLOSES_P:
-                for d in range(len(stack) - 1, 0, -1):
-                    if stack[d][0] == "p":
-                        close(d)
-                        break
-                    if stack[d][0] not in INLINE:
-                        break
+            if name in CLOSES_P and stack[d := stack[-1][2]][0] == "p":
+                close(d)
             if name in PEERS:
-                for d in range(len(stack) - 1, 0, -1):
-                    if stack[d][0] in PEERS[name]:
-                        close(d)
-                        if name != "tr":
-                            break
-                    elif stack[d][0] in SCOPES[name]:
-                        break
+                scope = highest(SCOPES[name])
+                if name == "tr":  # a row ends the cells and rows above the table, the lowest included
+                    open_ = [p[bisect.bisect_right(p, scope)] for x in PEERS[name] if (p := places.get(x)) and p[-1] > scope]
+                    if open_:
+                        close(min(open_))
+                elif (d := highest(PEERS[name])) > scope:
+                    close(d)
             if name in ("html", "body") or (name == "head" and (len(stack) > 2 or len(self.tag) > 2)):
                 continue
             if name in INLINE:
                 links += name == "a"
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
                 continue
             flush()
             bits, hidden = 0, False
@@ -182,7 +226,7 @@ class Page:
             if name in ("svg", "math") and attrs and attrs.endswith("/"):
                 continue
             silent += name in SILENT
-            stack.append((name, k))
+            push(name, k)
         close(0)
 
 
