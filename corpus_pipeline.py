@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cowrie.llm import language, mixing, pieces, simhash, toxicity
 from cowrie.llm.common import shared_dir
 
-#: Some stages cannot be put in SQL; the pipeline is tested against brute force.
+#: Most stages cannot be put in SQL; each is tested against a plain version of itself over the small tables.
 ORACLE_SQL: str | None = None
 
 
@@ -40,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each row's text, as piece ids."""
-    return pieces.encode(docs).drop("text")
+    """Sampled segmentations of each row's text, as piece ids; copies of a row have samples of their own."""
+    return pieces.encode(docs, copies=True).drop("text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
