@@ -38,16 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cowrie.llm.common import crc_bucket, open_path, shared_dir, slices, small_batches, stash, utf8
+from cowrie.llm.common import crc_bucket, open_path, parts_of, shared_dir, slices, small_batches, stash, utf8
 
 #: What each different successor of a context gives up, and each different word.
 DISCOUNT, DISCOUNT_1 = 0.75, 0.5
 #: Tokens of a batch and n-grams asked of a shard, about; a longer text is a batch of its own.
-BATCH_TOKENS, SHARD_NGRAMS = 3_000_000, 4_000_000
+BATCH_TOKENS, SHARD_NGRAMS = 2_500_000, 2_000_000
 #: Bits of a successor's id in the two lower levels.
 BITS_2, BITS_3 = 40, 32
-#: Bytes of a long text that are split into words at a time.
-_PIECE = 1 << 20
 # The grid of counts, exact up to the first, then in steps of natural logs; code 0 is absent.
 _EXACT, _STEP = 1 << 15, 5e-4
 _END = np.uint64(xxhash.xxh64_intdigest(b"\x00end", 0))
@@ -99,18 +97,11 @@ class Words(dict):
 
 def word_numbers(text: bytes, known: Words) -> np.ndarray:
     """Numbers of a text's words: A-Z are lower-cased, words are runs of other than space and the controls 9 to 13."""
-    if len(text) <= _PIECE:
-        words = text.lower().split()
-        return np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
-    parts, at = [], 0
-    while at < len(text):
-        end = at + _PIECE
-        while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
-            end += 1
-        words = text[at:end].lower().split()
+    parts = []
+    for part in parts_of(text):
+        words = part.lower().split()
         parts.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
-        at = end
-    return np.concatenate(parts)
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint32), *parts])
 
 
 class Batch:
