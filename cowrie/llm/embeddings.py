@@ -27,7 +27,7 @@ from cowrie.llm.common import connected_components, drop, small_batches, stash
 #: Vectors that the centroids are fitted on, about; twice the cells where that is more.
 FIT_ROWS = 20_000
 #: The number of cells is the root of so many times the class vectors of the largest label.
-CELL_FACTOR = 8
+CELL_FACTOR = 1
 #: Rows of a block, and of a product within it.
 BLOCK_ROWS, PRODUCT_ROWS = 4_096, 1_024
 _ROUNDS, _NUMBERS = 8, 4_000_000

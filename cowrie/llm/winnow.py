@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Words of a gram and grams of a window.
 GRAM, WINDOW = 5, 8
 #: Rows of documents between two cuts of the order, about, unless the cluster has more cores than that gives work.
-CHUNK_ROWS, CHUNKS_PER_CORE = 50_000, 8
+CHUNK_ROWS, CHUNKS_PER_CORE = 25_000, 16
 _PRIME, _BASE = (1 << 31) - 1, 1_000_003
 _PLACE = 28  # bits of a position: a text has fewer words than that
 _MASK = (1 << _PLACE) - 1
