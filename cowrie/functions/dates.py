@@ -41,6 +41,11 @@ def week_start(d: Column) -> Column:
     return F.date_trunc("WEEK", d).cast("date")
 
 
+def each_day(start: Column, end: Column) -> Column:
+    """All days from start to end as an array; empty if the end comes first, null if either is."""
+    return F.when(start <= end, F.sequence(start, end)).when(start > end, F.array().cast("array<date>"))
+
+
 def iso_weekday(d: Column) -> Column:
     """1 (Monday) to 7."""
     return F.weekday(d) + 1

@@ -41,8 +41,9 @@ def plain_spaces(c: Column) -> Column:
 def parse_amount(text: Column) -> Column:
     """A written amount as BIGINT; null for what is not clearly an amount.
 
-    Reads "2 500", "2.500", "2500f", "FCFA 2500", "2k5", "2,5k", "2500.00". Null
-    and empty texts and amounts beyond 18 digits give null.
+    Digits may be grouped by spaces, dots or commas, end in cents, bear a currency
+    before or behind, or count thousands ("7k", "1,2k", "1k2"). Null and empty
+    texts and amounts beyond 18 digits give null.
     """
     bare = F.regexp_replace(F.trim(plain_spaces(text)), CURRENCY_PREFIX, "")
 
@@ -85,6 +86,11 @@ def normalize_box(box: Column) -> Column:
     return F.when(sound, F.when(wide, F.array(top, left, bottom, right)))
 
 
+def quantile(values: Column, q: float) -> Column:
+    """Aggregate: the quantile with linear interpolation; 0 without values."""
+    return F.coalesce(F.percentile(values, F.lit(q)), F.lit(0.0))
+
+
 def variation(values: Column) -> Column:
     """Aggregate: population standard deviation over mean; 0 unless the mean is positive."""
     return F.when(F.avg(values) > 0, F.stddev_pop(values) / F.avg(values)).otherwise(F.lit(0.0))

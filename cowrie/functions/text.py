@@ -46,7 +46,7 @@ def collapse_spaces(c: Column) -> Column:
 
 
 def normalize_item(description: Column) -> Column:
-    """A stable key of an item: lower case, no accents, quantities or units; "other" if nothing is left or for null."""
+    """Up to three words that tell items apart, for grouping: plain lower-case letters, plural s dropped; "other" for null or if none is left."""
     plain = F.regexp_replace(strip_accents(F.lower(description)), r"[^a-z\s]", " ")
     words = F.filter(F.split(plain, r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(NOISE))
     words = F.transform(words, lambda w: F.when(F.length(w) > 3, F.regexp_replace(w, "s$", "")).otherwise(w))
@@ -54,7 +54,7 @@ def normalize_item(description: Column) -> Column:
 
 
 def clean_label(description: Column) -> Column:
-    """A readable label: quantities, units and currency removed, first letter in upper case."""
+    """What a screen calls an item: the description's own words but for amounts and measures, capitalised; all of it if none is left."""
     parts = F.split(F.regexp_replace(description, r"(?i)[×x]?\d+([.,]\d+)?[a-z]?\b", " "), r"(?U)\s+")
     word = lambda w: F.regexp_replace(strip_accents(F.lower(w)), "[^a-z]", "")
     kept = F.filter(parts, lambda w: (w != "") & ~word(w).isin(UNIT_WORDS))
@@ -73,6 +73,17 @@ def mask_phones_in_text(c: Column) -> Column:
     return F.regexp_replace(c, r"(?:\(?\+?237\)?[\s.]?(6)\d{6}(\d{2})\b\)?)|(?:\b(6)\d{6}(\d{2})\b)", "$1$3•• ••• •$2$4")
 
 
+def normalize_phone(phone: Column) -> Column:
+    """The digits of a number, without a leading 237 if nine digits follow it."""
+    d = F.regexp_replace(phone, r"\D", "")
+    return F.when((F.length(d) == 12) & d.startswith("237"), F.right(d, F.lit(9))).otherwise(d)
+
+
+def is_phone(phone: Column) -> Column:
+    """Whether the normalised number has nine digits and begins with 6 or 2."""
+    return F.coalesce(normalize_phone(phone).rlike(r"^[62]\d{8}$"), F.lit(False))
+
+
 def short_name(name: Column) -> Column:
     """First name and the initial of the next; null for null and empty names."""
     parts = F.split(F.trim(name), r"\s+")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cowrie.operators.pages import blocking_issues
+from cowrie.functions.dates import as_date
+from cowrie.operators.pages import blocking_issues, date_flags
 
 
 def latest(versions: DataFrame, key: str = "id", order: str = "updated_at") -> DataFrame:
@@ -40,26 +41,109 @@ def reread(entries: DataFrame, fresh: DataFrame) -> DataFrame:
     return keep.unionByName(moved)
 
 
-def patch_entries(entries: DataFrame, patches: DataFrame, today) -> DataFrame:
-    """Apply patches (id, action, date, amount, description) by rule; ``refused`` marks those that a line's issues forbid.
+def patch_entries(entries: DataFrame, patches: DataFrame, today: Column | str, at: Column | str) -> DataFrame:
+    """Apply one patch per line: (id, status, date, clear_date, description, amount, type), null where it says nothing.
 
-    reject and restore change the status; correct changes the given fields,
-    drops the reader's doubts and confirms a line that is then sound; confirm
-    needs a line without blocking issues. Lines without a patch pass unchanged.
+    Rejecting ignores the other fields. Else the given values replace the line's;
+    a change keeps the reader's first values in ``original``, leaves only the hard
+    flags, and confirms the line if nothing blocks it, else makes it pending,
+    unless the patch states a status. A rejected line becomes pending first. A
+    line that would be confirmed in spite of an issue, and an empty patch, change
+    nothing: ``refused`` is true and ``issues`` says why. ``happened`` lists the
+    events to record. Lines without a patch pass with empty lists.
     """
-    now = F.lit(today).cast("date")
-    p = patches.select("id", "action", *[F.col(c).alias(f"new_{c}") for c in ("date", "amount", "description")])
+    values = ("date", "description", "amount", "type")
+    p = patches.select("id", F.lit(True).alias("new"), "clear_date", *[F.col(c).alias(f"new_{c}") for c in ("status", *values)])
     t = entries.join(p, "id", "left")
-    fix = F.col("action").eqNullSafe(F.lit("correct"))
-    for c in ("date", "amount", "description"):
-        t = t.withColumn(c, F.when(fix, F.coalesce(f"new_{c}", c)).otherwise(F.col(c)))
-    t = t.withColumn("flags", F.when(fix, F.array().cast("array<string>")).otherwise(F.col("flags")))
-    issues = blocking_issues(F.lit("pending"), F.col("flags"), F.col("date"), F.col("amount"), now)
-    t = t.withColumn("flags", F.when(fix, issues).otherwise(F.col("flags")))
-    sound = F.size(issues) == 0
-    asked = F.col("action").eqNullSafe(F.lit("confirm"))
-    status = F.when(F.col("action") == "reject", "rejected").when(F.col("action") == "restore", "pending").when((asked | fix) & sound, "confirmed").otherwise(F.col("status"))
-    return t.withColumn("refused", asked & ~sound).withColumn("status", status).select(*entries.columns, "refused")
+    now, none = as_date(today), F.array().cast("array<string>")
+    new, wanted = F.coalesce("new", F.lit(False)), F.col("new_status")
+    cleared = F.coalesce("clear_date", F.lit(False))
+    empty = new & ~cleared & F.coalesce(wanted, *[F.col(f"new_{c}").cast("string") for c in values]).isNull()
+    reject = F.coalesce(wanted == "rejected", F.lit(False))
+    after = {c: F.coalesce(f"new_{c}", c) for c in values}
+    after["date"] = F.when(cleared, F.lit(None).cast("date")).otherwise(after["date"])
+    t = t.withColumns({f"after_{c}": v for c, v in after.items()})
+    same = [F.col(c).eqNullSafe(F.col(f"after_{c}")) for c in values]
+    changed = new & ~reject & ~(same[0] & same[1] & same[2] & same[3])
+    t = t.withColumn("changed", changed).withColumn("was_rejected", F.col("status") == "rejected")
+    hard = F.concat(date_flags(F.col("after_date"), now), F.when(F.col("after_amount") <= 0, F.array(F.lit("amount_missing"))).otherwise(none))
+    t = t.withColumn("after_flags", F.when(F.col("changed"), hard).otherwise(F.col("flags")))
+    t = t.withColumn("issues", F.when(new & ~reject, blocking_issues(F.lit("pending"), F.col("after_flags"), F.col("after_date"), F.col("after_amount"), now)).otherwise(none))
+    clear = F.size("issues") == 0
+    restored = F.when(F.col("was_rejected"), "pending").otherwise(F.col("status"))
+    target = F.when(reject, "rejected").otherwise(F.coalesce(wanted, F.when(F.col("changed"), F.when(clear, "confirmed").otherwise("pending")), restored))
+    t = t.withColumn("target", target)
+    refused = empty | (new & (F.col("target") == "confirmed") & ~clear)
+    t = t.withColumn("refused", refused).withColumn("issues", F.when(empty, F.array(F.lit("empty_patch"))).when(F.col("refused"), F.col("issues")).otherwise(none))
+    go = new & ~F.col("refused")
+    happened = F.array_compact(F.array(
+        F.when(go & reject & ~F.col("was_rejected"), "entry_rejected"), F.when(go & ~reject & F.col("was_rejected"), "entry_restored"), F.when(go & F.col("changed"), "entry_corrected")
+    ))
+    keeps = go & F.col("changed") & (F.col("origin") == "ai") & F.col("original").isNull()
+    moment = at if isinstance(at, Column) else F.lit(at).cast("timestamp")
+    out = {
+        "original": F.when(keeps, F.struct(*values)).otherwise(F.col("original")),
+        "confirmed_at": F.when(go & (F.col("target") == "confirmed"), F.coalesce("confirmed_at", moment)).when(go, F.lit(None).cast("timestamp")).otherwise(F.col("confirmed_at")),
+        "flags": F.when(go & F.col("changed"), F.col("after_flags")).otherwise(F.col("flags")),
+        "status": F.when(go, F.col("target")).otherwise(F.col("status")),
+        **{c: F.when(go & F.col("changed"), F.col(f"after_{c}")).otherwise(F.col(c)) for c in values},
+        "happened": happened,
+    }
+    t = t.select(*[out[c].alias(c) if c in out else F.col(c) for c in entries.columns], out["happened"].alias("happened"), "refused", "issues")
+    return t
+
+
+def add_entries(entries: DataFrame, added: DataFrame, sources: DataFrame, today: Column | str, at: Column | str) -> tuple[DataFrame, DataFrame]:
+    """Lines that the trader adds (id, source_id, ord, date, description, amount, type), behind the lines of their page; and those refused.
+
+    They are confirmed with confidence 1. Refused are lines of unknown pages and
+    those whose date or amount is missing or out of range; ``issues`` says why.
+    """
+    now = as_date(today)
+    t = added.join(sources.select(F.col("id").alias("source_id"), "trader_id"), "source_id", "left")
+    flags = F.concat(date_flags(F.col("date"), now), F.when(F.coalesce("amount", F.lit(0)) <= 0, F.array(F.lit("amount_missing"))).otherwise(F.array().cast("array<string>")))
+    t = t.withColumn("issues", F.when(F.col("trader_id").isNull(), F.array(F.lit("not_found"))).otherwise(flags))
+    last = entries.groupBy("source_id").agg(F.max("seq").alias("cowrie_last"))
+    sound = t.where(F.size("issues") == 0).join(last, "source_id", "left")
+    seq = F.coalesce("cowrie_last", F.lit(-1)) + F.row_number().over(Window.partitionBy("source_id").orderBy("ord"))
+    moment = at if isinstance(at, Column) else F.lit(at).cast("timestamp")
+    fixed = {"seq": seq, "origin": F.lit("trader"), "status": F.lit("confirmed"), "raw": F.lit(""), "confidence": F.lit(1.0), "flags": F.array().cast("array<string>"), "confirmed_at": moment}
+    given = set(added.columns) | {"trader_id"}
+    new = sound.select(*[(fixed[f.name] if f.name in fixed else F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in entries.schema])
+    return entries.unionByName(new), t.where(F.size("issues") > 0)
+
+
+def keep_duplicates(sources: DataFrame, kept: DataFrame) -> DataFrame:
+    """Duplicate pages (source_id) that are kept on purpose are pending again."""
+    mark = kept.select(F.col("source_id").alias("id"), F.lit(True).alias("cowrie_keep")).distinct()
+    t = sources.join(mark, "id", "left")
+    go = F.coalesce("cowrie_keep", F.lit(False)) & (F.col("status") == "duplicate")
+    return t.withColumn("duplicate_kept", F.when(go, F.lit(True)).otherwise(F.col("duplicate_kept"))).withColumn("status", F.when(go, "pending").otherwise(F.col("status"))).select(*sources.columns)
+
+
+def mark_distinct(sources: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pages (a, b) of one trader that a person told apart name each other in ``distinct_from``; other pairs change nothing."""
+    who = sources.select("id", "trader_id")
+    ok = pairs.join(who.toDF("a", "cowrie_ta"), "a").join(who.toDF("b", "cowrie_tb"), "b").where("cowrie_ta = cowrie_tb AND a <> b")
+    both = ok.select(F.col("a").alias("id"), F.col("b").alias("other")).union(ok.select("b", "a")).groupBy("id").agg(F.sort_array(F.collect_set("other")).alias("cowrie_more"))
+    none = F.array().cast("array<string>")
+    joined = F.array_union(F.coalesce("distinct_from", none), F.coalesce("cowrie_more", none))
+    t = sources.join(both, "id", "left")
+    return t.withColumn("distinct_from", F.when(F.col("cowrie_more").isNotNull(), joined).otherwise(F.col("distinct_from"))).select(*sources.columns)
+
+
+def create_traders(traders: DataFrame, new: DataFrame, at: Column | str) -> DataFrame:
+    """Traders with those of ``new`` (columns of the table, absent ones null) added; an id that exists is not added again."""
+    moment = at if isinstance(at, Column) else F.lit(at).cast("timestamp")
+    stamps = {"created_at": moment, "updated_at": moment}
+    rows = new.join(traders.select("id"), "id", "left_anti")
+    return traders.unionByName(rows.select(*[(stamps[f.name] if f.name in stamps else F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in traders.schema]))
+
+
+def touched(traders: DataFrame, events: DataFrame) -> DataFrame:
+    """Traders with ``updated_at`` moved on to their newest event."""
+    last = events.groupBy(F.col("trader_id").alias("id")).agg(F.max("at").alias("cowrie_last"))
+    return traders.join(last, "id", "left").withColumn("updated_at", F.greatest("updated_at", "cowrie_last")).select(*traders.columns)
 
 
 def confirm_pages(entries: DataFrame, pages: DataFrame, today) -> DataFrame:

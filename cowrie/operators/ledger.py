@@ -50,7 +50,7 @@ def page_checks(entries: DataFrame, totals: DataFrame) -> DataFrame:
     """
     live = entries.where((F.col("status") != "rejected") & (F.col("amount") > 0))
     by_day = live.groupBy("source_id", "type", "date").agg(F.sum("amount").alias("day"))
-    dates = live.groupBy("source_id").agg(F.count_distinct("date").alias("dates"))
+    dates = by_day.groupBy("source_id").agg(F.size(F.collect_set("date")).alias("dates"))  # a page has few dates
     whole = by_day.groupBy("source_id", "type").agg(F.sum("day").alias("page"))
     t = totals.join(dates, "source_id", "left").join(whole, ["source_id", "type"], "left")
     own = by_day.select("source_id", "type", F.col("date").alias("cowrie_date"), "day")
@@ -60,3 +60,14 @@ def page_checks(entries: DataFrame, totals: DataFrame) -> DataFrame:
     t = t.withColumn("computed", F.coalesce(F.when(scoped, F.coalesce("day", F.lit(0))).otherwise(F.col("page")), F.lit(0)))
     t = t.withColumn("difference", F.col("amount") - F.col("computed"))
     return t.withColumn("ok", F.abs("difference") <= F.greatest(F.lit(25), half_up(F.col("amount") * 0.005))).drop("dates", "page", "day")
+
+
+def checks_rollup(checks: DataFrame, sources: DataFrame) -> DataFrame:
+    """Checks of each trader's confirmed pages: ``checks_passed``, ``checks_total`` and ``pages_passing`` (with a check that holds)."""
+    confirmed = sources.where(F.col("confirmed_at").isNotNull()).select("trader_id", F.col("id").alias("source_id"))
+    return checks.join(confirmed, "source_id").groupBy("trader_id").agg(F.count_if("ok").alias("checks_passed"), F.count("*").alias("checks_total"), F.count_distinct(F.when(F.col("ok"), F.col("source_id"))).alias("pages_passing"))
+
+
+def failing_checks(checks: DataFrame, sources: DataFrame) -> DataFrame:
+    """The checks of confirmed pages that do not hold."""
+    return checks.where("NOT ok").join(sources.where(F.col("confirmed_at").isNotNull()).select("trader_id", F.col("id").alias("source_id")), "source_id")

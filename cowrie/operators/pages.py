@@ -17,6 +17,10 @@ LIVE = BLOCKING
 
 TEXTS = {"rawText": "", "kind": "other", "description": "", "date": "", "dateText": "", "unit": ""}
 NUMBERS = ("quantity", "unitPrice", "amount", "confidence")
+# Fields of a transaction, and kinds of money movements.
+PAYMENT_TEXTS = ("rawText", "direction", "kind", "date", "dateText", "time", "ref", "counterparty", "provider")
+PAYMENT_NUMBERS = ("amount", "fee", "balance", "confidence")
+PAYMENT_KINDS = ("received", "payment_in", "deposit", "sent", "payment_out", "withdrawal")
 
 
 def strip_fences(text: Column) -> Column:
@@ -36,22 +40,55 @@ def _number(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "double"), parse_amount(text).cast("double"), F.translate(text, ",", ".").try_cast("double"), F.lit(0.0))
 
 
-def decode_pages(df: DataFrame, json: str = "json") -> DataFrame:
-    """Append ``readable``, ``page_date_text``, ``page_date_guess`` and ``lines`` (variants).
+def _decode(df: DataFrame, json: str, field: str, most: int | None) -> DataFrame:
+    """Append ``cowrie_v`` (the document), ``readable``, ``lines`` (the variants of a list field) and ``dropped``."""
+    own, none = F.col("cowrie_v"), F.array().cast("array<variant>")
+    t = df.withColumn("cowrie_v", F.try_parse_json(strip_fences(F.col(json))))
+    t = t.withColumn("readable", F.coalesce(F.schema_of_variant(own).startswith("OBJECT"), F.lit(False)))
+    listed = F.coalesce(F.try_variant_get(own, f"$.{field}", "array<variant>"), none)
+    sound = F.forall(listed, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
+    t = t.withColumn("lines", F.when(F.col("readable") & sound, listed).otherwise(none))
+    if most is None:
+        return t.withColumn("dropped", F.lit(0))
+    return t.withColumn("dropped", F.greatest(F.size("lines") - most, F.lit(0))).withColumn("lines", F.slice("lines", 1, most))
+
+
+def decode_pages(df: DataFrame, json: str = "json", most: int | None = MAX_LINES) -> DataFrame:
+    """Append ``readable``, ``page_date_text``, ``page_date_guess``, ``lines`` (variants) and ``dropped``.
 
     Text that is not a JSON object is not readable and has no lines. A field of
     the wrong type takes its default; one line that is not an object empties
-    the list; at most ``MAX_LINES`` lines are kept, as readers are told to write.
+    the list. At most ``most`` lines of a page are kept, as readers are told to
+    write (null: all); ``dropped`` counts the others.
     """
-    v = F.try_parse_json(strip_fences(F.col(json)))
-    t = df.withColumn("cowrie_v", v)
-    kind = F.schema_of_variant(F.col("cowrie_v"))
-    t = t.withColumn("readable", F.coalesce(kind.startswith("OBJECT"), F.lit(False)))
     own = F.col("cowrie_v")
-    lines = F.coalesce(F.try_variant_get(own, "$.lines", "array<variant>"), F.array().cast("array<variant>"))
-    sound = F.forall(lines, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
-    kept = F.when(F.col("readable") & sound, F.slice(lines, 1, MAX_LINES)).otherwise(F.array().cast("array<variant>"))
-    return t.withColumn("page_date_text", _text(own, "$.pageDateText", "")).withColumn("page_date_guess", _text(own, "$.pageDate", "")).withColumn("lines", kept).drop("cowrie_v")
+    t = _decode(df, json, "lines", most)
+    return t.withColumn("page_date_text", _text(own, "$.pageDateText", "")).withColumn("page_date_guess", _text(own, "$.pageDate", "")).drop("cowrie_v")
+
+
+def read_payments(screens: DataFrame, page: str = "page_id", json: str = "json", today: str = "today", most: int | None = MAX_LINES) -> DataFrame:
+    """Every transaction of reader output about mobile-money screens, and why one cannot be used.
+
+    ``reason`` is no_amount, no_direction or no_date, tried in this order, null
+    for a sound one. A kind that is not known follows from the direction; values
+    outside a field's list count as unknown; fees and balances that are not
+    positive, empty references and ill-formed times are null.
+    """
+    t = _decode(screens, json, "transactions", most).select(F.col(page).alias("page_id"), as_date(F.col(today)).alias("today"), F.posexplode("lines").alias("pos", "v"))
+    v = F.col("v")
+    t = t.withColumns({f"v_{k}": _text(v, f"$.{k}", "") for k in PAYMENT_TEXTS} | {f"v_{k}": _number(v, f"$.{k}") for k in PAYMENT_NUMBERS} | {"box": normalize_box(F.try_variant_get(v, "$.box", "array<double>"))})
+    one_of = lambda c, known: F.when(F.col(c).isin(*known), F.col(c)).otherwise(F.lit("unknown"))
+    t = t.withColumn("direction", one_of("v_direction", ("in", "out"))).withColumn("v_kind", one_of("v_kind", PAYMENT_KINDS)).withColumn("provider", one_of("v_provider", ("mtn", "orange")))
+    t = t.withColumn("amount", half_up(F.col("v_amount"))).withColumn("date", resolve_date(F.col("v_dateText"), F.col("v_date"), F.col("today")))
+    reason = F.when(F.col("amount") <= 0, "no_amount").when(F.col("direction") == "unknown", "no_direction").when(F.col("date").isNull(), "no_date")
+    positive = lambda c: F.when(F.col(c) > 0, half_up(F.col(c)))
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    time = F.when(F.trim("v_time").rlike(r"^\d{1,2}:\d{2}$"), F.lpad(F.trim("v_time"), 5, "0"))
+    kind = F.when(F.col("v_kind") != "unknown", F.col("v_kind")).when(F.col("direction") == "in", "received").when(F.col("direction") == "out", "sent").otherwise("unknown")
+    return t.select(
+        "page_id", "pos", reason.alias("reason"), "provider", "direction", kind.alias("kind"), "amount", positive("v_fee").alias("fee"), positive("v_balance").alias("balance"), "date", time.alias("time"),
+        F.upper(filled("v_ref")).alias("ref"), filled("v_counterparty").alias("counterparty"), F.left(collapse_spaces(F.col("v_rawText")), F.lit(400)).alias("raw"), "box", normalize_confidence(F.col("v_confidence")).alias("confidence"),
+    )
 
 
 def date_flags(date: Column, today: Column) -> Column:
@@ -74,12 +111,12 @@ def needs_attention(status: Column, flags: Column, date: Column, amount: Column,
     return (status == "pending") & F.arrays_overlap(live_flags(flags, date, amount, today), F.array(*[F.lit(x) for x in ATTENTION]))
 
 
-def read_lines(pages: DataFrame, page: str = "page_id", json: str = "json", today: str = "today") -> DataFrame:
+def read_lines(pages: DataFrame, page: str = "page_id", json: str = "json", today: str = "today", most: int | None = MAX_LINES) -> DataFrame:
     """Every line of every page with its resolved date, amount and ``role`` (header, total, entry or other).
 
     ``date`` is the last date written at or above the line, else the page's.
     """
-    decoded = decode_pages(pages, json)
+    decoded = decode_pages(pages, json, most)
     now = F.col("today")
     t = decoded.select(F.col(page).alias("page_id"), as_date(F.col(today)).alias("today"), "page_date_text", "page_date_guess", F.posexplode("lines").alias("pos", "v"))
     v = F.col("v")

@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cowrie.functions.dates import iso_weekday, week_start
+from cowrie.functions.dates import each_day, iso_weekday, week_start
 from cowrie.functions.numbers import half_up
 from cowrie.functions.text import clean_label, normalize_item
+from cowrie.operators import duplicates, strength
+from cowrie.operators import ledger as ledgers
+from cowrie.operators import payments as matching
 
 
 def daily(lines: DataFrame) -> DataFrame:
@@ -33,6 +36,20 @@ def period(days: DataFrame) -> DataFrame:
     return p.withColumn("days", F.datediff("end", "start") + 1).withColumn("weeks", weeks)
 
 
+def calendar(days: DataFrame) -> DataFrame:
+    """One row for each day of each trader's period, with its sums; days without records have zeros."""
+    spine = period(days).select("trader_id", F.explode(each_day(F.col("start"), F.col("end"))).alias("date"))
+    return spine.join(days, ["trader_id", "date"], "left").na.fill(0)
+
+
+def headline(days: DataFrame) -> DataFrame:
+    """Period, totals, net and what a day with sales brings, per trader."""
+    sums = days.groupBy("trader_id").agg(F.sum("sales").alias("sales"), F.sum("expenses").alias("expenses"), F.count_if(F.col("sale_lines") > 0).alias("active_days"))
+    out = period(days).join(sums, "trader_id").withColumn("net", F.col("sales") - F.col("expenses"))
+    a_day = F.when(F.col("active_days") > 0, half_up(F.col("sales") / F.col("active_days"))).otherwise(F.lit(0))
+    return out.withColumn("avg_per_active_day", a_day).withColumn("active_days_per_week", half_up(F.col("active_days") / (F.col("days") / 7), 1))
+
+
 def weeks(days: DataFrame) -> DataFrame:
     """One row per trader and week of its period, weeks without records included.
 
@@ -122,7 +139,7 @@ def performance(by_week: DataFrame) -> DataFrame:
     pct = F.when((F.col("full_weeks") >= 4) & (F.col("mean") > 0), half_up(F.coalesce("slope", F.lit(0.0)) * 4 / F.col("mean"), 3))
     cv = F.when(F.col("full_weeks") >= 3, half_up(F.when(F.col("mean") > 0, F.col("spread") / F.col("mean")).otherwise(F.lit(0.0)), 3))
     c = F.col("cv")
-    label = F.when(c < 0.15, "very_steady").when(c < 0.3, "steady").when(c < 0.5, "variable").when(c.isNotNull(), "irregular")
+    label = F.when(c < 0.15, "very_steady").when(c < 0.3, "steady").when(c < 0.5, "variable").when(c.isNotNull(), "volatile")
     long = F.col("full_weeks") >= 8
     got = got.withColumn("trend_pct", pct).withColumn("trend", F.when(pct > 0.05, "growing").when(pct < -0.05, "declining").when(pct.isNotNull(), "stable")).withColumn("cv", cv).withColumn("consistency", label)
     got = got.withColumn("recent_avg", F.when(long, half_up(F.col("recent")))).withColumn("previous_avg", F.when(long, half_up(F.col("previous"))))
@@ -139,3 +156,60 @@ def evidence(lines: DataFrame) -> DataFrame:
     )
     kept = F.filter(metrics, lambda m: (m["metric"] != "item") | (F.col("type") == "sale"))
     return lines.select("trader_id", F.col("id").alias("entry_id"), F.inline(kept))
+
+
+def best_weekday(by_weekday: DataFrame) -> DataFrame:
+    """The weekday with the highest mean of each trader, the first on ties."""
+    return by_weekday.groupBy("trader_id").agg(F.max_by("weekday", F.struct("average", -F.col("weekday"))).alias("weekday"), F.max("average").alias("average"))
+
+
+def counts(ledger: DataFrame, sources: DataFrame, payments: DataFrame) -> DataFrame:
+    """Twelve counters of each trader.
+
+    ``ledger`` has ``bucket``, ``origin`` and ``original``; ``sources`` kind, status and
+    ``confirmed_at``; ``payments`` ``duplicate_of``. A trader of any of them has a row.
+    """
+    bucket = lambda name: F.count_if(F.col("bucket") == name)
+    counted = F.col("bucket") == "counted"
+    lines = ledger.groupBy("trader_id").agg(
+        bucket("counted").alias("entries_counted"), bucket("pending").alias("entries_pending"), bucket("rejected").alias("entries_rejected"), bucket("repeated").alias("excluded_duplicates"),
+        F.count_if(counted & F.col("original").isNotNull()).alias("corrections"), F.count_if(counted & (F.col("origin") == "trader")).alias("trader_added"),
+    )
+    page = F.col("kind").isin("notebook", "receipt")
+    read = page & (F.col("status") == "read")
+    pages = sources.groupBy("trader_id").agg(F.count_if(page).alias("pages"), F.count_if(read).alias("pages_read"), F.count_if(read & F.col("confirmed_at").isNotNull()).alias("pages_confirmed"))
+    again = F.col("duplicate_of").isNotNull()
+    momo = payments.groupBy("trader_id").agg(F.count_if(~again).alias("momo"), F.count_if(again).alias("momo_duplicates"))
+    out = lines.join(pages, "trader_id", "full").join(momo, "trader_id", "full").na.fill(0)
+    return out.withColumn("pages_awaiting_review", F.col("pages_read") - F.col("pages_confirmed"))
+
+
+def integrity(events: DataFrame) -> DataFrame:
+    """Photos that were blocked as copies, and copies of another trader's photos, per trader; ``events`` has type and cross_trader."""
+    blocked = F.col("type") == "photo_duplicate_blocked"
+    across = F.col("type").isin("photo_duplicate_blocked", "photo_duplicate_flagged") & F.coalesce("cross_trader", F.lit(False))
+    return events.groupBy("trader_id").agg(F.count_if(blocked).alias("blocked_duplicates"), F.count_if(across).alias("cross_trader"))
+
+
+def build_profile(traders: DataFrame, entries: DataFrame, sources: DataFrame, payments: DataFrame, events: DataFrame, totals: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """One row per trader: period, headline figures, trend, counters, checks, corroboration, strength and grade.
+
+    Lines, weeks and other lists stay tables of their own (``weeks``, ``months``,
+    ``items``, ``weekdays``, ``evidence``), so no row grows with the data. Traders
+    without counted lines have null periods and zeros.
+    """
+    rows = ledgers.build_ledger(entries, sources, repeated)
+    counted = rows.where("bucket = 'counted'")
+    days = daily(counted)
+    marked = duplicates.mark_payment_duplicates(payments)
+    spans = period(days).select("trader_id", "start", "end")
+    sold = counted.where("type = 'sale'")
+    inflows = matching.classify(marked.where("duplicate_of IS NULL"), spans).where("class = 'inflow'")
+    rates = matching.corroboration_metrics(matching.corroborate(sold.withColumn("ord", F.col("id")), inflows), sold)
+    checks = ledgers.checks_rollup(ledgers.page_checks(entries, totals), sources)
+    out = traders.select("trader_id").join(headline(days), "trader_id", "left").join(performance(weeks(days)).withColumnRenamed("consistency", "steadiness"), "trader_id", "left")
+    out = out.join(rates.drop("sales"), "trader_id", "left").join(counts(rows, sources, marked), "trader_id", "left").join(checks, "trader_id", "left").join(integrity(events), "trader_id", "left")
+    given = {"counted": "entries_counted", "confirmed": "entries_counted", "pending": "entries_pending", "rate": "rate_amount", "duplicate_lines": "excluded_duplicates"}
+    numbers = [f.name for f in out.schema if f.dataType.typeName() in ("long", "integer", "double") and f.name not in ("trader_id", "trend_pct", "cv", "recent_avg", "previous_avg")]
+    out = out.na.fill(0, numbers).withColumns({k: F.col(v) for k, v in given.items()}).fillna("none", ["basis"])
+    return strength.evidence_strength(out).drop(*given)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cowrie.functions.dates import parse_loose_date
 from cowrie.functions.numbers import group_thousands, parse_amount
 from cowrie.functions.text import NOISE, UNIT_WORDS, matches_search
-from cowrie.operators import duplicates, ledger, messages, pages, payments, privacy, profile, strength, views
+from cowrie.operators import changes, duplicates, ledger, messages, pages, payments, privacy, profile, strength, views
 from cowrie.sources import adapters as a
 
 TODAY = "2001-06-30"
@@ -46,15 +46,15 @@ i AS (SELECT *, CASE WHEN full_weeks >= 4 AND mean > 0 THEN floor(COALESCE(slope
   CASE WHEN full_weeks >= 3 THEN floor(CASE WHEN mean > 0 THEN spread / mean ELSE 0 END * 1000 + 0.5) / 1000 END AS cv FROM h),
 perf AS (SELECT trader_id, weeks_span, recorded_weeks, full_weeks, basis_weeks, avg_weekly, median_weekly, best_week, trend_pct,
   CASE WHEN trend_pct > 0.05 THEN 'growing' WHEN trend_pct < -0.05 THEN 'declining' WHEN trend_pct IS NOT NULL THEN 'stable' END AS trend, cv,
-  CASE WHEN cv < 0.15 THEN 'very_steady' WHEN cv < 0.3 THEN 'steady' WHEN cv < 0.5 THEN 'variable' WHEN cv IS NOT NULL THEN 'irregular' END AS consistency,
+  CASE WHEN cv < 0.15 THEN 'very_steady' WHEN cv < 0.3 THEN 'steady' WHEN cv < 0.5 THEN 'variable' WHEN cv IS NOT NULL THEN 'volatile' END AS consistency,
   CASE WHEN full_weeks >= 8 THEN floor(recent + 0.5)::BIGINT END AS recent_avg, CASE WHEN full_weeks >= 8 THEN floor(previous + 0.5)::BIGINT END AS previous_avg,
   CASE WHEN full_weeks > 0 THEN 'full' WHEN recorded_weeks > 0 THEN 'partial' ELSE 'none' END AS basis FROM i)"""
 
 _S = "s AS (SELECT user_id AS trader_id, event_id AS id, CAST(ts AS DATE) AS date, CAST(floor(value + 0.5) AS BIGINT) AS amount FROM events WHERE event_type IN ('purchase', 'click') AND floor(value + 0.5) > 0)"
 _P = """p0 AS (SELECT user_id AS trader_id, event_id AS id, CASE WHEN event_type = 'error' THEN 'out' ELSE 'in' END AS direction, CASE event_type WHEN 'view' THEN 'received' WHEN 'signup' THEN 'deposit' ELSE 'sent' END AS kind,
   CAST(floor(value + 0.5) AS BIGINT) AS amount, CAST(ts AS DATE) AS date, strftime(ts, '%H:%M') AS time, props AS raw FROM events WHERE event_type IN ('view', 'signup', 'error') AND floor(value + 0.5) > 0)"""
-_K = f"""{_S}, {_P}, span AS (SELECT trader_id, MIN(date) AS a, MAX(date) AS b FROM s GROUP BY ALL),
-inflow AS (SELECT p0.trader_id, id, p0.date, time, amount FROM p0 JOIN span USING (trader_id) WHERE kind = 'received' AND date BETWEEN a - 1 AND b + 1),
+_MATCH = """span AS (SELECT trader_id, MIN(date) AS a, MAX(date) AS b FROM counted GROUP BY ALL),
+inflow AS (SELECT p0.trader_id, id, p0.date, time, amount FROM p0 JOIN span USING (trader_id) WHERE direction = 'in' AND kind IN ('received', 'payment_in', 'unknown') AND date BETWEEN a - 1 AND b + 1),
 pk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY trader_id, date, amount ORDER BY time, id) AS k FROM inflow),
 sk AS (SELECT trader_id, date, amount, id AS entry_id, ROW_NUMBER() OVER (PARTITION BY trader_id, date, amount ORDER BY id) AS k FROM s),
 cap AS (SELECT trader_id, date, SUM(amount)::BIGINT AS cap FROM s GROUP BY ALL),
@@ -64,13 +64,14 @@ k2 AS (SELECT *, cap - COALESCE(SUM(amount) FILTER (entry_id IS NOT NULL) OVER (
 k3 AS (SELECT *, entry_id IS NULL AND run <= room AS covered FROM k2),
 used AS (SELECT trader_id, date, SUM(amount)::BIGINT AS spent FROM k3 WHERE entry_id IS NOT NULL OR covered GROUP BY ALL),
 rest AS (SELECT cap.trader_id, cap.date AS nd, cap - COALESCE(spent, 0) AS rest FROM cap LEFT JOIN used USING (trader_id, date)),
-k4 AS (SELECT *, CASE WHEN entry_id IS NULL AND NOT covered THEN CASE WHEN substr(time, 1, 2)::INT >= 20 THEN date + 1 WHEN substr(time, 1, 2)::INT < 7 THEN date - 1 END END AS nd FROM k3),
+k4 AS (SELECT *, CASE WHEN entry_id IS NULL AND NOT covered THEN CASE WHEN TRY_CAST(substr(time, 1, 2) AS INT) >= 20 THEN date + 1 WHEN TRY_CAST(substr(time, 1, 2) AS INT) < 7 THEN date - 1 END END AS nd FROM k3),
 k5 AS (SELECT k4.*, rest.rest, SUM(amount) OVER (PARTITION BY k4.trader_id, k4.nd ORDER BY amount, time, id ROWS UNBOUNDED PRECEDING) AS run3 FROM k4 LEFT JOIN rest ON k4.trader_id = rest.trader_id AND k4.nd = rest.nd),
 m AS (SELECT trader_id, id, date, time, amount, entry_id, CASE WHEN entry_id IS NOT NULL THEN 'exact' WHEN covered THEN 'covered' WHEN nd IS NOT NULL AND COALESCE(run3 <= rest, FALSE) THEN 'adjacent' END AS matched, cap = 0 AS closed_day FROM k5),
 km AS (SELECT trader_id, COUNT(*) AS inflows, COUNT(matched) AS corroborated, SUM(amount)::BIGINT AS inflow_amount, COALESCE(SUM(amount) FILTER (matched IS NOT NULL), 0)::BIGINT AS corroborated_amount,
   COUNT(DISTINCT CASE WHEN matched IS NULL AND closed_day THEN date END) AS days_without_records FROM m GROUP BY trader_id),
 kr AS (SELECT km.*, COALESCE(t.sales, 0) AS sales, corroborated::DOUBLE / inflows AS rate_count, corroborated_amount::DOUBLE / inflow_amount AS rate_amount, CASE WHEN t.sales > 0 THEN corroborated_amount::DOUBLE / t.sales ELSE 0 END AS share_of_sales
-  FROM km LEFT JOIN (SELECT trader_id, SUM(amount)::BIGINT AS sales FROM s GROUP BY ALL) t USING (trader_id)),
+  FROM km LEFT JOIN (SELECT trader_id, SUM(amount)::BIGINT AS sales FROM s GROUP BY ALL) t USING (trader_id))"""
+_K = f"""{_S}, {_P}, counted AS (SELECT * FROM s), {_MATCH},
 dup AS (SELECT id, trader_id, CASE WHEN id <> MIN(id) OVER w THEN MIN(id) OVER w END AS duplicate_of FROM p0 WINDOW w AS (PARTITION BY trader_id, direction, amount, date, time))"""
 
 
@@ -195,38 +196,98 @@ def payment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.payment_status(marked, _matched(spark, sf_dir)[0]).select("id", "trader_id", "payment_status")
 
 
-_STRENGTH = f"""{_K}, d AS (SELECT trader_id, date, SUM(amount)::BIGINT AS sales, 0::BIGINT AS expenses, COUNT(*) AS lines, COUNT(*) AS sale_lines FROM s GROUP BY ALL), {_weeks_sql('d').replace('p AS', 'pp AS').replace('FROM p)', 'FROM pp)')}, {_PERF},
-n AS (SELECT trader_id, COUNT(*) AS counted FROM s GROUP BY ALL), dd AS (SELECT trader_id, COUNT(duplicate_of) AS duplicate_lines FROM dup GROUP BY ALL),
-v AS (SELECT n.trader_id, counted, COALESCE(duplicate_lines, 0) AS dups, COALESCE(inflows, 0) AS inflows, COALESCE(rate_count, 0) AS rate_count, weeks_span, recorded_weeks, full_weeks FROM n JOIN perf USING (trader_id) LEFT JOIN kr USING (trader_id) LEFT JOIN dd USING (trader_id)),
-x AS (SELECT trader_id, LEAST(1, recorded_weeks::DOUBLE / weeks_span * LEAST(1, full_weeks / 8)) AS coverage, 1.0::DOUBLE AS verification, LEAST(1, rate_count * LEAST(1, inflows / 3)) AS corroboration, 0.5::DOUBLE AS consistency, GREATEST(0, 1.0::DOUBLE - LEAST(0.5::DOUBLE, dups::DOUBLE / counted * 5)) AS integrity FROM v),
-y AS (SELECT trader_id, floor(coverage * 1000 + 0.5) / 1000 AS coverage, verification, floor(corroboration * 1000 + 0.5) / 1000 AS corroboration, consistency, floor(integrity * 1000 + 0.5) / 1000 AS integrity FROM x),
-st AS (SELECT *, floor(coverage * 25 + verification * 25 + corroboration * 25 + consistency * 15 + integrity * 10 + 0.5)::BIGINT AS score FROM y),
-sg AS (SELECT *, CASE WHEN score >= 80 THEN 'strong' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair' ELSE 'thin' END AS grade FROM st)"""
-
-
-def _strength(spark, sf_dir):
-    matched, sold = _matched(spark, sf_dir)
-    perf = profile.performance(profile.weeks(profile.daily(sold)))
-    counted = sold.groupBy("trader_id").agg(F.count("*").alias("counted"))
-    again = duplicates.mark_payment_duplicates(a.payments(spark, sf_dir)).groupBy("trader_id").agg(F.count("duplicate_of").alias("duplicate_lines"))
-    rates = payments.corroboration_metrics(matched, sold).select("trader_id", "inflows", "rate_count")
-    inputs = counted.join(perf, "trader_id").join(rates, "trader_id", "left").join(again, "trader_id", "left")
-    inputs = inputs.withColumn("confirmed", F.col("counted")).withColumns({c: F.lit(0) for c in ("pending", "checks_passed", "checks_total", "blocked_duplicates", "cross_trader")})
-    return strength.evidence_strength(inputs), perf
-
-
-@_query(f"WITH {_STRENGTH} SELECT * FROM sg")
+_PROFILE = f"""j AS (SELECT l.*, o_custkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice + 0.5)::BIGINT) AS id, CAST(l_shipdate AS DATE) AS date, CAST(floor(l_extendedprice + 0.5) AS BIGINT) AS amount, CASE WHEN l_returnflag = 'R' THEN 'expense' ELSE 'sale' END AS type, floor(l_quantity)::INT AS q FROM lineitem l JOIN orders ON o_orderkey = l_orderkey),
+e AS (SELECT id, o_custkey AS trader_id, l_orderkey AS source_id, date, amount, type, CASE WHEN l_linestatus = 'O' AND l_linenumber = 7 THEN 'rejected' WHEN l_linestatus = 'O' AND l_linenumber IN (5, 6) THEN 'pending' ELSE 'confirmed' END AS status,
+  l_linenumber = 3 AND l_partkey % 10 = 0 AS added, l_partkey % 7 = 0 AS corrected, l_linenumber = 4 AND q % 10 = 0 AS again FROM j),
+src AS (SELECT o_orderkey AS id, o_custkey AS trader_id, o_orderpriority <> '5-LOW' AS page, o_orderstatus = 'F' AS seen, o_orderstatus = 'F' AND o_orderkey % 3 <> 0 AS confirmed FROM orders),
+led AS (SELECT *, CASE WHEN status <> 'confirmed' THEN status WHEN again THEN 'repeated' WHEN amount > 0 AND date IS NOT NULL THEN 'counted' ELSE 'void' END AS bucket FROM e WHERE source_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority = '1-URGENT')),
+counted AS (SELECT * FROM led WHERE bucket = 'counted'), s AS (SELECT trader_id, id, date, amount FROM counted WHERE type = 'sale'),
+pay AS (SELECT id, o_custkey AS trader_id, CASE WHEN l_returnflag = 'R' THEN 'out' ELSE 'in' END AS direction, CASE WHEN l_returnflag = 'R' THEN 'sent' WHEN l_returnflag = 'A' THEN 'received' WHEN l_partkey % 5 = 0 THEN 'deposit' ELSE 'payment_in' END AS kind,
+  CASE WHEN q % 2 = 1 THEN amount WHEN q % 4 = 0 THEN amount - 1 ELSE amount + 1 END AS amount, CASE WHEN l_partkey % 13 = 0 THEN date - 1 ELSE date END AS date, CASE WHEN l_partkey % 11 <> 0 THEN lpad((l_partkey % 24)::VARCHAR, 2, '0') || ':15' END AS time,
+  CASE WHEN l_partkey % 3 = 0 THEN 'TX' || (l_partkey % 20) END AS ref, l_partkey % 4 AS raw FROM j WHERE l_linenumber = 1),
+pd AS (SELECT *, MIN(id) OVER (PARTITION BY trader_id, CASE WHEN ref IS NOT NULL THEN 'ref:' || ref WHEN time IS NOT NULL THEN concat_ws(':', 'time', direction, amount, date, time) ELSE 'raw:' || raw END) AS owner FROM pay),
+p0 AS (SELECT * REPLACE (COALESCE(time, '') AS time) FROM pd WHERE owner = id), {_MATCH},
+d AS (SELECT trader_id, date, COALESCE(SUM(amount) FILTER (type = 'sale'), 0)::BIGINT AS sales, COALESCE(SUM(amount) FILTER (type <> 'sale'), 0)::BIGINT AS expenses, COUNT(*) AS lines, COUNT(*) FILTER (type = 'sale') AS sale_lines FROM counted GROUP BY ALL),
+{_weeks_sql('d')}, {_PERF},
+hd AS (SELECT trader_id, MIN(date) AS a, MAX(date) AS b, SUM(sales)::BIGINT AS sales, SUM(expenses)::BIGINT AS expenses, COUNT(*) FILTER (sale_lines > 0) AS active_days FROM d GROUP BY ALL),
+lc AS (SELECT trader_id, COUNT(*) FILTER (bucket = 'counted') AS entries_counted, COUNT(*) FILTER (bucket = 'pending') AS entries_pending, COUNT(*) FILTER (bucket = 'rejected') AS entries_rejected, COUNT(*) FILTER (bucket = 'repeated') AS excluded_duplicates,
+  COUNT(*) FILTER (bucket = 'counted' AND corrected) AS corrections, COUNT(*) FILTER (bucket = 'counted' AND added) AS trader_added FROM led GROUP BY ALL),
+sc AS (SELECT trader_id, COUNT(*) FILTER (page) AS pages, COUNT(*) FILTER (page AND seen) AS pages_read, COUNT(*) FILTER (page AND confirmed) AS pages_confirmed FROM src GROUP BY ALL),
+mc AS (SELECT trader_id, COUNT(*) FILTER (owner = id) AS momo, COUNT(*) FILTER (owner <> id) AS momo_duplicates FROM pd GROUP BY ALL),
+wt AS (SELECT source_id, SUM(amount)::BIGINT + CASE WHEN source_id % 5 = 0 THEN 1000 ELSE 0 END AS written, COALESCE(SUM(amount) FILTER (status <> 'rejected' AND amount > 0), 0)::BIGINT AS computed FROM e WHERE type = 'sale' GROUP BY source_id),
+wc AS (SELECT trader_id, source_id, abs(written - computed) <= GREATEST(25, floor(written * 0.005 + 0.5)) AS ok FROM wt JOIN src ON src.id = source_id WHERE confirmed),
+cc AS (SELECT trader_id, COUNT(*) FILTER (ok) AS checks_passed, COUNT(*) AS checks_total, COUNT(DISTINCT CASE WHEN ok THEN source_id END) AS pages_passing FROM wc GROUP BY ALL),
+ic AS (SELECT o_custkey AS trader_id, COUNT(*) FILTER (o_orderpriority <> '1-URGENT') AS blocked_duplicates, COUNT(*) FILTER (o_orderkey % 40 = 0) AS cross_trader FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL),
+z AS (SELECT c_custkey AS trader_id, a AS start, b AS "end", COALESCE(b - a + 1, 0)::INTEGER AS days, COALESCE((date_trunc('week', b)::DATE - date_trunc('week', a)::DATE) // 7 + 1, 0)::INTEGER AS weeks,
+  COALESCE(hd.sales, 0) AS sales, COALESCE(expenses, 0) AS expenses, COALESCE(active_days, 0) AS active_days, COALESCE(hd.sales - expenses, 0) AS net, CASE WHEN active_days > 0 THEN floor(hd.sales / active_days + 0.5)::BIGINT ELSE 0 END AS avg_per_active_day,
+  COALESCE(floor(active_days / ((b - a + 1) / 7) * 10 + 0.5) / 10, 0) AS active_days_per_week, COALESCE(weeks_span, 0) AS weeks_span, COALESCE(recorded_weeks, 0) AS recorded_weeks, COALESCE(full_weeks, 0) AS full_weeks, COALESCE(basis_weeks, 0) AS basis_weeks,
+  COALESCE(avg_weekly, 0) AS avg_weekly, COALESCE(median_weekly, 0) AS median_weekly, best_week, trend_pct, trend, cv, consistency AS steadiness, recent_avg, previous_avg, COALESCE(basis, 'none') AS basis,
+  COALESCE(inflows, 0) AS inflows, COALESCE(corroborated, 0) AS corroborated, COALESCE(inflow_amount, 0) AS inflow_amount, COALESCE(corroborated_amount, 0) AS corroborated_amount, COALESCE(days_without_records, 0) AS days_without_records,
+  COALESCE(rate_count, 0) AS rate_count, COALESCE(rate_amount, 0) AS rate_amount, COALESCE(share_of_sales, 0)::DOUBLE AS share_of_sales, COALESCE(entries_counted, 0) AS entries_counted, COALESCE(entries_pending, 0) AS entries_pending, COALESCE(entries_rejected, 0) AS entries_rejected,
+  COALESCE(excluded_duplicates, 0) AS excluded_duplicates, COALESCE(corrections, 0) AS corrections, COALESCE(trader_added, 0) AS trader_added, COALESCE(pages, 0) AS pages, COALESCE(pages_read, 0) AS pages_read, COALESCE(pages_confirmed, 0) AS pages_confirmed, COALESCE(momo, 0) AS momo,
+  COALESCE(momo_duplicates, 0) AS momo_duplicates, COALESCE(pages_read - pages_confirmed, 0) AS pages_awaiting_review, COALESCE(checks_passed, 0) AS checks_passed, COALESCE(checks_total, 0) AS checks_total, COALESCE(pages_passing, 0) AS pages_passing,
+  COALESCE(blocked_duplicates, 0) AS blocked_duplicates, COALESCE(cross_trader, 0) AS cross_trader
+  FROM customer LEFT JOIN hd ON hd.trader_id = c_custkey LEFT JOIN perf ON perf.trader_id = c_custkey LEFT JOIN kr ON kr.trader_id = c_custkey LEFT JOIN lc ON lc.trader_id = c_custkey LEFT JOIN sc ON sc.trader_id = c_custkey LEFT JOIN mc ON mc.trader_id = c_custkey LEFT JOIN cc ON cc.trader_id = c_custkey LEFT JOIN ic ON ic.trader_id = c_custkey),
+x AS (SELECT *, CASE WHEN weeks_span > 0 THEN recorded_weeks::DOUBLE / weeks_span * LEAST(1.0::DOUBLE, full_weeks::DOUBLE / 8) ELSE 0 END AS v1, CASE WHEN entries_counted + entries_pending > 0 THEN entries_counted::DOUBLE / (entries_counted + entries_pending) ELSE 0 END AS v2,
+  rate_amount * LEAST(1.0::DOUBLE, inflows::DOUBLE / 3) AS v3, CASE WHEN checks_total > 0 THEN checks_passed::DOUBLE / checks_total ELSE 0.5 END AS v4,
+  1 - 0.1::DOUBLE * blocked_duplicates - 0.5::DOUBLE * cross_trader - LEAST(0.5::DOUBLE, CASE WHEN entries_counted > 0 THEN excluded_duplicates::DOUBLE / entries_counted ELSE 0 END * 5) AS v5 FROM z),
+y AS (SELECT * EXCLUDE (v1, v2, v3, v4, v5), floor(LEAST(1, GREATEST(0, v1)) * 1000 + 0.5) / 1000 AS coverage, floor(LEAST(1, GREATEST(0, v2)) * 1000 + 0.5) / 1000 AS verification, floor(LEAST(1, GREATEST(0, v3)) * 1000 + 0.5) / 1000 AS corroboration,
+  floor(LEAST(1, GREATEST(0, v4)) * 1000 + 0.5) / 1000 AS consistency, floor(LEAST(1, GREATEST(0, v5)) * 1000 + 0.5) / 1000 AS integrity FROM x),
+sg AS (SELECT *, CASE WHEN score >= 80 THEN 'strong' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair' ELSE 'thin' END AS grade FROM
+  (SELECT *, CASE WHEN entries_counted > 0 THEN floor(coverage * 25 + verification * 25 + corroboration * 25 + consistency * 15 + integrity * 10 + 0.5)::BIGINT ELSE 0 END AS score FROM y))"""
+
+
+def _profile(spark, sf_dir):
+    return profile.build_profile(**a.bundle(spark, sf_dir))
+
+
+@_query(f"WITH {_PROFILE} SELECT * FROM sg")
+def trader_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of every trader: figures, counters, checks, corroboration and strength."""
+    return _profile(spark, sf_dir)
+
+
+@_query(f"WITH {_PROFILE} SELECT trader_id, coverage, verification, corroboration, consistency, integrity, score, grade FROM sg")
 def evidence_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strength of the evidence behind each trader's sales."""
-    return _strength(spark, sf_dir)[0].select("trader_id", *strength.WEIGHTS, "score", "grade")
+    return _profile(spark, sf_dir).select("trader_id", *strength.WEIGHTS, "score", "grade")
 
 
-@_query(f"""WITH {_STRENGTH}, u AS (SELECT user_id AS trader_id, MAX(ts) AS last_activity FROM events GROUP BY ALL)
-SELECT u.trader_id, COALESCE(avg_weekly, 0) AS avg_weekly, trend, COALESCE(score, 0) AS score, COALESCE(grade, 'thin') AS grade, last_activity FROM u LEFT JOIN perf USING (trader_id) LEFT JOIN sg USING (trader_id)""")
+@_query(f"""WITH {_PROFILE}, u AS (SELECT o_custkey AS trader_id, MAX(o_orderdate) AS last_activity FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL)
+SELECT sg.trader_id, avg_weekly, trend, score, grade, last_activity FROM sg LEFT JOIN u USING (trader_id)""")
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, perf = _strength(spark, sf_dir)
-    events = a.table(spark, sf_dir, "events").select(F.col("user_id").alias("trader_id"), F.col("ts").alias("at"))
-    return views.portfolio(events.select("trader_id").distinct(), perf, scored, events)
+    """Headline figures of every trader and the last event."""
+    b, found = a.bundle(spark, sf_dir), _profile(spark, sf_dir)
+    return views.portfolio(b["traders"], found, found, b["events"])
+
+
+@_query(r"""WITH l AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice + 0.5)::BIGINT) AS id, floor(l_quantity)::INT % 10 AS k, CAST(l_shipdate AS DATE) AS d0, CAST(floor(l_extendedprice + 0.5) AS BIGINT) AS a0, CASE WHEN l_returnflag = 'R' THEN 'expense' ELSE 'sale' END AS t0,
+  CASE WHEN l_linenumber = 7 THEN 'rejected' WHEN l_linenumber IN (1, 5, 6) THEN 'pending' ELSE 'confirmed' END AS s0, l_linenumber IN (2, 3, 4) AS was_confirmed, CASE WHEN l_partkey % 4 = 0 THEN 500 ELSE 30 END AS ahead FROM lineitem),
+v AS (SELECT *, CASE WHEN k = 7 AND l_partkey % 2 = 0 THEN d0 - 3 WHEN k = 7 THEN NULL ELSE d0 END AS d1, CASE k WHEN 4 THEN 0 WHEN 5 THEN a0 + 10 ELSE a0 END AS a1, CASE WHEN k = 3 THEN 'expense' ELSE t0 END AS t1, CASE WHEN k = 3 THEN 'better words' ELSE 'line' END AS w1 FROM l),
+c AS (SELECT *, k < 9 AND k <> 0 AND (d1 IS DISTINCT FROM d0 OR a1 <> a0 OR t1 <> t0 OR w1 <> 'line') AS changed, k = 8 AS empty, list_filter([CASE WHEN d1 IS NULL THEN 'date_missing' WHEN ahead + (d0 - d1) > 400 THEN 'date_out_of_range' END, CASE WHEN a1 <= 0 THEN 'amount_missing' END], lambda f: f IS NOT NULL) AS hard FROM v),
+g AS (SELECT *, CASE WHEN k = 0 THEN 'rejected' WHEN k = 1 THEN 'pending' WHEN k = 2 THEN 'confirmed' WHEN changed THEN CASE WHEN len(hard) = 0 THEN 'confirmed' ELSE 'pending' END WHEN s0 = 'rejected' THEN 'pending' ELSE s0 END AS target FROM c),
+r AS (SELECT *, empty OR (k < 9 AND target = 'confirmed' AND len(hard) > 0 AND k <> 0) AS refused FROM g), f AS (SELECT *, k < 9 AND NOT refused AS go FROM r)
+SELECT id, CASE WHEN go THEN target ELSE s0 END AS status, CASE WHEN go AND changed THEN d1 ELSE d0 END AS date, CASE WHEN go AND changed THEN w1 ELSE 'line' END AS description, CASE WHEN go AND changed THEN a1 ELSE a0 END AS amount, CASE WHEN go AND changed THEN t1 ELSE t0 END AS type,
+  CASE WHEN l_linenumber = 3 THEN 1 WHEN go AND changed AND l_linenumber <> 2 THEN a0 END AS original_amount, CASE WHEN go AND changed THEN array_to_string(hard, ',') WHEN l_linenumber = 5 THEN 'unusual_amount,low_confidence' ELSE '' END AS flags,
+  CASE WHEN go AND target = 'confirmed' THEN CASE WHEN was_confirmed THEN DATE '2001-01-01' ELSE DATE '2002-02-02' END WHEN go THEN NULL WHEN was_confirmed THEN DATE '2001-01-01' END AS confirmed_on, refused,
+  CASE WHEN empty THEN 'empty_patch' WHEN refused THEN array_to_string(hard, ',') ELSE '' END AS issues,
+  array_to_string(list_filter([CASE WHEN go AND k = 0 AND s0 <> 'rejected' THEN 'entry_rejected' END, CASE WHEN go AND k <> 0 AND s0 = 'rejected' THEN 'entry_restored' END, CASE WHEN go AND changed THEN 'entry_corrected' END], lambda f: f IS NOT NULL), ',') AS happened FROM f""")
+def entry_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines after the trader's corrections, each by the rules of review."""
+    rows, wanted = a.patches(spark, sf_dir)
+    t = changes.patch_entries(rows, wanted, F.col("today"), "2002-02-02")
+    words = [F.array_join(c, ",").alias(c) for c in ("flags", "issues", "happened")]
+    return t.select("id", "status", "date", "description", "amount", "type", F.col("original.amount").alias("original_amount"), F.col("confirmed_at").cast("date").alias("confirmed_on"), "refused", *words)
+
+
+@_query("""WITH x AS (SELECT user_id AS page_id, event_id, event_type, CAST(ts AS DATE) AS d, strftime(ts, '%H:%M') AS hm, CAST(floor(value * 100 + 0.5) AS BIGINT) AS a0, event_id % 12 AS k, (ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS pos FROM events),
+y AS (SELECT *, CASE WHEN k = 0 THEN 0 ELSE a0 END AS amount, CASE WHEN k IN (1, 2) THEN 'unknown' WHEN k % 2 = 0 THEN 'in' ELSE 'out' END AS direction, CASE WHEN k <> 7 THEN d END AS date FROM x WHERE page_id % 50 > 1 AND pos < 80)
+SELECT page_id, pos, CASE WHEN amount <= 0 THEN 'no_amount' WHEN direction = 'unknown' THEN 'no_direction' WHEN date IS NULL THEN 'no_date' END AS reason, CASE k WHEN 10 THEN 'mtn' WHEN 11 THEN 'unknown' ELSE 'orange' END AS provider, direction,
+CASE WHEN k IN (3, 4) THEN CASE direction WHEN 'in' THEN 'received' ELSE 'sent' END WHEN k = 5 THEN 'withdrawal' ELSE 'payment_in' END AS kind, amount, CASE WHEN k % 3 = 0 THEN 50 END::BIGINT AS fee, CASE WHEN k % 4 = 0 THEN 1001 END::BIGINT AS balance, date,
+CASE WHEN k = 9 THEN '09:05' WHEN k <> 8 THEN hm END AS time, CASE WHEN k % 2 = 0 THEN 'REF' || event_id END AS ref, 'seen ' || event_type AS raw, CASE WHEN k = 9 THEN 0.5 ELSE 0.8 END::DOUBLE AS confidence FROM y""")
+def payment_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions of reader output in JSON, sound and not."""
+    return pages.read_payments(a.payment_json(spark, sf_dir)).drop("counterparty", "box")
 
 
 @_query("""WITH r AS (SELECT doc_id AS id, source AS trader_id, sha256(text) AS h FROM documents), f AS (SELECT h, MIN(id) AS first_id FROM r WHERE h IS NOT NULL GROUP BY h)

@@ -122,3 +122,85 @@ def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = e.groupBy(F.col("source_id").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("seq", "amount", "date", "type", line.alias("line")))).alias("all"))
     doc = F.struct(F.lit("notebook").alias("document"), F.lit("1 mars 1999").alias("pageDateText"), F.transform("all", lambda x: x["line"]).alias("lines"))
     return grouped.select("page_id", F.to_json(doc).alias("json"), F.lit("2001-06-30").cast("date").alias("today"))
+
+
+def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Customers as traders with all that belongs to them: their orders as pages, order lines, payments, events and written totals.
+
+    Lines and payments vary by the numbers of part, line and quantity, so that
+    every rule of the profile has rows: corrected and added lines, repeated ones,
+    payments that lines, days or neighbouring days back, and totals that hold or not.
+    """
+    o = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("trader_id")), "l_orderkey")
+    part, line, number, date = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.col("l_shipdate").cast("date")
+    amount = half_up(F.col("l_extendedprice"))
+    ident = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", amount).alias("id")
+    kind = F.when(F.col("l_returnflag") == "R", "expense").otherwise("sale")
+    open_ = F.col("l_linestatus") == "O"
+    status = F.when(open_ & (line == 7), "rejected").when(open_ & line.isin(5, 6), "pending").otherwise("confirmed")
+    origin = F.when((line == 3) & (part % 10 == 0), "trader").otherwise("ai")
+    before = F.when(part % 7 == 0, F.struct(date.alias("date"), F.lit("").alias("description"), F.lit(0).cast("long").alias("amount"), F.lit("sale").alias("type")))
+    entries = li.select(ident, "trader_id", F.col("l_orderkey").alias("source_id"), date.alias("date"), amount.alias("amount"), kind.alias("type"), status.alias("status"), origin.alias("origin"), before.alias("original"))
+    repeated = li.where((line == 4) & (number % 10 == 0)).select(ident)
+    paid = F.when(number % 2 == 1, amount).when(number % 4 == 0, amount - 1).otherwise(amount + 1)
+    payments = li.where(line == 1).select(
+        ident, ident.alias("ord"), "trader_id", F.when(F.col("l_returnflag") == "R", "out").otherwise("in").alias("direction"),
+        F.when(F.col("l_returnflag") == "R", "sent").when(F.col("l_returnflag") == "A", "received").when(part % 5 == 0, "deposit").otherwise("payment_in").alias("kind"),
+        paid.alias("amount"), F.when(part % 13 == 0, F.date_sub(date, 1)).otherwise(date).alias("date"),
+        F.when(part % 11 != 0, F.concat(F.lpad((part % 24).cast("string"), 2, "0"), F.lit(":15"))).alias("time"),
+        F.when(part % 3 == 0, F.concat(F.when(number % 2 == 1, "TX").otherwise("tx"), (part % 20).cast("string"))).alias("ref"),
+        F.concat(F.lit("Paid  "), (part % 4).cast("string")).alias("raw"),
+    )
+    key = F.col("o_orderkey")
+    pages = o.select(
+        key.alias("id"), F.col("o_custkey").alias("trader_id"), F.when(F.col("o_orderpriority") == "5-LOW", "message").when(F.col("o_orderpriority") == "2-HIGH", "receipt").otherwise("notebook").alias("kind"),
+        F.when(F.col("o_orderstatus") == "P", "duplicate").when(F.col("o_orderstatus") == "F", "read").otherwise("pending").alias("status"), (F.col("o_orderpriority") == "1-URGENT").alias("duplicate_kept"),
+        F.when((F.col("o_orderstatus") == "F") & (key % 3 != 0), F.col("o_orderdate").cast("timestamp")).alias("confirmed_at"),
+    )
+    found = F.when(F.col("o_orderpriority") == "1-URGENT", "photo_duplicate_flagged").otherwise("photo_duplicate_blocked")
+    events = o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("trader_id"), F.col("o_orderdate").alias("at"), found.alias("type"), (key % 40 == 0).alias("cross_trader"))
+    written = entries.where("type = 'sale'").groupBy("source_id").agg(F.sum("amount").alias("amount"))
+    totals = written.select("source_id", F.lit("sale").alias("type"), F.lit(None).cast("date").alias("date"), (F.col("amount") + F.when(F.col("source_id") % 5 == 0, 1000).otherwise(0)).alias("amount"))
+    traders = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("trader_id"))
+    return {"traders": traders, "entries": entries, "sources": pages, "payments": payments, "events": events, "totals": totals, "repeated": repeated}
+
+
+def patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ledger lines with the day on which they are seen, and one patch for most of them, its shape by their quantity."""
+    li = table(spark, sf_dir, "lineitem")
+    shape, line, part = F.col("l_quantity").cast("int") % 10, F.col("l_linenumber"), F.col("l_partkey")
+    date, amount = F.col("l_shipdate").cast("date"), half_up(F.col("l_extendedprice"))
+    rows = li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", amount).alias("id"), F.col("l_orderkey").alias("source_id"), F.when(line == 2, "trader").otherwise("ai").alias("origin"),
+        F.when(line == 7, "rejected").when(line.isin(1, 5, 6), "pending").otherwise("confirmed").alias("status"), date.alias("date"), F.lit("line").alias("description"), amount.alias("amount"),
+        F.when(F.col("l_returnflag") == "R", "expense").otherwise("sale").alias("type"), F.when(line == 5, F.array(F.lit("unusual_amount"), F.lit("low_confidence"))).otherwise(F.array().cast("array<string>")).alias("flags"),
+        F.when(line == 3, F.struct(date.alias("date"), F.lit("was").alias("description"), F.lit(1).cast("long").alias("amount"), F.lit("sale").alias("type"))).alias("original"),
+        F.when(line.isin(2, 3, 4), F.lit("2001-01-01").cast("timestamp")).alias("confirmed_at"), F.when(part % 4 == 0, F.date_add(date, 500)).otherwise(F.date_add(date, 30)).alias("today"), shape.alias("shape"), part.alias("part"),
+    )
+    status = F.when(F.col("shape") == 0, "rejected").when(F.col("shape") == 1, "pending").when(F.col("shape") == 2, "confirmed")
+    changes = rows.where("shape < 9").select(
+        "id", status.alias("status"), F.when((F.col("shape") == 7) & (F.col("part") % 2 == 0), F.date_sub("date", 3)).alias("date"), ((F.col("shape") == 7) & (F.col("part") % 2 == 1)).alias("clear_date"),
+        F.when(F.col("shape") == 3, F.lit("better words")).alias("description"), F.when(F.col("shape") == 4, F.lit(0)).when(F.col("shape") == 5, F.col("amount") + 10).when(F.col("shape") == 6, F.col("amount")).cast("long").alias("amount"),
+        F.when(F.col("shape") == 3, "expense").alias("type"),
+    )
+    return rows.drop("shape", "part"), changes
+
+
+def payment_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reader output of each user's screen of transactions, in shapes that vary by event, sound and not."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.col("event_id") % 12)
+    amount, date, k = half_up(F.col("value") * 100), F.col("ts").cast("date"), F.col("k")
+    doc = F.struct(
+        F.concat(F.lit("  seen \n "), F.col("event_type")).alias("rawText"), F.when(k == 1, "unknown").when(k == 2, "sideways").when(k % 2 == 0, "in").otherwise("out").alias("direction"),
+        F.when(k == 3, "unknown").when(k == 4, "gift").when(k == 5, "withdrawal").otherwise("payment_in").alias("kind"),
+        F.when(k == 0, F.lit("none")).when(k == 6, F.concat(F.lit("XAF "), amount.cast("string"))).otherwise(F.concat(amount.cast("string"), F.lit(" f"))).alias("amount"),
+        F.when(k % 3 == 0, 50).otherwise(-5).alias("fee"), F.when(k % 4 == 0, F.lit(1000.5)).otherwise(F.lit(0.0)).alias("balance"),
+        F.when(k % 5 == 0, F.date_format("ts", "yyyy-MM-dd")).when(k == 7, "2001-02-31").otherwise("").alias("date"), F.when(k % 5 == 0, "").when(k == 7, "soon").otherwise(F.date_format("ts", "dd/MM/yyyy")).alias("dateText"),
+        F.when(k == 8, "noon").when(k == 9, " 9:05 ").otherwise(F.date_format("ts", "HH:mm")).alias("time"), F.when(k % 2 == 0, F.concat(F.lit(" ref"), F.col("event_id").cast("string"))).otherwise(" ").alias("ref"),
+        F.when(k == 10, "mtn").when(k == 11, "bank").otherwise("orange").alias("provider"), F.when(k == 9, 0).otherwise(80).alias("confidence"),
+    )
+    grouped = e.groupBy(F.col("user_id").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("event_id", doc.alias("doc")))).alias("all"))
+    whole = F.to_json(F.struct(F.lit("mobile_money").alias("document"), F.transform("all", lambda x: x["doc"]).alias("transactions")))
+    json = F.when(F.col("page_id") % 50 == 0, "not json").when(F.col("page_id") % 50 == 1, "[1]").when(F.col("page_id") % 50 == 2, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
+    return grouped.select("page_id", json.alias("json"), F.lit("2026-06-30").cast("date").alias("today"))

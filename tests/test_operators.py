@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cowrie.functions import dates, numbers, text
-from cowrie.operators import answers, changes, duplicates, ledger, messages, pages, payments, privacy, profile, strength
+from cowrie.operators import answers, changes, duplicates, ledger, messages, pages, payments, privacy, profile, strength, views
 
 TODAY = dt.date(2026, 9, 30)
 
@@ -194,14 +194,97 @@ def test_answer_audit(spark):
     assert [r.answer_id for r in answers.uncited(a, cited).collect()] == ["y"]
 
 
-def test_changes(spark):
-    rows = [("1", "p", "pending", TODAY, 100, "a", ["low_confidence"]), ("2", "p", "pending", None, 100, "b", ["date_missing"]), ("3", "q", "pending", TODAY, 5, "c", [])]
-    e = spark.createDataFrame(rows, "id string, source_id string, status string, date date, amount long, description string, flags array<string>")
-    ps = spark.createDataFrame([("1", "confirm", None, None, None), ("2", "confirm", None, None, None), ("3", "correct", None, 0, "d")], "id string, action string, date date, amount long, description string")
-    got = {r.id: (r.status, r.refused, r.description) for r in changes.patch_entries(e, ps, TODAY).collect()}
-    assert got == {"1": ("confirmed", False, "a"), "2": ("pending", True, "b"), "3": ("pending", False, "d")}
-    pages_ = spark.createDataFrame([("p",), ("q",)], "source_id string")
-    assert {r.id: r.status for r in changes.confirm_pages(e, pages_, TODAY).collect()} == {"1": "pending", "2": "pending", "3": "confirmed"}
+ENTRY = "id string, trader_id string, source_id string, seq int, origin string, status string, date date, description string, amount long, type string, raw string, confidence double, flags array<string>, original struct<date: date, description: string, amount: long, type: string>, confirmed_at timestamp"
+AT = dt.datetime(2026, 9, 30, 12)
+
+
+def entry(i, source="p", **given):
+    base = {"id": i, "trader_id": "t", "source_id": source, "seq": 0, "origin": "ai", "status": "pending", "date": TODAY, "description": "a", "amount": 100, "type": "sale", "raw": "", "confidence": 0.5, "flags": [], "original": None, "confirmed_at": None}
+    return tuple((base | given).values())
+
+
+def test_patches(spark):
+    lines = [
+        entry("ok", flags=["low_confidence"]), entry("zero", status="confirmed", confirmed_at=AT), entry("back", status="rejected"), entry("again", original=(TODAY, "x", 1, "sale"), status="confirmed", confirmed_at=AT), entry("mine", origin="trader"),
+        entry("odd", date=None, flags=["date_missing"]), entry("gone"), entry("none"), entry("same", flags=["low_confidence"]), entry("empty"), entry("cleared"), entry("old"), entry("kept", status="confirmed", confirmed_at=AT),
+    ]
+    kind = "id string, status string, date date, clear_date boolean, description string, amount long, type string"
+    wanted = [
+        ("ok", "confirmed", None, None, None, None, None), ("zero", None, None, None, None, 0, None), ("back", None, None, None, "b", None, None), ("again", None, None, None, None, 7, "expense"), ("mine", None, None, None, None, 9, None),
+        ("odd", "confirmed", None, None, "new words", None, None), ("gone", "rejected", None, None, "ignored", None, None), ("same", None, None, None, "a", 100, None), ("empty", None, None, None, None, None, None), ("cleared", None, None, True, None, None, None),
+        ("old", None, dt.date(2024, 1, 1), None, None, None, None), ("kept", "pending", None, None, None, None, None),
+    ]
+    got = {r.id: r for r in changes.patch_entries(spark.createDataFrame(lines, ENTRY), spark.createDataFrame(wanted, kind), TODAY, AT).collect()}
+    status = {k: (r.status, r.confirmed_at is not None, list(r.flags), list(r.happened)) for k, r in got.items()}
+    assert status == {
+        "ok": ("confirmed", True, ["low_confidence"], []), "zero": ("pending", False, ["amount_missing"], ["entry_corrected"]), "back": ("confirmed", True, [], ["entry_restored", "entry_corrected"]), "again": ("confirmed", True, [], ["entry_corrected"]),
+        "mine": ("confirmed", True, [], ["entry_corrected"]), "odd": ("pending", False, ["date_missing"], []), "gone": ("rejected", False, [], ["entry_rejected"]), "none": ("pending", False, [], []), "same": ("pending", False, ["low_confidence"], []),
+        "empty": ("pending", False, [], []), "cleared": ("pending", False, ["date_missing"], ["entry_corrected"]), "old": ("pending", False, ["date_out_of_range"], ["entry_corrected"]), "kept": ("pending", False, [], []),
+    }
+    assert got["zero"].original.amount == 100 and got["again"].original.amount == 1 and got["mine"].original is None and got["odd"].description == "a" and got["gone"].description == "a"
+    assert {k for k, r in got.items() if r.refused} == {"odd", "empty"} and got["odd"].issues == ["date_missing"] and got["empty"].issues == ["empty_patch"]
+    corrected = views.provenance(spark.createDataFrame([tuple(got["back"])[: len(lines[0])]], ENTRY)).first()
+    assert corrected.provenance == "corrected"
+
+
+def test_added_lines_pages_and_traders(spark):
+    e = spark.createDataFrame([entry("1", seq=4), entry("2", "q", status="rejected")], ENTRY)
+    pages_ = spark.createDataFrame([("p", "t", "duplicate", False, ["z"]), ("q", "t", "read", False, None), ("r", "u", "duplicate", False, None), ("s", "t", "read", None, None)], "id string, trader_id string, status string, duplicate_kept boolean, distinct_from array<string>")
+    new = spark.createDataFrame([("a", "p", 2, TODAY, "x", 5, "sale"), ("b", "p", 1, TODAY, "x", 6, "expense"), ("c", "s", 1, TODAY, "x", 7, "sale"), ("d", "?", 1, TODAY, "x", 7, "sale"), ("e", "p", 1, None, "x", 0, "sale")], "id string, source_id string, ord int, date date, description string, amount long, type string")
+    all_, refused = changes.add_entries(e, new, pages_, TODAY, AT)
+    got = {r.id: r for r in all_.collect()}
+    assert {k: r.seq for k, r in got.items()} == {"1": 4, "2": 0, "b": 5, "a": 6, "c": 0} and got["a"].origin == "trader" and got["a"].status == "confirmed" and got["a"].confidence == 1.0 and got["c"].trader_id == "t"
+    assert {r.id: list(r.issues) for r in refused.collect()} == {"d": ["not_found"], "e": ["date_missing", "amount_missing"]}
+    kept = {r.id: (r.status, r.duplicate_kept) for r in changes.keep_duplicates(pages_, spark.createDataFrame([("p",), ("q",), ("p",)], "source_id string")).collect()}
+    assert kept == {"p": ("pending", True), "q": ("read", False), "r": ("duplicate", False), "s": ("read", None)}
+    told = changes.mark_distinct(pages_, spark.createDataFrame([("p", "q"), ("q", "p"), ("p", "r"), ("s", "s")], "a string, b string"))
+    assert {r.id: r.distinct_from for r in told.collect()} == {"p": ["z", "q"], "q": ["p"], "r": None, "s": None}
+    t = spark.createDataFrame([("t", "Awa", AT, AT)], "id string, name string, created_at timestamp, updated_at timestamp")
+    more = changes.create_traders(t, spark.createDataFrame([("t", "again"), ("v", "Bih")], "id string, name string"), AT)
+    later = changes.touched(more, spark.createDataFrame([("v", AT + dt.timedelta(days=1)), ("t", AT - dt.timedelta(days=1))], "trader_id string, at timestamp"))
+    assert {r.id: (r.name, r.updated_at) for r in later.collect()} == {"t": ("Awa", AT), "v": ("Bih", AT + dt.timedelta(days=1))}
+
+
+def test_confirm_pages(spark):
+    e = spark.createDataFrame([entry("1"), entry("2", date=None, flags=["date_missing"]), entry("3", "q"), entry("4", "q", status="rejected", amount=0)], ENTRY)
+    got = changes.confirm_pages(e, spark.createDataFrame([("p",), ("q",)], "source_id string"), TODAY)
+    assert {r.id: r.status for r in got.collect()} == {"1": "pending", "2": "pending", "3": "confirmed", "4": "rejected"}
+
+
+def test_payment_screens(spark):
+    line = '{"rawText": " a  b ", "direction": "in", "kind": "unknown", "amount": "5 000 F", "fee": 0, "balance": 48.6, "date": "", "dateText": "14/07/2026", "time": "9:05", "ref": " x1 ", "counterparty": "", "provider": "mtn", "confidence": 95}'
+    cases = {
+        "ok": '{"transactions": [' + line + "]}", "fenced": '```json\n{"transactions": [' + line + "]}\n```", "no_amount": '{"transactions": [' + line.replace('"5 000 F"', "0") + "]}",
+        "no_direction": '{"transactions": [' + line.replace('"in"', '"up"') + "]}", "no_date": '{"transactions": [' + line.replace("14/07/2026", "soon") + "]}", "broken": '{"transactions": [' + line, "mixed": '{"transactions": [1, ' + line + "]}",
+        "absent": "{}", "null": None, "many": '{"transactions": [' + ", ".join([line] * 90) + "]}",
+    }
+    df = spark.createDataFrame([(k, v, TODAY) for k, v in cases.items()], "page_id string, json string, today date")
+    got = {}
+    for r in pages.read_payments(df).collect():
+        got.setdefault(r.page_id, []).append(r)
+    assert {k: (len(v), v[0].reason) for k, v in got.items()} == {"ok": (1, None), "fenced": (1, None), "no_amount": (1, "no_amount"), "no_direction": (1, "no_direction"), "no_date": (1, "no_date"), "many": (80, None)}
+    r = got["ok"][0]
+    assert (r.amount, r.kind, r.fee, r.balance, r.date, r.time, r.ref, r.counterparty, r.raw, r.confidence) == (5000, "received", None, 49, dt.date(2026, 7, 14), "09:05", "X1", None, "a b", 0.95)
+    assert pages.read_payments(df.where("page_id = 'many'"), most=None).count() == 90
+    assert {r.page_id: r.dropped for r in pages.decode_pages(df.withColumn("json", F.replace("json", F.lit("transactions"), F.lit("lines")))).collect() if r.dropped} == {"many": 10}
+
+
+def test_small_functions(spark):
+    assert column(spark, ["237612345678", "+237 6 12 34 56 78", "222334455", "12", "", None], "string", text.normalize_phone) == ["612345678", "612345678", "222334455", "12", "", None]
+    assert column(spark, ["237612345678", "222334455", "322334455", "", None], "string", text.is_phone) == [True, True, False, False, False]
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (None,)], "v double")
+    assert df.agg(numbers.quantile(F.col("v"), 0.25)).first()[0] == 1.5 and df.where("v > 9").agg(numbers.quantile(F.col("v"), 0.5)).first()[0] == 0.0
+    d = spark.createDataFrame([(TODAY, TODAY), (TODAY, TODAY + dt.timedelta(days=2)), (TODAY, TODAY - dt.timedelta(days=1)), (None, TODAY)], "a date, b date")
+    assert [len(r[0]) if r[0] is not None else None for r in d.select(dates.each_day(F.col("a"), F.col("b"))).collect()] == [1, 3, 0, None]
+
+
+def test_profile_of_a_trader_without_records(spark):
+    made = {n: spark.createDataFrame([], k) for n, k in {
+        "entries": ENTRY, "sources": "id string, trader_id string, kind string, status string, duplicate_kept boolean, confirmed_at timestamp", "events": "trader_id string, type string, cross_trader boolean", "totals": "source_id string, type string, date date, amount long",
+        "payments": "id string, ord int, trader_id string, direction string, kind string, amount long, date date, time string, ref string, raw string",
+    }.items()}
+    r = profile.build_profile(spark.createDataFrame([("t",)], "trader_id string"), **made).first()
+    assert (r.start, r.sales, r.avg_weekly, r.trend, r.entries_counted, r.momo, r.score, r.grade, r.consistency, r.basis) == (None, 0, 0, None, 0, 0, 0, "thin", 0.5, "none")
 
 
 def test_share_code(spark):
