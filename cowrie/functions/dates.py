@@ -57,7 +57,22 @@ def is_iso_date(text: Column) -> Column:
 
 def _build(year: Column, month: Column, day: Column) -> Column:
     text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
+    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), text.try_cast("date"))
+
+
+def written_date(p: Column, now: Column) -> Column:
+    """The date of a struct (y, m, d, open); null if there is none.
+
+    If ``open``, a month beyond 12 changes places with the day and a year below
+    100 is of this century. Without a year it is the latest such day that is not
+    after tomorrow.
+    """
+    swap = p["open"] & (p["m"] > 12) & (p["d"] <= 12)
+    month, day = F.when(swap, p["d"]).otherwise(p["m"]), F.when(swap, p["m"]).otherwise(p["d"])
+    year = F.when(p["open"] & (p["y"] < 100), p["y"] + 2000).otherwise(p["y"])
+    this = _build(F.year(now), month, day)
+    inferred = F.when(this <= F.date_add(now, 1), this).otherwise(_build(F.year(now) - 1, month, day))
+    return F.when(p.isNotNull(), F.when(year.isNotNull(), _build(year, month, day)).otherwise(inferred))
 
 
 def parse_loose_date(text: Column, today: Column | dt.date | str) -> Column:
@@ -81,15 +96,8 @@ def parse_loose_date(text: Column, today: Column | dt.date | str) -> Column:
             .when(month(MONTH_DAY, 1).isNotNull(), ymd(num(MONTH_DAY, 3), month(MONTH_DAY, 1), num(MONTH_DAY, 2)))
         )
 
-    def dated(p: Column) -> Column:
-        swap = p["open"] & (p["m"] > 12) & (p["d"] <= 12)
-        month, day = F.when(swap, p["d"]).otherwise(p["m"]), F.when(swap, p["m"]).otherwise(p["d"])
-        year = F.when(p["open"] & (p["y"] < 100), p["y"] + 2000).otherwise(p["y"])
-        this = _build(F.year(now), month, day)
-        inferred = F.when(this <= F.date_add(now, 1), this).otherwise(_build(F.year(now) - 1, month, day))
-        return F.when(p.isNotNull(), F.when(year.isNotNull(), _build(year, month, day)).otherwise(inferred))
-
-    return let(let(F.trim(strip_accents(F.lower(text))), parts), dated)
+    found = let(let(F.trim(strip_accents(F.lower(text))), parts), lambda p: written_date(p, now))
+    return F.when(text.rlike("[0-9]"), found)  # every shape has a digit
 
 
 def resolve_date(text: Column, guess: Column, today: Column | dt.date | str) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from cowrie.functions.text import collapse_spaces, normalize_item
 
+#: Hashes that may share a band before it needs a second one.
+CELL_ROWS = 256
+
 
 def hamming_hex(a: Column, b: Column) -> Column:
     """Differing bits of two hexadecimal strings; null if either is empty or lengths differ."""
@@ -32,23 +35,39 @@ def near_duplicates(photos: DataFrame, hash_column: str = "dhash", most_bits: in
     """(id, near_id, bits): for each photo the closest earlier photo within ``most_bits``, the first on ties.
 
     Equal hashes are one class, so copies are never paired with each other.
-    Hashes are compared only if they share one of the 4-digit bands at the same
-    place; with more bands than differing bits every pair shares one.
+    Hashes are cut into at least ``most_bits + 2`` bands, so two that are near have
+    at least two equal bands, and are compared if they share a band at the same
+    place. A band that more than ``CELL_ROWS`` hashes share (of flat pictures, say)
+    counts only together with a second one. Hashes of different lengths are never
+    near; one of fewer digits than that raises an error; null and empty ones have no row.
     """
     rows = photos.where(F.length(hash_column) > 0).select("id", F.col(order).alias("ord"), F.col(hash_column).alias("h"))
     classes = rows.groupBy("h").agg(F.min(F.struct("ord", "id")).alias("first"))
-    bands = F.transform(F.sequence(F.lit(0), F.floor((F.length("h") - 1) / 4).cast("int")), lambda i: F.struct(i.alias("at"), F.substring(F.col("h"), i * 4 + 1, F.lit(4)).alias("part")))
-    cells = classes.select("h", "first", F.inline(bands))
-    a, b = cells.alias("a"), cells.alias("b")
-    met = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.h") != F.col("b.h")))
-    pairs = met.select(F.col("a.h").alias("h"), F.col("b.h").alias("other"), F.col("b.first").alias("first"), hamming_hex(F.col("a.h"), F.col("b.h")).alias("bits"))
-    pairs = pairs.where(F.col("bits") <= most_bits).distinct()
+    size, least = F.length("h"), most_bits + 2
+    shortest = rows.agg(F.min(F.length("h"))).first()[0]
+    if shortest is not None and shortest < least:
+        raise ValueError(f"a hash has fewer than {least} digits")
+    width = F.greatest(F.lit(1), F.floor(size / least).cast("int"))
+    classes = classes.withColumn("width", width)
+    bands = F.transform(F.sequence(F.lit(0), F.ceil(F.length("h") / F.col("width")).cast("int") - 1), lambda i: F.struct(i.alias("at"), F.substring(F.col("h"), i * F.col("width") + 1, F.col("width")).alias("part")))
+    cells = classes.withColumn("bands", bands).select("h", "first", "bands", size.alias("size"), F.inline("bands"))
+    place = ["size", "at", "part"]
+    cells = cells.join(cells.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1"), place)
+    hot = cells.where(F.col("n") > CELL_ROWS).withColumn("second", F.explode("bands")).where("second.at <> at")
+    pairs = _met(cells.where(F.col("n") <= CELL_ROWS), place).union(_met(hot, [*place, "second"]))
+    pairs = pairs.withColumn("bits", hamming_hex(F.col("h"), F.col("other"))).where(F.col("bits") <= most_bits).distinct()
     same = rows.join(classes, "h").where("ord > first.ord").select("id", F.lit(0).alias("bits"), "first")
     near = rows.join(pairs, "h").where("ord > first.ord").select("id", "bits", "first")
     best = near.union(same).groupBy("id").agg(F.min(F.struct("bits", "first")).alias("m"))
     return best.select("id", F.col("m.first.id").alias("near_id"), F.col("m.bits").alias("bits"))
 
 
+def _met(cells: DataFrame, place: list[str]) -> DataFrame:
+    """Pairs of different hashes in a cell: (h, other, first of the other)."""
+    b = cells.select(*place, F.col("h").alias("other"), F.col("first").alias("its_first"))
+    return cells.select(*place, "h").join(b, place).where("h <> other").select("h", "other", F.col("its_first").alias("first"))
+
+
 def payment_key(ref: Column, time: Column, direction: Column, amount: Column, date: Column, raw: Column) -> Column:
     """What makes two payments the same: the reference, else the minute, else the text."""
     filled = lambda c: F.coalesce(c, F.lit("")) != ""

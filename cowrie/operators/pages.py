@@ -118,17 +118,19 @@ def read_lines(pages: DataFrame, page: str = "page_id", json: str = "json", toda
     """
     decoded = decode_pages(pages, json, most)
     now = F.col("today")
-    t = decoded.select(F.col(page).alias("page_id"), as_date(F.col(today)).alias("today"), "page_date_text", "page_date_guess", F.posexplode("lines").alias("pos", "v"))
+    dated = decoded.select(F.col(page).alias("page_id"), as_date(F.col(today)).alias("today"), "page_date_text", "page_date_guess", "lines")
+    dated = dated.withColumn("page_date", resolve_date(F.col("page_date_text"), F.col("page_date_guess"), now))
+    t = dated.select("page_id", "today", "page_date", F.posexplode("lines").alias("pos", "v"))
     v = F.col("v")
     t = t.withColumns({f"v_{k}": _text(v, f"$.{k}", d) for k, d in TEXTS.items()} | {f"v_{k}": _number(v, f"$.{k}") for k in NUMBERS} | {"box": normalize_box(F.try_variant_get(v, "$.box", "array<double>"))})
-    t = t.withColumn("page_date", resolve_date(F.col("page_date_text"), F.col("page_date_guess"), now)).withColumn("line_date", resolve_date(F.col("v_dateText"), F.col("v_date"), now)).withColumn("value", half_up(F.col("v_amount")))
+    t = t.withColumn("line_date", resolve_date(F.col("v_dateText"), F.col("v_date"), now)).withColumn("value", half_up(F.col("v_amount")))
     above = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("date", F.coalesce(F.last("line_date", ignorenulls=True).over(above), "page_date"))
     kind = F.col("v_kind")
     header = (kind == "date_header") | ((kind == "other") & (F.col("value") <= 0) & F.col("line_date").isNotNull())
     role = F.when(header, "header").when(kind.isin("total_sales", "total_expenses"), "total").when(kind.isin("sale", "expense"), "entry").otherwise("other")
     label = F.left(collapse_spaces(F.when(F.col("v_description") != "", F.col("v_description")).otherwise(F.col("v_rawText"))), F.lit(120))
-    return t.withColumn("role", role).withColumn("label", label).drop("v", "page_date_text", "page_date_guess")
+    return t.withColumn("role", role).withColumn("label", label).drop("v")
 
 
 def written_totals(lines: DataFrame) -> DataFrame:

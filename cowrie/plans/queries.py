@@ -72,7 +72,7 @@ km AS (SELECT trader_id, COUNT(*) AS inflows, COUNT(matched) AS corroborated, SU
 kr AS (SELECT km.*, COALESCE(t.sales, 0) AS sales, corroborated::DOUBLE / inflows AS rate_count, corroborated_amount::DOUBLE / inflow_amount AS rate_amount, CASE WHEN t.sales > 0 THEN corroborated_amount::DOUBLE / t.sales ELSE 0 END AS share_of_sales
   FROM km LEFT JOIN (SELECT trader_id, SUM(amount)::BIGINT AS sales FROM s GROUP BY ALL) t USING (trader_id))"""
 _K = f"""{_S}, {_P}, counted AS (SELECT * FROM s), {_MATCH},
-dup AS (SELECT id, trader_id, CASE WHEN id <> MIN(id) OVER w THEN MIN(id) OVER w END AS duplicate_of FROM p0 WINDOW w AS (PARTITION BY trader_id, direction, amount, date, time))"""
+dup AS (SELECT id, trader_id, CASE WHEN id <> MIN(id) OVER w THEN MIN(id) OVER w END AS duplicate_of FROM p0 WINDOW w AS (PARTITION BY trader_id, CASE WHEN id % 7 = 0 THEN 'R-' || (id % 40) ELSE concat_ws('|', direction, amount, date, time) END))"""
 
 
 def _query(sql: str | None = None):
@@ -297,12 +297,13 @@ def photo_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.exact_duplicates(a.photos(spark, sf_dir)).select("id", "first_id", "cross_trader")
 
 
-@_query("""WITH r AS (SELECT vec_id AS id, list_sum([CASE WHEN embedding[i] > 0 THEN 1::UBIGINT << (64 - i) ELSE 0::UBIGINT END FOR i IN range(1, 65)])::UBIGINT AS h FROM embeddings),
-x AS (SELECT a.id, b.id AS near_id, bit_count(xor(a.h, b.h))::INTEGER AS bits FROM r a JOIN r b ON b.id < a.id WHERE bit_count(xor(a.h, b.h)) <= 3)
-SELECT id, near_id, bits FROM x QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY bits, near_id) = 1""")
+@_query("""WITH r AS (SELECT vec_id AS id, CASE vec_id % 4 WHEN 0 THEN '000' WHEN 1 THEN '001' WHEN 2 THEN '03f' ELSE 'fff' END || substr(md5((vec_id // 4)::VARCHAR), 4, 29) AS h FROM embeddings),
+w AS (SELECT id, ('0x' || substr(h, 1, 15))::BIGINT AS a, ('0x' || substr(h, 16, 15))::BIGINT AS b, ('0x' || substr(h, 31, 2))::BIGINT AS c FROM r),
+x AS (SELECT p.id, q.id AS near_id, (bit_count(xor(p.a, q.a)) + bit_count(xor(p.b, q.b)) + bit_count(xor(p.c, q.c)))::INTEGER AS bits FROM w p JOIN w q ON q.id < p.id)
+SELECT id, near_id, bits FROM x WHERE bits <= 6 QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY bits, near_id) = 1""")
 def photo_lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closest earlier picture hash within three of 64 bits."""
-    return duplicates.near_duplicates(a.hashed_photos(spark, sf_dir), most_bits=3)
+    """The closest earlier picture hash within six of 128 bits."""
+    return duplicates.near_duplicates(a.hashed_photos(spark, sf_dir), most_bits=6)
 
 
 @_query("""WITH l AS (SELECT COALESCE(source, '') AS trader_id, doc_id, trim(UNNEST(string_split(text, chr(10)))) AS key FROM documents),
@@ -318,37 +319,51 @@ def repeated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.repeated_pages(a.page_lines(spark, sf_dir))
 
 
-@_query(f"""WITH {_P} SELECT id, TRUE AS ok, direction, kind, amount, CASE kind WHEN 'received' THEN NULL WHEN 'sent' THEN 25 END::BIGINT AS fee, CASE kind WHEN 'received' THEN amount + 1000 WHEN 'sent' THEN amount + 7 END AS balance, date,
-CASE WHEN kind <> 'deposit' THEN time END AS time, CASE kind WHEN 'received' THEN 'mtn' WHEN 'sent' THEN 'orange' ELSE 'unknown' END AS provider, 'TX' || lpad(id::VARCHAR, 8, '0') AS ref,
-CASE kind WHEN 'received' THEN 'Awa Ngono' WHEN 'sent' THEN 'Paul Biyong' END AS counterparty, CASE kind WHEN 'received' THEN '6' || lpad(((id * 7919) % 100000000)::VARCHAR, 8, '0') END AS phone, CASE kind WHEN 'deposit' THEN 0.84 ELSE 0.97 END::DOUBLE AS confidence FROM p0""")
+@_query(f"""WITH {_P}, x AS (SELECT *, id % 11 AS k FROM p0)
+SELECT id, k > 4 AS ok, CASE WHEN k < 2 THEN 'no_amount' WHEN k = 2 THEN 'no_direction' WHEN k < 5 THEN 'no_date' END AS reason, CASE WHEN k > 5 THEN direction WHEN k = 5 THEN 'out' END AS direction, CASE WHEN k > 5 THEN kind WHEN k = 5 THEN 'withdrawal' END AS kind, CASE WHEN k > 4 THEN amount END AS amount,
+CASE WHEN k = 5 THEN 12 WHEN k > 5 AND kind = 'sent' THEN 25 END::BIGINT AS fee, CASE WHEN k > 5 THEN CASE kind WHEN 'received' THEN amount + 1000 WHEN 'sent' THEN amount + 7 END END AS balance, CASE WHEN k = 5 THEN DATE '2024-03-25' WHEN k > 5 THEN date END AS date,
+CASE WHEN k > 5 AND kind <> 'deposit' THEN time END AS time, CASE WHEN k = 5 THEN 'mtn' WHEN k > 5 THEN CASE kind WHEN 'received' THEN 'mtn' WHEN 'sent' THEN 'orange' ELSE 'unknown' END END AS provider, CASE WHEN k > 5 THEN 'TX' || lpad(id::VARCHAR, 8, '0') END AS ref,
+CASE WHEN k > 5 THEN CASE kind WHEN 'received' THEN 'Awa Ngono' WHEN 'sent' THEN 'Paul Biyong' END END AS counterparty, CASE WHEN k > 5 AND kind = 'received' THEN '6' || lpad(((id * 7919) % 100000000)::VARCHAR, 8, '0') END AS phone,
+CASE WHEN k = 5 THEN 0.8 WHEN k > 5 THEN CASE kind WHEN 'deposit' THEN 0.84 ELSE 0.97 END END::DOUBLE AS confidence FROM x""")
 def message_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payments written as messages and read back."""
+    """Payments written as messages and read back, some of them beyond reading."""
     parsed = messages.parse_messages(a.messages(spark, sf_dir))
-    return parsed.select("id", "ok", "direction", "kind", "amount", "fee", "balance", "date", "time", "provider", "ref", "counterparty", "phone", "confidence")
+    return parsed.select("id", "ok", "reason", "direction", "kind", "amount", "fee", "balance", "date", "time", "provider", "ref", "counterparty", "phone", "confidence")
 
 
-@_query(f"""WITH {_P}, f AS (SELECT * FROM p0 WHERE kind = 'received') SELECT id, '6•• ••• •' || right(lpad(((id * 7919) % 100000000)::VARCHAR, 8, '0'), 2) AS phone, 'Awa N.' AS counterparty, FALSE AS leaks FROM f""")
+@_query(f"""WITH {_P}, x AS (SELECT *, id % 11 AS k FROM p0) SELECT trader_id, CASE WHEN k < 2 THEN 'no_amount' WHEN k = 2 THEN 'no_direction' ELSE 'no_date' END AS reason, COUNT(*) AS messages FROM x WHERE k < 5 GROUP BY ALL""")
+def unread_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that could not be read, by trader and reason."""
+    return messages.unread(messages.parse_messages(a.messages(spark, sf_dir))).groupBy("trader_id", "reason").agg(F.count("*").alias("messages"))
+
+
+@_query(f"""WITH {_P}, f AS (SELECT * FROM p0 WHERE kind = 'received' AND id % 11 > 5) SELECT id, '6•• ••• •' || right(lpad(((id * 7919) % 100000000)::VARCHAR, 8, '0'), 2) AS phone, 'Awa N.' AS counterparty, FALSE AS leaks FROM f""")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Received payments as a lender sees them, and whether a number is left in the text."""
     parsed = messages.parse_messages(a.messages(spark, sf_dir)).where("kind = 'received'")
     return privacy.redact_payments(parsed).select("id", "phone", "counterparty", F.col("raw").rlike(r"6\d{8}").alias("leaks"))
 
 
-@_query(f"WITH {_E} SELECT id, source_id, amount, amount AS grouped, amount AS suffixed, amount AS dotted FROM e")
+@_query(f"""WITH {_E}, x AS (SELECT *, floor(quantity)::BIGINT AS q FROM e)
+SELECT id, source_id, amount, amount AS grouped, amount AS suffixed, amount AS dotted, CASE seq WHEN 3 THEN q * 1000 WHEN 4 THEN q * 1000 + 500 WHEN 5 THEN q * 1000 + 250 WHEN 6 THEN amount + 1 END AS odd FROM x""")
 def amount_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts written in several ways and read back."""
+    """Amounts written in several ways, not all of them amounts, and read back."""
     e = a.entries(spark, sf_dir)
-    money = group_thousands(F.col("amount"))
+    money, seq, q = group_thousands(F.col("amount")), F.col("seq"), F.col("quantity").cast("long").cast("string")
     dotted = F.concat(F.translate(money, " ", "."), F.lit(" fcfa"))
-    return e.select("id", "source_id", "amount", parse_amount(money).alias("grouped"), parse_amount(F.concat(F.lit("XAF "), F.col("amount").cast("string"), F.lit("f"))).alias("suffixed"), parse_amount(dotted).alias("dotted"))
+    odd = F.when(seq == 1, F.lit(None).cast("string")).when(seq == 2, F.concat(q, F.lit(" or more"))).when(seq == 3, F.concat(q, F.lit(" K"))).when(seq == 4, F.concat(q, F.lit("k5"))).when(seq == 5, F.concat(q, F.lit(",25k FCFA")))
+    odd = odd.when(seq == 6, F.concat(F.lit("cfa "), F.col("amount").cast("string"), F.lit(",50"))).otherwise(F.lit("12 50"))
+    return e.select("id", "source_id", "amount", parse_amount(money).alias("grouped"), parse_amount(F.concat(F.lit("XAF "), F.col("amount").cast("string"), F.lit("f"))).alias("suffixed"), parse_amount(dotted).alias("dotted"), parse_amount(odd).alias("odd"))
 
 
-@_query(f"WITH {_E} SELECT id, source_id, date, date AS numeric_date, date AS english, date AS iso FROM e")
+@_query(f"""WITH {_E}, x AS (SELECT *, day(date) AS dd, month(date) AS mm, TRY_CAST('2001-' || strftime(date, '%m-%d') AS DATE) AS this, TRY_CAST('2000-' || strftime(date, '%m-%d') AS DATE) AS last FROM e)
+SELECT id, source_id, date, date AS numeric_date, date AS english, date AS iso, CASE seq WHEN 3 THEN CASE WHEN this <= DATE '2001-07-01' THEN this ELSE last END WHEN 4 THEN CASE WHEN dd > 12 THEN date ELSE make_date(year(date), dd, mm) END WHEN 5 THEN make_date(2000 + year(date) % 100, mm, dd) WHEN 6 THEN date END AS odd FROM x""")
 def date_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates written in several ways and read back."""
-    e = a.entries(spark, sf_dir)
+    """Dates written in several ways, not all of them dates, and read back."""
+    e, seq = a.entries(spark, sf_dir), F.col("seq")
     wrote = lambda pattern: parse_loose_date(F.date_format("date", pattern), TODAY)
-    return e.select("id", "source_id", "date", wrote("dd/MM/yyyy").alias("numeric_date"), wrote("MMMM d, yyyy").alias("english"), wrote("yyyy-MM-dd").alias("iso"))
+    odd = F.when(seq == 1, F.lit(None).cast("string")).when(seq == 2, "31/02/2001").when(seq == 3, F.date_format("date", "d/M")).when(seq == 4, F.date_format("date", "M-d-yyyy")).when(seq == 5, F.date_format("date", "dd.MM.yy")).when(seq == 6, F.concat(F.lit("Le "), F.date_format("date", "d MMM yyyy"))).otherwise("soon")
+    return e.select("id", "source_id", "date", wrote("dd/MM/yyyy").alias("numeric_date"), wrote("MMMM d, yyyy").alias("english"), wrote("yyyy-MM-dd").alias("iso"), parse_loose_date(odd, TODAY).alias("odd"))
 
 
 @_query(f"""WITH {_E}, x AS (SELECT source_id AS page_id, type, date, amount, quantity, seq, ROW_NUMBER() OVER w - 1 AS pos, LAST_VALUE(CASE WHEN seq <= 3 THEN date END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS seen FROM e WINDOW w AS (PARTITION BY source_id ORDER BY seq, amount, date, type)),

@@ -310,3 +310,30 @@ def test_json_database(spark, tmp_path):
     (tmp_path / "db.json").write_text('{"version": 1, "traders": [{"id": "tr_1", "name": "Awa", "consent": {"granted": true}}], "entries": [{"id": "en_1", "amount": 5, "date": "2026-07-01", "flags": ["x"]}]}')
     got = read_database(spark, str(tmp_path / "db.json"))
     assert got["traders"].first().consent.granted and got["entries"].first().amount == 5 and got["payments"].count() == 0
+
+
+def test_message_ingest(spark):
+    one, two = "You have received 500 XAF on 2026-07-14 10:00. Ref AB1234", "You have sent 700 XAF on 2026-07-15"
+    pasted = spark.createDataFrame([("t", "s1", f"{one}\n\n{two}\n\nhello", TODAY), ("t", "s2", two, TODAY), ("u", "s3", one, TODAY), ("u", "s4", "nothing here", TODAY)], "trader_id string, source_id string, text string, today date")
+    have = spark.createDataFrame([("m0", "t", 0, "ab1234", "10:00", "in", 500, dt.date(2026, 7, 14), "x")], "id string, trader_id string, ord int, ref string, time string, direction string, amount long, date date, raw string")
+    got = {r.id: (r.trader_id, r.amount, r.duplicate_of) for r in messages.ingest_messages(pasted, have).collect()}
+    assert got == {"s1-0": ("t", 500, "m0"), "s1-1": ("t", 700, None), "s2-0": ("t", 700, "s1-1"), "s3-0": ("u", 500, None)}
+    assert sorted((r.reason, r.retry) for r in messages.unread(messages.parse_messages(messages.split_messages(pasted))).collect()) == [("no_amount", True), ("no_amount", True)]
+
+
+def test_near_photos_with_a_hot_band(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [rng.getrandbits(256) & ~(((1 << 64) - 1) << 128) for _ in range(40)]
+    values = base + [b ^ sum(1 << rng.randrange(256) for _ in range(rng.randint(0, 16))) for b in base for _ in range(2)]
+    hashes = [f"{v:064x}" for v in values]
+    want = {}
+    for i, v in enumerate(values):
+        near = [(bin(v ^ w).count("1"), j) for j, w in enumerate(values[:i]) if bin(v ^ w).count("1") <= 14]
+        if near:
+            want[i] = min(near)[::-1]
+    df = spark.createDataFrame([(i, i, h) for i, h in enumerate(hashes)], "id int, ord int, dhash string")
+    for most in (3, 10**6):
+        monkeypatch.setattr(duplicates, "CELL_ROWS", most)
+        assert {r.id: (r.near_id, r.bits) for r in duplicates.near_duplicates(df).collect()} == want and len(want) > 20
+    with pytest.raises(ValueError, match="fewer than 16 digits"):
+        duplicates.near_duplicates(df.withColumn("dhash", F.lit("ffff")))
