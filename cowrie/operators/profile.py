@@ -85,12 +85,13 @@ def items(lines: DataFrame) -> DataFrame:
     """Sales by item: sum, lines, share of the trader's sales (three decimals) and the commonest label.
 
     The label with most lines names the item; ties go to the shorter, then to
-    the first in order. Descriptions are summed before labels are made, so the
-    text work is done once per different description of a trader.
+    the first in order. Descriptions are summed before labels are made, and the
+    text work is done once per different description of all traders.
     """
     texts = lines.where("type = 'sale'").groupBy("trader_id", "description").agg(F.sum("amount").alias("sales"), F.count("*").alias("n"))
     d = F.col("description")
-    labels = texts.groupBy("trader_id", normalize_item(d).alias("item"), clean_label(d).alias("label")).agg(F.sum("sales").alias("sales"), F.sum("n").alias("n"))
+    names = texts.select("description").distinct().select(d.alias("cowrie_d"), normalize_item(d).alias("item"), clean_label(d).alias("label"))
+    labels = texts.join(names, d.eqNullSafe(F.col("cowrie_d"))).groupBy("trader_id", "item", "label").agg(F.sum("sales").alias("sales"), F.sum("n").alias("n"))
     by_item = labels.groupBy("trader_id", "item").agg(
         F.sum("sales").alias("sales"), F.sum("n").alias("lines"), F.min(F.struct(-F.col("n"), F.length("label"), F.col("label").alias("label")))["label"].alias("label")
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cowrie.operators.pages import needs_attention
+
 
 def portfolio(traders: DataFrame, performance: DataFrame, strength: DataFrame, activity: DataFrame) -> DataFrame:
     """One row per trader with its headline figures and last activity; traders without records have zeros."""
@@ -50,3 +52,60 @@ def provenance(entries: DataFrame) -> DataFrame:
     """pending, trader_added, corrected or confirmed for each line."""
     how = F.when(F.col("status") == "pending", "pending").when(F.col("origin") == "trader", "trader_added").when(F.col("original").isNotNull(), "corrected").otherwise("confirmed")
     return entries.withColumn("provenance", how)
+
+
+def capture_list(sources: DataFrame, entries: DataFrame, payments: DataFrame, today) -> DataFrame:
+    """Photos with their lines, lines that need attention and payments; ``place`` counts from the newest of a trader."""
+    now = F.lit(today).cast("date")
+    live = entries.where("status <> 'rejected'")
+    lines = live.groupBy("source_id").agg(F.count("*").alias("lines"), F.count_if(needs_attention(F.col("status"), F.col("flags"), F.col("date"), F.col("amount"), now)).alias("attention"))
+    momo = payments.groupBy("source_id").agg(F.count("*").alias("payments"))
+    photos = sources.where("kind <> 'message'").withColumn("source_id", F.col("id"))
+    out = photos.join(lines, "source_id", "left").join(momo, "source_id", "left").na.fill(0, ["lines", "attention", "payments"])
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("trader_id").orderBy(F.desc("created_at"), "id"))).drop("source_id")
+
+
+def page_view(entries: DataFrame) -> DataFrame:
+    """The lines of each page that are not rejected, with their ``place`` on it."""
+    return entries.where("status <> 'rejected'").withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy("seq", "id")))
+
+
+def payment_list(payments: DataFrame) -> DataFrame:
+    """Payments with their ``place`` in time within a trader, those without a time first of their day."""
+    return payments.withColumn("place", F.row_number().over(Window.partitionBy("trader_id").orderBy("date", F.coalesce("time", F.lit("")), "ord")))
+
+
+def payment_sums(classified: DataFrame, matched: DataFrame) -> DataFrame:
+    """What each trader paid out, and received without a record of it."""
+    out = classified.groupBy("trader_id").agg(F.coalesce(F.sum(F.when(F.col("class") == "outflow", F.col("amount"))), F.lit(0)).alias("paid_out"))
+    open_ = matched.where("matched IS NULL").groupBy("trader_id").agg(F.sum("amount").alias("unmatched"))
+    return out.join(open_, "trader_id", "left").na.fill(0, ["unmatched"])
+
+
+def best_full_week(by_week: DataFrame) -> DataFrame:
+    """The full week with the highest sales of each trader, the first on ties."""
+    full = by_week.where("NOT partial AND NOT gap")
+    return full.groupBy("trader_id").agg(F.max_by("week", F.struct("sales", -F.datediff("week", F.lit("1970-01-01").cast("date")))).alias("week"), F.max("sales").alias("sales"))
+
+
+def of_weekday(counted: DataFrame, days: DataFrame) -> DataFrame:
+    """Counted lines of the asked weekdays (trader_id, weekday)."""
+    return counted.withColumn("weekday", F.weekday("date") + 1).join(days.select("trader_id", "weekday").distinct(), ["trader_id", "weekday"], "left_semi")
+
+
+def lines_behind(evidence: DataFrame, entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """The lines behind asked figures (trader_id, metric, key)."""
+    wanted = evidence.join(asked, ["trader_id", "metric", "key"], "left_semi").withColumnRenamed("entry_id", "id")
+    return wanted.join(entries.drop("trader_id"), "id")
+
+
+def sorted_portfolio(rows: DataFrame, by: str) -> DataFrame:
+    """Traders by strength, sales or recent activity, best first; ties by trader."""
+    column = {"strength": "score", "sales": "avg_weekly", "recent": "last_activity"}[by]
+    return rows.orderBy(F.col(column).desc_nulls_last(), "trader_id")
+
+
+def next_step(hub: DataFrame) -> DataFrame:
+    """``step``: the first thing still to do of consent, capture, review and share; null if all are done."""
+    todo = [F.when(~F.coalesce(F.col(c), F.lit(False)), F.lit(c)) for c in ("consent", "capture", "review", "share")]
+    return hub.withColumn("step", F.coalesce(*todo))

@@ -146,12 +146,52 @@ def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.performance(profile.weeks(_daily(spark, sf_dir)))
 
 
-@_query(f"""WITH {_C}, x AS (SELECT trader_id, 'week' AS metric, strftime(date_trunc('week', date), '%Y-%m-%d') AS key, id FROM c UNION ALL SELECT trader_id, 'month', strftime(date, '%Y-%m'), id FROM c)
+_TOKENS = f"list_transform(list_filter(string_split_regex(regexp_replace(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z\\s]', ' ', 'g'), '\\s+'), lambda t: length(t) > 1 AND t NOT IN {_NOISY}), lambda t: CASE WHEN length(t) > 3 THEN regexp_replace(t, 's$', '') ELSE t END)[1:3]"
+
+
+@_query(f"""WITH {_C}, x AS (SELECT trader_id, 'week' AS metric, strftime(date_trunc('week', date), '%Y-%m-%d') AS key, id FROM c UNION ALL SELECT trader_id, 'month', strftime(date, '%Y-%m'), id FROM c
+UNION ALL SELECT trader_id, 'item', COALESCE(NULLIF(array_to_string({_TOKENS}, ' '), ''), 'other'), id FROM c JOIN part ON p_partkey = l_partkey WHERE type = 'sale')
 SELECT trader_id, metric, key, COUNT(*) AS entries, MIN(id) AS first_id, MAX(id) AS last_id FROM x GROUP BY ALL""")
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines behind the weeks and months, counted."""
-    rows = profile.evidence(_counted(spark, sf_dir).withColumn("description", F.lit(""))).where("metric <> 'item'")
-    return rows.groupBy("trader_id", "metric", "key").agg(F.count("*").alias("entries"), F.min("entry_id").alias("first_id"), F.max("entry_id").alias("last_id"))
+    """Lines behind the weeks, months and items, counted."""
+    return profile.evidence(_counted(spark, sf_dir, True)).groupBy("trader_id", "metric", "key").agg(F.count("*").alias("entries"), F.min("entry_id").alias("first_id"), F.max("entry_id").alias("last_id"))
+
+
+@_query(f"""WITH {_D}, x AS (SELECT trader_id, isodow(date)::INTEGER AS weekday, floor(SUM(sales)::BIGINT / COUNT(*) + 0.5)::BIGINT AS average FROM d WHERE sale_lines > 0 GROUP BY ALL),
+y AS (SELECT trader_id, k::INTEGER AS weekday, COALESCE(average, 0) AS average FROM (SELECT DISTINCT trader_id, k FROM d, range(1, 8) t(k)) LEFT JOIN x ON x.trader_id = trader_id AND x.weekday = k)
+SELECT DISTINCT ON (trader_id) trader_id, weekday, average FROM y ORDER BY trader_id, average DESC, weekday""".replace("SELECT trader_id, k::INTEGER", "SELECT t7.trader_id, k::INTEGER").replace("range(1, 8) t(k)) LEFT JOIN x ON x.trader_id = trader_id", "range(1, 8) t(k)) t7 LEFT JOIN x ON x.trader_id = t7.trader_id"))
+def best_weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekday that brings each trader most."""
+    return profile.best_weekday(profile.weekdays(_daily(spark, sf_dir)))
+
+
+@_query(f"WITH {_D}, {_weeks_sql('d')} SELECT DISTINCT ON (trader_id) trader_id, week, sales FROM w WHERE NOT partial AND NOT gap ORDER BY trader_id, sales DESC, week")
+def best_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full week that brought each trader most."""
+    return views.best_full_week(profile.weeks(_daily(spark, sf_dir)))
+
+
+@_query(f"""WITH {_D}, h AS (SELECT trader_id, SUM(sales)::BIGINT AS sales, SUM(expenses)::BIGINT AS expenses, COUNT(*) FILTER (sale_lines > 0) AS active_days, MIN(date) AS a, MAX(date) AS b FROM d GROUP BY ALL)
+SELECT trader_id, a AS start, b AS "end", (b - a + 1)::INTEGER AS days, ((date_trunc('week', b)::DATE - date_trunc('week', a)::DATE) // 7 + 1)::INTEGER AS weeks, sales, expenses, active_days, sales - expenses AS net,
+CASE WHEN active_days > 0 THEN floor(sales / active_days + 0.5)::BIGINT ELSE 0 END AS avg_per_active_day, floor(active_days / ((b - a + 1) / 7) * 10 + 0.5) / 10 AS active_days_per_week FROM h""")
+def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Period, totals and what a day with sales brings."""
+    return profile.headline(_daily(spark, sf_dir))
+
+
+@_query("""WITH l AS (SELECT l_orderkey AS id, COUNT(*) AS lines, COUNT(*) FILTER (l_linenumber = 1 OR l_linenumber = 6 AND l_quantity < 10) AS attention FROM lineitem WHERE l_linenumber <> 7 GROUP BY ALL), m AS (SELECT l_orderkey AS id, COUNT(*) AS payments FROM lineitem WHERE l_linenumber = 2 GROUP BY ALL)
+SELECT o_orderkey AS id, o_custkey AS trader_id, COALESCE(lines, 0) AS lines, COALESCE(attention, 0) AS attention, COALESCE(payments, 0) AS payments, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INTEGER AS place
+FROM orders LEFT JOIN l ON l.id = o_orderkey LEFT JOIN m ON m.id = o_orderkey WHERE o_orderpriority <> '5-LOW'""")
+def capture_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos with what was read from them, newest first."""
+    li = a.table(spark, sf_dir, "lineitem")
+    line = F.col("l_linenumber")
+    status = F.when(line == 7, "rejected").when(line.isin(1, 6), "pending").otherwise("confirmed")
+    flags = F.when(line == 1, F.array(F.lit("low_confidence"))).otherwise(F.array().cast("array<string>"))
+    amount = F.when((line == 6) & (F.col("l_quantity") < 10), 0).otherwise(100)
+    rows = li.select(F.col("l_orderkey").alias("source_id"), status.alias("status"), flags.alias("flags"), F.lit(TODAY).cast("date").alias("date"), amount.alias("amount"))
+    paid = li.where(line == 2).select(F.col("l_orderkey").alias("source_id"))
+    return views.capture_list(a.sources(spark, sf_dir), rows, paid, TODAY).select("id", "trader_id", "lines", "attention", "payments", "place")
 
 
 @_query(f"""WITH {_E}, t AS (SELECT o_orderkey AS source_id, 'sale' AS type, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END AS date, CAST(floor(o_totalprice + 0.5) AS BIGINT) AS amount FROM orders),

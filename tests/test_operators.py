@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cowrie.functions import dates, numbers, text
-from cowrie.operators import answers, changes, duplicates, ledger, messages, pages, payments, privacy, profile, strength, views
+from cowrie.operators import answers, changes, contracts, duplicates, ledger, messages, pages, payments, privacy, profile, strength, views
 
 TODAY = dt.date(2026, 9, 30)
 
@@ -337,3 +337,33 @@ def test_near_photos_with_a_hot_band(spark, monkeypatch):
         assert {r.id: (r.near_id, r.bits) for r in duplicates.near_duplicates(df).collect()} == want and len(want) > 20
     with pytest.raises(ValueError, match="fewer than 16 digits"):
         duplicates.near_duplicates(df.withColumn("dhash", F.lit("ffff")))
+
+
+def test_contracts(spark):
+    one = lambda f, *values: list(spark.createDataFrame([tuple(values)], ", ".join(f"c{i} {'double' if isinstance(v, float) else 'boolean' if isinstance(v, bool) else 'string'}" for i, v in enumerate(values))).select(f(*[F.col(f"c{i}") for i in range(len(values))])).first()[0])
+    assert one(contracts.trader_issues, "Awa", "Foods", "Mokolo", "Yaoundé", "+237 612345678") == [] and one(contracts.trader_issues, " A ", "x" * 81, "Mokolo", None, "12") == ["name_short", "business_long", "city_short", "phone_invalid"]
+    assert one(contracts.trader_issues, "Awa", "Foods", "Mokolo", "Douala", "") == []
+    assert one(contracts.patch_issues, None, None, None, None, None) == ["empty_patch"] and one(contracts.patch_issues, "", None, 5.0, None, None) == []
+    assert one(contracts.patch_issues, "soon", " ", 2.5, "gift", "gone") == ["date_invalid", "description_empty", "amount_whole", "type_unknown", "status_unknown"] and one(contracts.patch_issues, None, None, 6e7, None, None) == ["amount_large"]
+    assert one(contracts.added_line_issues, "src_abc123", "2026-07-01", "Tomatoes", 5.0, "sale") == [] and one(contracts.added_line_issues, "p", "2026-02-31", "", 0.0, None) == ["source_invalid", "date_invalid", "description_empty", "amount_missing", "type_unknown"]
+    assert one(contracts.messages_issues, "short") == ["messages_short"] and one(contracts.question_issues, "How much?", None) == [] and one(contracts.question_issues, "a", "de") == ["question_short", "locale_unknown"]
+    assert one(contracts.consent_issues, True) == [] and one(contracts.distinct_issues, None) == ["source_invalid"] and "Kribi" in contracts.CITIES
+
+
+def test_lists(spark):
+    e = spark.createDataFrame([entry("1", seq=2), entry("2", seq=1), entry("3", status="rejected")], ENTRY)
+    assert {r.id: r.place for r in views.page_view(e).collect()} == {"2": 1, "1": 2}
+    assert [r.id for r in views.of_weekday(e, spark.createDataFrame([("t", TODAY.isoweekday())] * 2, "trader_id string, weekday int")).collect()] == ["1", "2", "3"]
+    assert views.of_weekday(e, spark.createDataFrame([("t", TODAY.isoweekday() % 7 + 1)], "trader_id string, weekday int")).count() == 0
+    asked = spark.createDataFrame([("t", "month", "2026-09")], "trader_id string, metric string, key string")
+    assert sorted(r.id for r in views.lines_behind(profile.evidence(e), e, asked).collect()) == ["1", "2", "3"]
+    hub = spark.createDataFrame([(True, True, False, False), (None, True, True, True), (True, True, True, True)], "consent boolean, capture boolean, review boolean, share boolean")
+    assert [r.step for r in views.next_step(hub).collect()] == ["review", "consent", None]
+    p = spark.createDataFrame([("a", 1, 5, None), ("b", 9, 5, AT), ("c", 4, 7, AT)], "trader_id string, score int, avg_weekly int, last_activity timestamp")
+    assert [[r.trader_id for r in views.sorted_portfolio(p, by).collect()] for by in ("strength", "sales", "recent")] == [["b", "c", "a"], ["c", "a", "b"], ["b", "c", "a"]]
+    pay = spark.createDataFrame([("t", dt.date(2026, 1, 2), "09:00", 1, "outflow", 5), ("t", dt.date(2026, 1, 2), None, 2, "inflow", 7), ("t", dt.date(2026, 1, 1), "10:00", 3, "inflow", 9)], "trader_id string, date date, time string, ord int, class string, amount long")
+    assert {r.ord: r.place for r in views.payment_list(pay).collect()} == {3: 1, 2: 2, 1: 3}
+    sums = views.payment_sums(pay, pay.where("class = 'inflow'").withColumn("matched", F.when(F.col("ord") == 3, "exact"))).first()
+    assert (sums.paid_out, sums.unmatched) == (5, 7)
+    days = profile.daily(spark.createDataFrame([("t", "x", dt.date(2026, 1, 1), "sale", 5), ("t", "y", dt.date(2026, 1, 3), "expense", 2)], "trader_id string, id string, date date, type string, amount long"))
+    assert [(r.date.day, r.sales, r.expenses) for r in profile.calendar(days).orderBy("date").collect()] == [(1, 5, 0), (2, 0, 0), (3, 0, 2)]
