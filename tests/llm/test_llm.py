@@ -445,6 +445,18 @@ def log_probability(vocabulary, text, ids):
     return sum(vocabulary.byte_logp if int(i) in byte else vocabulary.logp[i] for i in ids) - total
 
 
+def test_pieces_do_not_depend_on_the_words_met_before(monkeypatch):
+    vocabulary = pieces.Vocabulary(*pieces.load_vocabulary())
+    texts = [(t or "").encode() for t in table("documents").text[:60]]
+    keys = [str(i).encode() for i in range(60)]
+    words = pieces.Words(vocabulary)
+    monkeypatch.setattr(pieces.Words, "MOST", 500)
+    at_once = pieces.sample(vocabulary, texts, keys)
+    in_turn = [pieces.sample(vocabulary, [t], [k], words=words)[0] for t, k in zip(texts, keys, strict=True)]
+    for a, b in zip(at_once, in_turn, strict=True):
+        assert [x["ids"].tolist() for x in a] == [x["ids"].tolist() for x in b] and [x["value"] for x in a] == pytest.approx([x["value"] for x in b], abs=1e-5)
+
+
 def test_pieces_sample_without_replacement():
     """Over many keys, first samples follow the lattice's probabilities."""
     parts = [b"a", b"b", b"c", b"ab", b"bc", b"abc", b""] + [bytes([i]) for i in range(256)]
