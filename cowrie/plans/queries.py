@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from cowrie.functions.dates import parse_loose_date
 from cowrie.functions.numbers import group_thousands, parse_amount
 from cowrie.functions.text import NOISE, UNIT_WORDS, matches_search
-from cowrie.operators import changes, duplicates, ledger, messages, pages, payments, privacy, profile, strength, views
+from cowrie.operators import answers, changes, duplicates, ledger, messages, pages, payments, privacy, profile, strength, views
 from cowrie.sources import adapters as a
+from cowrie.sources.tables import cut_lineage
 
 TODAY = "2001-06-30"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,7 +239,7 @@ def payment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PROFILE = f"""j AS (SELECT l.*, o_custkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice + 0.5)::BIGINT) AS id, CAST(l_shipdate AS DATE) AS date, CAST(floor(l_extendedprice + 0.5) AS BIGINT) AS amount, CASE WHEN l_returnflag = 'R' THEN 'expense' ELSE 'sale' END AS type, floor(l_quantity)::INT AS q FROM lineitem l JOIN orders ON o_orderkey = l_orderkey),
 e AS (SELECT id, o_custkey AS trader_id, l_orderkey AS source_id, date, amount, type, CASE WHEN l_linestatus = 'O' AND l_linenumber = 7 THEN 'rejected' WHEN l_linestatus = 'O' AND l_linenumber IN (5, 6) THEN 'pending' ELSE 'confirmed' END AS status,
-  l_linenumber = 3 AND l_partkey % 10 = 0 AS added, l_partkey % 7 = 0 AS corrected, l_linenumber = 4 AND q % 10 = 0 AS again FROM j),
+  l_linenumber = 3 AND l_partkey % 10 = 0 AS added, l_partkey % 7 = 0 AS corrected, l_linenumber = 4 AND q % 10 = 0 AS again, CASE l_partkey % 4 WHEN 2 THEN 'palm oil' WHEN 3 THEN 'soap' ELSE 'rice' END AS item FROM j),
 src AS (SELECT o_orderkey AS id, o_custkey AS trader_id, o_orderpriority <> '5-LOW' AS page, o_orderstatus = 'F' AS seen, o_orderstatus = 'F' AND o_orderkey % 3 <> 0 AS confirmed FROM orders),
 led AS (SELECT *, CASE WHEN status <> 'confirmed' THEN status WHEN again THEN 'repeated' WHEN amount > 0 AND date IS NOT NULL THEN 'counted' ELSE 'void' END AS bucket FROM e WHERE source_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority = '1-URGENT')),
 counted AS (SELECT * FROM led WHERE bucket = 'counted'), s AS (SELECT trader_id, id, date, amount FROM counted WHERE type = 'sale'),
@@ -301,6 +302,59 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.portfolio(b["traders"], found, found, b["events"])
 
 
+_POINTS = "floor({} * 1000 + 0.5) / 10"
+_HEAD = [("G1", "sales", "total", "FALSE", "sales"), ("G2", "expenses", "total", "FALSE", "expenses"), ("G1", "sales", "net", "FALSE", "net"), ("G2", "expenses", "net", "FALSE", "net")]
+_HEAD += [("G1", "sales", n, "FALSE", n) for n in ("avg_weekly", "median_weekly", "avg_per_active_day")]
+_HEAD += [("G3", "trend", "trend", "TRUE", _POINTS.format("trend_pct")), ("G3", "trend", "recent", "FALSE", "recent_avg"), ("G3", "trend", "previous", "FALSE", "previous_avg")]
+_HEAD += [("G4", "momo_in", "total", "FALSE", "CASE WHEN inflows > 0 THEN inflow_amount END"), ("G5", "momo_backed", "total", "FALSE", "CASE WHEN inflows > 0 THEN corroborated_amount END")]
+_HEAD += [("G5", "momo_backed", n, "TRUE", f"CASE WHEN inflows > 0 THEN {_POINTS.format(c)} END") for n, c in (("rate", "rate_amount"), ("share", "share_of_sales"))]
+_HEAD += [("G6", "momo_unbacked", "total", "FALSE", "CASE WHEN inflows > corroborated THEN inflow_amount - corroborated_amount END")]
+_TOTALS = " UNION ALL ".join(f"SELECT trader_id AS pack_id, '{c}' AS code, 'group' AS kind, '{k}' AS key, '{n}' AS name, {p} AS percent, ({v})::DOUBLE AS value FROM sg WHERE start IS NOT NULL" for c, k, n, p, v in _HEAD)
+_FACTS = f"""{_PROFILE}, mo AS (SELECT trader_id, strftime(date, '%Y-%m') AS month, SUM(sales)::BIGINT AS sales, SUM(expenses)::BIGINT AS expenses FROM d GROUP BY ALL),
+it AS (SELECT trader_id, item, SUM(amount)::BIGINT AS sales FROM counted WHERE type = 'sale' GROUP BY ALL),
+ir AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY trader_id ORDER BY sales DESC, item) AS k, floor(sales::DOUBLE / SUM(sales) OVER (PARTITION BY trader_id) * 1000 + 0.5) / 1000 AS share FROM it),
+wd AS (SELECT trader_id, isodow(date) AS weekday, floor(SUM(sales)::BIGINT / COUNT(*) + 0.5) AS average FROM d WHERE sale_lines > 0 GROUP BY ALL),
+el AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY trader_id ORDER BY date, id) AS k FROM counted),
+ml AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY trader_id ORDER BY date, time, id) AS k FROM p0 WHERE trader_id IN (SELECT trader_id FROM sg WHERE start IS NOT NULL)),
+facts AS (SELECT * FROM ({_TOTALS}) WHERE value IS NOT NULL
+UNION ALL SELECT trader_id, 'W' || strftime(week, '%Y-%m-%d'), 'week', strftime(week, '%Y-%m-%d'), 'sales', FALSE, sales FROM w UNION ALL SELECT trader_id, 'W' || strftime(week, '%Y-%m-%d'), 'week', strftime(week, '%Y-%m-%d'), 'expenses', FALSE, expenses FROM w
+UNION ALL SELECT trader_id, 'MO' || month, 'month', month, 'sales', FALSE, sales FROM mo UNION ALL SELECT trader_id, 'MO' || month, 'month', month, 'expenses', FALSE, expenses FROM mo
+UNION ALL SELECT trader_id, 'I' || k, 'item', item, 'sales', FALSE, sales FROM ir UNION ALL SELECT trader_id, 'I' || k, 'item', item, 'share', TRUE, {_POINTS.format("share")} FROM ir
+UNION ALL SELECT trader_id, NULL, 'weekday', weekday::VARCHAR, 'average', FALSE, average FROM wd
+UNION ALL SELECT trader_id, 'E' || k, 'entry', id, 'amount', FALSE, amount FROM el UNION ALL SELECT trader_id, 'M' || k, 'payment', id, 'amount', FALSE, amount FROM ml)"""
+
+
+def _facts(spark, sf_dir):
+    b = a.bundle(spark, sf_dir)
+    lines = ledger.counted(b["entries"], b["sources"], b["repeated"]).withColumn("ord", F.col("id"))
+    days = profile.daily(lines)
+    paid = duplicates.mark_payment_duplicates(b["payments"]).where("duplicate_of IS NULL")
+    return answers.evidence_facts(profile.build_profile(**b), profile.weeks(days), profile.months(days), profile.items(lines), profile.weekdays(days), lines, paid)
+
+
+@_query(f"WITH {_FACTS} SELECT * FROM facts")
+def evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every figure that answers may use, with its code."""
+    return _facts(spark, sf_dir)
+
+
+@_query(f"""WITH {_FACTS}, asked AS (SELECT *, day(CAST(key AS DATE)) % 7 AS k, value::BIGINT AS v, (value * 3 + 777777)::BIGINT AS big, EXISTS (SELECT 1 FROM el WHERE el.trader_id = pack_id) AS has_e,
+  EXISTS (SELECT 1 FROM ir WHERE ir.trader_id = pack_id) AS has_i FROM facts WHERE kind = 'week' AND name = 'sales'),
+seen AS (SELECT x.pack_id, x.key, BOOL_OR(abs(f.value - x.big) <= GREATEST(50, f.value * 0.01)) AS traced FROM asked x JOIN facts f ON f.pack_id = x.pack_id WHERE NOT f.percent AND f.value > 0 GROUP BY x.pack_id, x.key)
+SELECT concat_ws('/', x.pack_id, x.key) AS answer_id, CASE k WHEN 0 THEN 'Sales were ' || v || ' FCFA {{' || code || '}}.' WHEN 1 THEN 'Sales were ' || v || ' FCFA in {{' || code || '}} and 4321% more.'
+  WHEN 2 THEN 'Sales were ' || big || ' FCFA {{E1}} in 2001 on 2001-01-01 ' || CASE WHEN has_i THEN '{{I1}}' ELSE '' END || '{{G1}}' WHEN 3 THEN 'Nothing is known' WHEN 5 THEN 'Sales were ' || big || ' FCFA, see E99999999.' ELSE '' END AS text,
+  CASE WHEN k IN (0, 1, 6) THEN code WHEN k = 2 THEN CASE WHEN has_i THEN 'E1 I1 G1 G2' ELSE 'E1 G1 G2' END ELSE '' END AS cited, k IN (4, 5) AS uncited,
+  CASE WHEN k = 1 THEN '4321' WHEN k IN (2, 5) AND NOT traced THEN big::VARCHAR ELSE '' END AS untraced FROM asked x LEFT JOIN seen ON seen.pack_id = x.pack_id AND seen.key = x.key""")
+def answer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with their citations marked, whether they have any, and their figures that no evidence holds."""
+    facts = cut_lineage(_facts(spark, sf_dir))
+    given = a.answers(facts)
+    done = answers.audit(given, answers.evidence_codes(facts))
+    wrong = answers.untraced(given, facts).groupBy("answer_id").agg(F.array_join(F.sort_array(F.collect_set(F.col("value").cast("long").cast("string"))), " ").alias("untraced"))
+    text = F.array_join(F.transform("segments", lambda s: F.when(s["kind"] == "cite", F.concat(F.lit("{"), s["value"], F.lit("}"))).otherwise(s["value"])), "")
+    return done.join(wrong, "answer_id", "left").select("answer_id", text.alias("text"), F.array_join("citations", " ").alias("cited"), "uncited", F.coalesce("untraced", F.lit("")).alias("untraced"))
+
+
 @_query(r"""WITH l AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice + 0.5)::BIGINT) AS id, floor(l_quantity)::INT % 10 AS k, CAST(l_shipdate AS DATE) AS d0, CAST(floor(l_extendedprice + 0.5) AS BIGINT) AS a0, CASE WHEN l_returnflag = 'R' THEN 'expense' ELSE 'sale' END AS t0,
   CASE WHEN l_linenumber = 7 THEN 'rejected' WHEN l_linenumber IN (1, 5, 6) THEN 'pending' ELSE 'confirmed' END AS s0, l_linenumber IN (2, 3, 4) AS was_confirmed, CASE WHEN l_partkey % 4 = 0 THEN 500 ELSE 30 END AS ahead FROM lineitem),
 v AS (SELECT *, CASE WHEN k = 7 AND l_partkey % 2 = 0 THEN d0 - 3 WHEN k = 7 THEN NULL ELSE d0 END AS d1, CASE k WHEN 4 THEN 0 WHEN 5 THEN a0 + 10 ELSE a0 END AS a1, CASE WHEN k = 3 THEN 'expense' ELSE t0 END AS t1, CASE WHEN k = 3 THEN 'better words' ELSE 'line' END AS w1 FROM l),

@@ -155,7 +155,8 @@ def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     status = F.when(open_ & (line == 7), "rejected").when(open_ & line.isin(5, 6), "pending").otherwise("confirmed")
     origin = F.when((line == 3) & (part % 10 == 0), "trader").otherwise("ai")
     before = F.when(part % 7 == 0, F.struct(date.alias("date"), F.lit("").alias("description"), F.lit(0).cast("long").alias("amount"), F.lit("sale").alias("type")))
-    entries = li.select(ident, "trader_id", F.col("l_orderkey").alias("source_id"), date.alias("date"), amount.alias("amount"), kind.alias("type"), status.alias("status"), origin.alias("origin"), before.alias("original"))
+    thing = F.when(part % 4 == 0, "2 rice").when(part % 4 == 1, "Rice").when(part % 4 == 2, "palm oil").otherwise("soap")
+    entries = li.select(ident, "trader_id", F.col("l_orderkey").alias("source_id"), date.alias("date"), amount.alias("amount"), kind.alias("type"), status.alias("status"), origin.alias("origin"), before.alias("original"), thing.alias("description"))
     repeated = li.where((line == 4) & (number % 10 == 0)).select(ident)
     paid = F.when(number % 2 == 1, amount).when(number % 4 == 0, amount - 1).otherwise(amount + 1)
     payments = li.where(line == 1).select(
@@ -218,3 +219,17 @@ def payment_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.to_json(F.struct(F.lit("mobile_money").alias("document"), F.transform("all", lambda x: x["doc"]).alias("transactions")))
     json = F.when(F.col("page_id") % 50 == 0, "not json").when(F.col("page_id") % 50 == 1, "[1]").when(F.col("page_id") % 50 == 2, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
     return grouped.select("page_id", json.alias("json"), F.lit("2026-06-30").cast("date").alias("today"))
+
+
+def answers(facts: DataFrame) -> DataFrame:
+    """An answer for each week of each pack of evidence, its shape by the day of the month: codes in brackets, in sentences and in lists, sound and not; figures that hold and not."""
+    week = facts.where("kind = 'week' AND name = 'sales'")
+    k, code, value = F.dayofmonth(F.to_date("key")) % 7, F.col("code"), F.col("value").cast("long").cast("string")
+    held, wrong = F.concat(F.lit("Sales were "), value, F.lit(" FCFA ")), F.concat(F.lit("Sales were "), (F.col("value") * 3 + 777777).cast("long").cast("string"), F.lit(" FCFA "))
+    text = (
+        F.when(k == 0, F.concat(held, F.lit("["), code, F.lit(", E99999999]."))).when(k == 1, F.concat(held, F.lit("in "), code, F.lit("  and 4321% more [FAKE] .")))
+        .when(k == 2, F.concat(wrong, F.lit("[E1] in 2001 on 2001-01-01 [I1;G1]"))).when(k == 3, F.lit("Nothing is known")).when(k == 4, F.lit(None).cast("string")).when(k == 5, F.concat(wrong, F.lit("[NONE], see E99999999.")))
+        .otherwise("")
+    )
+    listed = F.when(k == 2, F.array(F.lit("E1"), F.lit(" G2 "), F.lit("x"))).when(k == 6, F.array(code))
+    return week.select(F.concat_ws("/", "pack_id", "key").alias("answer_id"), "pack_id", text.alias("answer"), listed.alias("citations"), F.when(k == 3, F.lit(False)).when(k == 4, F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("answerable"))

@@ -194,6 +194,39 @@ def test_answer_audit(spark):
     assert [r.answer_id for r in answers.uncited(a, cited).collect()] == ["y"]
 
 
+def test_answer_segments(spark):
+    rows = [
+        ("a", "p", "Up in [W2026-07-06, E9]. Rice leads [I1] , then [NOTE] . More  in MO2026-07 .", [" E2 ", "x", "E9"], None),
+        ("b", "p", "E1[bad]2 and TE1, see E7", ["E1"], True),
+        ("c", "q", "See E1.", None, True),
+        ("d", "p", None, None, False),
+        ("e", "p", "\u0001[E1][E2]\u0002", None, True),
+    ]
+    a = spark.createDataFrame(rows, "answer_id string, pack_id string, answer string, citations array<string>, answerable boolean")
+    refs = spark.createDataFrame([("p", c) for c in ("W2026-07-06", "E1", "E2", "E12", "I1", "MO2026-07", "E1")], "pack_id string, code string")
+    got = {r.answer_id: ("".join(s.value if s.kind == "text" else f"{{{s.value}}}" for s in r.segments), r.citations, r.uncited) for r in answers.audit(a, refs).collect()}
+    assert got == {
+        "a": ("Up in {W2026-07-06}. Rice leads {I1}, then. More in {MO2026-07}.", ["W2026-07-06", "I1", "MO2026-07", "E2"], False),
+        "b": ("{E12} and TE1, see E7", ["E12", "E1"], False),
+        "c": ("See E1.", [], True),
+        "d": ("", [], False),
+        "e": (" {E1}{E2} ", ["E1", "E2"], False),
+    }
+    assert answers.audit(a.limit(0), refs.limit(0)).collect() == []
+
+
+def test_untraced_against_loop(spark):
+    draw = random.Random(3)
+    known = [("p", percent, float(v)) for percent in (True, False) for v in [-300, 0, 50, 4_950, 5_000, 5_050, *[draw.randrange(1, 10 ** draw.randrange(2, 8)) for _ in range(60)]]]
+    asked = [round(abs(v) * f + d) for _, _, v in known for f, d in ((1, 50), (1, -51), (1.01, 0), (0.989, 0), (1, 0))] + [draw.randrange(100, 10**7) for _ in range(200)]
+    asked = [v for v in asked if v >= 100 and not 2000 <= v <= 2100]
+    a = spark.createDataFrame([("x", "p", " ; ".join(map(str, asked)) + " ; " + " ; ".join(f"{v}%" for v in asked[:80]), None, True)], "answer_id string, pack_id string, answer string, citations array<string>, answerable boolean")
+    held = lambda percent, v: any(abs(n - v) <= (1 if percent else max(50, abs(n) * 0.01)) for _, p, n in known if p == percent)
+    want = {(False, float(v)) for v in asked if not held(False, v)} | {(True, float(v)) for v in asked[:80] if not held(True, v)}
+    evidence = spark.createDataFrame(known, "pack_id string, percent boolean, value double")
+    assert {(r.percent, r.value) for r in answers.untraced(a, evidence).collect()} == want and 0 < len(want) < len(set(asked))
+
+
 ENTRY = "id string, trader_id string, source_id string, seq int, origin string, status string, date date, description string, amount long, type string, raw string, confidence double, flags array<string>, original struct<date: date, description: string, amount: long, type: string>, confirmed_at timestamp"
 AT = dt.datetime(2026, 9, 30, 12)
 
