@@ -97,6 +97,11 @@ def normalize_share_code(c: Column) -> Column:
     return F.when(F.length(bare) == 8, F.concat(F.lit("TR-"), F.left(bare, F.lit(4)), F.lit("-"), F.right(bare, F.lit(4))))
 
 
+def is_id(c: Column, prefix: str | None = None) -> Column:
+    """Whether an id has the prefix (or any of two or three letters), an underscore and 6 to 24 small letters and digits; false for null."""
+    return F.coalesce(c.rlike(rf"^{prefix or '[a-z]{2,3}'}_[0-9a-z]{{6,24}}\z"), F.lit(False))
+
+
 def matches_search(columns: list[Column], query: str) -> Column:
     """Whether the columns, joined by spaces, contain the query regardless of case and accents; an empty query matches all."""
     if not query.strip():

@@ -41,6 +41,23 @@ def reread(entries: DataFrame, fresh: DataFrame) -> DataFrame:
     return keep.unionByName(moved)
 
 
+def record_readings(sources: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages after an attempt to read them, one outcome each (source_id, error, lines; ``error`` null for success); and the events to record.
+
+    A page that was read is ``read`` without an error, else ``failed`` with the
+    error's code; a failure leaves its lines and payments as they are, so only
+    successes go to ``reread``. Pages that are duplicates or confirmed are not
+    read: their outcomes change nothing and have no event, nor have those of unknown pages.
+    """
+    o = outcomes.select(F.col("source_id").alias("id"), F.lit(True).alias("cowrie_tried"), F.col("error").alias("cowrie_error"), F.col("lines").alias("cowrie_lines"))
+    t = sources.join(o, "id", "left")
+    go = F.coalesce("cowrie_tried", F.lit(False)) & ~F.coalesce(F.col("status") == "duplicate", F.lit(False)) & F.col("confirmed_at").isNull()
+    failed = F.col("cowrie_error").isNotNull()
+    events = t.where(go).select("trader_id", F.col("id").alias("source_id"), F.when(failed, "page_read_failed").otherwise("page_read").alias("type"), F.when(failed, F.col("cowrie_error")).otherwise(F.col("cowrie_lines").cast("string")).alias("detail"))
+    t = t.withColumns({"status": F.when(go, F.when(failed, "failed").otherwise("read")).otherwise(F.col("status")), "error": F.when(go, F.col("cowrie_error")).otherwise(F.col("error"))})
+    return t.select(*sources.columns), events
+
+
 def patch_entries(entries: DataFrame, patches: DataFrame, today: Column | str, at: Column | str) -> DataFrame:
     """Apply one patch per line: (id, status, date, clear_date, description, amount, type), null where it says nothing.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cowrie.functions.dates import parse_loose_date
 from cowrie.functions.numbers import group_thousands, parse_amount
 from cowrie.functions.text import NOISE, UNIT_WORDS, matches_search
-from cowrie.operators import answers, changes, duplicates, ledger, messages, pages, payments, privacy, profile, strength, views
+from cowrie.operators import answers, changes, duplicates, ledger, messages, pages, payments, photos, privacy, profile, strength, views
 from cowrie.sources import adapters as a
 from cowrie.sources.tables import cut_lineage
 
@@ -400,6 +400,22 @@ def photo_lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.near_duplicates(a.hashed_photos(spark, sf_dir), most_bits=6)
 
 
+@_query("""WITH r AS (SELECT vec_id AS id, vec_id % 7 AS trader_id, vec_id % 3 = 0 AS filed, CASE WHEN vec_id % 3 = 0 THEN NULL WHEN vec_id % 17 = 0 THEN 'invalid_input' WHEN vec_id % 23 = 0 THEN 'image_too_large' WHEN vec_id % 19 = 0 THEN 'image_invalid' END AS problem,
+  CASE WHEN vec_id % 13 <> 0 THEN CASE WHEN vec_id % 10 < 2 THEN vec_id - vec_id % 2 ELSE vec_id END END AS same, CASE WHEN vec_id % 29 <> 0 THEN CASE vec_id % 4 WHEN 0 THEN '000' WHEN 1 THEN '001' WHEN 2 THEN '03f' ELSE 'fff' END || substr(md5((vec_id // 4)::VARCHAR), 4, 29) || md5('x' || (vec_id // 4)) END AS h
+  FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id % 29 <> 0),
+s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY same ORDER BY filed DESC, id) AS n, FIRST_VALUE(id) OVER (PARTITION BY same ORDER BY filed DESC, id) AS first_id FROM r WHERE problem IS NULL),
+k AS (SELECT * FROM s WHERE filed OR same IS NULL OR n = 1), w AS (SELECT id, trader_id, filed, UNNEST(range(5)) AS at, ('0x' || substr(h, 1 + 13 * UNNEST(range(5)), 13))::BIGINT AS part FROM k WHERE h IS NOT NULL),
+x AS (SELECT p.id, p.trader_id, q.id AS near_id, ANY_VALUE(q.trader_id) AS near_trader, ANY_VALUE(q.filed) AS first_filed, SUM(bit_count(xor(p.part, q.part)))::INTEGER AS bits FROM w p JOIN w q ON p.at = q.at AND NOT p.filed AND (q.filed OR q.id < p.id) AND p.id <> q.id GROUP BY p.id, p.trader_id, q.id),
+m AS (SELECT * FROM x WHERE bits <= 14 QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY bits, first_filed DESC, near_id) = 1),
+b AS (SELECT s.id, s.first_id, o.trader_id <> s.trader_id AS cross_trader FROM s JOIN s o ON o.id = s.first_id WHERE NOT s.filed AND s.same IS NOT NULL AND s.n > 1)
+SELECT r.id, COALESCE(problem, CASE WHEN b.id IS NOT NULL THEN 'duplicate_photo' END) AS problem, CASE WHEN problem IS NULL AND b.id IS NULL THEN CASE WHEN m.id IS NOT NULL THEN 'duplicate' ELSE 'pending' END END AS status, COALESCE(b.first_id, near_id) AS duplicate_of,
+  COALESCE(b.cross_trader, near_trader <> m.trader_id) AS cross_trader, CASE WHEN b.id IS NOT NULL THEN 0 ELSE bits END AS distance, LEAST(r.id % 200, 120)::INTEGER AS name_length FROM r LEFT JOIN b ON b.id = r.id LEFT JOIN m ON m.id = r.id WHERE NOT r.filed""")
+def photo_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of uploaded photos."""
+    done = photos.ingest_photos(*a.uploads(spark, sf_dir))
+    return done.select("id", "problem", "status", "duplicate_of", "cross_trader", "distance", F.length("name").alias("name_length"))
+
+
 @_query("""WITH l AS (SELECT COALESCE(source, '') AS trader_id, doc_id, trim(UNNEST(string_split(text, chr(10)))) AS key FROM documents),
 t AS (SELECT trader_id, doc_id, key || '#' || ROW_NUMBER() OVER (PARTITION BY trader_id, doc_id, key) AS token FROM l WHERE key <> ''),
 g AS (SELECT trader_id, doc_id, COUNT(*) AS n, md5(string_agg(token, chr(10) ORDER BY token)) AS class FROM t GROUP BY ALL HAVING COUNT(*) >= 3),

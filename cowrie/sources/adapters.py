@@ -233,3 +233,17 @@ def answers(facts: DataFrame) -> DataFrame:
     )
     listed = F.when(k == 2, F.array(F.lit("E1"), F.lit(" G2 "), F.lit("x"))).when(k == 6, F.array(code))
     return week.select(F.concat_ws("/", "pack_id", "key").alias("answer_id"), "pack_id", text.alias("answer"), listed.alias("citations"), F.when(k == 3, F.lit(False)).when(k == 4, F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("answerable"))
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pictures of vectors: every third one is a page on file, the others are new; some repeat another's bytes, look alike or are unsound."""
+    v = F.col("vec_id")
+    start = F.when(v % 4 == 0, "000").when(v % 4 == 1, "001").when(v % 4 == 2, "03f").otherwise("fff")
+    group = F.floor(v / 4).cast("long").cast("string")
+    same = F.when(v % 10 < 2, v - v % 2).otherwise(v).cast("string")
+    t = table(spark, sf_dir, "embeddings").select(
+        v.alias("id"), v.alias("ord"), (v % 7).alias("trader_id"), F.when(v % 17 == 0, "selfie").when(v % 2 == 0, "receipt").otherwise("notebook").alias("kind"), F.when(v % 23 == 0, 11 << 20).otherwise(1000).alias("bytes"),
+        F.when(v % 19 != 0, "jpeg").alias("mime"), F.when(v % 13 != 0, F.sha2(same.cast("binary"), 256)).alias("sha256"),
+        F.when(v % 29 == 0, "bad").otherwise(F.concat(start, F.substring(F.md5(group.cast("binary")), 4, 29), F.md5(F.concat(F.lit("x"), group).cast("binary")))).alias("dhash"), F.repeat(F.lit("a"), (v % 200).cast("int")).alias("name"),
+    )
+    return t.where("id % 3 <> 0"), t.where("id % 3 = 0 AND id % 29 <> 0").select("id", "ord", "trader_id", "sha256", "dhash")

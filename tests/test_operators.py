@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cowrie.functions import dates, numbers, text
-from cowrie.operators import answers, changes, contracts, duplicates, ledger, messages, pages, payments, privacy, profile, strength, views
+from cowrie.operators import answers, changes, contracts, duplicates, ledger, messages, pages, payments, photos, privacy, profile, strength, views
 
 TODAY = dt.date(2026, 9, 30)
 
@@ -400,3 +400,39 @@ def test_lists(spark):
     assert (sums.paid_out, sums.unmatched) == (5, 7)
     days = profile.daily(spark.createDataFrame([("t", "x", dt.date(2026, 1, 1), "sale", 5), ("t", "y", dt.date(2026, 1, 3), "expense", 2)], "trader_id string, id string, date date, type string, amount long"))
     assert [(r.date.day, r.sales, r.expenses) for r in profile.calendar(days).orderBy("date").collect()] == [(1, 5, 0), (2, 0, 0), (3, 0, 2)]
+
+
+def test_ids(spark):
+    assert column(spark, ["src_0a1b2c", "en_" + "a" * 24, "en_" + "a" * 25, "src_0A1B2C", "src_0a1b2c\n", "x_aaaaaa", None], "string", text.is_id) == [True, True, False, False, False, False, False]
+    assert column(spark, ["src_0a1b2c", "en_0a1b2c"], "string", lambda c: text.is_id(c, "src")) == [True, False]
+
+
+def test_readings(spark):
+    rows = [("1", "t", "pending", None, None), ("2", "t", "failed", "old", None), ("3", "t", "duplicate", None, None), ("4", "t", "read", None, AT), ("5", "t", "read", None, None)]
+    pages_ = spark.createDataFrame(rows, "id string, trader_id string, status string, error string, confirmed_at timestamp")
+    tried = spark.createDataFrame([("1", "timeout", None), ("2", None, 7), ("3", None, 1), ("4", None, 1), ("none", None, 1)], "source_id string, error string, lines int")
+    after, events = changes.record_readings(pages_, tried)
+    assert {r.id: (r.status, r.error) for r in after.collect()} == {"1": ("failed", "timeout"), "2": ("read", None), "3": ("duplicate", None), "4": ("read", None), "5": ("read", None)}
+    assert {tuple(r) for r in events.collect()} == {("t", "1", "page_read_failed", "timeout"), ("t", "2", "page_read", "7")}
+
+
+def test_photo_ingest(spark):
+    near, far = "0" * 63 + "3", "f" * 64
+    old = spark.createDataFrame([("o", 1, "t", "A", "0" * 64)], "id string, ord int, trader_id string, sha256 string, dhash string")
+    rows = [
+        ("1", 1, "t", "notebook", 5, "png", "A", far, "n"), ("2", 2, "u", "receipt", 5, "png", "B", near, "n" * 130), ("3", 3, "u", "receipt", 5, "png", "B", far, None), ("4", 4, "t", None, 5, "png", "C", far, "n"),
+        ("5", 5, "t", "receipt", 99 << 20, "png", "D", far, "n"), ("6", 6, "t", "receipt", 5, None, "E", far, "n"), ("7", 7, "t", "receipt", 5, "png", "F", "short", "n"), ("8", 8, "t", "receipt", 5, "png", None, far, "n"), ("9", 9, "t", "receipt", 5, "png", None, far, "n"),
+    ]
+    new = spark.createDataFrame(rows, "id string, ord int, trader_id string, kind string, bytes long, mime string, sha256 string, dhash string, name string")
+    done = photos.ingest_photos(new, old)
+    got = {r.id: (r.problem, r.status, r.duplicate_of, r.cross_trader, r.distance) for r in done.collect()}
+    assert got == {
+        "1": ("duplicate_photo", None, "o", False, 0), "2": (None, "duplicate", "o", True, 2), "3": ("duplicate_photo", None, "2", False, 0), "4": ("invalid_input", None, None, None, None), "5": ("image_too_large", None, None, None, None),
+        "6": ("image_invalid", None, None, None, None), "7": (None, "pending", None, None, None), "8": (None, "pending", None, None, None), "9": (None, "duplicate", "8", False, 0),
+    }
+    events = [tuple(r) for r in photos.photo_events(done).orderBy("type", "source_id", "of").collect()]
+    assert events == [
+        ("u", "2", "photo_added", None, None, None), ("t", "7", "photo_added", None, None, None), ("t", "8", "photo_added", None, None, None), ("t", "9", "photo_added", None, None, None),
+        ("u", None, "photo_duplicate_blocked", "2", False, 0), ("t", None, "photo_duplicate_blocked", "o", False, 0), ("u", "2", "photo_duplicate_flagged", "o", True, 2), ("t", "9", "photo_duplicate_flagged", "8", False, 0),
+    ]
+    assert photos.ingest_photos(new.limit(0), old.limit(0)).collect() == []
