@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cowrie.llm import embeddings, html, language, lm, mixing, pieces, simhash, toxicity, turns, warc, winnow
+from cowrie.llm import embeddings, html, language, lm, mixing, periodic, pieces, simhash, toxicity, turns, warc, winnow
 from cowrie.llm.common import crc_bucket
 
 
@@ -74,6 +74,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model, spans=False).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words in every document, with periods planted by its key."""
+    return periodic.report(_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and the cheapest repair of every damaged conversation."""
     return turns.repair_damaged(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
@@ -81,7 +86,7 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_embedding_dedup, op3_lm_scoring, op4_html_extraction, op5_warc, op6_piece_sampling, op7_fingerprints, op8_toxicity, op9_simhash_dedup, op10_language_id, op12_conversation_repair)
+    for f in (op1_mixing, op2_embedding_dedup, op3_lm_scoring, op4_html_extraction, op5_warc, op6_piece_sampling, op7_fingerprints, op8_toxicity, op9_simhash_dedup, op10_language_id, op11_periodic_runs, op12_conversation_repair)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_warc": warc.SQL, "op12_conversation_repair": turns.SQL}
