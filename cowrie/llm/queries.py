@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cowrie.llm import embeddings, html, language, lm, mixing, periodic, pieces, simhash, toxicity, turns, warc, winnow
+from cowrie.llm import embeddings, html, language, lm, mixing, periodic, pieces, repeats, simhash, toxicity, turns, warc, winnow
 from cowrie.llm.common import crc_bucket
 
 
@@ -84,9 +84,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair_damaged(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings that an earlier place holds."""
+    return repeats.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_embedding_dedup, op3_lm_scoring, op4_html_extraction, op5_warc, op6_piece_sampling, op7_fingerprints, op8_toxicity, op9_simhash_dedup, op10_language_id, op11_periodic_runs, op12_conversation_repair)
+    for f in (op1_mixing, op2_embedding_dedup, op3_lm_scoring, op4_html_extraction, op5_warc, op6_piece_sampling, op7_fingerprints, op8_toxicity, op9_simhash_dedup, op10_language_id, op11_periodic_runs, op12_conversation_repair, op13_suffix_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op5_warc": warc.SQL, "op12_conversation_repair": turns.SQL}
