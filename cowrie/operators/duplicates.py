@@ -88,30 +88,47 @@ def line_key(date: Column, kind: Column, amount: Column, description: Column) ->
     return F.concat_ws("|", date.cast("string"), kind, amount.cast("string"), normalize_item(description))
 
 
-def repeated_pages(lines: DataFrame, distinct_pairs: DataFrame | None = None, least: int = 3, ratio: float = 0.6) -> DataFrame:
-    """(earlier, later, matches, ratio) of pages of one trader that repeat each other's lines.
+def page_lines(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """Lines that pages are compared by: (trader_id, source_id, page_ord, id, line_ord, key); rejected, undated and unpriced ones are left out."""
+    live = entries.where((F.col("status") != "rejected") & (F.col("amount") > 0) & F.col("date").isNotNull())
+    order = sources.select(F.col("id").alias("source_id"), F.col("created_at").alias("page_ord"))
+    key = line_key(*[F.col(c) for c in ("date", "type", "amount", "description")])
+    return live.join(order, "source_id").select("trader_id", "source_id", "page_ord", "id", F.col("seq").alias("line_ord"), key.alias("key"))
+
+
+def _tokens(lines: DataFrame, least: int) -> DataFrame:
+    """Append ``token``, a hash of a line's key and its number among the page's lines of that key, and ``rank``; pages of fewer lines are left out."""
+    order = ["line_ord", "id"] if "line_ord" in lines.columns else ["key"]
+    numbered = lines.withColumn("rn", F.row_number().over(Window.partitionBy("trader_id", "source_id", "key").orderBy(*order)))
+    page = Window.partitionBy("trader_id", "source_id")
+    numbered = numbered.withColumn("n", F.count("*").over(page)).where(F.col("n") >= least)
+    return numbered.withColumn("token", F.xxhash64("key", "rn")).withColumn("rank", F.struct("page_ord", "source_id")).drop("rn", "n")
 
-    ``lines`` has trader_id, source_id, page_ord and key. Lines match as
-    multisets: the n-th line of a key meets the n-th of the other page. Pages
-    with fewer than ``least`` lines take no part; ``distinct_pairs`` (a, b) are
-    left out. A pair is reported if ``least`` lines and ``ratio`` of the shorter
-    page match. Pages with equal lines form a class: pairs are of a class's
-    first page and another page of the class, or of the first pages of two
-    classes; the others follow through the class.
+
+def _page_classes(tokens: DataFrame, told_apart: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Pages (trader_id, source_id, rank, class) and the classes of equal pages (trader_id, class, first, pages, tokens).
+
+    A page that is told apart from any other is a class of its own, so that
+    what holds for a class's first page holds for all its pages.
+    """
+    pages = tokens.groupBy("trader_id", "source_id").agg(F.min("rank").alias("rank"), F.sort_array(F.collect_list("token")).alias("tokens"))
+    alone = F.lit(None)
+    if told_apart is not None:
+        named = told_apart.select(F.col("a").alias("source_id")).union(told_apart.select("b")).distinct()
+        pages = pages.join(named.withColumn("told", F.lit(True)), "source_id", "left")
+        alone = F.when(F.col("told"), F.col("source_id"))
+    pages = pages.withColumn("class", F.sha2(F.to_json(F.struct("tokens", alone.alias("alone"))), 256)).drop("told")
+    classes = pages.groupBy("trader_id", "class").agg(F.min("rank").alias("first"), F.count("*").alias("pages"), F.first("tokens").alias("tokens"))
+    return pages.drop("tokens"), classes
+
+
+def _near_classes(classes: DataFrame, told_apart: DataFrame | None, least: int, ratio: float) -> DataFrame:
+    """Pairs of classes whose pages repeat each other: (trader_id, x, y, x_first, y_first, shared, matches, ratio).
 
     Only the rarest lines of the shorter page look for partners: one of them
     must match if enough do, so a line that most pages hold pairs few pages.
     """
-    numbered = lines.withColumn("rn", F.row_number().over(Window.partitionBy("trader_id", "source_id", "key").orderBy("key")))
-    page = Window.partitionBy("trader_id", "source_id")
-    numbered = numbered.select("trader_id", "source_id", "page_ord", F.xxhash64("key", "rn").alias("token")).withColumn("n", F.count("*").over(page)).where(F.col("n") >= least)
-    pages = numbered.groupBy("trader_id", "source_id").agg(F.min("page_ord").alias("page_ord"), F.sort_array(F.collect_list("token")).alias("tokens"))
-    pages = pages.withColumn("rank", F.struct("page_ord", "source_id")).withColumn("class", F.sha2(F.to_json("tokens"), 256))
-    classes = pages.groupBy("trader_id", "class").agg(F.min("rank").alias("first"), F.first("tokens").alias("tokens"))
-    same = pages.join(classes.select("trader_id", "class", "first"), ["trader_id", "class"]).where("rank > first")
-    same = same.select("trader_id", F.col("first.source_id").alias("earlier"), F.col("source_id").alias("later"), F.size("tokens").alias("matches"), F.lit(1.0).alias("ratio"))
-
-    tokens = classes.select("trader_id", "class", "first", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    tokens = classes.select("trader_id", "class", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     common = tokens.groupBy("trader_id", "token").agg(F.count("*").alias("df"))
     tokens = tokens.join(common, ["trader_id", "token"]).where("df > 1")
     rare = Window.partitionBy("trader_id", "class").orderBy("df", "token")
@@ -126,11 +143,50 @@ def repeated_pages(lines: DataFrame, distinct_pairs: DataFrame | None = None, le
     met = met.select("trader_id", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     side = lambda c: classes.select("trader_id", F.col("class").alias(c), F.col("first").alias(f"{c}_first"), F.col("tokens").alias(f"{c}_tokens"))
     both = met.join(side("x"), ["trader_id", "x"]).join(side("y"), ["trader_id", "y"])
-    both = both.withColumn("matches", F.size(F.array_intersect("x_tokens", "y_tokens"))).withColumn("ratio", F.col("matches") / F.least(F.size("x_tokens"), F.size("y_tokens")))
+    both = both.withColumn("shared", F.array_intersect("x_tokens", "y_tokens")).withColumn("matches", F.size("shared"))
+    both = both.withColumn("ratio", F.col("matches") / F.least(F.size("x_tokens"), F.size("y_tokens"))).drop("x_tokens", "y_tokens")
     near = both.where((F.col("matches") >= least) & (F.col("ratio") >= ratio))
+    if told_apart is not None:
+        told = told_apart.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+        p, q = F.col("x_first.source_id"), F.col("y_first.source_id")
+        near = near.join(told, (F.least(p, q) == F.col("lo")) & (F.greatest(p, q) == F.col("hi")), "left_anti")
+    return near
+
+
+def repeated_pages(lines: DataFrame, distinct_pairs: DataFrame | None = None, least: int = 3, ratio: float = 0.6) -> DataFrame:
+    """(earlier, later, matches, ratio) of pages of one trader that repeat each other's lines.
+
+    ``lines`` has trader_id, source_id, page_ord and key. Lines match as
+    multisets: the n-th line of a key meets the n-th of the other page. Pages
+    with fewer than ``least`` lines take no part; ``distinct_pairs`` (a, b) are
+    left out. A pair is reported if ``least`` lines and ``ratio`` of the shorter
+    page match. Pages with equal lines form a class, unless they are told apart
+    from some page: pairs are of a class's first page and another page of the
+    class, or of the first pages of two classes; the others follow through the
+    class, as none of them is told apart from anything.
+    """
+    pages, classes = _page_classes(_tokens(lines, least), distinct_pairs)
+    same = pages.join(classes.where("pages > 1").select("trader_id", "class", "first", "tokens"), ["trader_id", "class"]).where("rank > first")
+    same = same.select("trader_id", F.col("first.source_id").alias("earlier"), F.col("source_id").alias("later"), F.size("tokens").alias("matches"), F.lit(1.0).alias("ratio"))
+    near = _near_classes(classes, distinct_pairs, least, ratio)
     near = near.select("trader_id", F.least("x_first", "y_first")["source_id"].alias("earlier"), F.greatest("x_first", "y_first")["source_id"].alias("later"), "matches", "ratio")
-    out = near.union(same)
-    if distinct_pairs is not None:
-        told = distinct_pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        out = out.join(told, (F.least("earlier", "later") == F.col("lo")) & (F.greatest("earlier", "later") == F.col("hi")), "left_anti")
-    return out
+    return near.union(same)
+
+
+def repeated_lines(lines: DataFrame, distinct_pairs: DataFrame | None = None, least: int = 3, ratio: float = 0.6) -> DataFrame:
+    """(trader_id, source_id, id, earlier): each line that an earlier page repeated by its page also has, and the earliest such page.
+
+    ``lines`` is as for ``repeated_pages``, with id and line_ord as well. The n-th
+    line of a key on the later page is repeated if the earlier page has n of that
+    key. A page meets each class of pages through the class's first page, which
+    is earlier if any of the class is; so a class of copies costs a row for each
+    of its pages and each class near to it, never one for each pair of pages.
+    """
+    numbered = _tokens(lines, least)
+    pages, classes = _page_classes(numbered, distinct_pairs)
+    near = _near_classes(classes, distinct_pairs, least, ratio)
+    seen = near.select("trader_id", F.col("x").alias("class"), F.col("y_first").alias("from"), "shared").union(near.select("trader_id", "y", "x_first", "shared"))
+    seen = seen.union(classes.where("pages > 1").select("trader_id", "class", F.col("first").alias("from"), F.col("tokens").alias("shared")))
+    met = pages.join(seen, ["trader_id", "class"]).where(F.col("from") < F.col("rank"))
+    hit = met.select("trader_id", "source_id", "from", F.explode("shared").alias("token")).groupBy("trader_id", "source_id", "token").agg(F.min("from").alias("from"))
+    return numbered.join(hit, ["trader_id", "source_id", "token"]).select("trader_id", "source_id", "id", F.col("from.source_id").alias("earlier"))

@@ -238,10 +238,16 @@ def payment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PROFILE = f"""j AS (SELECT l.*, o_custkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice + 0.5)::BIGINT) AS id, CAST(l_shipdate AS DATE) AS date, CAST(floor(l_extendedprice + 0.5) AS BIGINT) AS amount, CASE WHEN l_returnflag = 'R' THEN 'expense' ELSE 'sale' END AS type, floor(l_quantity)::INT AS q FROM lineitem l JOIN orders ON o_orderkey = l_orderkey),
-e AS (SELECT id, o_custkey AS trader_id, l_orderkey AS source_id, date, amount, type, CASE WHEN l_linestatus = 'O' AND l_linenumber = 7 THEN 'rejected' WHEN l_linestatus = 'O' AND l_linenumber IN (5, 6) THEN 'pending' ELSE 'confirmed' END AS status,
-  l_linenumber = 3 AND l_partkey % 10 = 0 AS added, l_partkey % 7 = 0 AS corrected, l_linenumber = 4 AND q % 10 = 0 AS again, CASE l_partkey % 4 WHEN 2 THEN 'palm oil' WHEN 3 THEN 'soap' ELSE 'rice' END AS item FROM j),
-src AS (SELECT o_orderkey AS id, o_custkey AS trader_id, o_orderpriority <> '5-LOW' AS page, o_orderstatus = 'F' AS seen, o_orderstatus = 'F' AND o_orderkey % 3 <> 0 AS confirmed FROM orders),
-led AS (SELECT *, CASE WHEN status <> 'confirmed' THEN status WHEN again THEN 'repeated' WHEN amount > 0 AND date IS NOT NULL THEN 'counted' ELSE 'void' END AS bucket FROM e WHERE source_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority = '1-URGENT')),
+e0 AS (SELECT id, o_custkey AS trader_id, l_orderkey AS source_id, l_linenumber AS nr, date, amount, type, CASE WHEN l_linestatus = 'O' AND l_linenumber = 7 THEN 'rejected' WHEN l_linestatus = 'O' AND l_linenumber IN (5, 6) THEN 'pending' ELSE 'confirmed' END AS status,
+  l_linenumber = 3 AND l_partkey % 10 = 0 AS added, l_partkey % 7 = 0 AS corrected, CASE l_partkey % 4 WHEN 2 THEN 'palm oil' WHEN 3 THEN 'soap' ELSE 'rice' END AS item FROM j),
+e AS (SELECT * FROM e0 UNION ALL SELECT * REPLACE (id || '-2' AS id, -source_id AS source_id, amount + (nr = 1)::INT AS amount) FROM e0 WHERE source_id % 4 = 1),
+src0 AS (SELECT o_orderkey AS id, o_custkey AS trader_id, o_orderpriority <> '5-LOW' AS page, o_orderstatus = 'F' AS seen, o_orderstatus = 'F' AND o_orderkey % 3 <> 0 AS confirmed, o_orderdate::TIMESTAMP AS created FROM orders),
+src AS (SELECT * FROM src0 UNION ALL SELECT * REPLACE (-id AS id, created + INTERVAL 1 DAY AS created) FROM src0 WHERE id % 4 = 1),
+tk AS (SELECT e.id, e.trader_id, source_id, created, concat_ws('|', date, type, amount, item) AS key, ROW_NUMBER() OVER (PARTITION BY source_id, date, type, amount, item ORDER BY nr, e.id) AS k, COUNT(*) OVER (PARTITION BY source_id) AS n FROM e JOIN src ON src.id = source_id WHERE status <> 'rejected' AND amount > 0 AND date IS NOT NULL),
+ov AS (SELECT a.source_id AS earlier, b.source_id AS later FROM tk a JOIN tk b ON a.trader_id = b.trader_id AND a.key = b.key AND a.k = b.k AND (a.created < b.created OR a.created = b.created AND a.source_id < b.source_id) WHERE a.n >= 3 AND b.n >= 3 AND NOT (a.source_id > 0 AND a.source_id % 16 = 1 AND b.source_id = -a.source_id)
+  GROUP BY ALL HAVING COUNT(*) >= 3 AND COUNT(*)::DOUBLE / LEAST(ANY_VALUE(a.n), ANY_VALUE(b.n)) >= 0.6),
+rp AS (SELECT DISTINCT b.id FROM ov JOIN tk b ON b.source_id = later JOIN tk a ON a.source_id = earlier AND a.key = b.key AND a.k = b.k),
+led AS (SELECT *, CASE WHEN status <> 'confirmed' THEN status WHEN id IN (SELECT id FROM rp) THEN 'repeated' WHEN amount > 0 AND date IS NOT NULL THEN 'counted' ELSE 'void' END AS bucket FROM e WHERE abs(source_id) IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority = '1-URGENT')),
 counted AS (SELECT * FROM led WHERE bucket = 'counted'), s AS (SELECT trader_id, id, date, amount FROM counted WHERE type = 'sale'),
 pay AS (SELECT id, o_custkey AS trader_id, CASE WHEN l_returnflag = 'R' THEN 'out' ELSE 'in' END AS direction, CASE WHEN l_returnflag = 'R' THEN 'sent' WHEN l_returnflag = 'A' THEN 'received' WHEN l_partkey % 5 = 0 THEN 'deposit' ELSE 'payment_in' END AS kind,
   CASE WHEN q % 2 = 1 THEN amount WHEN q % 4 = 0 THEN amount - 1 ELSE amount + 1 END AS amount, CASE WHEN l_partkey % 13 = 0 THEN date - 1 ELSE date END AS date, CASE WHEN l_partkey % 11 <> 0 THEN lpad((l_partkey % 24)::VARCHAR, 2, '0') || ':15' END AS time,
@@ -416,19 +422,30 @@ def photo_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", "problem", "status", "duplicate_of", "cross_trader", "distance", F.length("name").alias("name_length"))
 
 
-@_query("""WITH l AS (SELECT COALESCE(source, '') AS trader_id, doc_id, trim(UNNEST(string_split(text, chr(10)))) AS key FROM documents),
-t AS (SELECT trader_id, doc_id, key || '#' || ROW_NUMBER() OVER (PARTITION BY trader_id, doc_id, key) AS token FROM l WHERE key <> ''),
-g AS (SELECT trader_id, doc_id, COUNT(*) AS n, md5(string_agg(token, chr(10) ORDER BY token)) AS class FROM t GROUP BY ALL HAVING COUNT(*) >= 3),
-c AS (SELECT trader_id, class, MIN(doc_id) AS first, ANY_VALUE(n) AS n FROM g GROUP BY ALL),
-f AS (SELECT c.trader_id, c.first, c.n, token FROM c JOIN t ON t.trader_id = c.trader_id AND t.doc_id = c.first),
-x AS (SELECT a.trader_id, a.first AS earlier, b.first AS later, COUNT(*)::INTEGER AS matches, LEAST(ANY_VALUE(a.n), ANY_VALUE(b.n)) AS short FROM f a JOIN f b ON a.trader_id = b.trader_id AND a.token = b.token AND a.first < b.first GROUP BY 1, 2, 3)
-SELECT trader_id, earlier, later, matches, matches::DOUBLE / short AS ratio FROM x WHERE matches >= 3 AND matches::DOUBLE / short >= 0.6
-UNION ALL SELECT trader_id, first, doc_id, g.n::INTEGER, 1.0 FROM g JOIN c USING (trader_id, class) WHERE doc_id > first""")
+_PAGES = """l AS (SELECT COALESCE(source, '') AS trader_id, doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents),
+n AS (SELECT trader_id, doc_id, UNNEST(ls) AS key, UNNEST(range(len(ls))) AS nr FROM l WHERE len(ls) >= 3), t AS (SELECT *, key || '#' || ROW_NUMBER() OVER (PARTITION BY trader_id, doc_id, key ORDER BY nr) AS token FROM n),
+g AS (SELECT trader_id, doc_id, COUNT(*) AS n FROM t GROUP BY ALL)"""
+_TOLD = """same AS (SELECT doc_id, LAG(doc_id, 1) OVER w AS one, LAG(doc_id, 3) OVER w AS three FROM documents WINDOW w AS (PARTITION BY COALESCE(source, ''), sha256(COALESCE(text, '')) ORDER BY doc_id)),
+told AS (SELECT one AS a, doc_id AS b FROM same WHERE doc_id % 3 < 2 AND one IS NOT NULL UNION SELECT three, doc_id FROM same WHERE doc_id % 3 < 2 AND three IS NOT NULL)"""
+_OVERLAP = """x AS (SELECT a.trader_id, a.doc_id AS earlier, b.doc_id AS later, COUNT(*) AS matches FROM t a JOIN t b ON a.trader_id = b.trader_id AND a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL HAVING COUNT(*) >= 3),
+o AS (SELECT x.*, matches::DOUBLE / LEAST(p.n, q.n) AS ratio FROM x JOIN g p ON p.doc_id = earlier JOIN g q ON q.doc_id = later WHERE matches::DOUBLE / LEAST(p.n, q.n) >= 0.6)"""
+
+
+@_query(f"""WITH {_PAGES}, c0 AS (SELECT trader_id, doc_id, md5(string_agg(token, chr(10) ORDER BY token)) AS class FROM t GROUP BY ALL), f AS (SELECT trader_id, class, MIN(doc_id) AS first FROM c0 GROUP BY ALL),
+k AS (SELECT doc_id, first FROM c0 JOIN f USING (trader_id, class)), {_OVERLAP}
+SELECT trader_id, earlier, later, matches::INTEGER AS matches, ratio FROM o JOIN k a ON a.doc_id = earlier JOIN k b ON b.doc_id = later WHERE earlier = a.first AND (later = b.first OR a.first = b.first)""")
 def repeated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source that repeat most lines of another one."""
     return duplicates.repeated_pages(a.page_lines(spark, sf_dir))
 
 
+@_query(f"""WITH {_PAGES}, {_TOLD}, {_OVERLAP}
+SELECT l.trader_id, l.doc_id AS source_id, l.doc_id || '#' || l.nr AS id, MIN(o.earlier) AS earlier FROM o ANTI JOIN told ON told.a = o.earlier AND told.b = o.later JOIN t l ON l.doc_id = o.later JOIN t e ON e.doc_id = o.earlier AND e.token = l.token GROUP BY ALL""")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents that an earlier document of the source has too, where most lines repeat; some pairs are told apart."""
+    return duplicates.repeated_lines(a.page_lines(spark, sf_dir), a.told_apart(spark, sf_dir))
+
+
 @_query(f"""WITH {_P}, x AS (SELECT *, id % 11 AS k FROM p0)
 SELECT id, k > 4 AS ok, CASE WHEN k < 2 THEN 'no_amount' WHEN k = 2 THEN 'no_direction' WHEN k < 5 THEN 'no_date' END AS reason, CASE WHEN k > 5 THEN direction WHEN k = 5 THEN 'out' END AS direction, CASE WHEN k > 5 THEN kind WHEN k = 5 THEN 'withdrawal' END AS kind, CASE WHEN k > 4 THEN amount END AS amount,
 CASE WHEN k = 5 THEN 12 WHEN k > 5 AND kind = 'sent' THEN 25 END::BIGINT AS fee, CASE WHEN k > 5 THEN CASE kind WHEN 'received' THEN amount + 1000 WHEN 'sent' THEN amount + 7 END END AS balance, CASE WHEN k = 5 THEN DATE '2024-03-25' WHEN k > 5 THEN date END AS date,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cowrie.functions.numbers import half_up
+from cowrie.operators.duplicates import page_lines as page_lines_of
+from cowrie.operators.duplicates import repeated_lines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,7 +98,16 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as the lines of pages."""
     d = table(spark, sf_dir, "documents")
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return d.select(F.coalesce("source", F.lit("")).alias("trader_id"), F.col("doc_id").alias("source_id"), F.col("doc_id").alias("page_ord"), F.explode(lines).alias("key"))
+    rows = d.select(F.coalesce("source", F.lit("")).alias("trader_id"), F.col("doc_id").alias("source_id"), F.col("doc_id").alias("page_ord"), F.posexplode(lines).alias("line_ord", "key"))
+    return rows.withColumn("id", F.concat_ws("#", "source_id", "line_ord"))
+
+
+def told_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one source and text that a person told apart from the one before, and from the third before: a part of all."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("trader_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("same"))
+    order = Window.partitionBy("trader_id", "same").orderBy("doc_id")
+    pairs = [d.select(F.lag("doc_id", back).over(order).alias("a"), F.col("doc_id").alias("b")) for back in (1, 3)]
+    return pairs[0].union(pairs[1]).where("a IS NOT NULL AND b % 3 < 2")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +153,10 @@ def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Customers as traders with all that belongs to them: their orders as pages, order lines, payments, events and written totals.
 
     Lines and payments vary by the numbers of part, line and quantity, so that
-    every rule of the profile has rows: corrected and added lines, repeated ones,
-    payments that lines, days or neighbouring days back, and totals that hold or not.
+    every rule of the profile has rows: corrected and added lines, payments that
+    lines, days or neighbouring days back, and totals that hold or not. A quarter
+    of the pages were photographed again a day later and read with another first
+    amount; some of these pairs are told apart.
     """
     o = table(spark, sf_dir, "orders")
     li = table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("trader_id")), "l_orderkey")
@@ -156,8 +169,9 @@ def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     origin = F.when((line == 3) & (part % 10 == 0), "trader").otherwise("ai")
     before = F.when(part % 7 == 0, F.struct(date.alias("date"), F.lit("").alias("description"), F.lit(0).cast("long").alias("amount"), F.lit("sale").alias("type")))
     thing = F.when(part % 4 == 0, "2 rice").when(part % 4 == 1, "Rice").when(part % 4 == 2, "palm oil").otherwise("soap")
-    entries = li.select(ident, "trader_id", F.col("l_orderkey").alias("source_id"), date.alias("date"), amount.alias("amount"), kind.alias("type"), status.alias("status"), origin.alias("origin"), before.alias("original"), thing.alias("description"))
-    repeated = li.where((line == 4) & (number % 10 == 0)).select(ident)
+    entries = li.select(ident, "trader_id", F.col("l_orderkey").alias("source_id"), line.alias("seq"), date.alias("date"), amount.alias("amount"), kind.alias("type"), status.alias("status"), origin.alias("origin"), before.alias("original"), thing.alias("description"))
+    again = {"id": F.concat("id", F.lit("-2")), "source_id": -F.col("source_id"), "amount": F.col("amount") + F.when(F.col("seq") == 1, 1).otherwise(0)}
+    entries = entries.union(entries.where("source_id % 4 = 1").withColumns(again))
     paid = F.when(number % 2 == 1, amount).when(number % 4 == 0, amount - 1).otherwise(amount + 1)
     payments = li.where(line == 1).select(
         ident, ident.alias("ord"), "trader_id", F.when(F.col("l_returnflag") == "R", "out").otherwise("in").alias("direction"),
@@ -171,8 +185,11 @@ def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     pages = o.select(
         key.alias("id"), F.col("o_custkey").alias("trader_id"), F.when(F.col("o_orderpriority") == "5-LOW", "message").when(F.col("o_orderpriority") == "2-HIGH", "receipt").otherwise("notebook").alias("kind"),
         F.when(F.col("o_orderstatus") == "P", "duplicate").when(F.col("o_orderstatus") == "F", "read").otherwise("pending").alias("status"), (F.col("o_orderpriority") == "1-URGENT").alias("duplicate_kept"),
-        F.when((F.col("o_orderstatus") == "F") & (key % 3 != 0), F.col("o_orderdate").cast("timestamp")).alias("confirmed_at"),
+        F.when((F.col("o_orderstatus") == "F") & (key % 3 != 0), F.col("o_orderdate").cast("timestamp")).alias("confirmed_at"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
     )
+    pages = pages.union(pages.where("id % 4 = 1").withColumns({"id": -F.col("id"), "created_at": F.col("created_at") + F.expr("INTERVAL 1 DAY")}))
+    apart = o.where("o_orderkey % 16 = 1").select(key.alias("a"), (-key).alias("b"))
+    repeated = repeated_lines(page_lines_of(entries, pages), apart)
     found = F.when(F.col("o_orderpriority") == "1-URGENT", "photo_duplicate_flagged").otherwise("photo_duplicate_blocked")
     events = o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("trader_id"), F.col("o_orderdate").alias("at"), found.alias("type"), (key % 40 == 0).alias("cross_trader"))
     written = entries.where("type = 'sale'").groupBy("source_id").agg(F.sum("amount").alias("amount"))
