@@ -45,7 +45,7 @@ from cowrie.llm.lm import pack, unpack
 #: Bytes of a window and of an anchor.
 WINDOW, GRAM = 100, 32
 #: Bytes of text in a batch, about (a longer text is a batch of its own), and of pieces in a shard.
-BATCH_BYTES, SHARD_BYTES = 8_000_000, 6_000_000
+BATCH_BYTES, SHARD_BYTES = 8_000_000, 2_000_000
 #: One piece in so many is drawn to find anchors with very many pieces; an anchor counts as one from so many drawn on, or an eighth of a partition.
 SAMPLE, HOT = 16, 64
 _PLACE, _WIDTH, _SEQUENCE = 28, 7, 12  # bits of a place in a batch, of a piece's number of windows, of a task's batches
