@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cowrie.functions.dates import as_date
+from cowrie.operators.duplicates import payment_key
 from cowrie.operators.pages import blocking_issues, date_flags
 
 
@@ -163,14 +164,76 @@ def touched(traders: DataFrame, events: DataFrame) -> DataFrame:
     return traders.join(last, "id", "left").withColumn("updated_at", F.greatest("updated_at", "cowrie_last")).select(*traders.columns)
 
 
-def confirm_pages(entries: DataFrame, pages: DataFrame, today) -> DataFrame:
-    """Confirm all pending lines of pages (source_id) none of whose pending lines has a blocking issue."""
-    now = F.lit(today).cast("date")
-    pending = F.col("status") == "pending"
-    clear = (~pending) | (F.size(blocking_issues(F.col("status"), F.col("flags"), F.col("date"), F.col("amount"), now)) == 0)
-    ready = entries.join(pages.select("source_id"), "source_id", "left_semi").groupBy("source_id").agg(F.bool_and(clear).alias("cowrie_ready"))
-    t = entries.join(ready, "source_id", "left")
-    return t.withColumn("status", F.when(pending & F.coalesce("cowrie_ready", F.lit(False)), "confirmed").otherwise(F.col("status"))).select(*entries.columns)
+def confirm_pages(entries: DataFrame, sources: DataFrame, asked: DataFrame, today: Column | str, at: Column | str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Confirm pages (source_id) with all their pending lines: lines and pages afterwards, the events, and what was refused.
+
+    A page is refused as a whole: ``not_found``, ``not_read`` unless its status is
+    read, or ``page_has_issues`` if a pending line has a blocking issue. Refusals are
+    rows of (source_id, reason, entry_id, issues), one for each such line. Lines
+    and pages that are confirmed bear ``at``; a page that was confirmed before is
+    confirmed anew. A page asked for twice counts once.
+    """
+    now, moment = as_date(today), at if isinstance(at, Column) else F.lit(at).cast("timestamp")
+    want = asked.select(F.col("source_id").alias("id")).distinct()
+    pages = want.join(sources.select("id", "trader_id", "status"), "id", "left")
+    pending = entries.where("status = 'pending'").join(want.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
+    judged = pending.select("source_id", F.col("id").alias("entry_id"), blocking_issues(F.lit("pending"), F.col("flags"), F.col("date"), F.col("amount"), now).alias("issues"))
+    sums = judged.groupBy("source_id").agg(F.count("*").alias("lines"), F.count_if(F.size("issues") > 0).alias("faulty"))
+    pages = pages.join(sums.withColumnRenamed("source_id", "id"), "id", "left")
+    reason = F.when(F.col("status").isNull(), "not_found").when(F.col("status") != "read", "not_read").when(F.col("faulty") > 0, "page_has_issues")
+    pages = pages.withColumn("reason", reason)
+    faulty = judged.where(F.size("issues") > 0).withColumnRenamed("source_id", "cowrie_page")
+    refused = pages.where("reason IS NOT NULL").join(faulty, (F.col("id") == F.col("cowrie_page")) & (F.col("reason") == "page_has_issues"), "left")
+    refused = refused.select(F.col("id").alias("source_id"), "reason", "entry_id", F.coalesce("issues", F.array().cast("array<string>")).alias("issues"))
+    ready = pages.where("reason IS NULL")
+    mark = ready.select("id", F.lit(True).alias("cowrie_ready"))
+    t = entries.join(mark.withColumnRenamed("id", "source_id"), "source_id", "left")
+    go = F.coalesce("cowrie_ready", F.lit(False)) & (F.col("status") == "pending")
+    lines = t.withColumns({"confirmed_at": F.when(go, moment).otherwise(F.col("confirmed_at")), "status": F.when(go, "confirmed").otherwise(F.col("status"))}).select(*entries.columns)
+    p = sources.join(mark, "id", "left").withColumn("confirmed_at", F.when(F.col("cowrie_ready"), moment).otherwise(F.col("confirmed_at"))).select(*sources.columns)
+    events = ready.select("trader_id", moment.alias("at"), F.lit("page_confirmed").alias("type"), F.col("id").alias("source_id"), F.coalesce("lines", F.lit(0)).cast("string").alias("detail"))
+    return lines, p, events, refused
+
+
+def reread_payments(payments: DataFrame, fresh: DataFrame, pages: DataFrame) -> DataFrame:
+    """Payments after pages (source_id) were read again: theirs are dropped, ``fresh`` ones are added and marked against those on file.
+
+    A fresh payment repeats the last payment on file of its trader with its key
+    that repeats none itself, else the first fresh one with its key. Payments
+    on file keep their marks. ``fresh`` has the columns of ``payments`` but
+    ``duplicate_of``; both have ``ord``, ids follow on ties.
+    """
+    kept = payments.join(pages.select("source_id").distinct(), "source_id", "left_anti")
+    key = payment_key(*[F.col(c) for c in ("ref", "time", "direction", "amount", "date", "raw")]).alias("cowrie_key")
+    on_file = kept.where("duplicate_of IS NULL").select("trader_id", key, "ord", "id").groupBy("trader_id", "cowrie_key").agg(F.max(F.struct("ord", "id")).alias("cowrie_file"))
+    new = fresh.withColumn("cowrie_key", key)
+    first = new.groupBy("trader_id", "cowrie_key").agg(F.min(F.struct("ord", "id")).alias("cowrie_first"))
+    new = new.join(first, ["trader_id", "cowrie_key"]).join(on_file, ["trader_id", "cowrie_key"], "left")
+    owner = F.coalesce(F.col("cowrie_file.id"), F.when(F.col("cowrie_first.id") != F.col("id"), F.col("cowrie_first.id")))
+    return kept.unionByName(new.withColumn("duplicate_of", owner).select(*payments.columns))
+
+
+def set_consent(traders: DataFrame, asked: DataFrame, at: Column | str) -> DataFrame:
+    """Traders after (trader_id, granted, code) was asked for: granting gives the code, unless consent stands already; revoking drops it.
+
+    A code that any trader has is refused: that trader's consent stays as it was.
+    Of several requests for a code only the trader with the least id gets it.
+    Unknown traders change nothing.
+    """
+    moment = at if isinstance(at, Column) else F.lit(at).cast("timestamp")
+    a = asked.groupBy(F.col("trader_id").alias("id")).agg(F.max_by("granted", F.struct("granted", "code")).alias("cowrie_grant"), F.max_by("code", F.struct("granted", "code")).alias("cowrie_code"))
+    taken = traders.where("consent.code IS NOT NULL").select(F.col("consent.code").alias("cowrie_code")).distinct()
+    owner = a.where("cowrie_grant").groupBy("cowrie_code").agg(F.min("id").alias("cowrie_owner"))
+    a = a.join(owner, "cowrie_code", "left").join(taken.withColumn("cowrie_taken", F.lit(True)), "cowrie_code", "left")
+    t = traders.join(a, "id", "left")
+    stands = F.coalesce(F.col("consent.granted"), F.lit(False))
+    free = F.col("cowrie_code").isNotNull() & F.col("cowrie_taken").isNull() & (F.col("cowrie_owner") == F.col("id"))
+    kind = traders.schema["consent"].dataType
+    null = F.lit(None)
+    given = F.struct(F.lit(True).alias("granted"), moment.alias("granted_at"), null.alias("revoked_at"), F.col("cowrie_code").alias("code")).cast(kind)
+    gone = F.struct(F.lit(False).alias("granted"), null.alias("granted_at"), moment.alias("revoked_at"), null.alias("code")).cast(kind)
+    grants, revokes = F.coalesce(F.col("cowrie_grant"), F.lit(False)) & ~stands & free, ~F.coalesce(F.col("cowrie_grant"), F.lit(True)) & stands
+    return t.withColumn("consent", F.when(grants, given).when(revokes, gone).otherwise(F.col("consent"))).select(*traders.columns)
 
 
 def consent_state(events: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cowrie.functions.dates import parse_loose_date
 from cowrie.functions.numbers import group_thousands, parse_amount
 from cowrie.functions.text import NOISE, UNIT_WORDS, matches_search
-from cowrie.operators import answers, changes, duplicates, ledger, messages, pages, payments, photos, privacy, profile, strength, views
+from cowrie.operators import answers, changes, duplicates, history, ledger, messages, pages, payments, photos, privacy, profile, strength, views
 from cowrie.sources import adapters as a
 from cowrie.sources.tables import cut_lineage
 
@@ -528,3 +528,64 @@ def trader_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers found by a part of their name or nation, whatever its case and accents."""
     s = a.table(spark, sf_dir, "supplier").join(a.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return s.where(matches_search([F.col("s_name"), F.col("n_name")], "Natîon_1")).select("s_suppkey", "s_name")
+
+
+_ASKED = """l AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice + 0.5)::BIGINT) AS id, l_orderkey AS source_id, CASE WHEN l_linenumber = 7 THEN 'rejected' WHEN l_linenumber IN (1, 5, 6) THEN 'pending' ELSE 'confirmed' END AS status,
+  l_partkey % 4 = 0 OR floor(l_extendedprice + 0.5) <= 0 AS bad FROM lineitem),
+b AS (SELECT source_id, COUNT(*) FILTER (status = 'pending' AND bad) AS faulty FROM l GROUP BY ALL),
+r AS (SELECT o_orderkey AS source_id, CASE WHEN o_orderstatus <> 'F' THEN 'not_read' WHEN faulty > 0 THEN 'page_has_issues' END AS reason FROM orders LEFT JOIN b ON b.source_id = o_orderkey WHERE o_orderkey % 3 > 0)"""
+
+
+@_query(f"""WITH {_ASKED} SELECT l.id, l.source_id, reason, CASE WHEN status = 'pending' AND reason IS NULL THEN 'confirmed' ELSE status END AS status, status = 'pending' AND reason IS NULL AS fresh FROM l JOIN r USING (source_id)""")
+def page_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the pages that someone confirms, and why pages were refused."""
+    at, asked = "2001-02-03", F.col("source_id") % 3 > 0
+    lines, pages = a.patches(spark, sf_dir)[0], a.sources(spark, sf_dir).withColumn("confirmed_at", F.lit(None).cast("timestamp"))
+    after, _, _, refused = changes.confirm_pages(lines, pages, pages.select(F.col("id").alias("source_id")).where(asked), F.col("today"), at)
+    why = refused.select("source_id", "reason").distinct()
+    return after.where(asked).join(why, "source_id", "left").select("id", "source_id", "reason", "status", F.coalesce(F.col("confirmed_at") == F.lit(at).cast("timestamp"), F.lit(False)).alias("fresh"))
+
+
+_KEY = "CASE WHEN id % 7 = 0 THEN 'ref:R-' || (id % 40) ELSE concat_ws(':', direction, amount, date, time) END"
+
+
+@_query(f"""WITH {_P}, {_E}, k AS (SELECT *, {_KEY} AS key FROM p0), m AS (SELECT *, MIN(id) OVER (PARTITION BY trader_id, key) AS owner FROM k), kept AS (SELECT *, CASE WHEN owner <> id THEN owner END AS duplicate_of FROM m WHERE id % 97 % 3 <> 0),
+f0 AS (SELECT * REPLACE (amount + (id % 5 = 0)::INT AS amount) FROM p0 WHERE id % 97 % 3 = 0), f1 AS (SELECT *, {_KEY} AS key FROM f0), f AS (SELECT *, MIN(id) OVER (PARTITION BY trader_id, key) AS owner FROM f1),
+o AS (SELECT trader_id, key, MAX(id) AS id FROM kept WHERE duplicate_of IS NULL GROUP BY ALL), own AS (SELECT source_id, COUNT(*) AS n FROM e WHERE seq = 3 GROUP BY ALL)
+SELECT 'payment' AS what, id::VARCHAR AS id, id % 97 AS source_id, NULL::INTEGER AS seq, duplicate_of FROM kept
+UNION ALL SELECT 'payment', (f.id + 1000000000)::VARCHAR, f.id % 97, NULL, COALESCE(o.id, CASE WHEN owner <> f.id THEN owner + 1000000000 END) FROM f LEFT JOIN o ON o.trader_id = f.trader_id AND o.key = f.key
+UNION ALL SELECT 'line', id, source_id, seq, NULL FROM e WHERE source_id % 3 > 0 OR seq = 3
+UNION ALL SELECT 'line', id || '/2', source_id, (seq + COALESCE(n, 0))::INTEGER, NULL FROM e LEFT JOIN own USING (source_id) WHERE source_id % 3 = 0""")
+def rereading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments and lines after a third of all pages was read again."""
+    paid = a.payments(spark, sf_dir).withColumn("source_id", F.col("id") % 97)
+    again = paid.where("source_id % 3 = 0").withColumns({"id": F.col("id") + 1_000_000_000, "ord": F.col("ord") + 1_000_000_000, "amount": F.col("amount") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)})
+    payments_ = changes.reread_payments(duplicates.mark_payment_duplicates(paid), again, again.select("source_id"))
+    lines = a.entries(spark, sf_dir).withColumn("origin", F.when(F.col("seq") == 3, "trader").otherwise("ai"))
+    fresh = lines.where("source_id % 3 = 0").withColumns({"id": F.concat("id", F.lit("/2")), "origin": F.lit("ai")})
+    lines = changes.reread(lines, fresh)
+    out = payments_.select(F.lit("payment").alias("what"), F.col("id").cast("string").alias("id"), "source_id", F.lit(None).cast("int").alias("seq"), "duplicate_of")
+    return out.union(lines.select(F.lit("line"), "id", "source_id", "seq", F.lit(None).cast("long")))
+
+
+@_query("""WITH x AS (SELECT event_id, user_id, lpad(((event_id * 7919) % 100000000)::VARCHAR, 8, '0') AS n FROM events WHERE user_id % 3 > 0)
+SELECT 'payments' AS what, event_id AS id, '6•• ••• •' || right(n, 2) AS phone, 'Awa N.' AS name, 'Paid by 6•• ••• •' || right(n, 2) || '.' AS text FROM x
+UNION ALL SELECT 'sources', event_id, NULL, NULL, 'Call 6•• ••• •' || right(n, 2) || ' or 6•• ••• •' || right(n, 2) || ', not 16' || n || '0' FROM x
+UNION ALL SELECT DISTINCT 'traders', user_id, '6•• ••• •' || lpad((user_id % 100)::VARCHAR, 2, '0'), NULL, NULL FROM x""")
+def lender_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a lender may read of traders who agreed: payments, pages and traders without phones and full names."""
+    seen = privacy.lender_bundle(a.phones(spark, sf_dir))
+    none = F.lit(None).cast("string")
+    out = seen["payments"].select(F.lit("payments").alias("what"), "id", "phone", F.col("counterparty").alias("name"), F.col("raw").alias("text"))
+    return out.union(seen["sources"].select(F.lit("sources"), "id", none, none, "text")).union(seen["traders"].select(F.lit("traders"), "id", "phone", none, none))
+
+
+@_query("""WITH x AS (SELECT user_id::VARCHAR AS trader_id, ts, event_id, event_type = 'purchase' AS yes, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('purchase', 'error')),
+m AS (SELECT trader_id, COALESCE(MAX(n) FILTER (yes), 0) AS g, COALESCE(MAX(n) FILTER (NOT yes), 0) AS r FROM x GROUP BY ALL),
+y AS (SELECT m.trader_id, g > r AS granted, MIN(n) FILTER (yes AND n > r) AS first_yes, CASE WHEN g > 0 THEN MIN(n) FILTER (NOT yes AND n > g) END AS first_no FROM m JOIN x USING (trader_id) GROUP BY m.trader_id, g, r)
+SELECT y.trader_id, granted, 'C' || a.event_id AS code, a.ts AS granted_at, b.ts AS revoked_at FROM y LEFT JOIN x a ON a.trader_id = y.trader_id AND a.n = first_yes LEFT JOIN x b ON b.trader_id = y.trader_id AND b.n = first_no""")
+def consent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the consent of each trader stands, as a fold of the log."""
+    e = a.table(spark, sf_dir, "events").where("event_type IN ('purchase', 'error')")
+    kind = F.when(F.col("event_type") == "purchase", "consent_granted").otherwise("consent_revoked")
+    return history.consent_states(e.select(F.col("user_id").cast("string").alias("trader_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("ord"), kind.alias("type"), F.concat(F.lit("C"), "event_id").alias("detail")))

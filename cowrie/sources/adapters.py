@@ -264,3 +264,15 @@ def uploads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.when(v % 29 == 0, "bad").otherwise(F.concat(start, F.substring(F.md5(group.cast("binary")), 4, 29), F.md5(F.concat(F.lit("x"), group).cast("binary")))).alias("dhash"), F.repeat(F.lit("a"), (v % 200).cast("int")).alias("name"),
     )
     return t.where("id % 3 <> 0"), t.where("id % 3 = 0 AND id % 29 <> 0").select("id", "ord", "trader_id", "sha256", "dhash")
+
+
+def phones(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Traders (two of three agreed to be read), payments and pages with phone numbers in columns and texts."""
+    e = table(spark, sf_dir, "events")
+    n = F.lpad((F.col("event_id") * 7919 % 100_000_000).cast("string"), 8, "0")
+    own = F.concat(F.lit("+237 6"), F.lpad((F.col("trader_id") % 100).cast("string"), 8, "0"))
+    who = e.select(F.col("user_id").alias("trader_id")).distinct()
+    traders = who.select(F.col("trader_id").alias("id"), own.alias("phone"), F.struct((F.col("trader_id") % 3 > 0).alias("granted"), F.lit("TR-AAAA-AAAA").alias("code")).alias("consent"))
+    paid = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("trader_id"), F.concat(F.lit("6"), n).alias("phone"), F.lit("Awa Ngono Marie").alias("counterparty"), F.concat(F.lit("Paid by 6"), n, F.lit(".")).alias("raw"))
+    pages = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("trader_id"), F.concat(F.lit("Call 6"), n, F.lit(" or (+237)6"), n, F.lit(", not 16"), n, F.lit("0")).alias("text"))
+    return {"traders": traders, "payments": paid, "sources": pages}

@@ -279,9 +279,17 @@ def test_added_lines_pages_and_traders(spark):
 
 
 def test_confirm_pages(spark):
-    e = spark.createDataFrame([entry("1"), entry("2", date=None, flags=["date_missing"]), entry("3", "q"), entry("4", "q", status="rejected", amount=0)], ENTRY)
-    got = changes.confirm_pages(e, spark.createDataFrame([("p",), ("q",)], "source_id string"), TODAY)
-    assert {r.id: r.status for r in got.collect()} == {"1": "pending", "2": "pending", "3": "confirmed", "4": "rejected"}
+    e = spark.createDataFrame([entry("1"), entry("2", date=None, flags=["date_missing"]), entry("3", "q"), entry("4", "q", status="rejected", amount=0), entry("5", "r"), entry("6", "q", status="confirmed")], ENTRY)
+    pages_ = spark.createDataFrame([("p", "t", "read", None), ("q", "t", "read", None), ("r", "t", "pending", None), ("s", "u", "read", None)], "id string, trader_id string, status string, confirmed_at timestamp")
+    asked = spark.createDataFrame([("p",), ("q",), ("q",), ("r",), ("s",), ("x",)], "source_id string")
+    at = dt.datetime(2026, 9, 30, 12)
+    lines, after, events, refused = changes.confirm_pages(e, pages_, asked, TODAY, at)
+    got = {r.id: (r.status, r.confirmed_at) for r in lines.collect()}
+    assert {k: v[0] for k, v in got.items()} == {"1": "pending", "2": "pending", "3": "confirmed", "4": "rejected", "5": "pending", "6": "confirmed"}
+    assert {k for k, v in got.items() if v[1] == at} == {"3"}
+    assert {r.id: r.confirmed_at for r in after.collect()} == {"p": None, "q": at, "r": None, "s": at}
+    assert {(r.trader_id, r.source_id, r.type, r.detail) for r in events.collect()} == {("t", "q", "page_confirmed", "1"), ("u", "s", "page_confirmed", "0")}
+    assert {(r.source_id, r.reason, r.entry_id, tuple(r.issues)) for r in refused.collect()} == {("p", "page_has_issues", "2", ("date_missing",)), ("r", "not_read", None, ()), ("x", "not_found", None, ())}
 
 
 def test_payment_screens(spark):
