@@ -704,3 +704,26 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     assert len(set(told)) > 0.95 * len(told)  # copies have samples of their own
     run = corpus_pipeline.run(spark, DATA)
     assert Counter(r.doc_id for r in run.collect()) == Counter(k for k, _ in told)
+
+
+def test_toxicity_query_held_out(spark):
+    """Rows that were not learned from, at a size where each language has a few toxic rows."""
+    data = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in QUERIES["op8_toxicity"](spark, data).where("held_out").collect()}
+    told = {r.doc_id: r for r in spark.read.parquet(f"{data}/labels.parquet").join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang"), "doc_id").collect() if r.doc_id in got}
+    assert all((r.score >= 0.7) == (r.predicted == 1) and 0 <= r.score <= 1 for r in got.values())
+    toxic, clean = [k for k, r in told.items() if r.toxic], [k for k, r in told.items() if not r.toxic]
+    assert len(toxic) > 10 and sum(got[k].predicted for k in toxic) >= 0.75 * len(toxic)
+    assert sum(got[k].predicted for k in clean) <= 0.02 * len(clean)
+    foreign = [k for k in clean if told[k].lang != "en"]
+    assert sum(got[k].predicted for k in foreign) <= 0.04 * len(foreign)
+
+
+def test_thresholds_by_language_at_any_size():
+    rng = np.random.default_rng(0)
+    for n in (60, 499, 501, 3000):  # two languages whose logits lie apart
+        spoken, target = np.arange(n) % 2, (np.arange(n) % 10 < 3).astype(float)
+        logits = rng.normal(0, 0.2, n) + 3 * target + 2 * spoken
+        cuts = toxicity.calibrate(logits, target, spoken, 3)
+        assert 0.5 < cuts[0] < 2.9 and 2.5 < cuts[1] < 4.9 and cuts[0] < cuts[1]
+        assert cuts[2] == toxicity.threshold(logits, target)
