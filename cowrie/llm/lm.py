@@ -20,6 +20,10 @@ the model:
 4. the answers go back to the batch, which adds up the numbers of successors of a
    context that lies in several shards, and scores its rows.
 
+All probabilities of words after a context sum to 1 over the words of training
+and one unseen word, as in add-one counting: each word that training lacks has
+that word's probability, which is below that of a word seen once.
+
 Counts, numbers of successors and the grid depend on the training rows alone, so
 the scores do not depend on batches, shards or partitions. What is sent is at
 most one n-gram a token, however many batches and shards there are.
@@ -200,7 +204,8 @@ class Batch:
         known, base = by_row(n1[ids] > 0), by_row(np.log10(n1[ids] + 1.0))
         if not total:
             return known, base, np.zeros(len(self.size))
-        p1 = np.where(n1 > 0, n1 - DISCOUNT_1, DISCOUNT_1 * distinct) / total
+        # what the words gave up is shared evenly by all of them and one unseen word, so these sum to 1
+        p1 = (np.maximum(n1 - DISCOUNT_1, 0) + DISCOUNT_1 * distinct / (distinct + 1)) / total
         u, w = (self.pairs >> _32).astype(np.int64), (self.pairs & _MASK).astype(np.int64)
         p2 = np.where(n1[u] > 0, (n2 + DISCOUNT * types_1[u] * p1[w]) / np.maximum(n1[u], 1), p1[w])
         p = p2[self.of_pair]
