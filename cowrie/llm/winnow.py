@@ -15,11 +15,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of a gram and grams of a window.
 GRAM, WINDOW = 5, 8
 #: Rows of documents between two cuts of the order, about, unless the cluster has more cores than that gives work.
-CHUNK_ROWS, CHUNKS_PER_CORE = 25_000, 16
+CHUNK_ROWS, CHUNKS_PER_CORE, MOST_CHUNKS = 25_000, 16, 1 << 16
 _PRIME, _BASE = (1 << 31) - 1, 1_000_003
 _PLACE = 28  # bits of a position: a text has fewer words than that
 _MASK = (1 << _PLACE) - 1
@@ -109,52 +110,57 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either).cast("double")
 
 
+def _value(key: Column, kind: T.DataType) -> Column:
+    """A double that never falls as the key rises: it only deals keys to chunks, so different keys may share one."""
+    if isinstance(kind, T.StringType):  # the first six bytes, as strings are ordered by their bytes
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(key, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(key).cast("double")
+    return key.cast("double")
+
+
 def _chunks(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame] | None:
-    """Cuts of the descending order of keys, as two small tables; null for an empty table.
+    """Rows with ``chunk`` (0 holds the largest keys, nulls are in the last one), and for each chunk its largest key and the chunk before it (the first follows the last); null for an empty table.
 
-    The first says for each equally wide step of key values the number of cuts
-    below it and the cuts within it; the second, for each chunk, its largest key
-    and the chunk before it (the first follows the last). Both have a row for
-    every ``CHUNK_ROWS`` documents.
+    Chunks are cut at quantiles of the keys' values. There is one for every
+    ``CHUNK_ROWS`` documents, but ``MOST_CHUNKS`` at most, so the tables of cuts
+    are of bounded size.
     """
-    spark, k = docs.sparkSession, F.col(key)
-    seen = docs.agg(F.count("*").alias("n"), F.min(k).alias("least"), F.max(k).alias("most")).first()
+    spark, v = docs.sparkSession, _value(F.col(key), docs.schema[key].dataType)
+    seen = docs.agg(F.count("*").alias("n"), F.min(v).alias("least"), F.max(v).alias("most")).first()
     if not seen.n:
         return None
-    cuts = max(spark.sparkContext.defaultParallelism * CHUNKS_PER_CORE, -(-seen.n // CHUNK_ROWS))
+    cuts = min(MOST_CHUNKS, max(spark.sparkContext.defaultParallelism * CHUNKS_PER_CORE, -(-seen.n // CHUNK_ROWS)))
     cuts = 0 if seen.least is None else min(cuts, seen.n - 1)
-    marks = docs.agg(F.percentile_approx(k, [i / (cuts + 1) for i in range(1, cuts + 1)], max(10_000, 4 * cuts))).first()[0] if cuts else []
+    marks = docs.agg(F.percentile_approx(v, [i / (cuts + 1) for i in range(1, cuts + 1)], max(10_000, 4 * cuts))).first()[0] if cuts else []
     marks = sorted(set(marks or []))
-    low = seen.least or 0
-    width = max(1, -(-((seen.most or 0) - low + 1) // max(1, cuts)))
-    within: dict[int, list[int]] = {}
+    low = seen.least or 0.0
+    width = max(((seen.most or 0.0) - low) / max(1, cuts), 5e-324)
+    within: dict[int, list[float]] = {}
     for m in marks:
-        within.setdefault((m - low) // width, []).append(m)
+        within.setdefault(int((m - low) / width), []).append(m)
     steps, below = [], 0
-    for step in range(((seen.most or 0) - low) // width + 1):
+    for step in range(int(((seen.most or 0.0) - low) / width) + 1):
         steps.append((step, below, within.get(step, [])))
         below += len(within.get(step, []))
-    table = spark.createDataFrame(steps, "step long, below int, within array<bigint>")
-    placed = _placed(docs.select(key), key, table, len(marks), low, width)
-    heads = sorted((r.chunk, r.top) for r in placed.groupBy("chunk").agg(F.max(key).alias("top")).collect())
-    rows = [(c, top, heads[i - 1][0]) for i, (c, top) in enumerate(heads)]
-    tops = spark.createDataFrame(rows, f"chunk int, top {docs.schema[key].dataType.simpleString()}, before int")
-    return _placed(docs, key, table, len(marks), low, width), tops
+    table = spark.createDataFrame(steps, "step long, below int, within array<double>")
 
+    def placed(df: DataFrame) -> DataFrame:
+        at = F.floor((v - F.lit(low)) / F.lit(width))
+        found = df.withColumn("step", at).join(F.broadcast(table), "step", "left")  # a row for each cut, about
+        chunk = F.lit(len(marks)) - F.col("below") - F.size(F.filter("within", lambda m: m <= v))
+        return found.withColumn("chunk", F.coalesce(chunk, F.lit(len(marks) + 1)).cast("int")).drop("step", "below", "within")
 
-def _placed(docs: DataFrame, key: str, steps: DataFrame, cuts: int, low: int, width: int) -> DataFrame:
-    """Append ``chunk``: 0 holds the largest keys, nulls are in the last one."""
-    k = F.col(key)
-    at = F.expr(f"(`{key}` - ({low}L)) div {width}L")
-    found = docs.withColumn("step", at).join(F.broadcast(steps), "step", "left")  # a row for every CHUNK_ROWS documents
-    chunk = F.lit(cuts) - F.col("below") - F.size(F.filter("within", lambda m: m <= k))
-    return found.withColumn("chunk", F.coalesce(chunk, F.lit(cuts + 1)).cast("int")).drop("step", "below", "within")
+    heads = sorted(((r.chunk, r.top) for r in placed(docs.select(key)).groupBy("chunk").agg(F.max(key).alias("top")).collect()), key=lambda r: r[0])
+    rows = [(c, top, heads[i - 1][0]) for i, (c, top) in enumerate(heads)]
+    tops = spark.createDataFrame(rows, T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("top", docs.schema[key].dataType), T.StructField("before", T.IntegerType())]))
+    return placed(docs), tops
 
 
 def with_next(docs: DataFrame, key: str, text: str, make) -> DataFrame:
     """Append the columns that ``make`` gives each row, and ``next``: a struct of ``text`` and those columns of the following row.
 
-    Rows follow each other by descending key, nulls last; equal keys in the order
+    Keys are numbers, strings, dates or times. Rows follow each other by descending key, nulls last; equal keys in the order
     of their text; the last row is followed by the first, and a single row by
     itself. The order is cut into chunks; the first row of a chunk is copied to
     the chunk before, so one shuffle of the texts and a window within chunks
