@@ -1,5 +1,7 @@
 """Operators against brute force, round trips, held-out accuracy and odd tables."""
 
+import datetime
+import decimal
 import hashlib
 import math
 import os
@@ -155,7 +157,7 @@ def exact_trigrams(docs, train):
     bi, tri = Counter(p for i in train for p in pairs(ends[i])), Counter(t for i in train for t in triples(ends[i]))
     left = Counter(a for i in train for a, _ in pairs(ends[i]))
     types, types_2 = Counter(a for a, _ in bi), Counter((a, b) for a, b, _ in tri)
-    p1 = lambda w: (c[w] - 0.5) / n if c[w] else 0.5 * v / n
+    p1 = lambda w: (max(c[w] - 0.5, 0) + 0.5 * v / (v + 1)) / n
     p2 = lambda a, w: (max(bi[a, w] - 0.75, 0) + 0.75 * types[a] * p1(w)) / left[a] if left[a] else p1(w)
     p3 = lambda a, b, w: (max(tri[a, b, w] - 0.75, 0) + 0.75 * types_2[a, b] * p2(b, w)) / bi[a, b] if bi[a, b] else p2(b, w)
     base = lambda ws: sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)
@@ -176,6 +178,36 @@ def test_lm_scores_of_the_query_against_the_exact_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_prefers_seen_words_and_sums_to_one(spark):
+    docs = {i: f"the cat number{i} sat on the mat of room{i % 5}".split() for i in range(40)}
+    words = sorted({w for ws in docs.values() for w in ws})
+    # one text of two words for each second word, the end and one unseen word among them: the shares of "the x" sum to those of "the"
+    probes = {1000 + k: f"the {w}" for k, w in enumerate([*words, "neverseen"])} | {2000: "the"}
+    extra = {3000: "qzx wvv pkk jjq", 3001: "number1 number2 number3 number4", 3002: "the cat sat on"}
+    rows_ = [(i, " ".join(ws), True) for i, ws in docs.items()] + [(i, t, False) for i, t in (probes | extra).items()]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows_, "doc_id long, text string, train boolean")).collect()}
+    assert got[3000] < got[3001] < got[3002]
+    tri = exact_trigrams({i: ws for i, ws in docs.items()} | {i: t.split() for i, t in (probes | extra).items()}, list(docs))[1]
+    assert all(got[i] == pytest.approx(tri[i][2], rel=5e-4, abs=1e-3) for i in [*probes, *extra])
+    # the exact model itself: all words, the end and one unseen word sum to 1 after any context
+    p2, p3 = _counts(docs)
+    every = [*words, "\0", "neverseen"]
+    assert sum(p2("^", w) for w in every) == pytest.approx(1) and sum(p3("^", "the", w) for w in every) == pytest.approx(1) and sum(p3("sat", "on", w) for w in every) == pytest.approx(1)
+
+
+def _counts(docs):
+    ends = [[*ws, "\0"] for ws in docs.values()]
+    c = Counter(w for ws in ends for w in ws)
+    bi = Counter(p for ws in ends for p in zip(["^", *ws], ws))
+    tri = Counter(t for ws in ends for t in zip(["^", *ws], ws, ws[1:]))
+    left = Counter(a for ws in ends for a in ["^", *ws[:-1]])
+    p1 = lambda w: (max(c[w] - 0.5, 0) + 0.5 * len(c) / (len(c) + 1)) / sum(c.values())
+    kinds, kinds_2 = Counter(a for a, _ in bi), Counter((a, b) for a, b, _ in tri)
+    p2 = lambda a, w: (max(bi[a, w] - 0.75, 0) + 0.75 * kinds[a] * p1(w)) / left[a] if left[a] else p1(w)
+    p3 = lambda a, b, w: (max(tri[a, b, w] - 0.75, 0) + 0.75 * kinds_2[a, b] * p2(b, w)) / bi[a, b] if bi[a, b] else p2(b, w)
+    return p2, p3
+
+
 def test_lm_scores_do_not_depend_on_batches_shards_or_partitions(spark, monkeypatch):
     """With a hot word, a hot pair and limits that cut contexts."""
     rng = np.random.default_rng(5)
@@ -398,8 +430,8 @@ def test_pieces_round_trip_and_inclusion(spark, odd):
 def test_pieces_copies_draw_their_own_samples_and_spaces_join(spark):
     text = "sampled segmentations of one text " * 5
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (2, text), (2, text), (1, text)], "doc_id long, text string").coalesce(1)
-    ids = [tuple(r.samples[0].ids) for r in pieces.encode(df, copies=True).collect()]
-    assert len({(k, i) for k, i in zip((1, 1, 2, 2, 2, 1), ids, strict=True)}) == 5 and ids[0] == ids[5]
+    drawn = [(r.doc_id, tuple(r.samples[0].ids)) for r in pieces.encode(df, copies=True).collect()]
+    assert Counter(k for k, _ in drawn) == {1: 3, 2: 3} and len(set(drawn)) == 6
     assert len({tuple(r.samples[0].ids) for r in pieces.encode(df).collect()}) == 2
     assert pieces.words_of(b"  a  b   ") == [b"  a", b"  b", b"   "] and pieces.words_of(b"") == [b""]
     parts = [b"a", b"  ", b" ", b""] + [bytes([i]) for i in range(256)]
@@ -407,6 +439,32 @@ def test_pieces_copies_draw_their_own_samples_and_spaces_join(spark):
     assert {tuple(s["ids"].tolist()) for s in pieces.sample(v, [b"a  a"], [b"1"], k=5)[0]} == {(0, 1, 0), (0, 2, 2, 0)}
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_copies_draw_their_own_samples_wherever_they_lie(spark, parts):
+    rows_ = [(7, "sampled segmentations of one text " * 5)] * 6 + [(8, "another text of several words"), (7, "one more under that key"), *[(None, "keyless segmentations of several words " * 5)] * 2]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string").repartition(parts)
+    drawn = [(r.doc_id, r.text, tuple(tuple(s.ids) for s in r.samples)) for r in pieces.encode(docs, copies=True).collect()]
+    assert len({d for d in drawn if d[:2] == rows_[0]}) == 6 and len({d for d in drawn if d[0] is None}) == 2
+    whole = [(r.doc_id, r.text, tuple(tuple(s.ids) for s in r.samples)) for r in pieces.encode(docs.coalesce(1), copies=True).collect()]
+    assert Counter(drawn) == Counter(whole)
+
+
+def test_pipeline_keeps_columns_whose_names_clash(spark, tmp_path):
+    """Columns that bear the names of what the operators add come through each stage as they were."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    names = ["size", "target", "copies", "source_size", "score", "predicted", "lang_pred", "samples", "fp", "root", "cowrie_rest", "k", "toxic", "at"]
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        kept = [n for n in names if name != "pieces" or n != "samples"]
+        if name != "pieces":
+            assert out.columns == docs.columns
+        assert out.count() > 100 and out.where(" OR ".join(f"`{n}` <> concat('{n}', doc_id)" for n in kept)).count() == 0
+        if name != "pieces":
+            out.write.parquet(f"{tmp_path}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
+
+
 def test_pieces_query_restores_every_text(spark):
     got = {r.doc_id: r for r in rows(spark, "op6_piece_sampling")}
     docs = table("documents")
@@ -486,6 +544,57 @@ def chosen_by_hand(hashes, window=winnow.WINDOW):
     return [(hashes[i], i) for i in out]
 
 
+def grams_by_hand(text):
+    """Rolling hashes of five words, from xxhash alone: word hashes as Spark's xxhash64 gives them (seed 42), folded to a prime."""
+    prime, base = (1 << 31) - 1, 1_000_003
+    signed = lambda b: (h := xxhash.xxh64_intdigest(b, 42)) - (1 << 64) * (h >> 63)
+    w = [signed(x.encode()) % prime for x in WORD.findall(text)]
+    if 0 < len(w) < 5:
+        return [signed(" ".join(map(str, w)).encode()) % prime]
+    out = []
+    for i in range(len(w) - 4):
+        h = 0
+        for x in w[i : i + 5]:
+            h = (h * base + x) % prime
+        out.append(h)
+    return out
+
+
+def fingerprint_by_hand(text):
+    seen = chosen_by_hand(grams_by_hand(text))
+    return " ".join(f"{h:x}@{i}" for h, i in seen)
+
+
+def test_query_fingerprints_by_hand(spark):
+    docs = table("documents").sort_values("doc_id", ascending=False)
+    ids, texts = docs.doc_id.tolist(), [t or "" for t in docs.text]
+    got = {r.doc_id: r for r in rows(spark, "op7_fingerprints")}
+    for i, (k, t) in enumerate(zip(ids, texts, strict=True)):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + texts[(i + 1) % len(texts)][:half]
+        assert got[k].fingerprint == fingerprint_by_hand(t) and got[k].edited_fingerprint == fingerprint_by_hand(edited)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 25_000])
+def test_next_document_of_any_ordered_key(spark, monkeypatch, chunk):
+    monkeypatch.setattr(winnow, "CHUNK_ROWS", chunk)
+    tables = {
+        "long": [-(1 << 63), (1 << 63) - 1, (1 << 62), -(1 << 62), 0, 0, (1 << 62) + 1, None],
+        "string": ["", "a", "ab", "same prefix of many letters 1", "same prefix of many letters 2", "é", "漢字", "~", None, "a"],
+        "int": [3, 2, 2, 7], "date": [datetime.date(1, 1, 1), datetime.date(9999, 12, 31), datetime.date(2024, 2, 29), None],
+        "decimal(38,0)": [decimal.Decimal(10**37), decimal.Decimal(-(10**37)), decimal.Decimal(5), decimal.Decimal(6)],
+    }
+    for kind, keys in tables.items():
+        df = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(keys)], f"id {kind}, text string").repartition(3)
+        last = sorted((i for i, k in enumerate(keys) if k is None), key=lambda i: f"t{i}")
+        order = sorted((i for i, k in enumerate(keys) if k is not None), key=lambda i: f"t{i}")
+        order = sorted(order, key=lambda i: keys[i].encode() if kind == "string" else keys[i], reverse=True)
+        # a reversed sort keeps equal keys in the order they came
+        order += last
+        want = {f"t{i}": f"t{order[(j + 1) % len(order)]}" for j, i in enumerate(order)}
+        assert {r.text: r.next.text for r in winnow.with_next(df, "id", "text", lambda d: d).collect()} == want, kind
+
+
 def test_winnowing(spark, odd):
     df = winnow.add_fingerprint(odd, "text", "chosen").select("text", winnow.hashes(F.col("chosen")).alias("h"), winnow.positions(F.col("chosen")).alias("p"), winnow.as_text(F.col("chosen")).alias("s"))
     grams = winnow.add_fingerprint(odd.select("text"), "text", "every", window=1).select("text", F.transform("every", lambda x: F.shiftright(x, 28)).alias("g")).collect()
