@@ -37,8 +37,10 @@ _MARK = ""  # what the generator puts before main text
 # Kinds of elements.
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-SILENT = frozenset("svg math button select option canvas audio video object head datalist".split())
+MEDIA = frozenset("audio button canvas svg video".split())
+FORMULA = frozenset("math annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE = MEDIA | FORMULA | frozenset("object picture a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+SILENT = MEDIA | frozenset("select option head datalist annotation annotation-xml".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 PEERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -142,7 +144,7 @@ class Page:
             nonlocal links, silent
             while len(stack) > to:
                 name = stack[-1][0]
-                if name not in INLINE:
+                if name not in INLINE and not places.get("svg"):
                     flush()
                 stack.pop()
                 places[name].pop()
@@ -151,7 +153,7 @@ class Page:
 
         def push(name: str, node: int) -> None:
             places.setdefault(name, []).append(len(stack))
-            stack.append((name, node, stack[-1][2] if name in INLINE else len(stack)))
+            stack.append((name, node, stack[-1][2] if name in INLINE or places.get("svg") else len(stack)))
 
         def highest(names: tuple[str, ...]) -> int:
             return max((places[x][-1] for x in names if places.get(x)), default=-1)
@@ -182,7 +184,7 @@ class Page:
                 parts.append(" ")
                 continue
             if name in VOID:
-                if name in INLINE or name in ("br", "img", "input"):
+                if name in INLINE or name in ("br", "img", "input", "embed", "param", "source", "track"):
                     parts.append(" ")
                 else:
                     flush()
@@ -199,8 +201,13 @@ class Page:
                     close(d)
             if name in ("html", "body") or (name == "head" and (len(stack) > 2 or len(self.tag) > 2)):
                 continue
-            if name in INLINE:
+            if name in INLINE or places.get("svg"):  # what is drawn in a line of text does not end it
+                if name in MEDIA:
+                    parts.append(" ")
+                if name in ("svg", "math") and attrs and attrs.endswith("/"):
+                    continue
                 links += name == "a"
+                silent += name in SILENT
                 push(name, stack[-1][1])
                 continue
             flush()
@@ -223,8 +230,6 @@ class Page:
             self.own.append(0)
             self.link.append(0)
             self.marks.append(0)
-            if name in ("svg", "math") and attrs and attrs.endswith("/"):
-                continue
             silent += name in SILENT
             push(name, k)
         close(0)

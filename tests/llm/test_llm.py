@@ -275,7 +275,7 @@ def test_html_cases(spark):
         ("<head><title>T</title></head><body><p>words</p>", ["words"]),
         ("<p>some</p><head><p>words</p>", ["some", "words"]),
         ("<p><svg class='i'/> words</p><p>more</p>", ["words", "more"]),
-        ("<p>a <svg><path d='x'/>no</svg> b</p><p><math/>c</p>", ["a", "b", "c"]),
+        ("<p>a <svg><path d='x'/>no</svg> b</p><p><math/>c</p>", ["a b", "c"]),
     ],
 )
 def test_html_open_heads_and_self_closed_elements_lose_no_text(page, want):
@@ -307,6 +307,15 @@ def test_html_hostile_pages_take_linear_time(piece):
         ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", ["a", "b", "c", "d"]),
         ("a <!-- hidden", ["a"]),
         ("tail <b", ["tail <b"]),
+        ("<p>We know that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["We know that x=2 holds"]),
+        ("<p>so <math><semantics><mrow><mi>y</mi></mrow><annotation>\\y</annotation></semantics></math> too</p>", ["so y too"]),
+        ("<p>a <svg><g><text>no</text></g><title>no</title></svg>b</p>", ["a b"]),
+        ("<p>see <object data='x'>the <b>plan</b></object> here</p>", ["see the plan here"]),
+        ("<p>hear <audio controls><source src='x'>no</audio> it</p>", ["hear it"]),
+        ("<p>watch <video><track>no</video>it<canvas>no</canvas>now</p>", ["watch it now"]),
+        ("<p>press <button>no</button> it</p>", ["press it"]),
+        ("<p>open <svg><g><p>next</p>", ["open", "next"]),
+        ("<div><p>one <svg><path></p><p>two</p></div>", ["one", "two"]),
     ],
 )
 def test_html_blocks(page, want):
