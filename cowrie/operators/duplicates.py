@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cowrie.functions.text import collapse_spaces, normalize_item
+from cowrie.sources.tables import cut_lineage
 
 #: Hashes that may share a band before it needs a second one.
 CELL_ROWS = 256
@@ -182,7 +183,7 @@ def repeated_lines(lines: DataFrame, distinct_pairs: DataFrame | None = None, le
     is earlier if any of the class is; so a class of copies costs a row for each
     of its pages and each class near to it, never one for each pair of pages.
     """
-    numbered = _tokens(lines, least)
+    numbered = cut_lineage(_tokens(lines, least).select("trader_id", "source_id", "id", "rank", "token"))
     pages, classes = _page_classes(numbered, distinct_pairs)
     near = _near_classes(classes, distinct_pairs, least, ratio)
     seen = near.select("trader_id", F.col("x").alias("class"), F.col("y_first").alias("from"), "shared").union(near.select("trader_id", "y", "x_first", "shared"))

@@ -16,6 +16,7 @@ from cowrie.functions.text import clean_label, normalize_item
 from cowrie.operators import duplicates, strength
 from cowrie.operators import ledger as ledgers
 from cowrie.operators import payments as matching
+from cowrie.sources.tables import cut_lineage
 
 
 def daily(lines: DataFrame) -> DataFrame:
@@ -192,17 +193,23 @@ def integrity(events: DataFrame) -> DataFrame:
     return events.groupBy("trader_id").agg(F.count_if(blocked).alias("blocked_duplicates"), F.count_if(across).alias("cross_trader"))
 
 
-def build_profile(traders: DataFrame, entries: DataFrame, sources: DataFrame, payments: DataFrame, events: DataFrame, totals: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+def prepare(entries: DataFrame, sources: DataFrame, payments: DataFrame, repeated: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What every figure is derived from, computed once and stored: lines with their ``bucket``, sums of days, marked payments."""
+    rows = cut_lineage(ledgers.build_ledger(entries, sources, repeated))
+    return {"rows": rows, "days": cut_lineage(daily(rows.where("bucket = 'counted'"))), "marked": cut_lineage(duplicates.mark_payment_duplicates(payments))}
+
+
+def build_profile(traders: DataFrame, entries: DataFrame, sources: DataFrame, payments: DataFrame, events: DataFrame, totals: DataFrame, repeated: DataFrame | None = None, prepared: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row per trader: period, headline figures, trend, counters, checks, corroboration, strength and grade.
 
     Lines, weeks and other lists stay tables of their own (``weeks``, ``months``,
     ``items``, ``weekdays``, ``evidence``), so no row grows with the data. Traders
-    without counted lines have null periods and zeros.
+    without counted lines have null periods and zeros. ``prepared`` is what
+    ``prepare`` gave, where more than the profile is derived from it.
     """
-    rows = ledgers.build_ledger(entries, sources, repeated)
+    made = prepared or prepare(entries, sources, payments, repeated)
+    rows, days, marked = made["rows"], made["days"], made["marked"]
     counted = rows.where("bucket = 'counted'")
-    days = daily(counted)
-    marked = duplicates.mark_payment_duplicates(payments)
     spans = period(days).select("trader_id", "start", "end")
     sold = counted.where("type = 'sale'")
     inflows = matching.classify(marked.where("duplicate_of IS NULL"), spans).where("class = 'inflow'")

@@ -304,7 +304,8 @@ def evidence_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT sg.trader_id, avg_weekly, trend, score, grade, last_activity FROM sg LEFT JOIN u USING (trader_id)""")
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headline figures of every trader and the last event."""
-    b, found = a.bundle(spark, sf_dir), _profile(spark, sf_dir)
+    b = a.bundle(spark, sf_dir)
+    found = profile.build_profile(**b)
     return views.portfolio(b["traders"], found, found, b["events"])
 
 
@@ -332,10 +333,10 @@ UNION ALL SELECT trader_id, 'E' || k, 'entry', id, 'amount', FALSE, amount FROM
 
 def _facts(spark, sf_dir):
     b = a.bundle(spark, sf_dir)
-    lines = ledger.counted(b["entries"], b["sources"], b["repeated"]).withColumn("ord", F.col("id"))
-    days = profile.daily(lines)
-    paid = duplicates.mark_payment_duplicates(b["payments"]).where("duplicate_of IS NULL")
-    return answers.evidence_facts(profile.build_profile(**b), profile.weeks(days), profile.months(days), profile.items(lines), profile.weekdays(days), lines, paid)
+    made = profile.prepare(b["entries"], b["sources"], b["payments"], b["repeated"])
+    lines, days = made["rows"].where("bucket = 'counted'").withColumn("ord", F.col("id")), made["days"]
+    paid = made["marked"].where("duplicate_of IS NULL")
+    return answers.evidence_facts(profile.build_profile(**b, prepared=made), profile.weeks(days), profile.months(days), profile.items(lines), profile.weekdays(days), lines, paid)
 
 
 @_query(f"WITH {_FACTS} SELECT * FROM facts")

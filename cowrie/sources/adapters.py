@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cowrie.functions.numbers import half_up
 from cowrie.operators.duplicates import page_lines as page_lines_of
 from cowrie.operators.duplicates import repeated_lines
+from cowrie.sources.tables import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -171,7 +172,7 @@ def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     thing = F.when(part % 4 == 0, "2 rice").when(part % 4 == 1, "Rice").when(part % 4 == 2, "palm oil").otherwise("soap")
     entries = li.select(ident, "trader_id", F.col("l_orderkey").alias("source_id"), line.alias("seq"), date.alias("date"), amount.alias("amount"), kind.alias("type"), status.alias("status"), origin.alias("origin"), before.alias("original"), thing.alias("description"))
     again = {"id": F.concat("id", F.lit("-2")), "source_id": -F.col("source_id"), "amount": F.col("amount") + F.when(F.col("seq") == 1, 1).otherwise(0)}
-    entries = entries.union(entries.where("source_id % 4 = 1").withColumns(again))
+    entries = cut_lineage(entries.union(entries.where("source_id % 4 = 1").withColumns(again)))
     paid = F.when(number % 2 == 1, amount).when(number % 4 == 0, amount - 1).otherwise(amount + 1)
     payments = li.where(line == 1).select(
         ident, ident.alias("ord"), "trader_id", F.when(F.col("l_returnflag") == "R", "out").otherwise("in").alias("direction"),
