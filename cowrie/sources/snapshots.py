@@ -57,10 +57,15 @@ class Snapshot:
 
 
 class Store:
-    """Tables under ``path``, in ``parts`` parts each; the number of parts is fixed by the first change."""
+    """Tables under ``path``, in ``parts`` parts each; the number of parts is fixed by the first change.
 
-    def __init__(self, spark: SparkSession, path: str, parts: int = 64, key: str = "id") -> None:
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+    ``key`` tells rows apart. ``by``, the key if not given, deals them to parts: a
+    column that all tables have and that a row never changes, such as its trader,
+    so that what belongs together lies in the same parts of all tables.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = 64, key: str = "id", by: str | None = None) -> None:
+        self.spark, self.path, self.key, self.by = spark, path.rstrip("/"), key, by or key
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         root = self._hadoop.Path(self.path)
         self._files = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -111,7 +116,7 @@ class Store:
             self._files.delete(temporary, False)
 
     def _part(self, count: int) -> Column:
-        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(count)).cast("int")
+        return F.pmod(F.xxhash64(F.col(self.by).cast("string")), F.lit(count)).cast("int")
 
     def _write(self, rows: DataFrame, name: str, count: int) -> dict[str, list[str]]:
         """Write rows dealt into parts; folders by part."""
@@ -134,7 +139,8 @@ class Store:
         """Put ``rows`` in place of those with their keys (or add them), drop the keys of ``gone``, all tables at once; gives the snapshot's number.
 
         A key that repeats within ``rows`` is an error of the caller and is kept
-        as given. Tables that the store lacks are made; rows with a null key are added.
+        as given. Tables that the store lacks are made; rows with a null key are
+        added. ``gone`` has the key and the column that deals to parts.
         """
         rows, gone = dict(rows or {}), dict(gone or {})
         base = self.snapshot()
