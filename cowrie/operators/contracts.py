@@ -15,6 +15,7 @@ CITIES = (
 )
 SOURCE_ID = r"^src_[0-9a-z]{6,24}$"
 LARGEST_AMOUNT = 50_000_000
+PROVIDERS = ("mtn", "orange")
 
 
 def _issues(*checks: tuple[Column, str]) -> Column:
@@ -27,10 +28,15 @@ def _length(c: Column, least: int, most: int, prefix: str) -> list[tuple[Column,
     return [(n >= least, f"{prefix}_short"), (n <= most, f"{prefix}_long")]
 
 
-def trader_issues(name: Column, business: Column, market: Column, city: Column, phone: Column) -> Column:
-    """A phone may be absent or empty; else it has nine digits that begin with 6 or 2."""
+def _providers(c: Column) -> list[tuple[Column, str]]:
+    given = F.coalesce(c, F.array().cast("array<string>"))
+    return [(F.forall(given, lambda p: F.coalesce(p.isin(*PROVIDERS), F.lit(False))), "provider_unknown"), (F.size(given) <= len(PROVIDERS), "providers_many")]
+
+
+def trader_issues(name: Column, business: Column, market: Column, city: Column, phone: Column, providers: Column | None = None) -> Column:
+    """A phone may be absent or empty; else it has nine digits that begin with 6 or 2. Providers are two at most, none is fine."""
     sound = F.coalesce(normalize_phone(phone), F.lit("")) == ""
-    return _issues(*_length(name, 2, 80, "name"), *_length(business, 2, 80, "business"), *_length(market, 2, 80, "market"), *_length(city, 2, 60, "city"), (sound | is_phone(phone), "phone_invalid"))
+    return _issues(*_length(name, 2, 80, "name"), *_length(business, 2, 80, "business"), *_length(market, 2, 80, "market"), *_length(city, 2, 60, "city"), (sound | is_phone(phone), "phone_invalid"), *([] if providers is None else _providers(providers)))
 
 
 def _amount(amount: Column, least: int) -> list[tuple[Column, str]]:

@@ -166,10 +166,10 @@ def best_weekday(by_weekday: DataFrame) -> DataFrame:
 
 
 def counts(ledger: DataFrame, sources: DataFrame, payments: DataFrame) -> DataFrame:
-    """Twelve counters of each trader.
+    """Thirteen counters of each trader.
 
-    ``ledger`` has ``bucket``, ``origin`` and ``original``; ``sources`` kind, status and
-    ``confirmed_at``; ``payments`` ``duplicate_of``. A trader of any of them has a row.
+    ``ledger`` has ``bucket``, ``origin`` and ``original``; ``sources`` kind, status,
+    ``confirmed_at`` and, if they can be kept in spite of a likeness, ``duplicate_kept``; ``payments`` ``duplicate_of``. A trader of any of them has a row.
     """
     bucket = lambda name: F.count_if(F.col("bucket") == name)
     counted = F.col("bucket") == "counted"
@@ -179,7 +179,8 @@ def counts(ledger: DataFrame, sources: DataFrame, payments: DataFrame) -> DataFr
     )
     page = F.col("kind").isin("notebook", "receipt")
     read = page & (F.col("status") == "read")
-    pages = sources.groupBy("trader_id").agg(F.count_if(page).alias("pages"), F.count_if(read).alias("pages_read"), F.count_if(read & F.col("confirmed_at").isNotNull()).alias("pages_confirmed"))
+    kept = F.coalesce(F.col("duplicate_kept"), F.lit(False)) if "duplicate_kept" in sources.columns else F.lit(False)
+    pages = sources.groupBy("trader_id").agg(F.count_if(kept).alias("near_duplicates_kept"), F.count_if(page).alias("pages"), F.count_if(read).alias("pages_read"), F.count_if(read & F.col("confirmed_at").isNotNull()).alias("pages_confirmed"))
     again = F.col("duplicate_of").isNotNull()
     momo = payments.groupBy("trader_id").agg(F.count_if(~again).alias("momo"), F.count_if(again).alias("momo_duplicates"))
     out = lines.join(pages, "trader_id", "full").join(momo, "trader_id", "full").na.fill(0)

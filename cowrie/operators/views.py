@@ -109,3 +109,19 @@ def next_step(hub: DataFrame) -> DataFrame:
     """``step``: the first thing still to do of consent, capture, review and share; null if all are done."""
     todo = [F.when(~F.coalesce(F.col(c), F.lit(False)), F.lit(c)) for c in ("consent", "capture", "review", "share")]
     return hub.withColumn("step", F.coalesce(*todo))
+
+
+def hub(found: DataFrame, traders: DataFrame) -> DataFrame:
+    """(trader_id, capture, review, profile, share, step): which steps of a trader are done, and the first that is not; null if all are.
+
+    ``found`` is the profile (pages, entries_pending, pages_awaiting_review and
+    start); ``traders`` has id and consent. Pages are captured once there is one,
+    and reviewed when neither a line nor a page waits; the profile exists with its
+    first counted line; it is shared while consent stands. Traders without a
+    profile row have everything to do.
+    """
+    some = F.coalesce("pages", F.lit(0)) > 0
+    t = traders.select(F.col("id").alias("trader_id"), F.coalesce("consent.granted", F.lit(False)).alias("share")).join(found.select("trader_id", "pages", "entries_pending", "pages_awaiting_review", "start"), "trader_id", "left")
+    done = {"capture": some, "review": some & (F.col("entries_pending") == 0) & (F.col("pages_awaiting_review") == 0), "profile": F.col("start").isNotNull(), "share": F.col("share")}
+    out = t.select("trader_id", *[v.alias(k) for k, v in done.items()])
+    return out.withColumn("step", F.coalesce(*[F.when(~F.col(k), F.lit(k)) for k in done]))

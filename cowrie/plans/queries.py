@@ -241,7 +241,7 @@ _PROFILE = f"""j AS (SELECT l.*, o_custkey, concat_ws('-', l_orderkey, l_linenum
 e0 AS (SELECT id, o_custkey AS trader_id, l_orderkey AS source_id, l_linenumber AS nr, date, amount, type, CASE WHEN l_linestatus = 'O' AND l_linenumber = 7 THEN 'rejected' WHEN l_linestatus = 'O' AND l_linenumber IN (5, 6) THEN 'pending' ELSE 'confirmed' END AS status,
   l_linenumber = 3 AND l_partkey % 10 = 0 AS added, l_partkey % 7 = 0 AS corrected, CASE l_partkey % 4 WHEN 2 THEN 'palm oil' WHEN 3 THEN 'soap' ELSE 'rice' END AS item FROM j),
 e AS (SELECT * FROM e0 UNION ALL SELECT * REPLACE (id || '-2' AS id, -source_id AS source_id, amount + (nr = 1)::INT AS amount) FROM e0 WHERE source_id % 4 = 1),
-src0 AS (SELECT o_orderkey AS id, o_custkey AS trader_id, o_orderpriority <> '5-LOW' AS page, o_orderstatus = 'F' AS seen, o_orderstatus = 'F' AND o_orderkey % 3 <> 0 AS confirmed, o_orderdate::TIMESTAMP AS created FROM orders),
+src0 AS (SELECT o_orderkey AS id, o_custkey AS trader_id, o_orderpriority <> '5-LOW' AS page, o_orderstatus = 'F' AS seen, o_orderstatus = 'F' AND o_orderkey % 3 <> 0 AS confirmed, o_orderdate::TIMESTAMP AS created, o_orderpriority = '1-URGENT' AS kept FROM orders),
 src AS (SELECT * FROM src0 UNION ALL SELECT * REPLACE (-id AS id, created + INTERVAL 1 DAY AS created) FROM src0 WHERE id % 4 = 1),
 tk AS (SELECT e.id, e.trader_id, source_id, created, concat_ws('|', date, type, amount, item) AS key, ROW_NUMBER() OVER (PARTITION BY source_id, date, type, amount, item ORDER BY nr, e.id) AS k, COUNT(*) OVER (PARTITION BY source_id) AS n FROM e JOIN src ON src.id = source_id WHERE status <> 'rejected' AND amount > 0 AND date IS NOT NULL),
 ov AS (SELECT a.source_id AS earlier, b.source_id AS later FROM tk a JOIN tk b ON a.trader_id = b.trader_id AND a.key = b.key AND a.k = b.k AND (a.created < b.created OR a.created = b.created AND a.source_id < b.source_id) WHERE a.n >= 3 AND b.n >= 3 AND NOT (a.source_id > 0 AND a.source_id % 16 = 1 AND b.source_id = -a.source_id)
@@ -259,7 +259,7 @@ d AS (SELECT trader_id, date, COALESCE(SUM(amount) FILTER (type = 'sale'), 0)::B
 hd AS (SELECT trader_id, MIN(date) AS a, MAX(date) AS b, SUM(sales)::BIGINT AS sales, SUM(expenses)::BIGINT AS expenses, COUNT(*) FILTER (sale_lines > 0) AS active_days FROM d GROUP BY ALL),
 lc AS (SELECT trader_id, COUNT(*) FILTER (bucket = 'counted') AS entries_counted, COUNT(*) FILTER (bucket = 'pending') AS entries_pending, COUNT(*) FILTER (bucket = 'rejected') AS entries_rejected, COUNT(*) FILTER (bucket = 'repeated') AS excluded_duplicates,
   COUNT(*) FILTER (bucket = 'counted' AND corrected) AS corrections, COUNT(*) FILTER (bucket = 'counted' AND added) AS trader_added FROM led GROUP BY ALL),
-sc AS (SELECT trader_id, COUNT(*) FILTER (page) AS pages, COUNT(*) FILTER (page AND seen) AS pages_read, COUNT(*) FILTER (page AND confirmed) AS pages_confirmed FROM src GROUP BY ALL),
+sc AS (SELECT trader_id, COUNT(*) FILTER (kept) AS near_duplicates_kept, COUNT(*) FILTER (page) AS pages, COUNT(*) FILTER (page AND seen) AS pages_read, COUNT(*) FILTER (page AND confirmed) AS pages_confirmed FROM src GROUP BY ALL),
 mc AS (SELECT trader_id, COUNT(*) FILTER (owner = id) AS momo, COUNT(*) FILTER (owner <> id) AS momo_duplicates FROM pd GROUP BY ALL),
 wt AS (SELECT source_id, SUM(amount)::BIGINT + CASE WHEN source_id % 5 = 0 THEN 1000 ELSE 0 END AS written, COALESCE(SUM(amount) FILTER (status <> 'rejected' AND amount > 0), 0)::BIGINT AS computed FROM e WHERE type = 'sale' GROUP BY source_id),
 wc AS (SELECT trader_id, source_id, abs(written - computed) <= GREATEST(25, floor(written * 0.005 + 0.5)) AS ok FROM wt JOIN src ON src.id = source_id WHERE confirmed),
@@ -271,7 +271,7 @@ z AS (SELECT c_custkey AS trader_id, a AS start, b AS "end", COALESCE(b - a + 1,
   COALESCE(avg_weekly, 0) AS avg_weekly, COALESCE(median_weekly, 0) AS median_weekly, best_week, trend_pct, trend, cv, consistency AS steadiness, recent_avg, previous_avg, COALESCE(basis, 'none') AS basis,
   COALESCE(inflows, 0) AS inflows, COALESCE(corroborated, 0) AS corroborated, COALESCE(inflow_amount, 0) AS inflow_amount, COALESCE(corroborated_amount, 0) AS corroborated_amount, COALESCE(days_without_records, 0) AS days_without_records,
   COALESCE(rate_count, 0) AS rate_count, COALESCE(rate_amount, 0) AS rate_amount, COALESCE(share_of_sales, 0)::DOUBLE AS share_of_sales, COALESCE(entries_counted, 0) AS entries_counted, COALESCE(entries_pending, 0) AS entries_pending, COALESCE(entries_rejected, 0) AS entries_rejected,
-  COALESCE(excluded_duplicates, 0) AS excluded_duplicates, COALESCE(corrections, 0) AS corrections, COALESCE(trader_added, 0) AS trader_added, COALESCE(pages, 0) AS pages, COALESCE(pages_read, 0) AS pages_read, COALESCE(pages_confirmed, 0) AS pages_confirmed, COALESCE(momo, 0) AS momo,
+  COALESCE(excluded_duplicates, 0) AS excluded_duplicates, COALESCE(corrections, 0) AS corrections, COALESCE(trader_added, 0) AS trader_added, COALESCE(near_duplicates_kept, 0) AS near_duplicates_kept, COALESCE(pages, 0) AS pages, COALESCE(pages_read, 0) AS pages_read, COALESCE(pages_confirmed, 0) AS pages_confirmed, COALESCE(momo, 0) AS momo,
   COALESCE(momo_duplicates, 0) AS momo_duplicates, COALESCE(pages_read - pages_confirmed, 0) AS pages_awaiting_review, COALESCE(checks_passed, 0) AS checks_passed, COALESCE(checks_total, 0) AS checks_total, COALESCE(pages_passing, 0) AS pages_passing,
   COALESCE(blocked_duplicates, 0) AS blocked_duplicates, COALESCE(cross_trader, 0) AS cross_trader
   FROM customer LEFT JOIN hd ON hd.trader_id = c_custkey LEFT JOIN perf ON perf.trader_id = c_custkey LEFT JOIN kr ON kr.trader_id = c_custkey LEFT JOIN lc ON lc.trader_id = c_custkey LEFT JOIN sc ON sc.trader_id = c_custkey LEFT JOIN mc ON mc.trader_id = c_custkey LEFT JOIN cc ON cc.trader_id = c_custkey LEFT JOIN ic ON ic.trader_id = c_custkey),
@@ -590,3 +590,12 @@ def consent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = a.table(spark, sf_dir, "events").where("event_type IN ('purchase', 'error')")
     kind = F.when(F.col("event_type") == "purchase", "consent_granted").otherwise("consent_revoked")
     return history.consent_states(e.select(F.col("user_id").cast("string").alias("trader_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("ord"), kind.alias("type"), F.concat(F.lit("C"), "event_id").alias("detail")))
+
+
+@_query(f"""WITH {_PROFILE}, h AS (SELECT trader_id, pages > 0 AS capture, pages > 0 AND entries_pending = 0 AND pages_awaiting_review = 0 AS review, start IS NOT NULL AS profile, trader_id % 3 > 0 AS share FROM sg)
+SELECT *, CASE WHEN NOT capture THEN 'capture' WHEN NOT review THEN 'review' WHEN NOT profile THEN 'profile' WHEN NOT share THEN 'share' END AS step FROM h""")
+def hub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each trader has done and has to do next."""
+    b = a.bundle(spark, sf_dir)
+    agreed = F.struct((F.col("trader_id") % 3 > 0).alias("granted")).alias("consent")
+    return views.hub(profile.build_profile(**b), b["traders"].select(F.col("trader_id").alias("id"), agreed))
