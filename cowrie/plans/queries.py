@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cowrie.functions.dates import parse_loose_date
 from cowrie.functions.numbers import group_thousands, parse_amount
 from cowrie.functions.text import NOISE, UNIT_WORDS, matches_search
-from cowrie.operators import answers, changes, duplicates, history, ledger, messages, pages, payments, photos, privacy, profile, strength, views
+from cowrie.operators import answers, changes, duplicates, history, ledger, messages, packs, pages, payments, photos, privacy, profile, strength, views
 from cowrie.sources import adapters as a
 from cowrie.sources.tables import cut_lineage
 
@@ -239,7 +239,7 @@ def payment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PROFILE = f"""j AS (SELECT l.*, o_custkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice + 0.5)::BIGINT) AS id, CAST(l_shipdate AS DATE) AS date, CAST(floor(l_extendedprice + 0.5) AS BIGINT) AS amount, CASE WHEN l_returnflag = 'R' THEN 'expense' ELSE 'sale' END AS type, floor(l_quantity)::INT AS q FROM lineitem l JOIN orders ON o_orderkey = l_orderkey),
 e0 AS (SELECT id, o_custkey AS trader_id, l_orderkey AS source_id, l_linenumber AS nr, date, amount, type, CASE WHEN l_linestatus = 'O' AND l_linenumber = 7 THEN 'rejected' WHEN l_linestatus = 'O' AND l_linenumber IN (5, 6) THEN 'pending' ELSE 'confirmed' END AS status,
-  l_linenumber = 3 AND l_partkey % 10 = 0 AS added, l_partkey % 7 = 0 AS corrected, CASE l_partkey % 4 WHEN 2 THEN 'palm oil' WHEN 3 THEN 'soap' ELSE 'rice' END AS item FROM j),
+  l_linenumber = 3 AND l_partkey % 10 = 0 AS added, l_partkey % 7 = 0 AS corrected, CASE l_partkey % 4 WHEN 2 THEN 'palm oil' WHEN 3 THEN 'soap' ELSE 'rice' END AS item, CASE l_partkey % 4 WHEN 0 THEN '2 rice' WHEN 1 THEN 'Rice' WHEN 2 THEN 'palm oil' ELSE 'soap' END AS description FROM j),
 e AS (SELECT * FROM e0 UNION ALL SELECT * REPLACE (id || '-2' AS id, -source_id AS source_id, amount + (nr = 1)::INT AS amount) FROM e0 WHERE source_id % 4 = 1),
 src0 AS (SELECT o_orderkey AS id, o_custkey AS trader_id, o_orderpriority <> '5-LOW' AS page, o_orderstatus = 'F' AS seen, o_orderstatus = 'F' AND o_orderkey % 3 <> 0 AS confirmed, o_orderdate::TIMESTAMP AS created, o_orderpriority = '1-URGENT' AS kept FROM orders),
 src AS (SELECT * FROM src0 UNION ALL SELECT * REPLACE (-id AS id, created + INTERVAL 1 DAY AS created) FROM src0 WHERE id % 4 = 1),
@@ -592,10 +592,66 @@ def consent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.consent_states(e.select(F.col("user_id").cast("string").alias("trader_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("ord"), kind.alias("type"), F.concat(F.lit("C"), "event_id").alias("detail")))
 
 
-@_query(f"""WITH {_PROFILE}, h AS (SELECT trader_id, pages > 0 AS capture, pages > 0 AND entries_pending = 0 AND pages_awaiting_review = 0 AS review, start IS NOT NULL AS profile, trader_id % 3 > 0 AS share FROM sg)
-SELECT *, CASE WHEN NOT capture THEN 'capture' WHEN NOT review THEN 'review' WHEN NOT profile THEN 'profile' WHEN NOT share THEN 'share' END AS step FROM h""")
+@_query(f"""WITH {_PROFILE}, hb AS (SELECT trader_id, pages > 0 AS capture, pages > 0 AND entries_pending = 0 AND pages_awaiting_review = 0 AS review, start IS NOT NULL AS profile, trader_id % 3 > 0 AS share FROM sg)
+SELECT *, CASE WHEN NOT capture THEN 'capture' WHEN NOT review THEN 'review' WHEN NOT profile THEN 'profile' WHEN NOT share THEN 'share' END AS step FROM hb""")
 def hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each trader has done and has to do next."""
     b = a.bundle(spark, sf_dir)
     agreed = F.struct((F.col("trader_id") % 3 > 0).alias("granted")).alias("consent")
     return views.hub(profile.build_profile(**b), b["traders"].select(F.col("trader_id").alias("id"), agreed))
+
+
+def _thousands(x: str) -> str:
+    return f"replace(format('{{:,}}', ({x})::BIGINT), ',', ' ')"
+
+
+def _plain(x: str) -> str:
+    return f"CASE WHEN ({x}) = floor({x}) THEN floor({x})::BIGINT::VARCHAR ELSE ({x})::VARCHAR END"
+
+
+def _point(x: str) -> str:
+    return f"({_plain(f'floor(({x}) * 1000 + 0.5) / 10')} || '%')"
+
+
+def _sentence(text: str, *values: str) -> str:
+    parts = text.replace("'", "''").split("{}")
+    return "concat(" + ", ".join([f"'{parts[0]}'", *[x for v, rest in zip(values, parts[1:], strict=True) for x in (v, f"'{rest}'")]]) + ")"
+
+
+_SOME = "start IS NOT NULL AND inflows > 0"
+_HEADS = [
+    ("TRUE", 0, 0, _sentence(packs.HEAD[0], "'Trader ' || trader_id", "'Shop ' || trader_id % 7", "'Mokolo'", "'Yaoundé'")), ("TRUE", 0, 1, f"'{packs.HEAD[1]}'"), ("start IS NULL", 0, 2, f"'{packs.HEAD[2]}'"),
+    ("start IS NOT NULL", 1, 0, _sentence(packs.HEAD[3], "start", '"end"', "days", "weeks")), ("start IS NOT NULL", 1, 1, f"'{packs.SUMMARY}'"),
+    ("start IS NOT NULL", 1, 2, _sentence(packs.TOTALS[0], _thousands("sales"))), ("start IS NOT NULL", 1, 3, _sentence(packs.TOTALS[1], _thousands("expenses"))), ("start IS NOT NULL", 1, 4, _sentence(packs.TOTALS[2], _thousands("net"))),
+    ("start IS NOT NULL", 1, 5, _sentence(packs.TOTALS[3], _thousands("avg_weekly"), "full_weeks", _thousands("median_weekly"))), ("start IS NOT NULL", 1, 6, _sentence(packs.TOTALS[4], _thousands("avg_per_active_day"), "active_days", _plain("active_days_per_week"))),
+    ("best_week IS NOT NULL", 1, 7, _sentence(packs.TOTALS[5], "best_week", _thousands("(SELECT w.sales FROM w WHERE w.trader_id = sg.trader_id AND w.week = best_week)"))), ("trend IS NOT NULL", 1, 8, _sentence(packs.TOTALS[6], "trend", _point("trend_pct"), "full_weeks")),
+    ("trend IS NOT NULL AND recent_avg IS NOT NULL", 1, 9, _sentence(packs.TOTALS[7], _thousands("recent_avg"), _thousands("previous_avg"))), ("start IS NOT NULL AND trend IS NULL", 1, 10, f"'{packs.TOTALS[8]}'"),
+    ("steadiness IS NOT NULL", 1, 11, _sentence(packs.TOTALS[9], "replace(steadiness, '_', ' ')")), (_SOME, 1, 12, _sentence(packs.MONEY[0], "inflows", _thousands("inflow_amount"))),
+    (_SOME, 1, 13, _sentence(packs.MONEY[1], _thousands("corroborated_amount"), _point("rate_amount"), _point("share_of_sales"))), (_SOME + " AND inflows > corroborated", 1, 14, _sentence(packs.MONEY[2], "inflows - corroborated", _thousands("inflow_amount - corroborated_amount"))),
+    ("start IS NOT NULL AND inflows = 0", 1, 15, f"'{packs.MONEY[3]}'"), ("start IS NOT NULL", 1, 16, _sentence(packs.MONEY[4], "checks_passed", "checks_total")), ("start IS NOT NULL", 1, 17, _sentence(packs.MONEY[5], "score", "grade")),
+    *[("start IS NOT NULL", n, 0, f"'{title}'") for n, title in packs.TITLES.items()],
+]
+_WEEKDAY = "[" + ", ".join(f"'{d}'" for d in packs.WEEKDAYS) + "]"
+_TEXT = " UNION ALL ".join(f"SELECT trader_id AS pack_id, {n} AS section, {i}::BIGINT AS ord, {line} AS line FROM sg WHERE {cond}" for cond, n, i, line in _HEADS)
+
+
+@_query(f"""WITH {_FACTS}, mx AS (SELECT trader_id, strftime(date, '%Y-%m') AS month, SUM(sales) AS sales, SUM(expenses) AS expenses, COUNT(*) FILTER (sale_lines > 0) AS active_days FROM d GROUP BY ALL),
+ix AS (SELECT ir.*, n AS lines FROM ir JOIN (SELECT trader_id, item, COUNT(*) AS n FROM counted WHERE type = 'sale' GROUP BY ALL) USING (trader_id, item)), wx AS (SELECT trader_id, isodow(date) AS weekday, floor(SUM(sales) / COUNT(*) + 0.5) AS average, COUNT(*) AS days FROM d WHERE sale_lines > 0 GROUP BY ALL)
+SELECT * FROM ({_TEXT})
+UNION ALL SELECT trader_id, 2, (week - DATE '1970-01-01') + 1000000, concat_ws(' | ', 'W' || week, week || '..' || week + 6, {_thousands("sales")}, {_thousands("expenses")}, active_days, CASE WHEN gap THEN 'no records' WHEN partial THEN 'partial week' ELSE '' END) FROM w
+UNION ALL SELECT trader_id, 3, replace(month, '-', '')::BIGINT, concat_ws(' | ', 'MO' || month, {_thousands("sales")}, {_thousands("expenses")}, active_days) FROM mx
+UNION ALL SELECT trader_id, 4, k, concat_ws(' | ', 'I' || k, upper(item[1]) || item[2:], {_thousands("sales")}, lines, {_point("share")}) FROM ix
+UNION ALL SELECT trader_id, 5, weekday, concat_ws(' | ', {_WEEKDAY}[weekday], {_thousands("average")}, days) FROM wx
+UNION ALL SELECT trader_id, 6, k, concat_ws(' | ', 'E' || k, date, type, {_thousands("amount")}, description) FROM el
+UNION ALL SELECT ml.trader_id, 7, k, concat_ws(' | ', 'M' || k, ml.date || ' ' || ml.time, direction || ' ' || kind, {_thousands("ml.amount")}, CASE WHEN direction <> 'in' THEN '-' WHEN m.matched IS NOT NULL THEN 'yes' WHEN kind = 'deposit' THEN 'deposit' ELSE 'no' END) FROM ml LEFT JOIN m ON m.id = ml.id""")
+def evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence pack of every trader, line by line."""
+    b = a.bundle(spark, sf_dir)
+    made = profile.prepare(b["entries"], b["sources"], b["payments"], b["repeated"])
+    lines, days = made["rows"].where("bucket = 'counted'").withColumn("ord", F.col("id")), made["days"]
+    paid = made["marked"].where("duplicate_of IS NULL")
+    inflows = payments.classify(paid, profile.period(days).select("trader_id", "start", "end")).where("class = 'inflow'")
+    backed = payments.corroborate(lines.where("type = 'sale'"), inflows).select("id", "matched")
+    key = F.col("trader_id").cast("string")
+    named = b["traders"].select("trader_id", F.concat(F.lit("Trader "), key).alias("name"), F.concat(F.lit("Shop "), (F.col("trader_id") % 7).cast("string")).alias("business"), F.lit("Mokolo").alias("market"), F.lit("Yaoundé").alias("city"))
+    return packs.pack_lines(named, profile.build_profile(**b, prepared=made), profile.weeks(days), profile.months(days), profile.items(lines), profile.weekdays(days), lines, paid.join(backed, "id", "left"))
