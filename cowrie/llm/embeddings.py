@@ -5,9 +5,10 @@ their nearest centroid, and as halo to every lower-numbered cell that a linked
 partner may lie in: partners are at most ``sqrt(2 - 2 * cosine)`` apart, so a
 vector whose distance from the bisector of two centroids is larger has no
 partner beyond it. So each linked pair meets in exactly one cell and none is
-lost. The number of cells grows with the root of the number of vectors, which
-balances finding a vector's cell against comparing it within the cell: the work
-is n to the power 1.5. A cell's rows are dealt into blocks of ``BLOCK_ROWS``, and
+lost. The number of cells grows with the root of the number of vectors. How much
+that saves depends on the vectors: where they spread evenly in many dimensions
+the halo grows with the cells, and about a third of all pairs of a label is
+compared at any size. A cell's rows are dealt into blocks of ``BLOCK_ROWS``, and
 each pair of blocks is compared in one task, whatever the size of the cell.
 """
 
