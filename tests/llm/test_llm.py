@@ -52,7 +52,7 @@ def odd(spark):
 def test_rows_equal_sql(spark, tmp_path, name):
     QUERIES[name](spark, DATA).write.parquet(f"{tmp_path}/out")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     con.execute(f"CREATE TABLE want AS {ORACLE_SQL[name]}")
     con.execute(f"CREATE TABLE got AS SELECT * FROM '{tmp_path}/out/*.parquet'")
