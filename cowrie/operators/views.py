@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cowrie.operators import duplicates
 from cowrie.operators.pages import needs_attention
 
 
@@ -30,11 +31,27 @@ def payment_status(marked: DataFrame, matched: DataFrame) -> DataFrame:
     return t.withColumn("payment_status", F.coalesce(status, F.lit("not_a_sale"))).drop("matched", "closed_day", "inflow")
 
 
+def _reviewable(sources: DataFrame) -> DataFrame:
+    """Notebooks and receipts that are no duplicates, or were kept."""
+    usable = (F.col("status") != "duplicate") | F.coalesce("duplicate_kept", F.lit(False))
+    return sources.where(F.col("kind").isin("notebook", "receipt") & usable)
+
+
+def review_overlaps(sources: DataFrame, entries: DataFrame, told_apart: DataFrame | None = None) -> DataFrame:
+    """(trader_id, earlier, later, matches, ratio, earlier_date): pages to review that repeat each other, other kinds of pages and duplicates left out.
+
+    ``earlier_date`` is the day that the earlier page states, if any.
+    """
+    pages = _reviewable(sources)
+    found = duplicates.repeated_pages(duplicates.page_lines(entries, pages), told_apart)
+    days = pages.select(F.col("id").alias("earlier"), F.col("page_date").alias("earlier_date"))
+    return found.join(days, "earlier", "left").select("trader_id", "earlier", "later", "matches", "ratio", "earlier_date")
+
+
 def review_queue(sources: DataFrame, entries: DataFrame) -> DataFrame:
     """Pages to review: notebooks and receipts that are usable, by page date, with counts of pending lines."""
     pending = entries.groupBy("source_id").agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count("*").alias("lines"))
-    usable = (F.col("status") != "duplicate") | F.coalesce("duplicate_kept", F.lit(False))
-    pages = sources.where(F.col("kind").isin("notebook", "receipt") & usable).join(pending.withColumnRenamed("source_id", "id"), "id", "left").na.fill(0, ["pending", "lines"])
+    pages = _reviewable(sources).join(pending.withColumnRenamed("source_id", "id"), "id", "left").na.fill(0, ["pending", "lines"])
     day = F.coalesce("page_date", F.col("created_at").cast("date"))
     order = Window.partitionBy("trader_id").orderBy(day, "created_at", "id")
     todo = F.col("pending") > 0

@@ -284,8 +284,12 @@ sg AS (SELECT *, CASE WHEN score >= 80 THEN 'strong' WHEN score >= 60 THEN 'good
   (SELECT *, CASE WHEN entries_counted > 0 THEN floor(coverage * 25 + verification * 25 + corroboration * 25 + consistency * 15 + integrity * 10 + 0.5)::BIGINT ELSE 0 END AS score FROM y))"""
 
 
+def _whole(b, **more):
+    return profile.build_profile(**{n: t for n, t in b.items() if n != "told_apart"}, **more)
+
+
 def _profile(spark, sf_dir):
-    return profile.build_profile(**a.bundle(spark, sf_dir))
+    return _whole(a.bundle(spark, sf_dir))
 
 
 @_query(f"WITH {_PROFILE} SELECT * FROM sg")
@@ -305,7 +309,7 @@ SELECT sg.trader_id, avg_weekly, trend, score, grade, last_activity FROM sg LEFT
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headline figures of every trader and the last event."""
     b = a.bundle(spark, sf_dir)
-    found = profile.build_profile(**b)
+    found = _whole(b)
     return views.portfolio(b["traders"], found, found, b["events"])
 
 
@@ -336,7 +340,7 @@ def _facts(spark, sf_dir):
     made = profile.prepare(b["entries"], b["sources"], b["payments"], b["repeated"])
     lines, days = made["rows"].where("bucket = 'counted'").withColumn("ord", F.col("id")), made["days"]
     paid = made["marked"].where("duplicate_of IS NULL")
-    return answers.evidence_facts(profile.build_profile(**b, prepared=made), profile.weeks(days), profile.months(days), profile.items(lines), profile.weekdays(days), lines, paid)
+    return answers.evidence_facts(_whole(b, prepared=made), profile.weeks(days), profile.months(days), profile.items(lines), profile.weekdays(days), lines, paid)
 
 
 @_query(f"WITH {_FACTS} SELECT * FROM facts")
@@ -598,7 +602,7 @@ def hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each trader has done and has to do next."""
     b = a.bundle(spark, sf_dir)
     agreed = F.struct((F.col("trader_id") % 3 > 0).alias("granted")).alias("consent")
-    return views.hub(profile.build_profile(**b), b["traders"].select(F.col("trader_id").alias("id"), agreed))
+    return views.hub(_whole(b), b["traders"].select(F.col("trader_id").alias("id"), agreed))
 
 
 def _thousands(x: str) -> str:
@@ -654,4 +658,13 @@ def evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     backed = payments.corroborate(lines.where("type = 'sale'"), inflows).select("id", "matched")
     key = F.col("trader_id").cast("string")
     named = b["traders"].select("trader_id", F.concat(F.lit("Trader "), key).alias("name"), F.concat(F.lit("Shop "), (F.col("trader_id") % 7).cast("string")).alias("business"), F.lit("Mokolo").alias("market"), F.lit("Yaoundé").alias("city"))
-    return packs.pack_lines(named, profile.build_profile(**b, prepared=made), profile.weeks(days), profile.months(days), profile.items(lines), profile.weekdays(days), lines, paid.join(backed, "id", "left"))
+    return packs.pack_lines(named, _whole(b, prepared=made), profile.weeks(days), profile.months(days), profile.items(lines), profile.weekdays(days), lines, paid.join(backed, "id", "left"))
+
+
+@_query(f"""WITH {_PROFILE}, rv AS (SELECT id FROM src JOIN orders ON o_orderkey = abs(id) WHERE page AND (o_orderstatus <> 'P' OR o_orderpriority = '1-URGENT')), rt AS (SELECT tk.* FROM tk JOIN rv ON rv.id = source_id)
+SELECT a.trader_id, a.source_id AS earlier, b.source_id AS later, COUNT(*)::INTEGER AS matches, COUNT(*)::DOUBLE / LEAST(ANY_VALUE(a.n), ANY_VALUE(b.n)) AS ratio FROM rt a JOIN rt b ON a.trader_id = b.trader_id AND a.key = b.key AND a.k = b.k AND (a.created < b.created OR a.created = b.created AND a.source_id < b.source_id)
+WHERE a.n >= 3 AND b.n >= 3 AND NOT (a.source_id > 0 AND a.source_id % 16 = 1 AND b.source_id = -a.source_id) GROUP BY ALL HAVING COUNT(*) >= 3 AND COUNT(*)::DOUBLE / LEAST(ANY_VALUE(a.n), ANY_VALUE(b.n)) >= 0.6""")
+def review_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to review that repeat lines of another one; pairs told apart are left out."""
+    b = a.bundle(spark, sf_dir)
+    return views.review_overlaps(b["sources"].withColumn("page_date", F.lit(None).cast("date")), b["entries"], b["told_apart"]).drop("earlier_date")

@@ -196,7 +196,7 @@ def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     written = entries.where("type = 'sale'").groupBy("source_id").agg(F.sum("amount").alias("amount"))
     totals = written.select("source_id", F.lit("sale").alias("type"), F.lit(None).cast("date").alias("date"), (F.col("amount") + F.when(F.col("source_id") % 5 == 0, 1000).otherwise(0)).alias("amount"))
     traders = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("trader_id"))
-    return {"traders": traders, "entries": entries, "sources": pages, "payments": payments, "events": events, "totals": totals, "repeated": repeated}
+    return {"traders": traders, "entries": entries, "sources": pages, "payments": payments, "events": events, "totals": totals, "repeated": repeated, "told_apart": apart}
 
 
 def patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
