@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cowrie.functions.dates import parse_loose_date
 from cowrie.functions.numbers import group_thousands, parse_amount
 from cowrie.functions.text import NOISE, UNIT_WORDS, matches_search
-from cowrie.operators import answers, changes, duplicates, history, ledger, messages, packs, pages, payments, photos, privacy, profile, strength, views
+from cowrie.operators import answers, changes, duplicates, history, ledger, lineage, messages, packs, pages, payments, photos, privacy, profile, strength, views
 from cowrie.sources import adapters as a
 from cowrie.sources.tables import cut_lineage
 
@@ -668,3 +668,14 @@ def review_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to review that repeat lines of another one; pairs told apart are left out."""
     b = a.bundle(spark, sf_dir)
     return views.review_overlaps(b["sources"].withColumn("page_date", F.lit(None).cast("date")), b["entries"], b["told_apart"]).drop("earlier_date")
+
+
+@_query(f"""WITH {_D}, {_weeks_sql('d')}, f AS (SELECT trader_id, week, NOT partial AND NOT gap AS is_full, gap, COUNT(*) FILTER (NOT partial AND NOT gap) OVER (PARTITION BY trader_id) AS fulls FROM w),
+n AS (SELECT trader_id, date_trunc('week', date)::DATE AS week, date, type = 'sale' AS sale, ROW_NUMBER() OVER (PARTITION BY trader_id ORDER BY date, id) AS k FROM c), x AS (SELECT n.*, CASE WHEN fulls > 0 THEN is_full ELSE NOT gap END AS basis, is_full AND fulls >= 4 AS trend FROM n JOIN f USING (trader_id, week)),
+m AS (SELECT trader_id, CASE WHEN sale THEN 'sales' ELSE 'expenses' END AS figure, '' AS key, k FROM x UNION ALL SELECT trader_id, 'week', week::VARCHAR, k FROM x UNION ALL SELECT trader_id, 'month', strftime(date, '%Y-%m'), k FROM x
+  UNION ALL SELECT trader_id, 'avg_weekly', '', k FROM x WHERE sale AND basis UNION ALL SELECT trader_id, 'trend', '', k FROM x WHERE sale AND trend),
+i AS (SELECT *, k - ROW_NUMBER() OVER (PARTITION BY trader_id, figure, key ORDER BY k) AS island FROM m) SELECT trader_id, figure, key, MIN(k) AS start, MAX(k) AS "end" FROM i GROUP BY trader_id, figure, key, island""")
+def figure_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines behind every figure, as runs of line numbers."""
+    lines = _counted(spark, sf_dir).withColumn("ord", F.col("id"))
+    return lineage.figure_runs(lines, profile.weeks(profile.daily(lines)))
