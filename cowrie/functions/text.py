@@ -26,10 +26,15 @@ UNIT_WORDS = (
 PHONE_IN_TEXT = r"\(?\+?237\)?[\s.]?6\d{8}\b\)?|\b6\d{8}\b"
 
 
+# Latin, Greek and Cyrillic blocks of Unicode, with the letterlike signs that decompose.
+_BLOCKS = ((0xC0, 0x300), (0x370, 0x530), (0x1E00, 0x2000), (0x2126, 0x212C), (0x2C60, 0x2C80), (0x2DE0, 0x2E00), (0xA640, 0xA6A0), (0xA720, 0xA800), (0xAB30, 0xAB70))
+_MARKS = "\u0300-\u036f"
+
+
 def _accented() -> tuple[str, str]:
-    """Letters that decompose into one base letter and marks, and their base letters."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for a, b in ((0xC0, 0x250), (0x1E00, 0x1F00)) for c in range(a, b)]
-    pairs = [(x, y) for x, y in pairs if x != y]
+    """Letters that decompose into a sign and marks, and that sign: each leaves exactly one."""
+    bare = lambda x: "".join(y for y in unicodedata.normalize("NFD", x) if not "\u0300" <= y <= "\u036f")
+    pairs = [(x, bare(x)) for a, b in _BLOCKS for x in map(chr, range(a, b)) if bare(x) != x]
     return "".join(x for x, _ in pairs), "".join(y for _, y in pairs)
 
 
@@ -37,8 +42,8 @@ _FROM, _TO = _accented()
 
 
 def strip_accents(c: Column) -> Column:
-    """Latin letters without their marks; loose combining marks go."""
-    return F.regexp_replace(F.translate(c, _FROM, _TO), "[̀-ͯ]", "")
+    """Latin, Greek and Cyrillic letters without their marks, as after full decomposition; loose combining marks go."""
+    return F.regexp_replace(F.translate(c, _FROM, _TO), f"[{_MARKS}]", "")
 
 
 def collapse_spaces(c: Column) -> Column:

@@ -84,3 +84,17 @@ def test_lenders_see_consenting_traders_without_phones(spark):
     assert [(r.id, r.phone) for r in seen["traders"].collect()] == [("t", "6•• ••• •78")]
     assert [tuple(r)[1:] for r in seen["payments"].select("id", "phone", "counterparty", "raw").collect()] == [("6•• ••• •78", "Awa N.", "from 6•• ••• •78.")]
     assert {(r.id, r.text) for r in seen["sources"].collect()} == {("p", "call 6•• ••• •78 or 712345678"), ("q", None)} and seen["entries"].count() == 0
+
+
+def test_accents_of_every_block(spark):
+    import unicodedata
+
+    from cowrie.functions import text
+
+    blocks = [(0x20, 0x530), (0x1D00, 0x2000), (0x2100, 0x2150), (0x2C60, 0x2E00), (0xA640, 0xA800), (0xAB30, 0xAB70)]  # Latin, Greek, Cyrillic and Vietnamese letters, and what lies between
+    signs = [chr(c) for a, b in blocks for c in range(a, b)]
+    rows = [(s, f"x{s}y") for s in signs] + [("vn", "Tiếng Việt ệ"), ("gr", "ᾧ ΐ Ὦ"), ("ru", "Ёжик й"), ("loose", "é")]
+    got = {r.k: r.v for r in spark.createDataFrame(rows, "k string, t string").select("k", text.strip_accents(F.col("t")).alias("v")).collect()}
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not 0x300 <= ord(c) <= 0x36F)
+    # U+0344 and the like are marks that decompose into marks; nothing else may differ
+    assert {k: v for k, v in got.items() if v != bare(dict(rows)[k])} == {}
