@@ -32,7 +32,7 @@ def exact_duplicates(photos: DataFrame, digest: str = "sha256", order: str = "or
     return joined.withColumn("first_id", F.when(other, F.col("first.id"))).withColumn("cross_trader", F.when(other, ~F.col("first.trader_id").eqNullSafe(F.col("trader_id")))).drop("first")
 
 
-def near_duplicates(photos: DataFrame, hash_column: str = "dhash", most_bits: int = 14, order: str = "ord") -> DataFrame:
+def near_duplicates(photos: DataFrame, hash_column: str = "dhash", most_bits: int = 14, order: str = "ord", asked: str | None = None) -> DataFrame:
     """(id, near_id, bits): for each photo the closest earlier photo within ``most_bits``, the first on ties.
 
     Equal hashes are one class, so copies are never paired with each other.
@@ -41,9 +41,12 @@ def near_duplicates(photos: DataFrame, hash_column: str = "dhash", most_bits: in
     place. A band that more than ``CELL_ROWS`` hashes share (of flat pictures, say)
     counts only together with a second one. Hashes of different lengths are never
     near; one of fewer digits than that raises an error; null and empty ones have no row.
+    With ``asked``, a boolean column, only photos for which it holds look for
+    earlier ones: the others are met, but not compared with each other.
     """
-    rows = photos.where(F.length(hash_column) > 0).select("id", F.col(order).alias("ord"), F.col(hash_column).alias("h"))
-    classes = rows.groupBy("h").agg(F.min(F.struct("ord", "id")).alias("first"))
+    looks = F.coalesce(F.col(asked), F.lit(False)) if asked else F.lit(True)
+    rows = photos.where(F.length(hash_column) > 0).select("id", F.col(order).alias("ord"), F.col(hash_column).alias("h"), looks.alias("asked"))
+    classes = rows.groupBy("h").agg(F.min(F.struct("ord", "id")).alias("first"), F.max("asked").alias("asked"))
     size, least = F.length("h"), most_bits + 2
     shortest = rows.agg(F.min(F.length("h"))).first()[0]
     if shortest is not None and shortest < least:
@@ -51,22 +54,23 @@ def near_duplicates(photos: DataFrame, hash_column: str = "dhash", most_bits: in
     width = F.greatest(F.lit(1), F.floor(size / least).cast("int"))
     classes = classes.withColumn("width", width)
     bands = F.transform(F.sequence(F.lit(0), F.ceil(F.length("h") / F.col("width")).cast("int") - 1), lambda i: F.struct(i.alias("at"), F.substring(F.col("h"), i * F.col("width") + 1, F.col("width")).alias("part")))
-    cells = classes.withColumn("bands", bands).select("h", "first", "bands", size.alias("size"), F.inline("bands"))
+    cells = classes.withColumn("bands", bands).select("h", "first", "asked", "bands", size.alias("size"), F.inline("bands"))
     place = ["size", "at", "part"]
     cells = cells.join(cells.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1"), place)
     hot = cells.where(F.col("n") > CELL_ROWS).withColumn("second", F.explode("bands")).where("second.at <> at")
     pairs = _met(cells.where(F.col("n") <= CELL_ROWS), place).union(_met(hot, [*place, "second"]))
     pairs = pairs.withColumn("bits", hamming_hex(F.col("h"), F.col("other"))).where(F.col("bits") <= most_bits).distinct()
-    same = rows.join(classes, "h").where("ord > first.ord").select("id", F.lit(0).alias("bits"), "first")
+    rows = rows.where("asked").drop("asked")
+    same = rows.join(classes.drop("asked"), "h").where("ord > first.ord").select("id", F.lit(0).alias("bits"), "first")
     near = rows.join(pairs, "h").where("ord > first.ord").select("id", "bits", "first")
     best = near.union(same).groupBy("id").agg(F.min(F.struct("bits", "first")).alias("m"))
     return best.select("id", F.col("m.first.id").alias("near_id"), F.col("m.bits").alias("bits"))
 
 
 def _met(cells: DataFrame, place: list[str]) -> DataFrame:
-    """Pairs of different hashes in a cell: (h, other, first of the other)."""
+    """Pairs of different hashes in a cell, the first one asked for: (h, other, first of the other)."""
     b = cells.select(*place, F.col("h").alias("other"), F.col("first").alias("its_first"))
-    return cells.select(*place, "h").join(b, place).where("h <> other").select("h", "other", F.col("its_first").alias("first"))
+    return cells.where("asked").select(*place, "h").join(b, place).where("h <> other").select("h", "other", F.col("its_first").alias("first"))
 
 
 def payment_key(ref: Column, time: Column, direction: Column, amount: Column, date: Column, raw: Column) -> Column:

@@ -31,7 +31,7 @@ def ingest_photos(uploads: DataFrame, sources: DataFrame, most_bytes: int = MOST
     both = exact_duplicates(keep(sources, 0).unionByName(keep(t.where("problem IS NULL"), 1)))
     blocked = (F.col("ord.batch") == 1) & F.col("first_id").isNotNull()
     stored = both.where(~blocked)
-    near = near_duplicates(stored).join(stored.select(F.col("id").alias("near_id"), F.col("trader_id").alias("near_trader")), "near_id")
+    near = near_duplicates(stored.withColumn("asked", F.col("ord.batch") == 1), asked="asked").join(stored.select(F.col("id").alias("near_id"), F.col("trader_id").alias("near_trader")), "near_id")
     exact = both.where(blocked).select("id", F.lit("exact").alias("match"), F.col("first_id").alias("duplicate_of"), "cross_trader", F.lit(0).alias("distance"))
     near = near.join(t.select("id", "trader_id"), "id").select("id", F.lit("near").alias("match"), F.col("near_id").alias("duplicate_of"), (~F.col("near_trader").eqNullSafe(F.col("trader_id"))).alias("cross_trader"), F.col("bits").alias("distance"))
     out = t.join(exact.unionByName(near), "id", "left").withColumn("problem", F.coalesce("problem", F.when(F.col("match") == "exact", "duplicate_photo")))
