@@ -66,6 +66,14 @@ def decode_pages(df: DataFrame, json: str = "json", most: int | None = MAX_LINES
     return t.withColumn("page_date_text", _text(own, "$.pageDateText", "")).withColumn("page_date_guess", _text(own, "$.pageDate", "")).drop("cowrie_v")
 
 
+def reading_limits(pages: DataFrame, field: str = "lines", page: str = "page_id", json: str = "json", most: int | None = MAX_LINES) -> DataFrame:
+    """(page_id, readable, lines, dropped) of every page: how many entries of its list are read, and how many are beyond ``most``.
+
+    ``field`` is ``lines`` for notebooks and ``transactions`` for payment screens.
+    """
+    return _decode(pages, json, field, most).select(F.col(page).alias("page_id"), "readable", F.size("lines").alias("lines"), "dropped")
+
+
 def read_payments(screens: DataFrame, page: str = "page_id", json: str = "json", today: str = "today", most: int | None = MAX_LINES) -> DataFrame:
     """Every transaction of reader output about mobile-money screens, and why one cannot be used.
 

@@ -679,3 +679,10 @@ def figure_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines behind every figure, as runs of line numbers."""
     lines = _counted(spark, sf_dir).withColumn("ord", F.col("id"))
     return lineage.figure_runs(lines, profile.weeks(profile.daily(lines)))
+
+
+@_query("""WITH e AS (SELECT user_id AS page_id, COUNT(*) AS n, user_id % 50 > 1 AS readable FROM events GROUP BY ALL)
+SELECT page_id, readable, CASE WHEN readable THEN LEAST(n, 80) ELSE 0 END::INTEGER AS lines, CASE WHEN readable THEN GREATEST(n - 80, 0) ELSE 0 END::INTEGER AS dropped FROM e""")
+def reading_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many transactions of each screen are read, and how many are beyond the limit."""
+    return pages.reading_limits(a.payment_json(spark, sf_dir), "transactions")
