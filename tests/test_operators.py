@@ -188,7 +188,7 @@ def test_answer_audit(spark):
     a = spark.createDataFrame([("x", "p", "Sales were 60 000 [W2026-07-06, E9], see E1 and 45% on 14/07/2026, or 999 999 in 2026.", ["M1", " E2 "], True), ("y", "p", None, None, True)], "answer_id string, pack_id string, answer string, citations array<string>, answerable boolean")
     refs = spark.createDataFrame([("p", c) for c in ("W2026-07-06", "E1", "E2")], "pack_id string, code string")
     cited = answers.citations(a, refs)
-    assert [r.code for r in cited.orderBy("place").collect()] == ["W2026-07-06", "E1", "E2"]
+    assert [r.code for r in cited.orderBy("place").collect()] == ["W2026-07-06", "E2", "E1"]
     known = spark.createDataFrame([("p", False, 60_100.0), ("p", True, 44.5)], "pack_id string, percent boolean, value double")
     assert [(r.percent, r.value) for r in answers.untraced(a, known).collect()] == [(False, 999_999.0)]
     assert [r.answer_id for r in answers.uncited(a, cited).collect()] == ["y"]
@@ -206,8 +206,8 @@ def test_answer_segments(spark):
     refs = spark.createDataFrame([("p", c) for c in ("W2026-07-06", "E1", "E2", "E12", "I1", "MO2026-07", "E1")], "pack_id string, code string")
     got = {r.answer_id: ("".join(s.value if s.kind == "text" else f"{{{s.value}}}" for s in r.segments), r.citations, r.uncited) for r in answers.audit(a, refs).collect()}
     assert got == {
-        "a": ("Up in {W2026-07-06}. Rice leads {I1}, then. More in {MO2026-07}.", ["W2026-07-06", "I1", "MO2026-07", "E2"], False),
-        "b": ("{E12} and TE1, see E7", ["E12", "E1"], False),
+        "a": ("Up in {W2026-07-06}. Rice leads {I1}, then. More in {MO2026-07}.", ["W2026-07-06", "I1", "E2", "MO2026-07"], False),
+        "b": ("{E12} and TE1, see E7", ["E1", "E12"], False),
         "c": ("See E1.", [], True),
         "d": ("", [], False),
         "e": (" {E1}{E2} ", ["E1", "E2"], False),
