@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cowrie.functions.text import strip_accents
 from cowrie.operators import duplicates, payments
 from cowrie.sources import adapters as a
 from cowrie.sources.tables import stored_by
@@ -34,3 +35,16 @@ def test_sums_of_sales_match_payments_as_named_lines_do(spark):
     named = payments.corroborate(sold.withColumn("ord", F.col("id")), paid).select("id", "matched", "closed_day")
     summed = payments.corroborate(sold.drop("id"), paid, named=False).select("id", "matched", "closed_day")
     assert sorted(map(tuple, named.collect()), key=str) == sorted(map(tuple, summed.collect()), key=str)
+
+
+def test_messages_are_dealt_to_partitions_of_bounded_size(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(10)
+    assert a.spread(rows, 10).rdd.getNumPartitions() == cores
+    assert a.spread(rows, a.SPREAD_ROWS * (cores + 5)).rdd.getNumPartitions() == cores + 5
+
+
+def test_ascii_texts_are_not_searched_for_accents(spark):
+    t = spark.createDataFrame([("Reçu de l'été é",), ("plain",), ("",), (None,)], "x string").select(strip_accents(F.col("x")).alias("x"))
+    assert "octet_length" in t._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.x for r in t.collect()] == ["Recu de l'ete e", "plain", "", None]
