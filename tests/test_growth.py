@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cowrie.functions.text import strip_accents
-from cowrie.operators import duplicates, payments
+from cowrie.operators import answers, duplicates, payments
 from cowrie.sources import adapters as a
 from cowrie.sources.tables import stored_by
 
@@ -48,3 +48,22 @@ def test_ascii_texts_are_not_searched_for_accents(spark):
     t = spark.createDataFrame([("Reçu de l'été é",), ("plain",), ("",), (None,)], "x string").select(strip_accents(F.col("x")).alias("x"))
     assert "octet_length" in t._jdf.queryExecution().optimizedPlan().toString()
     assert [r.x for r in t.collect()] == ["Recu de l'ete e", "plain", "", None]
+
+
+def test_texts_of_answers_are_searched_once(spark):
+    t = spark.createDataFrame([("a", 1, "Sales were 1 500 FCFA [E1], 20% more", None, True)], "answer_id string, pack_id int, answer string, citations array<string>, answerable boolean")
+    refs = spark.createDataFrame([(1, "E1")], "pack_id int, code string")
+    searches = lambda df, what: df._jdf.queryExecution().optimizedPlan().toString().count(what)
+    found = answers.figures(t)
+    # percentages, and figures with and without any; a filter that Spark derives from the generator would search it all again, twice
+    assert searches(found, "regexp_extract_all") == 3
+    assert sorted((r.percent, r.value) for r in found.collect()) == [(False, 1500.0), (True, 20.0)]
+    done = answers.audit(t, refs)
+    # codes of an answer: those in brackets, twice those outside of them, and those of a text without any
+    assert searches(done, "regexp_extract_all") == 4
+    assert [(r.citations, r.uncited) for r in done.collect()] == [(["E1"], False)]
+
+
+def test_rows_that_cost_much_are_dealt_by_key(spark):
+    dealt = a.spread(spark.range(1000).coalesce(1), 10, "id")
+    assert "hashpartitioning(id" in plan(dealt) and dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
