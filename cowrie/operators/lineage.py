@@ -73,12 +73,17 @@ def figure_runs(lines: DataFrame, by_week: DataFrame) -> DataFrame:
     own = Window.partitionBy("trader_id")
     w = by_week.select("trader_id", "week", full.alias("full"), "gap").withColumn("fulls", F.count_if("full").over(own))
     w = w.select("trader_id", "week", F.when(F.col("fulls") > 0, F.col("full")).otherwise(~F.col("gap")).alias("basis"), (F.col("full") & (F.col("fulls") >= 4)).alias("trend"))
-    t = line_numbers(lines).withColumn("week", week_start(F.col("date"))).join(w, ["trader_id", "week"])
-    sale = F.col("type") == "sale"
-    named = lambda figure, key, cond: F.when(cond, F.struct(F.lit(figure).alias("figure"), key.alias("key")))
-    none, always = F.lit(""), F.lit(True)
-    kinds: list[Column] = [
-        named("sales", none, sale), named("expenses", none, ~sale), named("week", F.col("week").cast("string"), always), named("month", F.date_format("date", "yyyy-MM"), always),
-        named("avg_weekly", none, sale & F.col("basis")), named("trend", none, sale & F.col("trend")),
-    ]
-    return runs_of(t.select("trader_id", "number", F.inline(F.array_compact(F.array(*kinds)))))
+    sale, always = F.col("type") == "sale", F.lit(True)
+    t = lines.withColumn("week", week_start(F.col("date"))).join(w.withColumn("known", always), ["trader_id", "week"], "left")
+    holds = {"any": always, "sales": sale, "expenses": ~sale, "avg_weekly": sale & F.col("basis"), "trend": sale & F.col("trend")}
+    held = [F.coalesce(F.col("known") & cond, F.lit(False)).alias(f"is_{k}") for k, cond in holds.items()]
+    t = t.select("trader_id", "date", "ord", "week", *held)
+    # a line's number less its place among the lines of a figure is one and the same along a run; all figures share one sort
+    order = Window.partitionBy("trader_id").orderBy("date", "ord")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    t = t.select("trader_id", "date", "week", *[f"is_{k}" for k in holds], F.row_number().over(order).cast("long").alias("number"), *[F.count_if(f"is_{k}").over(so_far).alias(f"n_{k}") for k in holds])
+    member = lambda figure, key, of: F.when(F.col(f"is_{of}"), F.struct(F.lit(figure).alias("figure"), key.alias("key"), (F.col("number") - F.col(f"n_{of}")).alias("island")))
+    kinds: list[Column] = [member("week", F.col("week").cast("string"), "any"), member("month", F.date_format("date", "yyyy-MM"), "any")]
+    kinds += [member(k, F.lit(""), k) for k in holds if k != "any"]
+    each = t.select("trader_id", "number", F.inline_outer(F.array_compact(F.array(*kinds)))).where("figure IS NOT NULL")
+    return each.groupBy(*KEYS, "island").agg(F.min("number").alias("start"), F.max("number").alias("end")).drop("island")

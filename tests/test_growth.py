@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cowrie.functions.text import strip_accents
-from cowrie.operators import answers, duplicates, payments
+from cowrie.operators import answers, duplicates, lineage, pages, payments, profile
 from cowrie.sources import adapters as a
 from cowrie.sources.tables import stored_by
 
@@ -67,3 +67,14 @@ def test_texts_of_answers_are_searched_once(spark):
 def test_rows_that_cost_much_are_dealt_by_key(spark):
     dealt = a.spread(spark.range(1000).coalesce(1), 10, "id")
     assert "hashpartitioning(id" in plan(dealt) and dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_figures_of_a_trader_share_one_shuffle(spark):
+    lines = a.entries(spark, SMALL).where("status = 'confirmed' AND amount > 0").withColumn("ord", F.col("id"))
+    made = lineage.figure_runs(lines, profile.weeks(profile.daily(lines)))
+    # lines are moved to their week and to their trader, never once for each figure
+    assert "figure#" not in "".join(x for x in plan(made).split("\n") if "Exchange" in x)
+    runs = {(r.trader_id, r.figure, r.key, r.start, r.end) for r in made.collect()}
+    numbered = lineage.line_numbers(lines)
+    whole = lineage.runs_of(numbered.select("trader_id", F.when(F.col("type") == "sale", "sales").otherwise("expenses").alias("figure"), F.lit("").alias("key"), "number"))
+    assert {x for x in runs if x[1] in ("sales", "expenses")} == {(r.trader_id, r.figure, r.key, r.start, r.end) for r in whole.collect()}
