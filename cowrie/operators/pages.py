@@ -41,7 +41,10 @@ def _number(v: Column, path: str) -> Column:
 
 
 def _decode(df: DataFrame, json: str, field: str, most: int | None) -> DataFrame:
-    """Append ``cowrie_v`` (the document), ``readable``, ``lines`` (the variants of a list field) and ``dropped``."""
+    """Append ``cowrie_v`` (the document), ``readable``, ``lines`` (the variants of a list field) and ``dropped``.
+
+    Explode ``lines`` by the outer form: Spark derives a filter from the other one, for which each document is parsed again.
+    """
     own, none = F.col("cowrie_v"), F.array().cast("array<variant>")
     t = df.withColumn("cowrie_v", F.try_parse_json(strip_fences(F.col(json))))
     t = t.withColumn("readable", F.coalesce(F.schema_of_variant(own).startswith("OBJECT"), F.lit(False)))
@@ -82,7 +85,7 @@ def read_payments(screens: DataFrame, page: str = "page_id", json: str = "json",
     outside a field's list count as unknown; fees and balances that are not
     positive, empty references and ill-formed times are null.
     """
-    t = _decode(screens, json, "transactions", most).select(F.col(page).alias("page_id"), as_date(F.col(today)).alias("today"), F.posexplode("lines").alias("pos", "v"))
+    t = _decode(screens, json, "transactions", most).select(F.col(page).alias("page_id"), as_date(F.col(today)).alias("today"), F.posexplode_outer("lines").alias("pos", "v")).where("pos IS NOT NULL")
     v = F.col("v")
     t = t.withColumns({f"v_{k}": _text(v, f"$.{k}", "") for k in PAYMENT_TEXTS} | {f"v_{k}": _number(v, f"$.{k}") for k in PAYMENT_NUMBERS} | {"box": normalize_box(F.try_variant_get(v, "$.box", "array<double>"))})
     one_of = lambda c, known: F.when(F.col(c).isin(*known), F.col(c)).otherwise(F.lit("unknown"))
@@ -128,7 +131,7 @@ def read_lines(pages: DataFrame, page: str = "page_id", json: str = "json", toda
     now = F.col("today")
     dated = decoded.select(F.col(page).alias("page_id"), as_date(F.col(today)).alias("today"), "page_date_text", "page_date_guess", "lines")
     dated = dated.withColumn("page_date", resolve_date(F.col("page_date_text"), F.col("page_date_guess"), now))
-    t = dated.select("page_id", "today", "page_date", F.posexplode("lines").alias("pos", "v"))
+    t = dated.select("page_id", "today", "page_date", F.posexplode_outer("lines").alias("pos", "v")).where("pos IS NOT NULL")
     v = F.col("v")
     t = t.withColumns({f"v_{k}": _text(v, f"$.{k}", d) for k, d in TEXTS.items()} | {f"v_{k}": _number(v, f"$.{k}") for k in NUMBERS} | {"box": normalize_box(F.try_variant_get(v, "$.box", "array<double>"))})
     t = t.withColumn("line_date", resolve_date(F.col("v_dateText"), F.col("v_date"), now)).withColumn("value", half_up(F.col("v_amount")))

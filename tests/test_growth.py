@@ -78,3 +78,9 @@ def test_figures_of_a_trader_share_one_shuffle(spark):
     numbered = lineage.line_numbers(lines)
     whole = lineage.runs_of(numbered.select("trader_id", F.when(F.col("type") == "sale", "sales").otherwise("expenses").alias("figure"), F.lit("").alias("key"), "number"))
     assert {x for x in runs if x[1] in ("sales", "expenses")} == {(r.trader_id, r.figure, r.key, r.start, r.end) for r in whole.collect()}
+
+
+def test_a_document_of_a_screen_is_parsed_once(spark):
+    made = pages.read_payments(a.payment_json(spark, SMALL))
+    steps = made._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert steps.count("parsejson") == 1 and made.count() > 0
