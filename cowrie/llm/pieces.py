@@ -84,7 +84,11 @@ class Vocabulary:
         weight = alpha * -np.log(np.arange(len(pieces)) + 2.7)
         self.logp = weight.astype(np.float64)
         self.byte_logp = float(weight.min() - 2 * alpha)
+        self.whole = np.empty(len(self.bytes), object)
+        self.whole[:] = self.bytes
         self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        # by length and hash: 1 where there may be a piece, 2 where a longer one may begin so
+        self.marks = np.zeros((max(map(len, pieces)) + 1, 1 << 20), np.uint8)
         for n in sorted({len(p) for p in pieces if p}):
             ids = np.array([i for i, p in enumerate(pieces) if len(p) == n], np.int32)
             raw = np.frombuffer(b"".join(pieces[i] for i in ids), np.uint8).reshape(-1, n)
@@ -92,11 +96,9 @@ class Vocabulary:
             with np.errstate(over="ignore"):
                 for j in range(n):
                     h = h * _B + raw[:, j] + np.uint64(1)
-                slot = (h * _MIX) >> np.uint64(44)
+                    self.marks[j + 1, (h * _MIX) >> np.uint64(44)] |= np.uint8(1 if j + 1 == n else 2)
             order = np.argsort(h)
-            maybe = np.zeros(1 << 20, bool)
-            maybe[slot] = True
-            self.by_length[n] = (maybe, h[order], ids[order], raw[order])
+            self.by_length[n] = (h[order], ids[order], raw[order])
         self.longest = max(self.by_length)
 
 
@@ -138,16 +140,17 @@ def build(vocabulary: Vocabulary, words: list[bytes]) -> Lattice:
     known = np.zeros(n, bool)
     with np.errstate(over="ignore"):
         for k in range(1, vocabulary.longest + 1):
-            if k > 1:
-                long_enough = left[alive] >= k
-                alive, h = alive[long_enough], h[long_enough]
+            if k > 1:  # only places where a longer piece may begin go on
+                on = np.nonzero((mark & 2 > 0) & (left[alive] >= k))[0]
+                alive, h = alive[on], h[on]
             if not len(alive):
                 break
             h = h * _B + data[alive + (k - 1)] + np.uint64(1)
+            mark = vocabulary.marks[k][(h * _MIX) >> np.uint64(44)]
             if k not in vocabulary.by_length:
                 continue
-            maybe, hashes, piece, raw = vocabulary.by_length[k]
-            at = np.nonzero(maybe[(h * _MIX) >> np.uint64(44)])[0]
+            hashes, piece, raw = vocabulary.by_length[k]
+            at = np.nonzero(mark & 1)[0]
             j = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
             hit = hashes[j] == h[at]
             at, j = alive[at[hit]], j[hit]
@@ -312,40 +315,46 @@ def sample(vocabulary: Vocabulary, texts: list[bytes], keys: list[bytes], k: int
         made[i].append({"edges": edges[s], "value": float(top[i]), "log_prob": float(logq[s].sum())})
         agenda[i].append({"values": rest[s].copy(), "before": before[s], "edges": edges[s], "words": of_word[s], "gone": {}})
     for j in range(1, k):
-        ask, at, stop, moves, rows = [], [], [], [], []
+        ask, at, stop, moves, rows, tops = [], [], [], [], [], []
         for i in range(len(texts)):
             best = max(((float(a["values"].max(initial=-np.inf)), x) for x, a in enumerate(agenda[i])), default=(-np.inf, -1))
             if best[0] == -np.inf:
                 continue
             a = agenda[i][best[1]]
             t = int(a["values"].argmax())
-            e0 = int(a["edges"][t])
+            rows.append(i)
+            tops.append((best[0], a, t))
+        if not rows:
+            break
+        # numbers of all rows are drawn at once
+        pick = np.array(rows)
+        leaders = np.array([int(a["edges"][t]) for _, a, t in tops])
+        lead_words = np.array([int(a["words"][t]) for _, a, t in tops])
+        lead_places = lat.start[leaders] + shift[lead_words]
+        chances = uniforms(seeds[pick], lead_places, 8 + 4 * j).tolist()
+        gumbels = -np.log(-np.log(uniforms(seeds[pick], lead_places, 9 + 4 * j)))
+        for r, (i, (value, a, t)) in enumerate(zip(rows, tops, strict=True)):
+            e0, w = int(leaders[r]), int(lead_words[r])
             lo = int(lat.head[lat.start[e0]])
             hi = lo + int(np.searchsorted(lat.start[lo : lo + vocabulary.longest + 1], lat.start[e0], "right"))
             gone = a["gone"].setdefault(t, {e0})
             others = np.array([e for e in range(lo, hi) if e not in gone])
             p = np.exp(lat.logq[others])
-            w = int(a["words"][t])
-            place = int(lat.start[e0] + shift[w])
-            u = float(uniforms(seeds[i : i + 1], np.array([place]), 8 + 4 * j)[0])
-            e = int(others[min(len(others) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), u, "right")))])
+            e = int(others[min(len(others) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), chances[r], "right")))])
             gone.add(e)
             gone_mass = float(np.exp(lat.logq[list(gone)]).sum())
             if len(gone) == hi - lo or gone_mass >= 1:
                 a["values"][t] = -np.inf
             else:
-                g = a["before"][t] + np.log1p(-gone_mass) - np.log(-np.log(float(uniforms(seeds[i : i + 1], np.array([place]), 9 + 4 * j)[0])))
-                a["values"][t] = -np.logaddexp(-best[0], -g)
-            rows.append(i)
-            moves.append((best[0], a, t, e, w))
+                g = a["before"][t] + np.log1p(-gone_mass) + gumbels[r]
+                a["values"][t] = -np.logaddexp(-value, -g)
+            moves.append((value, a, t, e, w))
             n = head[i] + per[i] - w
             ask.append(np.arange(w, w + n))
             first = lat.first[word[ask[-1]]].copy()
             first[0] = lat.end[e]
             at.append(first)
             stop.append(lat.last[word[ask[-1]]])
-        if not rows:
-            break
         flat = np.concatenate(ask)
         drawn, drawn_count = _draw(lat, np.concatenate(at), np.concatenate(stop), shift[flat], seeds[doc[flat]], 10 + 4 * j)
         sizes = np.array([len(x) for x in ask])
@@ -353,18 +362,23 @@ def sample(vocabulary: Vocabulary, texts: list[bytes], keys: list[bytes], k: int
         got = np.add.reduceat(drawn_count, lead)
         places = np.cumsum(got) - got
         drawn_word = np.repeat(flat, drawn_count)
+        drawn_logq = lat.logq[drawn]
+        tails = []
+        for r in range(len(rows)):
+            _, a, t, e, _ = moves[r]
+            tail_logq = np.concatenate([lat.logq[e : e + 1], drawn_logq[places[r] : places[r] + got[r]]])
+            tails.append((tail_logq, float(a["before"][t]) + np.cumsum(tail_logq) - tail_logq))
+        value_of = np.repeat(np.array([m[0] for m in moves]), got)
+        rest = _rests(drawn_logq, np.concatenate([b[1:] for _, b in tails]), value_of, np.repeat(seeds[pick], got), lat.start[drawn] + shift[drawn_word], 11 + 4 * j)
         for r, i in enumerate(rows):
             value, a, t, e, w = moves[r]
             s = slice(places[r], places[r] + got[r])
-            tail = np.concatenate([[e], drawn[s]]).astype(np.int64)
-            tail_words = np.concatenate([[w], drawn_word[s]])
-            tail_logq = lat.logq[tail]
-            tail_before = float(a["before"][t]) + np.cumsum(tail_logq) - tail_logq
-            whole = np.concatenate([a["edges"][:t], tail])
+            tail_logq, tail_before = tails[r]
+            whole = np.concatenate([a["edges"][:t], [e], drawn[s]])
             made[i].append({"edges": whole, "value": value, "log_prob": float(tail_before[-1] + tail_logq[-1])})
             values = np.full(len(whole), -np.inf)
-            values[t + 1 :] = _rests(tail_logq[1:], tail_before[1:], value, np.full(len(tail) - 1, seeds[i]), lat.start[tail[1:]] + shift[tail_words[1:]], 11 + 4 * j)
-            agenda[i].append({"values": values, "before": np.concatenate([a["before"][:t], tail_before]), "edges": whole, "words": np.concatenate([a["words"][:t], tail_words]), "gone": {}})
+            values[t + 1 :] = rest[s]
+            agenda[i].append({"values": values, "before": np.concatenate([a["before"][:t], tail_before]), "edges": whole, "words": np.concatenate([a["words"][:t], [w], drawn_word[s]]), "gone": {}})
     out = []
     for i, found in enumerate(made):
         kappa = max((float(a["values"].max(initial=-np.inf)) for a in agenda[i]), default=-np.inf)
@@ -380,8 +394,7 @@ def sample(vocabulary: Vocabulary, texts: list[bytes], keys: list[bytes], k: int
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray) -> bytes:
     """The text of piece ids."""
-    b = vocabulary.bytes
-    return b"".join([b[i] for i in ids.tolist()])
+    return b"".join(vocabulary.whole[ids].tolist())
 
 
 _SAMPLE = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("log_prob", T.DoubleType()), T.StructField("value", T.DoubleType()), T.StructField("log_inclusion", T.DoubleType())])

@@ -490,6 +490,27 @@ def test_pieces_query_restores_every_text(spark):
             assert s.log_prob == pytest.approx(logq, rel=1e-6, abs=1e-4)
 
 
+def test_places_where_no_longer_piece_begins_are_left(monkeypatch):
+    parts = [b"", b"", b"", b"", b"a", b"ab", b"abcdef", b"b", b"c", b"zz", b"z"]
+    v = pieces.Vocabulary(parts + [b""] * 256, list(range(len(parts), len(parts) + 256)))
+    words = [b"abcabcdefz", b"zzz", b"xa" * 5, b"c"]
+    looked = []
+
+    class Marks(np.ndarray):
+        def __getitem__(self, k):
+            row = super().__getitem__(k).view(np.ndarray)
+            return type("Row", (), {"__getitem__": lambda _, at: (looked.append((k, len(at))), row[at])[1]})()
+
+    monkeypatch.setattr(v, "marks", v.marks.view(Marks))
+    lat = pieces.build(v, words)
+    data = b"".join(words)
+    edges = {(a, a + len(x)) for w, end in zip(words, np.cumsum(list(map(len, words))).tolist(), strict=True) for a in range(end - len(w), end) for x in parts if x and data[a:end].startswith(x)}
+    single = {(a, a + 1) for a in range(len(data)) if data[a : a + 1] not in parts}
+    assert set(zip(lat.start.tolist(), lat.end.tolist(), strict=True)) == edges | single
+    # all places are looked at once; the third byte only where "ab" has another one behind it
+    assert looked[0] == (1, len(data)) and dict(looked)[3] == 2
+
+
 def log_probability(vocabulary, text, ids):
     """Log probability of a segmentation among all of the text's, by a plain sum over its lattice."""
     weight = {}
