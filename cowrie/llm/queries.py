@@ -55,7 +55,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from two folds of three."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = toxicity.fit(docs, labels.where(crc_bucket("doc_id", 3) != 1))
+    model = toxicity.fit(docs.where(crc_bucket("doc_id", 3) != 1), labels.where(crc_bucket("doc_id", 3) != 1))
     held_out = (crc_bucket("doc_id", 3) == 1).alias("held_out")
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out, "score", "predicted")
 

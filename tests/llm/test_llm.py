@@ -866,3 +866,33 @@ def test_thresholds_by_language_at_any_size():
         cuts = toxicity.calibrate(logits, target, spoken, 3)
         assert 0.5 < cuts[0] < 2.9 and 2.5 < cuts[1] < 4.9 and cuts[0] < cuts[1]
         assert cuts[2] == toxicity.threshold(logits, target)
+
+
+def test_toxicity_learns_from_every_row(spark):
+    """Words are counted over all labelled rows, more of a class than one task trains on."""
+    docs = spark.range(6_540).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, "gamma").when(F.col("id") % 3 == 0, "alpha").otherwise("beta").alias("text"), F.when(F.col("id") < 40, None).when(F.col("id") % 3 == 0, "en").otherwise("fr").alias("lang"))
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") < 40).cast("int").alias("toxic")))
+    en, fr = docs.where("lang = 'en'").count(), docs.where("lang = 'fr'").count()
+    ids, _ = toxicity.Hasher().rows_of([b"alpha", b"beta"])
+    odds = lambda n, total: math.log(n + 0.2) - math.log(total + 0.2 * (1 << 18))
+    assert en + fr == 6_500 and model[1][ids[:, 0]] == pytest.approx(np.array([[0, odds(0, fr) - odds(en, en)], [odds(0, en) - odds(fr, fr), 0]]), abs=1e-4)
+    got = toxicity.score(spark.createDataFrame([("alpha",), ("beta",), ("gamma",)], "text string"), model).collect()
+    assert [r.predicted for r in got] == [0, 0, 1]
+
+
+def test_toxicity_of_shards_is_the_same_in_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 90)
+    toxic = "zzbad qqworse xxawful"
+    train = spark.createDataFrame([(i, f"plain words number {i} and more {i % 7} " + (toxic if i % 4 == 0 else "kind good fine"), "en" if i % 5 else None) for i in range(400)], "doc_id long, text string, lang string")
+    labels = train.select("doc_id", F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0).alias("toxic"))
+    models = [toxicity.fit(train.repartition(n), labels.repartition(n)) for n in (1, 7)]
+    test = spark.createDataFrame([("some text with " + toxic,), ("some text that is kind good fine",), (None,)], "text string")
+    scores = [[(r.score, r.predicted) for r in toxicity.score(test, m).collect()] for m in models]
+    assert scores[0] == scores[1] and [p for _, p in scores[0]] == [1, 0, 0]
+    rng = np.random.default_rng(0)
+    cell, hit = rng.integers(-9, 9, 500), rng.integers(0, 2, 500)
+    at, where = np.unique(cell, return_inverse=True)
+    full = at[np.bincount(where) > 0]
+    rows = toxicity.threshold(full / 4, np.bincount(where, hit), np.bincount(where))
+    best = max(full, key=lambda c: 1.25 * hit[cell >= c].sum() / ((cell >= c).sum() + 0.25 * hit.sum()) * (2 * hit[cell >= c].sum() >= (cell >= c).sum()))
+    assert rows == pytest.approx(best / 4 - 0.125)
