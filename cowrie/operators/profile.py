@@ -150,14 +150,17 @@ def performance(by_week: DataFrame) -> DataFrame:
 
 
 def evidence(lines: DataFrame) -> DataFrame:
-    """(trader_id, metric, key, entry_id): the lines behind every week, month and item; long, so no row grows with the data."""
-    metrics = F.array(
-        F.struct(F.lit("week").alias("metric"), week_start(F.col("date")).cast("string").alias("key")),
-        F.struct(F.lit("month").alias("metric"), F.date_format("date", "yyyy-MM").alias("key")),
-        F.struct(F.lit("item").alias("metric"), normalize_item(F.col("description")).alias("key")),
-    )
-    kept = F.filter(metrics, lambda m: (m["metric"] != "item") | (F.col("type") == "sale"))
-    return lines.select("trader_id", F.col("id").alias("entry_id"), F.inline(kept))
+    """(trader_id, metric, key, entry_id): the lines behind every week, month and item; long, so no row grows with the data.
+
+    Lines may have their ``item`` (``normalize_item`` of the description); where
+    descriptions recur it is cheaper to make it once for each of them.
+    """
+    item = F.col("item") if "item" in lines.columns else normalize_item(F.col("description"))
+    named = lambda metric, key: F.struct(F.lit(metric).alias("metric"), key.alias("key"))
+    dated = named("week", week_start(F.col("date")).cast("string")), named("month", F.date_format("date", "yyyy-MM"))
+    # the outer form has no filter that would make the keys again; no line is without a week
+    metrics = F.inline_outer(F.when(F.col("type") == "sale", F.array(*dated, named("item", item))).otherwise(F.array(*dated)))
+    return lines.select("trader_id", F.col("id").alias("entry_id"), metrics)
 
 
 def best_weekday(by_weekday: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cowrie.functions.text import strip_accents
 from cowrie.operators import answers, duplicates, lineage, pages, payments, profile
+from cowrie.plans.queries import QUERIES
 from cowrie.sources import adapters as a
 from cowrie.sources.tables import stored_by
 
@@ -84,3 +85,16 @@ def test_a_document_of_a_screen_is_parsed_once(spark):
     made = pages.read_payments(a.payment_json(spark, SMALL))
     steps = made._jdf.queryExecution().optimizedPlan().toString().lower()
     assert steps.count("parsejson") == 1 and made.count() > 0
+
+
+def test_evidence_moves_lines_once_and_names_items_by_part(spark):
+    steps = plan(QUERIES["evidence_rows"](spark, SMALL)).split("\n")
+    at = {name: [i for i, x in enumerate(steps) if name in x] for name in ("Exchange hashpartitioning(trader_id", "Generate inline", "Join", "split(regexp_replace")}
+    # a line goes to its trader before it becomes rows of a week, a month and an item; items are made before parts meet lines
+    assert len(at["Exchange hashpartitioning(trader_id"]) == 1 and "metric" not in steps[at["Exchange hashpartitioning(trader_id"][0]]
+    assert max(at["Generate inline"]) < at["Exchange hashpartitioning(trader_id"][0] and max(at["Join"]) < min(at["split(regexp_replace"])
+    lines = a.entries(spark, SMALL, True)
+    named = profile.evidence(lines.withColumn("item", F.lit("x")))
+    rows = lambda e: sorted(map(tuple, e.collect()))
+    assert {r.key for r in named.where("metric = 'item'").collect()} == {"x"}
+    assert rows(profile.evidence(lines)) == rows(profile.evidence(a.entries(spark, SMALL, True, True)))
