@@ -505,3 +505,15 @@ def test_page_lines_leave_out_what_cannot_repeat(spark):
     sources = spark.createDataFrame([("p", 7)], "id string, created_at int")
     got = duplicates.page_lines(entries, sources).collect()
     assert [(r.id, r.page_ord, r.line_ord, r.key) for r in got] == [("a", 7, 1, f"{TODAY}|sale|5|rice")]
+
+
+LINES = "trader_id string, source_id int, page_ord int, id string, line_ord int, key string"
+
+
+def test_a_short_page_repeats_a_long_one(spark):
+    long = [f"own{i}" for i in range(20)] + ["x", "y", "z"]
+    pages_ = {1: long, 2: ["x", "y", "z", "w"], 3: [f"more{i}" for i in range(20)] + ["x", "y", "w"]}
+    df = spark.createDataFrame([("t", p, p, f"{p}#{i}", i, k) for p, ks in pages_.items() for i, k in enumerate(ks)], LINES)
+    want, again = plain_overlaps(pages_, set())
+    assert {(r.earlier, r.later): r.matches for r in duplicates.repeated_pages(df).collect()} == want == {(1, 2): 3, (2, 3): 3}
+    assert {r.id: r.earlier for r in duplicates.repeated_lines(df).collect()} == {f"{p}#{i}": e for (p, i), e in again.items()}
