@@ -517,3 +517,10 @@ def test_a_short_page_repeats_a_long_one(spark):
     want, again = plain_overlaps(pages_, set())
     assert {(r.earlier, r.later): r.matches for r in duplicates.repeated_pages(df).collect()} == want == {(1, 2): 3, (2, 3): 3}
     assert {r.id: r.earlier for r in duplicates.repeated_lines(df).collect()} == {f"{p}#{i}": e for (p, i), e in again.items()}
+
+
+def test_lines_of_documents_lose_spaces_of_every_kind(spark, tmp_path):
+    from cowrie.sources import adapters
+
+    spark.createDataFrame([(1, "s", "\u00a0 a b\u3000\n\u2003\n\tc \r\nd")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.key for r in adapters.page_lines(spark, str(tmp_path)).orderBy("line_ord").collect()] == ["a b", "\tc \r", "d"]
