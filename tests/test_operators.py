@@ -519,6 +519,27 @@ def test_a_short_page_repeats_a_long_one(spark):
     assert {r.id: r.earlier for r in duplicates.repeated_lines(df).collect()} == {f"{p}#{i}": e for (p, i), e in again.items()}
 
 
+@pytest.mark.parametrize(("seed", "block"), [(0, 1000), (1, 2), (2, 1)])
+def test_every_pair_of_pages_that_overlap(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(duplicates, "BLOCK_PAGES", block)
+    rng = random.Random(seed)
+    pages_ = {p: [rng.choice("abcdefghijkl") for _ in range(rng.choice([2, 4, 5, 30]))] for p in range(20)}
+    for p in range(20, 50):  # copies and near copies
+        pages_[p] = rng.sample(pages_[p % 6], len(pages_[p % 6])) + ["abcz"[p % 4]] * (rng.random() < 0.3)
+    told = {(a, b) for a, b in ((rng.randrange(50), rng.randrange(50)) for _ in range(20)) if a != b}
+    df = spark.createDataFrame([("t", p, p, f"{p}#{i}", i, k) for p, ks in pages_.items() for i, k in enumerate(ks)], LINES)
+    got = [(r.earlier, r.later, r.matches) for r in duplicates.overlapping_pages(df, spark.createDataFrame(sorted(told), "a int, b int")).collect()]
+    want = plain_overlaps(pages_, told)[0]
+    assert sorted(got) == sorted((a, b, n) for (a, b), n in want.items()) and want
+
+
+def test_overlaps_to_review_name_every_pair_of_equal_pages(spark):
+    entries = spark.createDataFrame([(f"{p}{i}", "t", p, i, "confirmed", TODAY, "sale", 5 + i, "rice") for p in "pqrs" for i in range(3)], "id string, trader_id string, source_id string, seq int, status string, date date, type string, amount long, description string")
+    sources = spark.createDataFrame([(p, "t", "notebook", "read", False, i, None) for i, p in enumerate("pqrs")], "id string, trader_id string, kind string, status string, duplicate_kept boolean, created_at int, page_date date")
+    got = {(r.earlier, r.later) for r in views.review_overlaps(sources, entries).collect()}
+    assert got == {("p", "q"), ("p", "r"), ("p", "s"), ("q", "r"), ("q", "s"), ("r", "s")}
+
+
 def test_lines_of_documents_lose_spaces_of_every_kind(spark, tmp_path):
     from cowrie.sources import adapters
 
