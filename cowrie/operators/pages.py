@@ -80,6 +80,7 @@ def reading_limits(pages: DataFrame, field: str = "lines", page: str = "page_id"
 def read_payments(screens: DataFrame, page: str = "page_id", json: str = "json", today: str = "today", most: int | None = MAX_LINES) -> DataFrame:
     """Every transaction of reader output about mobile-money screens, and why one cannot be used.
 
+    With ``most`` a screen gives its first ones only, null takes all of them.
     ``reason`` is no_amount, no_direction or no_date, tried in this order, null
     for a sound one. A kind that is not known follows from the direction; values
     outside a field's list count as unknown; fees and balances that are not

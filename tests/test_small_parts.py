@@ -98,3 +98,14 @@ def test_accents_of_every_block(spark):
     bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not 0x300 <= ord(c) <= 0x36F)
     # U+0344 and the like are marks that decompose into marks; nothing else may differ
     assert {k: v for k, v in got.items() if v != bare(dict(rows)[k])} == {}
+
+
+def test_payments_of_a_long_screen_are_all_read(spark, tmp_path):
+    from cowrie.plans.queries import QUERIES
+
+    events = spark.range(1, 201).select(F.col("id").alias("event_id"), F.lit("2024-02-03 10:11:12").cast("timestamp").alias("ts"), F.when(F.col("id") <= 150, 7).otherwise(8).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(5.0).alias("value"), F.lit("{}").alias("props"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    made = QUERIES["payment_reading"](spark, str(tmp_path))
+    assert made._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    got = made.select("page_id", "pos").collect()
+    assert sorted(map(tuple, got)) == [(7, i) for i in range(150)] + [(8, i) for i in range(50)]
