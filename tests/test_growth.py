@@ -1,12 +1,15 @@
 """What is moved and stored grows with the input only: plans and partitions, not times."""
 
+import os
+import time
+
 from pyspark.sql import functions as F
 
 from cowrie.functions.text import strip_accents
 from cowrie.operators import answers, duplicates, lineage, pages, payments, profile
 from cowrie.plans.queries import QUERIES
 from cowrie.sources import adapters as a
-from cowrie.sources.tables import stored_by
+from cowrie.sources.tables import Scratch, cut_lineage, shared_folder, stored_by
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -98,3 +101,48 @@ def test_evidence_moves_lines_once_and_names_items_by_part(spark):
     rows = lambda e: sorted(map(tuple, e.collect()))
     assert {r.key for r in named.where("metric = 'item'").collect()} == {"x"}
     assert rows(profile.evidence(lines)) == rows(profile.evidence(a.entries(spark, SMALL, True, True)))
+
+
+def files(path, name=""):
+    return {f"{at}/{n}" for at, _, names in os.walk(path) for n in names if n.startswith(name)}
+
+
+def test_tables_that_are_stored_leave_no_shuffle_files(spark):
+    local = spark.sparkContext.getConf().get("spark.local.dir")
+    before = files(local, "shuffle_")
+    kept = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    by = stored_by(spark.range(1000), "id", 1000)
+    for _ in range(50):  # they are removed beside the job
+        if left := files(local, "shuffle_") - before:
+            time.sleep(0.1)
+    assert not left and kept.count() == 7 and by.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_tables_of_a_scratch_are_removed_and_no_others(spark):
+    folder = shared_folder(spark).removeprefix("file://")
+    before = files(folder, "part-")
+    outer = cut_lineage(spark.range(3))
+    mine = files(folder, "part-") - before
+    with Scratch(spark) as scratch:
+        cut_lineage(spark.range(4))
+        name = stored_by(spark.range(5), "id", 5)._jdf.queryExecution().analyzed().toString()
+    assert "cowrie_" in name and files(folder, "part-") > before | mine
+    scratch.remove()
+    assert files(folder, "part-") == before | mine and outer.count() == 3
+
+
+def test_lines_are_numbered_by_one_shuffle_even_of_null_traders_and_dates(spark):
+    rows = [(t, d, o) for t in (None, 1, 2) for d in (None, "2024-01-01", "2024-01-02") for o in (2, 1, 3)]
+    df = spark.createDataFrame(rows, "trader_id int, date string, ord int").withColumn("date", F.col("date").cast("date"))
+    joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = answers.numbered_lines(df, "E", "ord")
+        assert sum("Exchange hashpartitioning" in x and "ord#" not in x for x in plan(made).split("\n")) == 4  # the lines, their sums twice and the starts; none for the window
+        got = made.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    for t in (None, 1, 2):
+        mine = sorted((r.date is not None, str(r.date), r.ord, r.code) for r in got if r.trader_id == t)
+        assert [c for *_, c in mine] == [f"E{i}" for i in range(1, 10)]
