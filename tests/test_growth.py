@@ -132,6 +132,17 @@ def test_tables_of_a_scratch_are_removed_and_no_others(spark):
     assert files(folder, "part-") == before | mine and outer.count() == 3
 
 
+def test_evidence_keeps_no_table_that_its_facts_do_not_read(spark):
+    folder = shared_folder(spark).removeprefix("file://")
+    kept = {}
+    for name in ("evidence_pack", "evidence_text"):
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        made = QUERIES[name](spark, SMALL)
+        kept[name] = len(set(os.listdir(folder)) - before)
+        assert made.count() > 0
+    assert kept == {"evidence_pack": 4, "evidence_text": 5}  # lines, days, payments and profile; with text, payments and what backs them
+
+
 def test_lines_are_numbered_by_one_shuffle_even_of_null_traders_and_dates(spark):
     rows = [(t, d, o) for t in (None, 1, 2) for d in (None, "2024-01-01", "2024-01-02") for o in (2, 1, 3)]
     df = spark.createDataFrame(rows, "trader_id int, date string, ord int").withColumn("date", F.col("date").cast("date"))
