@@ -1,6 +1,7 @@
 """What is moved and stored grows with the input only: plans and partitions, not times."""
 
 import os
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -157,3 +158,22 @@ def test_lines_are_numbered_by_one_shuffle_even_of_null_traders_and_dates(spark)
     for t in (None, 1, 2):
         mine = sorted((r.date is not None, str(r.date), r.ord, r.code) for r in got if r.trader_id == t)
         assert [c for *_, c in mine] == [f"E{i}" for i in range(1, 10)]
+
+
+def test_codes_of_a_pack_are_found_by_few_runs(spark, monkeypatch):
+    monkeypatch.setattr(answers, "RUN_CODES", 16)
+    held = [f"E{i}" for i in range(1, 41)] + ["E50", "M1", "W2024-01-01", "W2024-01-08", "W2024-01-22", "MO2023-12", "MO2024-01", "MO2024-03", "E007", "W2024-02-31", "odd", "G1", "G1"]
+    refs = spark.createDataFrame([(1, c) for c in held] + [(2, "E41"), (None, "E42"), (1, None)], "pack_id int, code string")
+    runs = {r.pack_id: len(r.cowrie_runs) for r in answers.code_runs(refs).collect()}
+    assert runs == {1: 3 + 1 + 1 + 2 + 2 + 1 + 3, 2: 1}
+    asked = [*held, "E7", "E0", "E41", "E42", "M2", "E0050", "W2024-01-15", "W2024-01-02", "MO2024-02", "MO2024-13", "W2024-02-30", "I1", "G01"]
+    t = spark.createDataFrame([(f"{p}/{i}", p, "", [c]) for p in (1, 2, 3, None) for i, c in enumerate(asked)], "answer_id string, pack_id int, answer string, citations array<string>").withColumn("answerable", F.lit(True))
+    got = {r.answer_id: list(r.citations) for r in answers.audit(t, refs).collect()}
+    shaped = {c for c in asked if re.fullmatch(answers.CODES, c)}
+    assert got == {f"{p}/{i}": [c] * (c in shaped and (c in held if p == 1 else p == 2 and c == "E41")) for p in (1, 2, 3, None) for i, c in enumerate(asked)}
+
+
+def test_answers_are_dealt_once_by_their_pack(spark):
+    steps = plan(QUERIES["answer_audit"](spark, SMALL)).split("\n")
+    # neither answers nor their figures are moved again by answer or by code
+    assert [x for x in steps if "Exchange hashpartitioning(answer_id" in x or "Exchange hashpartitioning(pack_id" in x and "code#" in x] == []
